@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from rillwork.plans import q_rain
+
+MODULES = (q_rain,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
