@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.plans import q_rain
+from rillwork.plans import q_rain, q_terrain
 
-MODULES = (q_rain,)
+MODULES = (q_rain, q_terrain)
 
 
 def queries() -> dict:
