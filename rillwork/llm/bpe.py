@@ -42,7 +42,7 @@ class TreeEncoder:
     PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]*"
     PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Words whose ids are remembered; beyond, the memory starts anew, which costs time only.
-    REMEMBERED = 400_000
+    REMEMBERED = 800_000
 
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         import regex
@@ -57,6 +57,7 @@ class TreeEncoder:
         self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
         for token, i in self.whole.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
+        self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
         self.plain, self.pre_tokens, self.known = regex.compile(self.PLAIN).fullmatch, regex.compile(self.PRE_TOKEN).findall, {}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -97,13 +98,10 @@ class TreeEncoder:
                 found[k] = self.pre_tokens(t)
         new = list({w for ws in found.values() for w in ws if w not in known})
         for w, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
+            known[w] = np.array(e.ids, "<u4").tobytes()
         out: list = [None] * len(texts)
         for k, ws in found.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out[k] = np.array(ids, np.uint32)
+            out[k] = np.frombuffer(b"".join([known[w] for w in ws]), "<u4")
         rest = [k for k in range(len(texts)) if k not in found]
         for k, e in zip(rest, self.inner.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
@@ -208,7 +206,10 @@ class TreeEncoder:
         return None
 
     def decode_batch(self, ids: list) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        """As the library's decode(ids, skip_special_tokens=False); without a decoder in the file that is the tokens with a space between."""
+        if self.whole.decoder is not None:
+            return self.whole.decode_batch([list(map(int, i)) for i in ids], skip_special_tokens=False)
+        return [" ".join([self.tokens[j] for j in (i.tolist() if isinstance(i, np.ndarray) else i)]) for i in ids]
 
 
 _encoders: dict = {}
@@ -237,7 +238,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     size += len(texts[z] or "")
                     z += 1
                 ids = enc.encode_batch([t or "" for t in texts[a:z]])
-                decoded = enc.decode_batch([i.tolist() for i in ids])
+                decoded = enc.decode_batch(ids)
                 n = pa.array([len(i) for i in ids], pa.int64())
                 if digests:
                     more = [pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]

@@ -11,7 +11,7 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are handled at once; it bounds the size of the temporary arrays, not of a text.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 WS = np.zeros(256, bool)
 WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
