@@ -1,6 +1,7 @@
 """Exact deduplication by content sort, in DataFrame functions only.
 
-Normalised texts are range-partitioned on splitters that Spark samples, and sorted externally; equal texts are then neighbours, compared in full, and the
+Normalised texts are range-partitioned on splitters that Spark samples, by their first PREFIX characters and, among equal ones, a hash of the whole (so the sample that reaches the
+driver has short rows, and texts that begin alike spread). Each partition is sorted externally; equal texts are then neighbours, compared in full, and the
 row with the smallest id stays. Texts that make up HOT_SHARE or more of a bounded sample (so at most 1 / HOT_SHARE texts) get a salt in the
 sort key, so that their rows spread over partitions; the runs of such a text are then put together by its SHA-256, one row a run.
 The sample decides only where rows go: results are the same without it.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE, HOT_SAMPLE = 1 / 200, 10_000
+HOT_SHARE, HOT_SAMPLE, PREFIX = 1 / 200, 10_000, 24
 
 
 def normalised(text: Column) -> Column:
@@ -32,6 +33,11 @@ def hot_texts(d: DataFrame, share: float = HOT_SHARE, rows: int = HOT_SAMPLE) ->
     return [r.h for r in got.collect()]
 
 
+def _dealt(d: DataFrame, salt: Column) -> DataFrame:
+    """d(norm, ...) with begin, hash and salt, range-partitioned by these: equal texts with one salt share a partition."""
+    return d.withColumns({"begin": F.substring("norm", 1, PREFIX), "hash": F.xxhash64("norm"), "salt": salt}).repartitionByRange("begin", "hash", "salt")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     from .neardup import shared_checkpoints
@@ -41,8 +47,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot = hot_texts(d, hot_share)
     salts = max(8, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salt = F.when(F.xxhash64("norm").isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0) if hot else F.lit(0)
-    run = Window.partitionBy("norm", "salt")
-    dealt = d.withColumn("salt", salt).repartitionByRange("norm", "salt")
+    run = Window.partitionBy("begin", "hash", "salt", "norm")
+    dealt = _dealt(d, salt)
     ordered = run.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sorted_rows = dealt.select(
         "doc_id",
@@ -75,8 +81,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash_ = F.xxhash64("norm")
     salt = F.when(hash_.isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0) if hot else F.lit(0)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), whole.alias("whole"))
-    rows = rows.withColumn("norm", normalised(F.col("text"))).drop("text").withColumn("salt", salt).repartitionByRange("norm", "salt")
-    place = F.row_number().over(Window.partitionBy("norm", "salt").orderBy("doc_id"))
+    rows = _dealt(rows.withColumn("norm", normalised(F.col("text"))).drop("text"), salt)
+    place = F.row_number().over(Window.partitionBy("begin", "hash", "salt", "norm").orderBy("doc_id"))
     left = rows.withColumn("place", place).where("place = 1")
     if hot:
         # at most (1 / hot_share + 1) * salts rows have a salt by now
