@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .held import first_by_hash, held_out
 
-BUCKETS, BEGINNING, LEAST_DOCS, MOST_LABELLED, THRESHOLD = 1 << 18, 5, 4, 12_000, 0.3
+BUCKETS, BEGINNING, LEAST_DOCS, MOST_LABELLED, THRESHOLD = 1 << 18, 5, 4, 6_000, 0.3
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A, 0x3B]] = True
 
@@ -69,7 +69,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, sparsity: float
         word, sent, row, _, _ = sentence_words(buf, off)
         # a word counts once a sentence
         pair = np.unique(sent * BUCKETS + word)
-        parts.append((at, pair % BUCKETS, pair // BUCKETS, row))
+        parts.append((at, (pair % BUCKETS).astype(np.int32), (pair // BUCKETS).astype(np.int32), row))
     docs = [None] * len(texts)
     for at, word, sent, row in parts:
         n = int(row[-1]) + 1 if len(row) else 0
@@ -77,7 +77,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, sparsity: float
         w_ends = np.searchsorted(sent, s_ends, "left")
         s0 = w0 = 0
         for r in range(n):
-            docs[at + r] = (word[w0 : w_ends[r]], sent[w0 : w_ends[r]] - s0, int(s_ends[r] - s0))
+            docs[at + r] = (word[w0 : w_ends[r]], sent[w0 : w_ends[r]] - np.int32(s0), int(s_ends[r] - s0))
             s0, w0 = int(s_ends[r]), int(w_ends[r])
     # a word of few labelled documents would only name them
     common = np.zeros(BUCKETS, np.int64)
@@ -90,9 +90,13 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, sparsity: float
         return model
     sizes = np.array([docs[k][2] for k in used])
     word = np.concatenate([docs[k][0] for k in used])
-    sent = np.concatenate([docs[k][1] + b for k, b in zip(used, np.cumsum(sizes) - sizes, strict=True)])
+    sent = np.concatenate([docs[k][1] + np.int32(b) for k, b in zip(used, np.cumsum(sizes) - sizes, strict=True)])
     row, y = np.repeat(np.arange(len(used)), sizes), labels[used]
-    met, word = np.unique(word, return_inverse=True)
+    del docs, parts
+    met = np.flatnonzero(np.bincount(word, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[met] = np.arange(len(met))
+    word = place[word]
     w, n = np.zeros(len(met)), np.bincount(word, minlength=len(met))
     size = 4 / (4 + n)
     for _ in range(steps):
