@@ -50,12 +50,12 @@ def runoff_mm(rain: Column, cn: Column, lam: float = INITIAL_ABSTRACTION) -> Col
 
 def dry_cn(cn: Column) -> Column:
     """M-06: CN(I), within 1 to 100."""
-    return F.greatest(F.lit(1.0), F.least(F.lit(100.0), 4.2 * cn / (10.0 - 0.058 * cn)))
+    return F.when(cn.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(100.0), 4.2 * cn / (10.0 - 0.058 * cn))))
 
 
 def wet_cn(cn: Column) -> Column:
     """M-06: CN(III), within 1 to 100."""
-    return F.greatest(F.lit(1.0), F.least(F.lit(100.0), 23.0 * cn / (10.0 + 0.13 * cn)))
+    return F.when(cn.isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(100.0), 23.0 * cn / (10.0 + 0.13 * cn))))
 
 
 def moisture_class(antecedent_mm: Column, growing: Column) -> Column:
@@ -86,12 +86,13 @@ def extraterrestrial_radiation(lat_deg: Column, day_of_year: Column) -> Column:
     decl = 0.409 * F.sin(turn - 1.39)
     sunset = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.tan(phi) * F.tan(decl))))
     ra = 24 * 60 / math.pi * 0.0820 * near * (sunset * F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.sin(sunset))
-    return F.greatest(F.lit(0.0), ra)
+    return F.when(ra.isNotNull(), F.greatest(F.lit(0.0), ra))
 
 
 def hargreaves_et0(ra: Column, t_mean: Column, t_max: Column, t_min: Column) -> Column:
     """M-09: mm a day; the radiation's evaporation equivalent is 0.408."""
-    return F.greatest(F.lit(0.0), 0.0023 * 0.408 * ra * (t_mean + 17.8) * F.sqrt(F.greatest(t_max - t_min, F.lit(0.0))))
+    et0 = 0.0023 * 0.408 * ra * (t_mean + 17.8) * F.when(t_max >= t_min, F.sqrt(t_max - t_min)).when((t_max - t_min).isNotNull(), 0.0)
+    return F.when(et0.isNotNull(), F.greatest(F.lit(0.0), et0))
 
 
 def inglis_desouza_mm(annual_mm: Column, terrain: str) -> Column:

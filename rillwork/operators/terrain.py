@@ -115,8 +115,9 @@ def robust_bounds(cells: DataFrame, value: str, mask: Column, by: str = "grid_id
 
 def normalised(value: Column, lo: Column, hi: Column, invert: bool = False) -> Column:
     """M-04: to 0..1 between the bounds; 0.5 where they don't differ."""
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - lo) / F.when(hi - lo >= 1e-12, hi - lo)))
-    return F.coalesce(1 - x if invert else x, F.when(lo.isNotNull() & value.isNotNull(), F.lit(0.5)))
+    # greatest and least skip nulls, so the cases without a range come first
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(value - lo, hi - lo)))
+    return F.when(value.isNull() | lo.isNull(), F.lit(None).cast("double")).when(hi - lo < 1e-12, F.lit(0.5)).otherwise(1 - x if invert else x)
 
 
 def band_stats(cells: DataFrame, value: str = "z") -> DataFrame:
