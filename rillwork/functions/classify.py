@@ -85,8 +85,8 @@ def exclusion_confidence(sources: Column) -> Column:
     return F.when(n == 2, "high").when(n == 1, "partial").otherwise("terrain-only")
 
 
-def screening(relief: Column, built: Column, water: Column, least_relief: float, least_built: float, least_water: float) -> Column:
-    """P-25: pass, fail, or indeterminate while a measure is missing and none fails."""
-    tests = [relief >= least_relief, built >= least_built, water >= least_water]
-    every = tests[0] & tests[1] & tests[2]
-    return F.when(every, "pass").when(~every, "fail").otherwise("indeterminate")
+def screening(relief: Column, built: Column, water: Column, least_relief: float, most_built: float, least_water: float) -> Column:
+    """P-25: pass or fail once all three are measured, else indeterminate."""
+    every = (relief >= least_relief) & (built <= most_built) & (water >= least_water)
+    measured = relief.isNotNull() & built.isNotNull() & water.isNotNull()
+    return F.when(~measured, "indeterminate").when(every, "pass").otherwise("fail")

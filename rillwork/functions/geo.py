@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 # WGS84, UTM, India's envelope, resolutions and rainfall cells.
 A, FLAT = 6378137.0, 1 / 298.257223563
 K0, FALSE_EAST, FALSE_NORTH = 0.9996, 500000.0, 10_000_000.0
-INDIA = (68.0, 6.0, 98.0, 38.0)
+INDIA = (68.0, 6.0, 97.5, 37.6)
 LADDER = (1.0, 2.0, 2.5, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0)
 RAIN_CELLS = {"open_meteo": (0.1, 0.1), "nasa_power": (0.5, 0.625)}
 M_PER_DEG = 111_320.0
-DISPLAY_INTERVALS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+DISPLAY_INTERVALS = (1.0, 2.0, 5.0, 10.0, 20.0, 25.0, 50.0, 100.0, 200.0)
 
 _N = FLAT / (2 - FLAT)
 _E2 = FLAT * (2 - FLAT)

@@ -27,7 +27,7 @@ CURVE_NUMBERS: dict[int, tuple[int, int, int, int]] = {
     100: (68, 79, 86, 89),
 }
 FALLBACK_COVER = 40
-BARLOW_K = {"A": 0.07, "B": 0.12, "C": 0.16, "D": 0.36}
+BARLOW_K = {"flat_cultivated": 0.07, "flat_partly_cultivated": 0.12, "average": 0.16, "hilly_barren": 0.36}
 KHOSLA_LOSS, KHOSLA_IMPLAUSIBLE, CROSS_CHECK_TOLERANCE = 0.48, 0.75, 0.25
 SEEPAGE_MM_PER_DAY = {"A": 25.0, "B": 12.0, "C": 6.0, "D": 2.0}
 DEFAULT_SEEPAGE, OPEN_WATER, USABLE_FRACTION, SPIN_UP_YEARS = 6.0, 1.05, 0.10, 3

@@ -211,7 +211,7 @@ def _d08(spark: SparkSession, d: str) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     states = spark.createDataFrame([("Karnataka",), ("Bihar",), ("Chhattisgarh",)], "state string")
     rows = m.crossJoin(F.broadcast(states)).select(  # three rows
-        F.col("series").alias("site"), "state", (0.2 * total("normals")).alias("scs_mm"), total("normals").alias("annual_mm"), total(F.slice("normals", 6, 4)).alias("monsoon_mm"), F.col("normals").alias("monthly_mm"), F.array_repeat(F.lit(28.0), 12).alias("monthly_temp"), F.lit("C").alias("catchment_class")
+        F.col("series").alias("site"), "state", (0.2 * total("normals")).alias("scs_mm"), total("normals").alias("annual_mm"), total(F.slice("normals", 6, 4)).alias("monsoon_mm"), F.col("normals").alias("monthly_mm"), F.array_repeat(F.lit(28.0), 12).alias("monthly_temp"), F.lit("average").alias("catchment_class")
     )
     return runoff.cross_check(rows).select(F.col("site").alias("series"), "state", "region", "agrees", *r6("lowest", "highest"))
 

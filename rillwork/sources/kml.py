@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from rillwork.functions import names
 
 MAX_UPLOAD, MAX_EXPANDED, MAX_MEMBERS, MAX_UNRESOLVED = 50 << 20, 250 << 20, 100, 0.10
 #: Attribute names that hold a height.
-FIELDS = ("elevation", "elev", "contour", "height", "level", "z", "alt", "altitude", "elev_m", "rl")
+FIELDS = ("elev", "elevation", "level", "contour", "contour_value", "height", "alt", "altitude", "z", "value", "isovalue")
 SCHEMA = "map_id string, pm_id long, coords array<struct<lon:double,lat:double>>, z_values array<double>, name_text string, extended map<string,string>, folder_path array<string>, boundary boolean, error string"
 STRATEGIES = ("coordinate_z", "extended_data", "placemark_name", "folder_name")
 
@@ -103,19 +103,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(files: DataFrame) -> DataFrame:
     """files(map_id, content)"""
-    cols = [c.split(" ")[0] for c in ("map_id", "pm_id", "coords", "z_values", "name_text", "extended", "folder_path", "boundary", "error")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.schema(
+        [
+            ("map_id", pa.string()),
+            ("pm_id", pa.int64()),
+            ("coords", pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))),
+            ("z_values", pa.list_(pa.float64())),
+            ("name_text", pa.string()),
+            ("extended", pa.map_(pa.string(), pa.string())),
+            ("folder_path", pa.list_(pa.string())),
+            ("boundary", pa.bool_()),
+            ("error", pa.string()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for map_id, content in zip(b["map_id"], b["content"], strict=True):
+            for map_id, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = [r | {"map_id": map_id, "pm_id": k, "error": None} for k, r in enumerate(placemarks(bytes(content), map_id))]
+                    rows = [r | {"map_id": map_id, "pm_id": k, "extended": list(r["extended"].items())} for k, r in enumerate(placemarks(content, map_id))]
                 except (ValueError, ET.ParseError, zipfile.BadZipFile) as e:
                     rows = [{"map_id": map_id, "pm_id": -1, "boundary": False, "error": str(e)}]
                 if rows:
-                    yield pd.DataFrame(rows, columns=cols).astype({"pm_id": "int64", "boundary": bool})
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return files.select("map_id", "content").mapInPandas(run, SCHEMA)
+    return files.select("map_id", "content").mapInArrow(run, SCHEMA)
 
 
 def heights(pm: DataFrame) -> DataFrame:
