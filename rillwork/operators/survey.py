@@ -1,0 +1,208 @@
+"""Survey helpers: tiles into grids, samples, zonal figures, gap filling, line cutting, reports."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from rillwork.functions import classify, geo, names
+
+KEY = ["grid_id", "row", "col"]
+ASSUMED_SOIL = "C"
+
+
+def mosaic(tiles: DataFrame) -> DataFrame:
+    """S-05, SRC-07: tiles(grid_id, row, col, tile, z) -> the first tile's height that isn't null at each cell, by order of tile; null where all are."""
+    first = F.min(F.when(F.col("z").isNotNull(), F.struct("tile", "z")))
+    return tiles.groupBy(*KEY).agg(first.alias("m")).select(*KEY, F.col("m.z").alias("z"))
+
+
+def bilinear(target: DataFrame, source: DataFrame) -> DataFrame:
+    """SRC-07: target(grid_id, row, col, sr, sc: its place in source rows and columns, at centres) -> z from the four cells around; null if one is missing. An equi-join on the cell above left and its neighbours."""
+    t = target.withColumns({"r0": F.floor("sr").cast("int"), "c0": F.floor("sc").cast("int")})
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    four = t.withColumn("k", corner).withColumns({"s_row": F.col("r0") + F.col("k.a"), "s_col": F.col("c0") + F.col("k.b")})
+    fr, fc = F.col("sr") - F.col("r0"), F.col("sc") - F.col("c0")
+    w = F.when(F.col("k.a") == 1, fr).otherwise(1 - fr) * F.when(F.col("k.b") == 1, fc).otherwise(1 - fc)
+    j = four.withColumn("w", w).where("w > 0").join(source.select(F.col("row").alias("s_row"), F.col("col").alias("s_col"), "z"), ["s_row", "s_col"], "left")
+    g = j.groupBy(*KEY).agg(F.sum(F.col("w") * F.col("z")).alias("v"), F.bool_and(F.col("z").isNotNull()).alias("all"))
+    return g.select(*KEY, F.when(F.col("all"), F.col("v")).alias("z"))
+
+
+def nearest(target: DataFrame, source: DataFrame) -> DataFrame:
+    """SRC-11: target(grid_id, row, col, sr, sc) -> code of the nearest source cell; 0 is nodata."""
+    t = target.withColumns({"s_row": F.floor(F.col("sr") + 0.5).cast("int"), "s_col": F.floor(F.col("sc") + 0.5).cast("int")})
+    j = t.join(source.select(F.col("row").alias("s_row"), F.col("col").alias("s_col"), "code"), ["s_row", "s_col"], "left")
+    return j.select(*KEY, F.nullif("code", F.lit(0)).alias("code"))
+
+
+def sampled(points: DataFrame, grids: DataFrame, cells: DataFrame) -> DataFrame:
+    """SRC-10: points(point_id, grid_id, x, y) -> z of the cell around each, null outside."""
+    p = points.join(F.broadcast(grids.select("grid_id", "transform", "n_rows", "n_cols")), "grid_id")  # a row a grid
+    p = p.withColumn("rc", geo.cell_of(F.col("transform"), F.col("x"), F.col("y"), F.col("n_rows"), F.col("n_cols"))).select("point_id", "grid_id", F.col("rc.row").alias("row"), F.col("rc.col").alias("col"))
+    return p.join(cells.select(*KEY, "z"), KEY, "left").select("point_id", "z")
+
+
+def inside_box(cells: DataFrame, grids: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """P-08: cells with inside: the centre's lon and lat are within the box, edges included."""
+    g = F.broadcast(grids.select("grid_id", "transform", "epsg"))
+    j = cells.join(g, "grid_id").withColumn("xy", geo.cell_centre(F.col("transform"), F.col("row"), F.col("col")))
+    j = j.withColumn("ll", geo.from_utm(F.col("xy.x"), F.col("xy.y"), F.col("epsg")))
+    return j.withColumn("inside", F.col("ll.lon").between(box[0], box[2]) & F.col("ll.lat").between(box[1], box[3])).drop("transform", "epsg", "xy", "ll")
+
+
+def corners(grids: DataFrame) -> DataFrame:
+    """P-03, X-28: grid_id, west, south, east, north in degrees of the four projected corners."""
+    at = lambda r, c: geo.cell_centre(F.col("transform"), r - 0.5, c - 0.5)
+    ends = [(F.lit(0), F.lit(0)), (F.lit(0), F.col("n_cols")), (F.col("n_rows"), F.lit(0)), (F.col("n_rows"), F.col("n_cols"))]
+    d = grids.withColumn("c", F.array(*[at(r, c) for r, c in ends])).withColumn("ll", F.transform("c", lambda p: geo.from_utm(p["x"], p["y"], F.col("epsg"))))
+    v = lambda f: F.transform("ll", lambda p: p[f])
+    return d.select("grid_id", F.array_min(v("lon")).alias("west"), F.array_min(v("lat")).alias("south"), F.array_max(v("lon")).alias("east"), F.array_max(v("lat")).alias("north"))
+
+
+def zonal_fractions(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """J-18, A-09: members(site_id, grid_id, row, col), cells(cover) -> site_id, cover, fraction of its cells with cover."""
+    n = members.join(cells.where("cover > 0").select(*KEY, "cover"), KEY).groupBy("site_id", "cover").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("site_id", "cover", (F.col("n") / F.sum("n").over(Window.partitionBy("site_id"))).alias("fraction"))
+
+
+def gap_filled(cells: DataFrame, points: DataFrame, cell_m: float) -> DataFrame:
+    """J-14: cells without z take the nearest point's (x, y, z; metres from the grid's corner) within one cell around theirs; the first by (distance, z) of equals."""
+    holes = cells.where("z is null").select(*KEY)
+    near = holes.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
+    near = near.select(*KEY, (F.col("row") + F.col("d.a")).alias("pr"), (F.col("col") + F.col("d.b")).alias("pc"))
+    p = points.select("grid_id", "x", "y", F.col("z").alias("pz"), F.floor(F.col("y") / cell_m).cast("int").alias("pr"), F.floor(F.col("x") / cell_m).cast("int").alias("pc"))
+    dist = F.hypot(F.col("x") - (F.col("col") + 0.5) * cell_m, F.col("y") - (F.col("row") + 0.5) * cell_m)
+    best = near.join(p, ["grid_id", "pr", "pc"]).groupBy(*KEY).agg(F.min(F.struct(dist.alias("d"), "pz")).alias("m"))
+    return cells.join(best.select(*KEY, F.col("m.pz").alias("fill")), KEY, "left").withColumn("z", F.coalesce("z", "fill")).drop("fill")
+
+
+def resampled(lines: DataFrame, spacing: float) -> DataFrame:
+    """W-06: lines(line_id, points array<struct<x, y>>) with points at even steps of at most the spacing, both ends kept; each line in one row of an Arrow batch."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for pts in b["points"]:
+                p = np.array([(q["x"], q["y"]) for q in pts], float).reshape(-1, 2)
+                along = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(p, axis=0).T)))) if len(p) > 1 else np.zeros(len(p))
+                if len(p) > 1 and spacing > 0:
+                    n = max(1, math.ceil(along[-1] / spacing))
+                    at = np.linspace(0, along[-1], n + 1)
+                    p = np.stack((np.interp(at, along, p[:, 0]), np.interp(at, along, p[:, 1])), 1)
+                out.append([{"x": float(x), "y": float(y)} for x, y in p])
+            yield pd.DataFrame({"line_id": b["line_id"], "points": out})
+
+    kind = lines.schema["line_id"].dataType.simpleString()
+    return lines.select("line_id", "points").mapInPandas(run, f"line_id {kind}, points array<struct<x:double,y:double>>")
+
+
+def islands(points: DataFrame, least: int = 2) -> DataFrame:
+    """W-10: points(line_id, seq, ok) -> line_id, part, first, last, n of runs of ok by seq, of `least` points or more."""
+    w = Window.partitionBy("line_id").orderBy("seq")
+    runs = points.withColumn("part", F.sum((~F.col("ok")).cast("int")).over(w)).where("ok")
+    g = runs.groupBy("line_id", "part").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return g.withColumn("part", F.row_number().over(Window.partitionBy("line_id").orderBy("first")))
+
+
+def index_lines(levels: DataFrame, every: int = 5) -> DataFrame:
+    """W-07, X-22: levels(grid_id, level, interval) with is_index: every n-th multiple of the interval is a heavier line."""
+    return levels.withColumn("is_index", F.pmod(F.rint(F.col("level") / F.col("interval")).cast("long"), F.lit(every)) == 0)
+
+
+def line_report(lines: DataFrame) -> DataFrame:
+    """X-22: lines(grid_id, level, is_index, vertices, vertices_before) -> counts and the reduction in percent."""
+    g = lines.groupBy("grid_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_index").alias("index_lines"), F.sum("vertices").alias("vertices"), F.sum("vertices_before").alias("before"))
+    return g.withColumn("reduction_pct", F.when(F.col("before") > 0, 100.0 * (1 - F.col("vertices") / F.col("before")))).drop("before")
+
+
+def coverage(cells: DataFrame) -> DataFrame:
+    """A-27, X-18: grid_id, hull_pct (share of cells with data), lowest, highest, relief, size."""
+    g = cells.groupBy("grid_id").agg(F.count(F.lit(1)).alias("cells"), F.count("z").alias("valid"), F.min("z").alias("lowest"), F.max("z").alias("highest"), (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    return g.withColumns({"hull_pct": 100.0 * F.col("valid") / F.col("cells"), "relief": F.col("highest") - F.col("lowest")})
+
+
+def cadastral_totals(parcels: DataFrame) -> DataFrame:
+    """A-19: parcels(layer_id, area_ha, owner) -> counts and areas, all and public."""
+    p = parcels.withColumn("public", classify.is_public(F.col("owner")))
+    return p.groupBy("layer_id").agg(F.count(F.lit(1)).alias("parcels"), F.count_if("public").alias("public_parcels"), F.round(F.sum("area_ha"), 3).alias("total_ha"), F.round(F.sum(F.when(F.col("public"), F.col("area_ha")).otherwise(0.0)), 3).alias("public_ha"))
+
+
+def layer_extent(features: DataFrame, first: int = 200) -> DataFrame:
+    """X-11: bounds of a layer's first features (its area of interest): layer_id, west, south, east, north. The number is the rule's own limit."""
+    k = F.row_number().over(Window.partitionBy("layer_id").orderBy("feature_id"))
+    v = lambda f: F.transform("ring", lambda p: p[f])
+    few = features.withColumn("k", k).where(F.col("k") <= first)
+    return few.groupBy("layer_id").agg(F.min(F.array_min(v("x"))).alias("west"), F.min(F.array_min(v("y"))).alias("south"), F.max(F.array_max(v("x"))).alias("east"), F.max(F.array_max(v("y"))).alias("north"))
+
+
+def chosen_sites(sites: DataFrame, ranks: list[int]) -> DataFrame:
+    """J-20: the sites of a list of ranks of each job, with found = false for those that are missing."""
+    want = sites.select("job_id").distinct().withColumn("rank", F.explode(F.array(*[F.lit(r) for r in dict.fromkeys(ranks)])))
+    have = sites.withColumn("found", F.lit(True))
+    return want.join(have, ["job_id", "rank"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def distinct_values(register: DataFrame, column: str) -> DataFrame:
+    """A-24."""
+    return register.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def soil_or_assumed(soil: Column) -> Column:
+    """X-17: struct(group, measured)."""
+    return F.struct(F.coalesce(soil, F.lit(ASSUMED_SOIL)).alias("group"), soil.isNotNull().alias("measured"))
+
+
+def layer_lists(present: dict[str, Column]) -> Column:
+    """S-06: struct(used, missing) of layer names."""
+    pick = lambda want: F.filter(F.array(*[F.when(c if want else ~c, F.lit(n)) for n, c in present.items()]), lambda x: x.isNotNull())
+    return F.struct(pick(True).alias("used"), pick(False).alias("missing"))
+
+
+def site_summary(rank: Column, score: Column, lon: Column, lat: Column, area_ha: Column, water: Column) -> Column:
+    """D-15, D-16: the headline of a recommended site; water is pond.expected_water's struct."""
+    found = F.struct(F.lit(True).alias("available"), rank.alias("site_rank"), score.alias("score"), lon.alias("lon"), lat.alias("lat"), area_ha.alias("catchment_ha"), water["m3"].alias("water_m3"), water["limited_by"].alias("limited_by"))
+    return F.when(rank.isNotNull(), found)
+
+
+def unavailable_reason(has_pond: Column, has_runoff: Column, has_et0: Column) -> Column:
+    """D-17: why a site has no water balance, null if it has one."""
+    return F.when(~has_pond, "no pond could be sized").when(~has_runoff, "no rainfall").when(~has_et0, "no evapotranspiration")
+
+
+def agreement_note(value: Column, lowest: Column, highest: Column, agrees: Column) -> Column:
+    """X-24."""
+    span = F.format_string("%.0f to %.0f mm", lowest, highest)
+    return F.when(agrees, F.concat(F.lit("within the formulas' range of "), span)).when(value < lowest, F.concat(F.lit("below the formulas' range of "), span)).when(value > highest, F.concat(F.lit("above the formulas' range of "), span)).otherwise("no formula to compare with")
+
+
+def hit_row(name: Column, parts: Column, ambiguous: Column) -> Column:
+    """X-25, X-27: a search hit as shown."""
+    return F.struct(names.display_hierarchy(F.array(name)).alias("name"), names.display_hierarchy(parts).alias("hierarchy"), ambiguous.alias("ambiguous"))
+
+
+def degraded(state: Column, tier: Column) -> Column:
+    """X-33: a finished job whose layers were missing is partial."""
+    return F.when((state == "done") & (tier != "full"), "partial").otherwise(state)
+
+
+def regional_tiles(box: tuple[float, float, float, float], ring: Column, step: float = 1.0) -> Column:
+    """X-03: of the tiles of a box, array<struct<lat, lon>> those that a convex region's box and ring touch: a tile counts if one of its corners or its middle is in the ring, or a point of the ring is in it."""
+    from rillwork.operators.registers import inside
+
+    lat = F.sequence(F.lit(math.floor(box[1] / step)), F.lit(math.floor(box[3] / step)))
+    lon = F.sequence(F.lit(math.floor(box[0] / step)), F.lit(math.floor(box[2] / step)))
+    all_ = F.flatten(F.transform(lat, lambda a: F.transform(lon, lambda b: F.struct((a * step).alias("lat"), (b * step).alias("lon")))))
+
+    def touches(t: Column) -> Column:
+        spots = [(0.0, 0.0), (step, 0.0), (0.0, step), (step, step), (step / 2, step / 2)]
+        hit = F.exists(ring, lambda p: p["x"].between(t["lon"], t["lon"] + step) & p["y"].between(t["lat"], t["lat"] + step))
+        for dx, dy in spots:
+            hit = hit | inside(t["lon"] + dx, t["lat"] + dy, ring)
+        return hit
+
+    return F.filter(all_, touches)

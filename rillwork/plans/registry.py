@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.plans import q_decide, q_rain, q_registers, q_sources, q_terrain
+from rillwork.plans import q_decide, q_rain, q_registers, q_sources, q_survey, q_terrain
 
-MODULES = (q_rain, q_terrain, q_registers, q_decide, q_sources)
+MODULES = (q_rain, q_terrain, q_registers, q_decide, q_sources, q_survey)
 
 
 def queries() -> dict:
