@@ -87,13 +87,9 @@ def _sites(f: DataFrame) -> DataFrame:
     f"WITH RECURSIVE {WALK}, {ACC}, s AS (SELECT grid_id, grid_id * 4096 + row * 64 + col AS site_id, row, col FROM acc WHERE acc >= 6) SELECT site_id, w.grid_id, r0 AS row, c0 AS col, round(dist, 6) AS dist FROM walk w JOIN s ON s.grid_id = w.grid_id AND s.row = w.row AND s.col = w.col",
 )
 def _g09(spark: SparkSession, d: str) -> DataFrame:
-    f = terrain.flow_direction(cells(spark, d), CELL).checkpoint() if _ready(spark) else None
-    return flow.catchments(f, _sites(f), CELL).select("site_id", "grid_id", "row", "col", *r6("dist"))
-
-
-def _ready(spark: SparkSession) -> bool:
     flow.shared_checkpoints(spark)
-    return True
+    f = terrain.flow_direction(cells(spark, d), CELL).checkpoint()
+    return flow.catchments(f, _sites(f), CELL).select("site_id", "grid_id", "row", "col", *r6("dist"))
 
 
 @query(
@@ -106,7 +102,7 @@ p AS (SELECT m.site_id, count(*) * 5.0 AS perimeter FROM m CROSS JOIN o LEFT JOI
 SELECT site_id, cells, round(relief, 6) AS relief_m, round(ms, 6) AS mean_slope_pct, round(len, 6) AS longest_path_m, perimeter::DOUBLE AS perimeter_m, round(cells * 25.0 / (len * len), 6) AS form_factor, round(perimeter / (2 * sqrt(pi() * cells * 25.0)), 6) AS compactness, round(0.01947 * pow(len, 0.77) * pow(relief / len, -0.385), 6) AS tc_min FROM a JOIN p USING (site_id)""",
 )
 def _a07(spark: SparkSession, d: str) -> DataFrame:
-    _ready(spark)
+    flow.shared_checkpoints(spark)
     c = cells(spark, d)
     f = terrain.flow_direction(c, CELL).checkpoint()
     m = flow.catchment_metrics(flow.catchments(f, _sites(f), CELL), terrain.slope(c, CELL), CELL)
