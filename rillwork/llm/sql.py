@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import licenses, quality, secretscan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,4 +51,24 @@ r0 AS (SELECT d.rid, d.doc_id, coalesce(ids, []) AS ids, coalesce(list_reduce(li
     return ",\n".join(steps) + f"\nSELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ' ') AS sentence_ids, array_to_string(list_sort(list_distinct(names)), ',') AS licenses, n::BIGINT AS n_matches FROM r{len(licenses.RULES)}"
 
 
-ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses()}
+def _secrets() -> str:
+    quote = lambda x: x.replace("'", "''")
+    extra = {
+        "assign": f"length(regexp_extract(piece, '{quote(secretscan.ASSIGN)}', 2)) >= 8",
+        "secret": "regexp_matches(piece, '[0-9]') AND regexp_matches(piece, '[A-Z]') AND regexp_matches(piece, '[a-z]')",
+    }
+    steps = ["WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents)"]
+    kinds = [*secretscan.BASE, *secretscan.WEAK]
+    for r, (kind, pattern, _) in enumerate(kinds):
+        steps.append(f"p{r} AS (SELECT rid, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT rid, string_split(regexp_replace(t, '{quote(pattern)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS l FROM d))")
+        steps.append(f"m{r} AS (SELECT rid, stop - length(piece) AS start, {r} AS rank, stop, '{kind}' AS kind FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS stop FROM p{r}) WHERE i % 2 = 0 AND {extra.get(kind, 'true')})")
+    steps.append("parts AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start, rank, stop, kind) AS place FROM (" + " UNION ALL ".join(f"SELECT * FROM m{r}" for r in range(len(kinds))) + "))")
+    flags = {"id": "kind IN ('access', 'ident')", "sec": "kind IN ('assign', 'hex', 'secret')", "fin": "kind = 'endpoint'"}
+    cols = ", ".join(f"coalesce(start - max(CASE WHEN {f} THEN stop END) OVER b <= {secretscan.SCOPE}, false) OR coalesce(min(CASE WHEN {f} THEN start END) OVER a - stop <= {secretscan.SCOPE}, false) AS near_{n}" for n, f in flags.items())
+    steps.append(f"linked AS (SELECT *, {cols} FROM parts WINDOW b AS (PARTITION BY rid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY rid ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))")
+    steps.append("kept AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM linked WHERE rank < 3 OR (kind = 'ident' AND near_sec) OR (kind = 'secret' AND (near_id OR near_fin)) OR (kind = 'endpoint' AND near_id AND near_sec))")
+    steps.append("g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY place) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY place) AS spans FROM kept GROUP BY rid)")
+    return ",\n".join(steps) + "\nSELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"
+
+
+ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets()}
