@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, SHARD, LIMIT, ROUNDS, BUCKET_ROWS = 64, 4096, 3, 24, 4096
+BLOCK, SHARD, LIMIT, ROUNDS, BUCKET_ROWS = 64, 16384, 3, 24, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,14 +108,17 @@ def slots(spark: SparkSession, sources: list[tuple[str | None, int, float]], blo
                 spot -= more
     number = F.col("number")
     if over:
-        extra = F.lit(None).cast("long")
-        for k, q, s in over:
-            extra = F.when((F.col("drew") == k) & (number >= q), number - q + s).otherwise(extra)
-        source, index = F.col("drew"), number
-        for k, a, z, have in lack:
-            hit = (F.col("extra") >= a) & (F.col("extra") < z)
-            source, index = F.when(hit, F.lit(k)).otherwise(source), F.when(hit, F.col("extra") - a + have).otherwise(index)
-        ranked = ranked.withColumn("extra", extra).select("slot", "shard", source.alias("source_no"), index.alias("number"))
+        # tables by source as literals, so that the expression stays small however many sources there are
+        most, begins = {k: q for k, q, _ in over}, {k: s for k, _, s in over}
+        at = F.col("drew") + 1
+        limit = F.element_at(F.array(*[F.lit(most.get(k, 1 << 62)) for k in ids]), at)
+        begin = F.element_at(F.array(*[F.lit(begins.get(k, 0)).cast("long") for k in ids]), at)
+        spots = F.array(*[F.lit(a).cast("long") for _, a, _, _ in lack])
+        moved = ranked.withColumn("extra", F.when(number >= limit, number - limit + begin))
+        moved = moved.withColumn("k", F.size(F.filter(spots, lambda a: a <= F.col("extra"))))
+        source = F.when(F.col("extra").isNull(), F.col("drew")).otherwise(F.try_element_at(F.array(*[F.lit(k) for k, *_ in lack]), F.col("k")))
+        index = F.when(F.col("extra").isNull(), number).otherwise(F.col("extra") - F.try_element_at(spots, F.col("k")) + F.try_element_at(F.array(*[F.lit(n).cast("long") for *_, n in lack]), F.col("k")))
+        ranked = moved.select("slot", "shard", source.alias("source_no"), index.alias("number"))
     else:
         ranked = ranked.withColumnRenamed("drew", "source_no")
     full = ranked.join(F.broadcast(table), "source_no")  # one row a source
