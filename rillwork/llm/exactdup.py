@@ -69,23 +69,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE) -> DataFrame:
-    """docs without the rows that are not kept, all columns: the whole rows go through one content sort, so nothing is joined back.
+    """docs without the rows that are not kept, all columns.
 
-    A text's rows that carry a salt are first thinned to one a run, then to one by their normalised text.
+    Whole rows go through one content sort, so nothing is joined back; the normalised text is made again behind the exchange rather than sent through it. Texts of a hot group don't go
+    through it at all: the smallest id of each is a pre-aggregated minimum over the full text, at most 1 / hot_share + 1 rows.
     """
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    d = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), whole.alias("whole"))
-    hot = hot_texts(d.select("norm"), hot_share)
-    salts = max(8, min(4096, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hash_ = F.xxhash64("norm")
-    salt = F.when(hash_.isin(hot), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(0) if hot else F.lit(0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), whole.alias("whole"))
-    rows = _dealt(rows.withColumn("norm", normalised(F.col("text"))).drop("text"), salt)
-    place = F.row_number().over(Window.partitionBy("begin", "hash", "salt", "norm").orderBy("doc_id"))
-    left = rows.withColumn("place", place).where("place = 1")
+    norm = normalised(F.col("whole").getField(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"))
+    hot = hot_texts(rows.select(norm.alias("norm")), hot_share)
+    is_hot = F.xxhash64(norm).isin(hot) if hot else F.lit(False)
+    keys = {"begin": F.substring(norm, 1, PREFIX), "hash": F.xxhash64(norm)}
+    dealt = rows.where(~is_hot).withColumns(keys).repartitionByRange("begin", "hash").withColumn("norm", norm)
+    place = F.row_number().over(Window.partitionBy("begin", "hash", "norm").orderBy("doc_id"))
+    left = dealt.withColumn("place", place).where("place = 1").select("whole")
     if hot:
-        # at most (1 / hot_share + 1) * salts rows have a salt by now
-        again = F.row_number().over(Window.partitionBy("digest", F.when(F.col("salt") == 0, F.col("doc_id"))).orderBy("doc_id", "salt"))
-        left = left.withColumn("digest", F.sha2(F.col("norm"), 256)).drop("norm").withColumn("again", again).where("again = 1")
+        many = rows.where(is_hot).withColumn("norm", norm)
+        least = many.groupBy(F.col("norm").alias("same")).agg(F.min("doc_id").alias("least"))
+        first = many.join(F.broadcast(least), (F.col("norm") == F.col("same")) & (F.col("doc_id") == F.col("least")), "left_semi").dropDuplicates(["norm"])
+        left = left.unionByName(first.select("whole"))
     return left.select(*[F.col("whole").getField(c).alias(c) for c in names])
