@@ -214,11 +214,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     order = order_for(docs, text_col, rules, sample_rows)
     names = [r.name for r in order]
 
-    @F.pandas_udf("boolean")
-    def passes(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        got = [cascade(Texts(buf, off), [RULES_BY_NAME[n] for n in names]) for _, buf, off in tv.text_chunks(pa.Array.from_pandas(texts, type=pa.large_string()))]
-        return pd.Series(np.concatenate(got) if got else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
+        got = [cascade(Texts(buf, off), [RULES_BY_NAME[n] for n in names]) for _, buf, off in tv.text_chunks(texts)]
+        return pa.array(np.concatenate(got) if got else np.zeros(0, bool), pa.bool_())
 
     return docs.where(passes(F.col(text_col)))
