@@ -30,6 +30,18 @@ def letters() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(17)).choice(np.array([-1, 1], np.float32), (CODES, DIM))
 
 
+@lru_cache(1)
+def letter_codes() -> np.ndarray:
+    """The code of each code point: 0 unless it is a letter of Unicode, which counts by its lower case."""
+    out = np.zeros(0x110000, np.uint8)
+    for p in range(0x110000):
+        c = chr(p)
+        if c.isalpha():
+            low = ord(c.lower()[0])
+            out[p] = low - 96 if 97 <= low <= 122 else 27 + low % (CODES - 27)
+    return out
+
+
 def bound(grams: np.ndarray) -> np.ndarray:
     """The vectors of n-grams, given as numbers in base CODES."""
     v, out = letters(), 1.0
@@ -41,30 +53,26 @@ def bound(grams: np.ndarray) -> np.ndarray:
 def text_grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, row) of each n-gram within a word or at its edge; code 0 is the edge, a-z are 1 to 26, other letters 27 to CODES - 1."""
     lead = np.flatnonzero((buf & 0xC0) != 0x80)  # first byte of each character
-    row = np.searchsorted(offsets, lead, "right") - 1
-    b0 = buf[lead].astype(np.int64)
-    nxt = np.concatenate((buf[1:], [0, 0, 0]))
-    two, more = b0 >= 0xC0, b0 >= 0xE0
-    point = np.where(two, (b0 & 0x1F) << 6 | (nxt[lead] & 0x3F), b0)
-    if more.any():
-        at = lead[more]
-        point[more] = (b0[more] & 0x0F) << 12 | (nxt[at].astype(np.int64) & 0x3F) << 6 | (nxt[at + 1] & 0x3F)
-    low = point | 0x20
-    code = np.zeros(len(lead), np.int64)
-    ascii_ = (low >= 97) & (low <= 122) & (point < 128)
-    code[ascii_] = low[ascii_] - 96
-    latin = (point >= 0xC0) & (point <= 0xFF) & (point != 0xD7) & (point != 0xF7)
-    point = np.where(latin & (point < 0xDF), point + 32, point)
-    other = latin | (point >= 0x100) & ~((point >= 0x2000) & (point < 0x2C00)) & ~((point >= 0x3000) & (point < 0x3040)) & ~((point >= 0xFF00) & (point < 0xFF21))
-    code[other] = 27 + point[other] % (CODES - 27)
-    if len(code) < N:
+    if not len(lead):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # runs of what isn't a letter are one edge; a row starts and ends with one
+    row = np.searchsorted(offsets, lead, "right") - 1
+    point = buf[lead].astype(np.int64)
+    nxt = np.concatenate((buf, np.zeros(3, np.uint8)))
+    for first, bits, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        at = np.flatnonzero(buf[lead] >= first)
+        v = buf[lead[at]].astype(np.int64) & bits
+        for k in range(1, more + 1):
+            v = v << 6 | (nxt[lead[at] + k] & 0x3F)
+        point[at] = v
+    code = letter_codes()[np.minimum(point, 0x10FFFF)].astype(np.int64)
     edge_before = np.concatenate(([True], row[1:] != row[:-1]))
+    # runs of what isn't a letter are one edge; a row starts and ends with one
     keep = (code > 0) | np.concatenate(([True], code[:-1] > 0)) | edge_before
     code, row, edge_before = code[keep], row[keep], edge_before[keep]
     spots = np.flatnonzero(edge_before)
-    code, row = np.insert(code, spots, 0), np.insert(row, spots, row[spots])
+    ends = spots[1:]  # the row before ends there
+    at = np.concatenate((ends, spots))
+    code, row = np.insert(code, at, 0), np.insert(row, at, np.concatenate((row[ends - 1], row[spots])))
     code, row = np.append(code, 0), np.append(row, row[-1] if len(row) else 0)
     gram = code[:-2] * CODES * CODES + code[1:-1] * CODES + code[2:]
     ok = (row[:-2] == row[2:]) & (code[1:-1] > 0)
