@@ -4,10 +4,9 @@
    Each of T map tasks sends at most that table; the sums are gathered chunk by chunk.
 2. A shingle weighs tf * idf, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N) (from 1 to 2: common shingles count less, copies
    of one text don't lose their likeness by being many). SAMPLES consistent samples a document (Ioffe 2010) are hashed into BANDS keys of ROWS samples.
-3. Texts with equal words are one representative (smallest id). Those that share a key are compared with one centre of that key, the smallest by a hash
-   that differs by band, so pairs grow with the members of a key, not with their square. Members unlike their centre meet again
-   under a next centre, round by round, until no key has two left; after REFINE_AFTER rounds keys are refined by another band, which
-   splits keys that many unlike texts share. No round, member or candidate is dropped.
+3. Texts with equal words are one representative (smallest id). Those that share a key are compared with one centre of that key, so pairs grow with
+   the members of a key and not with their square; members unlike their centre meet again under a next centre, round by round, until no key has two left (see links). No
+   member or candidate is dropped; a pair whose samples agree to less than LIKELY is below the threshold but for one chance in a million.
 4. A pair is a link if its weighted Jaccard similarity (sum of minima over sum of maxima of the weights) is THRESHOLD or more. Classes are the connected
    components, by minimum labels with pointer jumping, checkpointed in spark.checkpoint.dir; nothing of them reaches the driver but counts.
 
@@ -23,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -31,7 +30,7 @@ from . import textvec as tv
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, ROWS, BANDS = 64, 6, 20
 DF_BUCKETS, DF_CHUNK = 1 << 20, 1 << 12
-REFINE_AFTER = 2
+REFINE_AFTER, LIKELY = 2, 0.55
 #: Members of a centre that are compared in one stream; a larger group is split, its centre repeated for each part.
 PART = 512
 _TABLE = 4096
@@ -197,12 +196,12 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, words_hi, words_lo (hash of the word sequence), bands; bands is null for texts without a word."""
+    """docs(doc_id, text) -> doc_id, words_hi, words_lo (hash of the word sequence), bands, samples (two bytes each); these two are null for texts without a word."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = idf.value
         for b in batches:
-            hi, lo, bands, at = [], [], [], 0
+            hi, lo, bands, kept = [], [], [], []
             for _, buf, off in tv.text_chunks(b.column(1)):
                 starts, ends, row = tv.words(buf, off)
                 w = tv.run_hashes(buf, starts, ends)
@@ -213,65 +212,92 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                     v = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tv.mix(w ^ tv.mix(spot * mult + mult)), dtype=np.uint64)))
                     out += (v[first + n] - v[first] + n.astype(np.uint64)).astype(np.int64).tolist()
             for h, n in bags(b.column(1)):
-                bands.append(band_keys(sample(h, n * weight[(h & np.uint64(DF_BUCKETS - 1)).astype(np.int64)])) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_hi", "words_lo", "bands"])
+                got = sample(h, n * weight[(h & np.uint64(DF_BUCKETS - 1)).astype(np.int64)]) if len(h) else None
+                bands.append(band_keys(got) if len(h) else None)
+                kept.append((got >> np.uint64(48)).astype(">u2").tobytes() if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "words_hi", "words_lo", "bands", "samples"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(apply, f"doc_id {kind}, words_hi long, words_lo long, bands array<long>")
+    return docs.mapInArrow(apply, f"doc_id {kind}, words_hi long, words_lo long, bands array<long>, samples binary")
+
+
+def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFrame | None:
+    """Verified (a, b) of docs(doc_id, text), signed(doc_id, bands, samples); None if no key is shared.
+
+    Round by round, members of a key meet its centre. Pairs whose samples agree to LIKELY or more are compared in full; members that are not like their centre stay in the key and meet the next one.
+    After REFINE_AFTER rounds, each round adds a further part of the samples to the keys, so that texts that merely share a passage part; rounds end when no key has two members.
+    The centre is the text that meets most texts over all its keys, then the first by a hash: an original meets more of its edited copies than these meet each other. Shingles are made once, of the texts
+    that share a key; texts are shuffled for that and not again.
+    """
+    every = signed.select(F.explode("bands").alias("key"), "doc_id").checkpoint()
+    shared = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").checkpoint()
+    hubs = shared.groupBy("doc_id").agg(F.sum("n").alias("hub"))
+    keyed = shared.select("key", "doc_id").join(hubs, "doc_id").select("key", "doc_id", "hub").checkpoint()
+    packed = bagged(docs, keyed.select("doc_id").distinct()).checkpoint()
+    edges, done = None, 0
+    while True:
+        order = F.struct("hub", F.xxhash64("doc_id").alias("h"), "doc_id")
+        centre = keyed.groupBy("key").agg(F.max(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("c.doc_id").alias("a"))
+        met = keyed.join(centre, "key").where("doc_id <> a").select("key", "a", F.col("doc_id").alias("b"), "hub").checkpoint()
+        if met.isEmpty():
+            return None if edges is None else edges.distinct().checkpoint()
+        with_b = met.select("a", "b").distinct().join(signed.select(F.col("doc_id").alias("b"), F.col("samples").alias("sb")), "b")
+        both = with_b.join(signed.select(F.col("doc_id").alias("a"), F.col("samples").alias("sa")), "a")
+        likely = both.where(agreeing("sa", "sb") >= LIKELY * SAMPLES).select("a", "b").checkpoint()
+        fresh = verified(packed, likely, idf, threshold).checkpoint()
+        edges = fresh if edges is None else edges.unionByName(fresh)
+        left = met.join(fresh, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "hub")
+        done += 1
+        if done >= REFINE_AFTER:
+            part = F.substring("samples", (4 * ROWS * done) % (2 * SAMPLES - 2 * ROWS) + 1, 2 * ROWS)
+            left = left.join(signed.select("doc_id", "samples"), "doc_id").select(F.xxhash64("key", part).alias("key"), "doc_id", "hub")
+        keyed = left
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
-    """pairs(a, b), distinct, a the centre -> a, b, alike. Each text in a pair is shuffled once, its shingles once a centre."""
+def bagged(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, bag of the wanted docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("member"))
-    centres = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
-    roles = members.unionByName(centres).groupBy("doc_id").agg(F.collect_list(F.struct("a", "part", "member")).alias("roles"))
-    # a text's roles are few: its distinct centres (at most BANDS a round), or the parts of its own group, which are short rows
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([_pack(*x) for x in bags(b.column(1))], pa.binary())], ["doc_id", "roles", "bag"])
+            for k in range(0, b.num_rows, 512):
+                c = b.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([_pack(*x) for x in bags(c.column(1))], pa.binary())], ["doc_id", "bag"])
+
+    # rows that repeat an id hold one text: the first is enough
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(bag, f"doc_id {kind}, bag binary").dropDuplicates(["doc_id"])
+
+
+def agreeing(a: str, b: str) -> Column:
+    """The number of samples that two rows share, of two bytes each."""
+    at = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
+    return F.aggregate(at, F.lit(0), lambda n, i: n + (F.substring(F.col(a), i * 2 + 1, F.lit(2)) == F.substring(F.col(b), i * 2 + 1, F.lit(2))).cast("int"))
 
-    joined = docs.join(roles, "doc_id").select("doc_id", "text", "roles")
-    role_kind = f"array<struct<a:{kind},part:int,member:int>>"
-    rows = joined.mapInArrow(bag, f"doc_id {kind}, roles {role_kind}, bag binary").select("doc_id", F.explode("roles").alias("r"), "bag").select("r.a", "r.part", "r.member", "doc_id", "bag")
+
+def verified(packed: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
+    """packed(doc_id, bag), pairs(a, b), distinct, a the centre -> those alike. The shingles of a text are shuffled once a centre that it met; a centre's, once for each part of its members."""
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    parts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("member"))
+    centres = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
+    rows = packed.join(members.unionByName(centres), "doc_id").select("a", "part", "member", "doc_id", "bag")
     dealt = rows.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, at, centre = idf.value, None, None
         for b in batches:
-            a_, b_, ok = [], [], []
-            for a, part, member, d, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            a_, b_ = [], []
+            for k in range(b.num_rows):
+                a, part, member, d = (b.column(i)[k].as_py() for i in range(4))
+                raw = b.column(4)[k].as_py()
                 if not member:
                     if at != (a, part):
                         at, centre = (a, part), _unpack(raw)
-                    continue
-                a_.append(a), b_.append(d)
-                ok.append(weighted_jaccard(centre, _unpack(raw), weight) >= threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a_, b.column(0).type), pa.array(b_, b.column(3).type), pa.array(ok, pa.bool_())], ["a", "b", "alike"])
-
-    return dealt.mapInArrow(compare, f"a {kind}, b {kind}, alike boolean")
-
+                elif weighted_jaccard(centre, _unpack(raw), weight) >= threshold:
+                    a_.append(a), b_.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(a_, b.column(0).type), pa.array(b_, b.column(3).type)], ["a", "b"])
 
-def links(docs: DataFrame, keyed: DataFrame, idf, threshold: float) -> DataFrame:
-    """keyed(key, doc_id, band): all links found between docs that share a key, as distinct (a, b)."""
-    found, done = None, 0
-    bands = keyed.where("band >= 0").select(F.col("doc_id").alias("d2"), F.col("band").alias("band2"), F.col("key").alias("key2"))
-    while True:
-        centre = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.doc_id").alias("a"))
-        met = keyed.join(centre, "key").where("doc_id <> a").select("key", "band", "a", F.col("doc_id").alias("b")).checkpoint()
-        if met.isEmpty():
-            break
-        scored = _verified(docs, met.select("a", "b").distinct(), idf, threshold).checkpoint()
-        fresh = scored.where("alike").select("a", "b")
-        found = fresh if found is None else found.unionByName(fresh)
-        left = met.join(scored.where(~F.col("alike")).select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("doc_id"), "band")
-        done += 1
-        if done >= REFINE_AFTER:
-            left = left.join(bands, (F.col("doc_id") == F.col("d2")) & (F.col("band") != F.col("band2"))).select(F.xxhash64("key", "key2").alias("key"), "doc_id", "band")
-        keyed = left
-    return found.distinct() if found is not None else None
+    return dealt.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,13 +325,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = worded.groupBy("words_hi", "words_lo").agg(F.min("doc_id").alias("rep"))
     member = worded.select("doc_id", "words_hi", "words_lo").join(reps, ["words_hi", "words_lo"]).select("doc_id", "rep").distinct().checkpoint()
     own = worded.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = own.select("doc_id", F.posexplode("bands").alias("band", "key")).select("key", "doc_id", "band").checkpoint()
-    edges = links(d.where(F.col("text").isNotNull()), keyed, idf, threshold)
     rows = sig.select("doc_id")
-    if edges is None:
+    edges = links(d.where(F.col("text").isNotNull()), own.select("doc_id", "bands", "samples").checkpoint(), idf, threshold)
+    if edges is None or edges.isEmpty():
         classes = member.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     else:
-        edges = edges.checkpoint()
         degree = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
         root = components(edges).withColumnRenamed("doc_id", "rep")
         classes = member.join(root, "rep", "left").join(degree, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
