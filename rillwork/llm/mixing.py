@@ -164,8 +164,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = known.join(spans, "row_id").groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("use", "total", "spans"))).alias("uses"), F.first("size").alias("all_words"))
     rows = tagged.join(plan, F.col("__row") == F.col("row_id")).withColumn("u", F.explode("uses"))
     split = F.filter(F.split(F.col(f"`{text_col}`"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    parts = F.transform(F.col("u.spans"), lambda s: F.array_join(F.slice(split, (s["start"] + 1).cast("int"), s["words"].cast("int")), " "))
-    text = F.when(F.col("u.total") == F.col("all_words"), F.col(f"`{text_col}`")).otherwise(F.array_join(parts, " "))
+
+    def cut(words: Column) -> Column:
+        return F.array_join(F.transform(F.col("u.spans"), lambda s: F.array_join(F.slice(words, (s["start"] + 1).cast("int"), s["words"].cast("int")), " ")), " ")
+
+    # a one-element transform names the words, so that a text is split once and not for each of its spans
+    text = F.when(F.col("u.total") == F.col("all_words"), F.col(f"`{text_col}`")).otherwise(F.element_at(F.transform(F.array(split), cut), 1))
     rows = rows.withColumn("__text", text)
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col("__text")}
     if chars_col in docs.columns:
