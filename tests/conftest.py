@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[3]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
