@@ -42,7 +42,7 @@ class TreeEncoder:
     PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]*"
     PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Words whose ids are remembered; beyond, the memory starts anew, which costs time only.
-    REMEMBERED = 800_000
+    REMEMBERED = 250_000
 
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         import regex
@@ -231,21 +231,23 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
         for b in batches:
-            keys, texts, a = b.column(0), b.column(1).to_pylist(), 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z] or "") <= batch_chars):
+            a = 0
+            while a < b.num_rows:
+                # texts become Python strings a few at a time
+                texts = b.column(1).slice(a, 256).to_pylist()
+                size, z = len(texts[0] or ""), 1
+                while z < len(texts) and size + len(texts[z] or "") <= batch_chars:
                     size += len(texts[z] or "")
                     z += 1
-                ids = enc.encode_batch([t or "" for t in texts[a:z]])
+                ids = enc.encode_batch([t or "" for t in texts[:z]])
                 decoded = enc.decode_batch(ids)
                 n = pa.array([len(i) for i in ids], pa.int64())
                 if digests:
                     more = [pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]
                 else:
                     more = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, z - a), n, *more], ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"])
-                a = z
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z), n, *more], ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"])
+                a += z
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
