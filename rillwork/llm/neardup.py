@@ -5,7 +5,7 @@
 2. A shingle weighs tf * idf, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N) (from 1 to 2: common shingles count less, copies
    of one text don't lose their likeness by being many). SAMPLES consistent samples a document (Ioffe 2010) are hashed into BANDS keys of ROWS samples.
 3. Texts with equal words are one representative (smallest id). Those that share a key are compared with one centre of that key, so pairs grow with
-   the members of a key and not with their square; members unlike their centre meet again under a next centre, round by round, until no key has two left (see links). No
+   the members of a key and not with their square; members unlike their centre meet a second one. After that, all members left in a key that are not in one class yet meet each other (see links). No
    member or candidate is dropped; a pair whose samples agree to less than LIKELY is below the threshold but for one chance in a million.
 4. A pair is a link if its weighted Jaccard similarity (sum of minima over sum of maxima of the weights) is THRESHOLD or more. Classes are the connected
    components, by minimum labels with pointer jumping, checkpointed in spark.checkpoint.dir; nothing of them reaches the driver but counts.
@@ -30,8 +30,8 @@ from . import textvec as tv
 SHINGLE, THRESHOLD = 5, 0.8
 SAMPLES, ROWS, BANDS = 64, 6, 20
 DF_BUCKETS, DF_CHUNK = 1 << 20, 1 << 12
-REFINE_AFTER, LIKELY = 2, 0.55
-#: Members of a centre that are compared in one stream; a larger group is split, its centre repeated for each part.
+CENTRE_ROUNDS, LIKELY = 2, 0.55
+#: Members of a centre, or of a part of a key, that are compared in one stream; a larger group is split, its centre repeated for each part.
 PART = 512
 _TABLE = 4096
 
@@ -224,34 +224,97 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFrame | None:
     """Verified (a, b) of docs(doc_id, text), signed(doc_id, bands, samples); None if no key is shared.
 
-    Round by round, members of a key meet its centre. Pairs whose samples agree to LIKELY or more are compared in full; members that are not like their centre stay in the key and meet the next one.
-    After REFINE_AFTER rounds, each round adds a further part of the samples to the keys, so that texts that merely share a passage part; rounds end when no key has two members.
+    For CENTRE_ROUNDS rounds, members of a key meet its centre, and those that are not like it stay and meet the next one: this joins most groups with pairs that grow with their members.
+    Then the pairs that these rounds left open are compared, see crossing; keys are never refined or given up, so texts that merely share a passage meet like any others.
     The centre is the text that meets most texts over all its keys, then the first by a hash: an original meets more of its edited copies than these meet each other. Shingles are made once, of the texts
     that share a key; texts are shuffled for that and not again.
     """
     every = signed.select(F.explode("bands").alias("key"), "doc_id").checkpoint()
     shared = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key").checkpoint()
+    if shared.isEmpty():
+        return None
     hubs = shared.groupBy("doc_id").agg(F.sum("n").alias("hub"))
     keyed = shared.select("key", "doc_id").join(hubs, "doc_id").select("key", "doc_id", "hub").checkpoint()
     packed = bagged(docs, keyed.select("doc_id").distinct()).checkpoint()
-    edges, done = None, 0
-    while True:
+    edges = None
+    for _ in range(CENTRE_ROUNDS):
         order = F.struct("hub", F.xxhash64("doc_id").alias("h"), "doc_id")
         centre = keyed.groupBy("key").agg(F.max(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("c.doc_id").alias("a"))
         met = keyed.join(centre, "key").where("doc_id <> a").select("key", "a", F.col("doc_id").alias("b"), "hub").checkpoint()
-        if met.isEmpty():
-            return None if edges is None else edges.distinct().checkpoint()
         with_b = met.select("a", "b").distinct().join(signed.select(F.col("doc_id").alias("b"), F.col("samples").alias("sb")), "b")
         both = with_b.join(signed.select(F.col("doc_id").alias("a"), F.col("samples").alias("sa")), "a")
         likely = both.where(agreeing("sa", "sb") >= LIKELY * SAMPLES).select("a", "b").checkpoint()
         fresh = verified(packed, likely, idf, threshold).checkpoint()
         edges = fresh if edges is None else edges.unionByName(fresh)
-        left = met.join(fresh, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "hub")
-        done += 1
-        if done >= REFINE_AFTER:
-            part = F.substring("samples", (4 * ROWS * done) % (2 * SAMPLES - 2 * ROWS) + 1, 2 * ROWS)
-            left = left.join(signed.select("doc_id", "samples"), "doc_id").select(F.xxhash64("key", part).alias("key"), "doc_id", "hub")
-        keyed = left
+        keyed = met.join(fresh, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "hub")
+    roots = components(edges)
+    members = keyed.select("key", "doc_id").join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    open_pairs = crossing(members, signed).checkpoint()
+    return edges.unionByName(verified(packed, open_pairs, idf, threshold)).distinct().checkpoint()
+
+
+def crossing(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """members(key, doc_id, root) -> distinct (a, b) that share a key, have different roots, and whose samples agree to LIKELY or more; a < b.
+
+    Pairs under one root are one class already. All others of a key meet: members of its most frequent root (which don't meet each other) and the rest are cut into parts of about PART by a hash, and each
+    pair of parts is one stream of samples. So the rows grow with a key's members if all but a few have one root, and a key's members are never held at once.
+    """
+    counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    cut = whole.select("key", F.col("most.root").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / PART).cast("int").alias("rest"), F.ceil(F.col("most.n") / PART).cast("int").alias("same"))
+    h, own = F.xxhash64("doc_id"), F.col("root") == F.col("main")
+    part = F.when(own, F.col("rest") + F.pmod(h, "same")).otherwise(F.pmod(h, "rest")).cast("int")
+    last = F.when(own, F.col("rest")).otherwise(F.col("rest") + F.col("same")) - 1
+    dealt = members.join(cut, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    cells = dealt.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"), "doc_id", F.xxhash64("root").alias("root"))
+    rows = cells.join(signed.select("doc_id", "samples"), "doc_id").select("key", "x", "y", "side", "doc_id", "root", "samples")
+    kind = members.schema["doc_id"].dataType.simpleString()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            t = [np.asarray(b.column(k)) for k in range(3)]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in t], axis=0)) + 1
+            for s, e in zip([0, *ends], [*ends, b.num_rows], strict=True):
+                if e == s:
+                    continue
+                cell = tuple(int(c[s]) for c in t)
+                if cell != at and held:
+                    yield from likely_pairs(held)
+                    held = []
+                at = cell
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from likely_pairs(held)
+
+    found = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").mapInArrow(meet, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def likely_pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs with different roots of one cell: those within side 0 if there is no other side, else across."""
+    t = pa.Table.from_batches(held)
+    x, side, root = t.column("x")[0].as_py(), t.column("side").to_numpy(), t.column("root").to_numpy()
+    ids = t.column("doc_id").combine_chunks()
+    sigs = np.frombuffer(b"".join(t.column("samples").to_pylist()), ">u2").astype(np.uint16).reshape(-1, SAMPLES)
+    within = x == t.column("y")[0].as_py()
+    left, right = (np.arange(len(side)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, (1 << 18) // max(1, len(right)))
+    columns = np.ascontiguousarray(sigs[right].T)
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        if len(rows) * len(right) < 256:
+            same = (sigs[rows][:, None] == sigs[right][None]).sum(2)
+        else:
+            same = np.zeros((len(rows), len(right)), np.uint8)
+            for c in range(SAMPLES):
+                same += sigs[rows, c][:, None] == columns[c]
+        ok = (same >= LIKELY * SAMPLES) & (root[rows][:, None] != root[right])
+        if within:
+            ok &= rows[:, None] < right
+        i, j = np.nonzero(ok)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[i])), ids.take(pa.array(right[j]))], ["a", "b"])
 
 
 def bagged(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -68,6 +68,40 @@ def test_near_groups_against_all_pairs(spark):
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
+def all_pairs_in_keys(spark, d):
+    """Class by brute force over every pair that shares a key, and the number of links."""
+    idf = neardup.idf_table(*neardup.document_frequencies(d.select("text")))
+    ids, texts = zip(*[(r.doc_id, r.text) for r in d.orderBy("doc_id").collect()], strict=True)
+    bag = [neardup._unpack(neardup._pack(*b)) for b in neardup.bags(neardup.pa.array(texts))]
+    keys = [set(neardup.band_keys(neardup.sample(h, n * idf[(h & np.uint64(neardup.DF_BUCKETS - 1)).astype(np.int64)])).tolist()) for h, n in neardup.bags(neardup.pa.array(texts))]
+    root = list(range(len(ids)))
+    links = 0
+    for i in range(len(ids)):
+        for j in range(i):
+            if keys[i] & keys[j] and neardup.weighted_jaccard(bag[i], bag[j], idf) >= neardup.THRESHOLD:
+                links += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return {k: ids[r] for k, r in zip(ids, root, strict=True)}, links
+
+
+def templated(pairs, seed, share=150, own=13, changed=8):
+    """Pairs of near copies that fill in one long template, so that unlike pairs share keys."""
+    rng = random.Random(seed)
+    template, rows = [f"t{k}" for k in range(share)], []
+    for p in range(pairs):
+        mine = [f"p{p}x{rng.random()}" for _ in range(own)]
+        rows += [(2 * p, " ".join(template + mine)), (2 * p + 1, " ".join(template + mine[:-changed] + [f"q{p}y{k}" for k in range(changed)]))]
+    return rows
+
+
+def test_near_copies_of_a_template_are_all_found(spark):
+    d = spark.createDataFrame(templated(120, 5), "doc_id long, text string")
+    want, links = all_pairs_in_keys(spark, d)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    assert links >= 100 and len(set(want.values())) > 50 and got == want
+
+
 def test_weighted_samples_estimate_the_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
