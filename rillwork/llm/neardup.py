@@ -5,7 +5,7 @@
 2. A shingle weighs tf * idf, idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N) (from 1 to 2: common shingles count less, copies
    of one text don't lose their likeness by being many). SAMPLES consistent samples a document (Ioffe 2010) are hashed into BANDS keys of ROWS samples.
 3. Texts with equal words are one representative (smallest id). Those that share a key are compared with one centre of that key, so pairs grow with
-   the members of a key and not with their square; members unlike their centre meet a second one. After that, all members left in a key that are not in one class yet meet each other (see links). No
+   the members of a key and not with their square; members unlike their centre meet a second one. After that, all members of a key that are not in one class yet meet each other, those that were like a centre too (see links). No
    member or candidate is dropped; a pair whose samples agree to less than LIKELY is below the threshold but for one chance in a million.
 4. A pair is a link if its weighted Jaccard similarity (sum of minima over sum of maxima of the weights) is THRESHOLD or more. Classes are the connected
    components, by minimum labels with pointer jumping, checkpointed in spark.checkpoint.dir; nothing of them reaches the driver but counts.
@@ -225,7 +225,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFram
     """Verified (a, b) of docs(doc_id, text), signed(doc_id, bands, samples); None if no key is shared.
 
     For CENTRE_ROUNDS rounds, members of a key meet its centre, and those that are not like it stay and meet the next one: this joins most groups with pairs that grow with their members.
-    Then the pairs that these rounds left open are compared, see crossing; keys are never refined or given up, so texts that merely share a passage meet like any others.
+    Then all members of a key, those that were like a centre too, meet those of other classes, see crossing; keys are never refined or given up, so texts that merely share a passage meet like any others.
     The centre is the text that meets most texts over all its keys, then the first by a hash: an original meets more of its edited copies than these meet each other. Shingles are made once, of the texts
     that share a key; texts are shuffled for that and not again.
     """
@@ -248,7 +248,7 @@ def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFram
         edges = fresh if edges is None else edges.unionByName(fresh)
         keyed = met.join(fresh, ["a", "b"], "left_anti").select("key", F.col("b").alias("doc_id"), "hub")
     roots = components(edges)
-    members = keyed.select("key", "doc_id").join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    members = shared.select("key", "doc_id").join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     open_pairs = crossing(members, signed).checkpoint()
     return edges.unionByName(verified(packed, open_pairs, idf, threshold)).distinct().checkpoint()
 

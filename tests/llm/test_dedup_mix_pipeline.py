@@ -102,6 +102,25 @@ def test_near_copies_of_a_template_are_all_found(spark):
     assert links >= 100 and len(set(want.values())) > 50 and got == want
 
 
+def chains(n, seed):
+    """Texts a, b, c with a~b and b~c alike but a and c not, so that c hangs on b."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        w = [f"c{k}x{rng.random()}" for _ in range(400)]
+        b = w[:-6] + [f"b{k}y{i}" for i in range(6)]
+        c = [f"z{k}y{i}" for i in range(38)] + b[38:]
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate((w, b, c))]
+    return rows
+
+
+def test_chains_keep_members_that_met_a_centre(spark):
+    d = spark.createDataFrame(chains(120, 6), "doc_id long, text string")
+    want, _ = all_pairs_in_keys(spark, d)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    assert sum(want[3 * k] == want[3 * k + 2] for k in range(120)) > 60 and got == want
+
+
 def test_weighted_samples_estimate_the_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
