@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? ; or : before white space), which are normalised (lower case, runs of what isn't a letter or digit become one space).
-Sentences that a licence is known by get their identifiers; the sequence of identifiers of a text is matched against licence rules in order, longest first: a
+A text is cut into pieces (at line ends, and after . ! ? ; or : before white space), which are normalised (lower case, runs of what isn't a letter or digit become one space).
+A known sentence is one piece, or several in a row: it may be wrapped over lines, go on after : or ; and hold the abbreviation "v.", but not go over a line without letters and digits or over . ! ? before white space.
+Sentences that a licence is known by get their identifiers, the longest that fits first; the sequence of identifiers of a text is matched against licence rules in order, longest first: a
 rule is a run of identifiers without another known sentence between. A run that matched is used up, so a full licence isn't also its notice.
 
 Null texts count as empty and have no licence. Rows are independent: there is no shuffle. Texts are read whole. An empty table gives an empty table.
@@ -72,18 +73,36 @@ RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
 )
 #: Every known sentence has one of these words; other texts are not cut.
 HINT = r"(?i)licen[sc]e|copyright|redistribution|rights[^a-z0-9]+reserved"
-CUT = r"[\r\n]+|(?<=[.!?;:])[\x20\t]+"
+#: Steps to one line of words: "/" is an end of a sentence, "|" an end of a line and "," another end of a piece; sentences may go over the latter two.
+MARKS: tuple[tuple[str, str], ...] = (
+    (r"[^a-z0-9.!?;:\x20\t\r\n]", "_"),
+    (r"(?<![a-z0-9])v\.(?=[\x20\t\r\n])", "v:"),
+    (r"(?<=[.!?])[\x20\t\r\n]+", "/"),
+    (r"\r\n|\r|\n", "|"),
+    (r"(?<=[;:])[\x20\t]+", ","),
+    (r"\|[^a-z0-9|]*(?=\|)", "/"),
+    (r"[^a-z0-9/|,]+", " "),
+    (r" ?([/|,]) ?", "$1"),
+)
+KNOWN = r"(?<![^/|,])(?:" + "|".join(s.replace(" ", "[ |,]++") for s in sorted(SENTENCES.values(), key=len, reverse=True)) + r")(?![^/|,])"
+
+
+def marked(text: Column) -> Column:
+    out = F.lower(text)
+    for pattern, by in MARKS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+    return F.regexp_replace(sentence, r"[ |,]+", " ")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_sentences (known ones), sentence_ids (in order, joined by spaces), licenses (distinct, sorted, joined by commas), n_matches (of rules)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    ids = F.filter(F.transform(F.split(text, CUT), lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
+    ids = F.transform(F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(table, normalised(s)))
     d = docs.select(F.col(id_col).alias("doc_id"), F.when(text.rlike(HINT), ids).otherwise(F.array().cast("array<int>")).alias("ids"))
     # each identifier stands between two bars of its own, so that runs can be cut out without touching their neighbours; a cut leaves a break
     left = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("|"), i.cast("string"), F.lit("|"))))

@@ -86,6 +86,80 @@ def test_license_rules(spark):
     assert got[1].licenses == got[3].licenses == got[4].licenses == "" and got[4].n_sentences == 1
 
 
+def test_licenses_in_their_official_wording(spark):
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Redistribution and use are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    third = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %s of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+
+You should have received a copy of the GNU General Public License
+along with this program%s"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    want = {
+        apache: ("2 3 4 5 6", "Apache-2.0"),
+        mit: ("13 14", "MIT"),
+        bsd: ("40 41", "BSD-2-Clause"),
+        bsd + third: ("40 41 42", "BSD-3-Clause"),
+        gpl % (":", ",", 3, ".  If not, see"): ("21 22", "GPL-3.0-or-later"),
+        gpl % (";", ";", 2, "; if not, write to"): ("23 22", "GPL-2.0-or-later"),
+        mpl: ("50", "MPL-2.0"),
+        "SPDX-License-Identifier: MIT": ("70", "MIT"),
+        "code SPDX\n# SPDX-License-Identifier: Apache-2.0\ncode": ("71", "Apache-2.0"),
+        "/* SPDX-License-Identifier: GPL-3.0-only */": ("72", "GPL-3.0-only"),
+        "Released under\nthe MIT License": ("10", "MIT"),
+        "Released under\n\nthe MIT License": ("12", ""),
+        "License: Released under the MIT License; see there": ("10", "MIT"),
+        "Released under the MIT License for all": ("", ""),
+    }
+    for i, text in licenses.SENTENCES.items():
+        words = text.split()
+        want["\n".join(words) + ("." if i % 2 else "")] = want[text] = (str(i), None)
+    want |= {"\r\n".join(" * " + x for x in k.split("\n")): v for k, v in want.items()}
+    rows = [*want.items()]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, x) for k, (x, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    for k, (text, (ids, names)) in enumerate(rows):
+        assert got[k].sentence_ids == ids and names in (None, got[k].licenses), text
+    long = spark.createDataFrame([(1, "licence " + "\n" * 200_000 + "漢" * 200_000 + "\n漢" * 100_000 + "\nMIT License")], "doc_id long, text string")
+    assert licenses.scan(long).collect()[0].sentence_ids == "13"
+
+
 def test_toxicity_learns_words_from_documents(spark):
     rng = np.random.default_rng(0)
     words = ["w" + "".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
