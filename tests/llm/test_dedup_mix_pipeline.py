@@ -32,11 +32,6 @@ def test_exact_groups(spark, share):
     assert exactdup.exact_duplicates(d.limit(0)).count() == 0
 
 
-def jaccard(a, b):
-    sh = lambda s: {tuple(s.split()[k : k + 5]) for k in range(max(1, len(s.split()) - 4))}
-    return len(sh(a) & sh(b)) / len(sh(a) | sh(b))
-
-
 def test_near_groups_against_all_pairs(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(5000)]
@@ -56,10 +51,8 @@ def test_near_groups_against_all_pairs(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bands", F.lit("x"))
     got = {r.doc_id: r for r in neardup.near_duplicates(d).collect()}
     assert len(got) == len(rows)
-    for i, g in group.items():
-        first = min(k for k, v in group.items() if v == g)
-        sure = jaccard(rows[i][1], rows[first][1]) >= 0.85
-        assert not sure or got[i].class_id == first
+    want, links = brute_classes(spark, d, in_keys=True)
+    assert len(links) > 150 and all(got[i].class_id == want[i] for i in want)
     assert all(got[i].kept and got[i].class_id == i for i in range(len(group), len(group) + 20))
     assert got[1005].class_id == 0 and got[1004].class_id == 1003
     assert all(got[i].class_id == i for i in (1000, 1001, 1002))
@@ -68,18 +61,18 @@ def test_near_groups_against_all_pairs(spark):
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
-def all_pairs_in_keys(spark, d):
-    """Class by brute force over every pair that shares a key, and the number of links."""
+def brute_classes(spark, d, in_keys=False):
+    """Class by brute force over every pair (or every pair that shares a key), and the links."""
     idf = neardup.idf_table(*neardup.document_frequencies(d.select("text")))
     ids, texts = zip(*[(r.doc_id, r.text) for r in d.orderBy("doc_id").collect()], strict=True)
     bag = [neardup._unpack(neardup._pack(*b)) for b in neardup.bags(neardup.pa.array(texts))]
     keys = [set(neardup.band_keys(neardup.sample(h, n * idf[(h & np.uint64(neardup.DF_BUCKETS - 1)).astype(np.int64)])).tolist()) for h, n in neardup.bags(neardup.pa.array(texts))]
     root = list(range(len(ids)))
-    links = 0
+    links = []
     for i in range(len(ids)):
         for j in range(i):
-            if keys[i] & keys[j] and neardup.weighted_jaccard(bag[i], bag[j], idf) >= neardup.THRESHOLD:
-                links += 1
+            if (not in_keys or keys[i] & keys[j]) and neardup.weighted_jaccard(bag[i], bag[j], idf) >= neardup.THRESHOLD:
+                links.append((ids[j], ids[i]))
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return {k: ids[r] for k, r in zip(ids, root, strict=True)}, links
@@ -97,9 +90,9 @@ def templated(pairs, seed, share=150, own=13, changed=8):
 
 def test_near_copies_of_a_template_are_all_found(spark):
     d = spark.createDataFrame(templated(120, 5), "doc_id long, text string")
-    want, links = all_pairs_in_keys(spark, d)
+    want, links = brute_classes(spark, d, in_keys=True)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
-    assert links >= 100 and len(set(want.values())) > 50 and got == want
+    assert len(links) >= 100 and len(set(want.values())) > 50 and got == want
 
 
 def chains(n, seed):
@@ -116,11 +109,49 @@ def chains(n, seed):
 
 def test_chains_keep_members_that_met_a_centre(spark):
     d = spark.createDataFrame(chains(120, 6), "doc_id long, text string")
-    want, _ = all_pairs_in_keys(spark, d)
+    want, _ = brute_classes(spark, d, in_keys=True)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
     assert sum(want[3 * k] == want[3 * k + 2] for k in range(120)) > 60 and got == want
 
 
+def test_recall_on_hubs_and_a_hot_passage(spark):
+    """Of all links by brute force, in a hub with copies, texts over one passage, and longer chains."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.random()}"
+    rows = []
+    hub = [word() for _ in range(300)]
+    for _ in range(60):
+        w = list(hub)
+        for _ in range(4):
+            w[rng.randrange(300)] = word()
+        rows.append(w)
+    passage = [word() for _ in range(220)]
+    rows += [passage + [word() for _ in range(rng.randint(10, 60))] for _ in range(150)]
+    for _ in range(15):
+        w = [word() for _ in range(250)]
+        for k in range(7):
+            rows.append(list(w))
+            for _ in range(3):
+                w[rng.randrange(250)] = word()
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    want, links = brute_classes(spark, d)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(d).collect()}
+    found = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 500 and found >= 0.99 * len(links)
+    assert all(want[i] == want[got[i]] for i in got)
+
+
+def test_near_duplicates_edges(spark):
+    assert neardup.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].class_id == 1
+    long = " ".join(f"x{k}" for k in range(60_000))
+    rows = [(9, long), (4, long + " end"), (4, long + " end"), (7, "the same words here"), (3, "the same  words\nhere"), (7, "other words for this id"), (None, "no id at all here"), (2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("x"), "class_id": F.lit(1), "kept": F.lit("y"), "key": F.lit(2)})
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in neardup.near_duplicates(d).collect())
+    assert got == [(-1, -1, True), (2, 2, True), (3, 3, True), (4, 4, True), (4, 4, True), (7, 3, False), (7, 7, True), (9, 4, False)]
+    left = neardup.keep_one(d)
+    assert left.columns == d.columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 2, 3, 4, 4, 7, 7]
+
+
 def test_weighted_samples_estimate_the_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
