@@ -1,8 +1,9 @@
 """BPE encoding and decoding of whole texts by tree concatenation.
 
-A text longer than a leaf is cut into halves until leaves are short; leaves are encoded in parallel (one batch call) and
+A text longer than a leaf is cut into halves until leaves are short; leaves are encoded in parallel (one batch call, in the library's threads) and
 neighbouring encodings are joined bottom-up. At a join the characters around it are encoded again in a window that grows
-until it agrees with both sides; then left part + window + right part is the encoding of the whole.
+until it agrees with both sides; then left part + window + right part is the encoding of the whole. Where a side's tokens lie is known from the
+bytes that each token stands for, so only windows are encoded again, with white space near or without.
 
 Why agreement is exact: a token sequence inside one pre-token is what BPE yields if and only if each two neighbours are
 what BPE yields for the two together (merges happen by rank, then position). Every pair of neighbours of the joined
@@ -13,19 +14,23 @@ left ends at least MARGIN characters before the join.
 
 Normalising (NFC, white space, lower case) and special tokens are done over the whole text first, as the tokenizers library does.
 
-Null texts count as empty and give no ids and the empty text. Rows are independent; repeated rows give equal results.
+Null texts count as empty and give no ids and the empty text. Rows are independent; repeated rows give equal results. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 LEAF, MARGIN, WINDOW = 8192, 8, 24
 
 
@@ -41,28 +46,31 @@ class TreeEncoder:
     #: Characters for which lower() and the pattern below do what the file's normaliser and pre-tokeniser do; a leaf with others is left to the library.
     PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]*"
     PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    #: Words whose ids are remembered; beyond, the memory starts anew, which costs time only.
-    REMEMBERED = 250_000
+    #: Words whose ids are remembered, within a task; beyond, the memory starts anew, which costs time only.
+    REMEMBERED = 100_000
 
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         import regex
         from tokenizers import Tokenizer, normalizers
 
-        self.whole, self.inner, self.leaf, self.window = Tokenizer.from_file(path), Tokenizer.from_file(path), leaf, window
-        self.whole.no_truncation(), self.whole.no_padding(), self.inner.no_truncation(), self.inner.no_padding()
-        self.normalizer = self.whole.normalizer
+        self.inner, self.leaf, self.window = Tokenizer.from_file(path), leaf, window
+        self.inner.no_truncation(), self.inner.no_padding()
+        self.normalizer = self.inner.normalizer
         self.inner.normalizer = normalizers.Sequence([])
         self.inner.encode_special_tokens = True  # none is left when it is used
-        self.specials = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
-        self.ends_word = np.zeros(self.whole.get_vocab_size(), bool)
-        for token, i in self.whole.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
-        self.tokens = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
+        self.specials = {t.content: i for i, t in self.inner.get_added_tokens_decoder().items()}
+        n = self.inner.get_vocab_size()
+        self.tokens = [self.inner.id_to_token(i) for i in range(n)]
+        self.ends_word = np.array([t.endswith("</w>") for t in self.tokens])
+        #: Bytes of text that a token stands for: its characters are bytes, but for the mark of a word's end.
+        self.sizes = np.array([len(t.removesuffix("</w>")) for t in self.tokens], np.int64)
         self.plain, self.pre_tokens, self.known = regex.compile(self.PLAIN).fullmatch, regex.compile(self.PRE_TOKEN).findall, {}
+        self.re_encoded = 0
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         leaves = {}
+        threads(False)
         for k, t in enumerate(texts):
             if len(t) > self.leaf or "<|" in t:
                 out[k] = self.encode_long(t)
@@ -116,39 +124,76 @@ class TreeEncoder:
             else:
                 todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
         cuts.sort()
+        threads(len(cuts) > 1)
         level = [(a, b, ids) for (a, b), ids in zip(cuts, self._leaves([text[a:b] for a, b in cuts]), strict=True)]
         while len(level) > 1:
             level = [self._join(text, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0][2] if level else np.zeros(0, np.uint32)
 
+    def _spots(self, text: str, a: int, b: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, ends in characters) of the tokens ids of text[a:b]; a token that ends within a character counts it whole, and so does the next."""
+        size, _ = self._bytes(text, a, b)
+        at = np.flatnonzero(size)
+        upto = np.cumsum(size[at])
+        stop = np.cumsum(self.sizes[ids])
+        first, last = np.searchsorted(upto, stop - self.sizes[ids], "right"), np.searchsorted(upto, stop, "left")
+        return ids.astype(np.int64), a + at[first], a + at[last] + 1
+
+    def _bytes(self, text: str, a: int, b: int) -> tuple[np.ndarray, int]:
+        """Bytes of each character of text[a:b], 0 for white space, and their sum."""
+        c = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), "<u4")
+        size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        size[(c == 32) | ((c >= 9) & (c <= 13))] = 0
+        return size, int(size.sum())
+
     def _placed(self, text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends in characters) of text[a:b]"""
-        e = self.inner.encode(text[a:b], add_special_tokens=False)
-        off = np.array(e.offsets, np.int64).reshape(-1, 2) + a
-        return np.array(e.ids, np.int64), off[:, 0], off[:, 1]
-
-    def _tail(self, text: str, a: int, p: int, size: int) -> tuple[int, tuple]:
-        """The last tokens of text[a:p], at least size characters of them if there are so many: no pre-token crosses white space."""
-        q = p - size
-        while q > a and not text[q].isspace():
-            q = max(a, q - size) if (at := text.rfind(" ", max(a, q - size), q)) < 0 else at
-        q = max(a, q)
-        return q, self._placed(text, q, p)
-
-    def _head(self, text: str, p: int, b: int, size: int) -> tuple[int, tuple]:
-        r = p + size
-        while r < b and not text[r].isspace():
-            r = min(b, r + size) if (at := text.find(" ", r, r + size)) < 0 else at
-        r = min(b, r)
-        return r, self._placed(text, p, r)
+        self.re_encoded += b - a
+        return self._spots(text, a, b, np.array(self.inner.encode(text[a:b], add_special_tokens=False).ids, np.int64))
+
+    def _tail(self, text: str, a: int, p: int, ids: np.ndarray, size: int) -> tuple[int, tuple]:
+        """The last tokens of text[a:p], those of about size characters, and where they begin."""
+        while True:
+            q = max(a, p - size)
+            if q == a:
+                return a, self._spots(text, a, p, ids)
+            # as many tokens as lie in there whole, from the start of a character on
+            each, total = self._bytes(text, q, p)
+            back = np.cumsum(self.sizes[ids[::-1][:total]])
+            k = int(np.searchsorted(back, total, "right"))
+            upto = total - np.cumsum(each)
+            while k and not (upto == back[k - 1]).any() and back[k - 1] != total:
+                k -= 1
+            if k:
+                q = p - len(each) if back[k - 1] == total else p - len(each) + 1 + int(np.flatnonzero(upto == back[k - 1])[-1])
+                while text[q].isspace():
+                    q += 1
+                return q, self._spots(text, q, p, ids[len(ids) - k :])
+            size *= 2
+
+    def _head(self, text: str, p: int, b: int, ids: np.ndarray, size: int) -> tuple[int, tuple]:
+        """The first tokens of text[p:b], those of about size characters, and where they end."""
+        while True:
+            r = min(b, p + size)
+            if r == b:
+                return b, self._spots(text, p, b, ids)
+            each, total = self._bytes(text, p, r)
+            forth = np.cumsum(self.sizes[ids[:total]])
+            k = int(np.searchsorted(forth, total, "right"))
+            upto = np.cumsum(each)
+            while k and not (upto == forth[k - 1]).any():
+                k -= 1
+            if k:
+                return p + int(np.flatnonzero(upto == forth[k - 1])[0]) + 1, self._spots(text, p, r, ids[:k])
+            size *= 2
 
     def _join(self, text: str, left: tuple, right: tuple) -> tuple:
         a, p, left_ids = left
         _, b, right_ids = right
         span = self.window
         while True:
-            q, (li, ls, le) = self._tail(text, a, p, 2 * span + 32)
-            r, (ri, rs, re_) = self._head(text, p, b, 2 * span + 32)
+            q, (li, ls, le) = self._tail(text, a, p, left_ids, 2 * span + 32)
+            r, (ri, rs, re_) = self._head(text, p, b, right_ids, 2 * span + 32)
             # the window starts at the start of a token of the left side and ends at the end of one of the right side
             x = int(np.searchsorted(ls, p - span, "right")) - 1
             y = int(np.searchsorted(re_, p + span, "left"))
@@ -207,18 +252,19 @@ class TreeEncoder:
 
     def decode_batch(self, ids: list) -> list[str]:
         """As the library's decode(ids, skip_special_tokens=False); without a decoder in the file that is the tokens with a space between."""
-        if self.whole.decoder is not None:
-            return self.whole.decode_batch([list(map(int, i)) for i in ids], skip_special_tokens=False)
+        if self.inner.decoder is not None:
+            return self.inner.decode_batch([list(map(int, i)) for i in ids], skip_special_tokens=False)
         return [" ".join([self.tokens[j] for j in (i.tolist() if isinstance(i, np.ndarray) else i)]) for i in ids]
 
 
-_encoders: dict = {}
+def threads(on: bool) -> None:
+    """Whether the library's batch calls use threads: a task has one core, but a long text's halves may have more."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if on else "false"
 
 
+@lru_cache(1)
 def encoder(path: str, leaf: int = LEAF) -> TreeEncoder:
-    if (path, leaf) not in _encoders:
-        _encoders[path, leaf] = TreeEncoder(path, leaf)
-    return _encoders[path, leaf]
+    return TreeEncoder(path, leaf)
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf: int = LEAF, digests: bool = False, batch_chars: int = 1 << 20) -> DataFrame:
@@ -248,6 +294,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     more = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z), n, *more], ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"])
                 a += z
+        enc.known.clear()
+        tv.give_back()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()

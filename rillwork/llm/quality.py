@@ -25,17 +25,24 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+#: Words of a window that is looked for twice.
+WINDOW = 8
 
 
 class Texts:
-    """A chunk of texts; features are computed when first asked for."""
+    """A chunk of texts; features are computed when first asked for, and part of a chunk takes over what the whole has."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        self.buf, self.offsets, self.n, self._had = buf, offsets, len(offsets) - 1, {}
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, whole: Texts | None = None, rows: np.ndarray | None = None):
+        self.buf, self.offsets, self.n, self._had, self._whole, self._rows = buf, offsets, len(offsets) - 1, {}, whole, rows
 
     def _get(self, name: str, make: Callable):
         if name not in self._had:
-            self._had[name] = make()
+            whole = self._whole
+            if whole is not None and name not in ("words", "ids") and (name in whole._had or ("ids" in whole._had and name in ("n_words", "n_echoes", "n_repeat_words"))):
+                got = getattr(whole, name)
+                self._had[name] = tuple(x[self._rows] for x in got) if isinstance(got, tuple) else got[self._rows]
+            else:
+                self._had[name] = make()
         return self._had[name]
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
@@ -67,14 +74,19 @@ class Texts:
         return self._get("n_upper", lambda: self.per_row(_UPPER[self.buf]))
 
     @property
-    def hashes(self):
-        return self._get("hashes", lambda: tv.run_hashes(self.buf, self.words[0], self.words[1]))
+    def ids(self):
+        """A number for each word, the same for equal words only."""
+        return self._get("ids", lambda: tv.classes(self.buf, self.words[0], self.words[1]))
 
     @property
     def n_echoes(self):
         """Words equal to the word before them."""
-        h, row = self.hashes, self.words[2]
-        return self._get("n_echoes", lambda: np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=self.n))
+
+        def make():
+            ids, row = self.ids, self.words[2]
+            return np.bincount(row[1:][(ids[1:] == ids[:-1]) & (row[1:] == row[:-1])], minlength=self.n)
+
+        return self._get("n_echoes", make)
 
     @property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +97,10 @@ class Texts:
             filled = np.concatenate(([0], np.cumsum(~tv.WS[self.buf], dtype=np.int64)))
             has = filled[ends] > filled[starts]
             starts, ends, row = starts[has], ends[has], row[has]
-            h = tv.run_hashes(self.buf, starts, ends)
-            order = np.lexsort((h, row))
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+            line = tv.classes(self.buf, starts, ends)
+            order = np.lexsort((line, row))
+            again = np.zeros(len(line), bool)
+            again[1:] = (line[order][1:] == line[order][:-1]) & (row[order][1:] == row[order][:-1])
             return np.bincount(row, minlength=self.n), np.bincount(row[order][again], minlength=self.n)
 
         return self._get("lines", make)
@@ -96,18 +108,23 @@ class Texts:
     @property
     def n_repeat_words(self) -> np.ndarray:
         def make():
-            starts, ends, row = self.words
-            h, first = tv.window_hashes(self.hashes, row, 8)
+            starts, row, ids = self.words[0], self.words[2], self.ids
+            h, first = tv.window_hashes(ids.astype(np.uint64), row, WINDOW)
             order = np.lexsort((h, row[first]))
-            hs, rs = h[order], row[first][order]
-            same = (hs[1:] == hs[:-1]) & (rs[1:] == rs[:-1])
+            same = (h[order][1:] == h[order][:-1]) & (row[first][order][1:] == row[first][order][:-1])
+            # equal hashes are compared word by word
+            one, two = first[order[:-1][same]], first[order[1:][same]]
+            if any((ids[one + k] != ids[two + k]).any() for k in range(WINDOW)):
+                h = np.unique(np.stack([ids[first + k] for k in range(WINDOW)], 1), axis=0, return_inverse=True)[1].reshape(-1)
+                order = np.lexsort((h, row[first]))
+                same = (h[order][1:] == h[order][:-1]) & (row[first][order][1:] == row[first][order][:-1])
             twice = np.zeros(len(h), bool)
             twice[1:] |= same
             twice[:-1] |= same
             at = first[order][twice]
-            cover = np.zeros(len(starts) + 9, np.int64)
+            cover = np.zeros(len(starts) + WINDOW + 1, np.int64)
             np.add.at(cover, at, 1)
-            np.add.at(cover, at + 8, -1)
+            np.add.at(cover, at + WINDOW, -1)
             return np.bincount(row[np.cumsum(cover)[: len(starts)] > 0], minlength=self.n)
 
         return self._get("n_repeat_words", make)
@@ -117,7 +134,8 @@ class Texts:
         keep = np.zeros(len(self.buf) + 1, np.int64)
         np.add.at(keep, starts, 1)
         np.add.at(keep, ends, -1)
-        return Texts(self.buf[np.cumsum(keep)[:-1] > 0], np.concatenate(([0], np.cumsum(ends - starts))))
+        whole, at = (self, rows) if self._whole is None else (self._whole, self._rows[rows])
+        return Texts(self.buf[np.cumsum(keep)[:-1] > 0], np.concatenate(([0], np.cumsum(ends - starts))), whole, at)
 
 
 @dataclass(frozen=True)
@@ -189,10 +207,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols: dict[str, list[np.ndarray]] = {}
             for _, buf, off in tv.text_chunks(b.column(1)):
                 t = Texts(buf, off)
-                out = {"kept": cascade(t, ordered)}
-                if stats:
-                    out |= {"n_words": t.n_words, "word_chars": t.word_chars, "n_symbols": t.n_symbols, "n_dup_lines": t.lines[1], "n_repeat_words": t.n_repeat_words}
+                out = {}
+                if stats:  # made for every row, so that the cascade finds them there
+                    out = {"n_words": t.n_words, "word_chars": t.word_chars, "n_symbols": t.n_symbols, "n_dup_lines": t.lines[1], "n_repeat_words": t.n_repeat_words}
                     out["base_failed"] = (t.n_words < MIN_WORDS) | (100 * t.n_repeat_words > REPEAT_PCT * t.n_words)
+                out["kept"] = cascade(t, ordered)
+                if stats:
                     out["kept"] &= ~out["base_failed"]
                 for k, v in out.items():
                     cols.setdefault(k, []).append(v)

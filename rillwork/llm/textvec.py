@@ -5,10 +5,12 @@ Works on the UTF-8 bytes of a whole batch at once, so no Python string is made p
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are handled at once; it bounds the size of the temporary arrays, not of a text.
 CHUNK_BYTES = 1 << 19
@@ -32,27 +34,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 4096), _BASE, np.uint64)
-        steps[0] = 1
-        _powers = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+def blocks(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the runs' bytes, eight to a number and zeros after a run's end; each run's first number; each number's place in its run); no run is empty."""
+    n = (lengths + 7) >> 3
+    last = np.cumsum(n)
+    place = np.arange(int(last[-1])) - np.repeat(last - n, n)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    got = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))[np.repeat(starts, n) + 8 * place]
+    left = np.repeat(lengths, n) - 8 * place
+    short = np.flatnonzero(left < 8)
+    got[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    return got, last - n, place
 
 
 def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each run buf[starts:ends]; runs are disjoint, ascending and not empty."""
+    """A 64-bit hash for each run buf[starts:ends], none empty: blocks of eight bytes, each mixed with a key of its place, summed and mixed again. What must be exact compares bytes as well, see classes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    at = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    pos = np.arange(int(lengths.sum())) - at
-    values = (buf[pos + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[pos]
-    return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    got, first, place = blocks(buf, starts, lengths)
+    return mix(np.add.reduceat(mix(got ^ mix(place.astype(np.uint64) * _BASE + _KEY)), first) + lengths.astype(np.uint64))
+
+
+def same_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the runs of equal lengths that start at a and at b have the same bytes."""
+    if not len(a):
+        return np.zeros(0, bool)
+    x, first, _ = blocks(buf, a, lengths)
+    return np.logical_and.reduceat(x == blocks(buf, b, lengths)[0], first)
+
+
+def classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each run, the same for two runs just if they have the same bytes: neighbours in the order of hashes are compared in full."""
+    h = run_hashes(buf, starts, ends)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate((np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1]))
+    at = np.flatnonzero(~new)
+    one, two = order[at - 1], order[at]
+    alike = (ends - starts)[one] == (ends - starts)[two]
+    alike[alike] = same_runs(buf, starts[one[alike]], starts[two[alike]], (ends - starts)[one[alike]])
+    if not alike.all():
+        seen: dict[bytes, int] = {}
+        return np.array([seen.setdefault(buf[a:z].tobytes(), len(seen)) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on through other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_chunks(texts: pa.Array | pa.ChunkedArray):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def default_path() -> str:
@@ -107,8 +107,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for _, buf, off in tv.text_chunks(b.column(1)):
                 starts, ends, row = tv.words(buf, off)
                 # one count for each distinct word of the chunk
-                h = tv.run_hashes(buf, starts, ends)
-                _, first, at = np.unique(h, return_index=True, return_inverse=True)
+                _, first, at = np.unique(tv.classes(buf, starts, ends), return_index=True, return_inverse=True)
                 if len(known) > REMEMBERED:
                     known.clear()
                 raw, each = buf.tobytes(), np.zeros(len(first), np.int64)
