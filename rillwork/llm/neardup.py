@@ -267,7 +267,7 @@ def attached(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
 
 
 def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFrame | None:
-    """Edges (a, b) between nodes whose connected components are those of all links of docs(doc_id, text), signed(doc_id, node, size, bands, samples), one row a node; None if no key is shared.
+    """node, root: the connected components of all links of docs(doc_id, text), signed(doc_id, node, size, bands, samples), one row a node; only nodes with a link. None if no key is shared.
 
     Members of a key meet its centre; then all others of a key that are not in one class meet each other, see crossing. Keys are never refined or given up, so texts that merely share a passage meet like any others.
     The centre is the text that meets most texts over all its keys, then the first by a hash: an original meets more of its edited copies than these meet each other. Shingles are made once, of the texts
@@ -285,13 +285,23 @@ def links(docs: DataFrame, signed: DataFrame, idf, threshold: float) -> DataFram
     order = F.struct("hub", F.xxhash64("node").alias("h"), F.col("node").alias("a"))
     centre = keyed.groupBy("key").agg(F.max(order).alias("c"), F.count(F.lit(1)).alias("n")).select("key", "n", F.col("c.a").alias("a"))
     met = attached(shared.drop("n"), centre, "key", total).where("a <> node").checkpoint()
-    with_b = met.select("a", F.col("node").alias("b")).distinct().join(signed.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
-    both = with_b.join(signed.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
-    likely = both.where(agreeing("sa", "sb") >= LIKELY * SAMPLES).select("a", "b")
-    first = verified(packed, likely, idf, threshold).checkpoint()
+    pairs = met.select("a", F.col("node").alias("b")).distinct().checkpoint()
+    of_centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(signed.select(F.col("node").alias("a"), F.col("samples").alias("sa")), "a")
+    with_b = pairs.join(signed.select(F.col("node").alias("b"), F.col("samples").alias("sb")), "b")
+    both = attached(with_b, of_centres, "a", pairs.count())
+    likely = both.where(agreeing("sa", "sb") >= LIKELY * SAMPLES).select("a", "b").checkpoint()
+    roots = components(verified(packed, likely, idf, threshold).checkpoint())
     # what has met a centre has nothing left to do with it; keys of two are done
-    members = met.where("n > 2").select("key", "node", "size").join(components(first), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    return first.unionByName(crossing(members, signed, packed, idf, threshold, total)).checkpoint()
+    members = met.where("n > 2").select("key", "node", "size").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    more = crossing(members, signed, packed, idf, threshold, total).checkpoint()
+    if more.isEmpty():
+        return roots
+    # links between classes: components of the classes
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias("root_" + end))
+    among = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    merged = components(among)
+    known = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.unionByName(merged.join(roots, "node", "left_anti").select("node", "root")).checkpoint()
 
 
 def crossing(members: DataFrame, signed: DataFrame, packed: DataFrame, idf, threshold: float, total: int) -> DataFrame:
@@ -430,8 +440,8 @@ def agreeing(a: str, b: str) -> Column:
 
 def verified(packed: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
     """packed(node, bag), pairs(a, b), distinct, a the centre -> those alike. The shingles of a text are shuffled once a centre that it met; a centre's, once for each part of its members."""
-    parts = pairs.groupBy("a").count().withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("member"))
+    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).checkpoint()
+    members = attached(pairs, parts, "a", pairs.count()).select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("member"))
     centres = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
     rows = packed.join(members.unionByName(centres), "node").select("a", "part", "member", "node", "bag")
     dealt = rows.repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", "member")
@@ -479,10 +489,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size")).checkpoint()
     # the smallest id's row speaks for the copies of a text
     own = worded.join(texts.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).checkpoint()
-    edges = links(d.where(F.col("text").isNotNull()), own, idf, threshold)
+    roots = links(d.where(F.col("text").isNotNull()), own, idf, threshold)
     named = texts.select("node", "n", F.col("rep").alias("class_id"))
-    if edges is not None and not edges.isEmpty():
-        roots = components(edges)
+    if roots is not None:
         least = texts.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
         of_class = roots.join(least, "root").select("node", "least")
         named = named.join(of_class, "node", "left").select("node", "n", F.coalesce("least", "class_id").alias("class_id")).checkpoint()
