@@ -1,8 +1,10 @@
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -198,6 +200,75 @@ def test_mix_reaches_targets(spark):
     assert mixing.taken(d.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs (int) and of ints (given as a tuple of one)."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_permuted(j, n, key):
+    for r in range(1, mixing.ROUNDS + 1):
+        partner = (spark_hash(key, (r,), (17,)) % n - j) % n
+        if spark_hash(key, (r,), max(j, partner)) & 1:
+            j = partner
+    return j
+
+
+def test_mix_against_loops(spark):
+    """Packing, draws, hand-overs, permutations and the join by blocks, each by a loop."""
+    rng = random.Random(3)
+    rows = [(k // 2 if k < 40 else k, " ".join(f"{k}w{i}" for i in range(rng.choice([0, 1, 5, 40, 300]))), ["a", "b", None, "c"][k % 7 % 4]) for k in range(90)]
+    rows += [(500, "same row " * 60, "a")] * 5 + [(501, "q " * 3000, "b"), (502, None, "a")]
+    block, shard = 16, 32
+    names = ["row_id", "u", "uses", "size", "k1", "k2", "copy", "row", "spans", "as_is", "use", "bucket"]
+    d = spark.createDataFrame([(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    known, pieces, dealt = mixing.mix(d, block=block, shard=shard)
+    sizes = {}
+    for r in known.collect():
+        assert r["size"] == len([x for x in rows if x[0] == r.doc_id][0][1].split() if r.doc_id >= 40 and r.doc_id != 502 else [0] * r["size"])
+        sizes[r.source_no] = sizes.get(r.source_no, 0) + r["size"] * r.copies
+    stream = {}
+    for p in pieces.collect():
+        stream.setdefault(p.source_no, {}).setdefault(p.block, []).append((p.words, (p.k1, p.k2, p.copy, p.start)))
+    for k, blocks in stream.items():  # whole blocks but for the last, and each document's words once
+        full = [sum(w for w, _ in blocks[b]) for b in sorted(blocks)]
+        assert sorted(blocks) == list(range(len(full))) and full[:-1] == [block] * (len(full) - 1) and sum(full) == sizes[k]
+    target = {r.source_no: r.target for r in known.collect()}
+    n_blocks = {k: -(-v // block) for k, v in sizes.items()}
+    quota = {k: min(3 * n_blocks[k], round(target[k] * n_blocks[k] / sizes[k])) for k in sorted(sizes)}
+    total, edges, at = sum(quota.values()), [], 0.0
+    for k, q in quota.items():
+        at += q / total
+        edges.append((at, k))
+    number, drawn = {k: 0 for k in quota}, []
+    for slot in range(total):
+        u = ((spark_hash(slot, (5,)) % (1 << 64)) >> 11) / float(1 << 53)
+        k = edges[min(len(edges) - 1, sum(e <= u for e, _ in edges))][1]
+        drawn.append((slot, k, number[k]))
+        number[k] += 1
+    lack = [(k, j) for k in quota for j in range(number[k], quota[k])]
+    extra = sorted((k, j, slot) for slot, k, j in drawn if j >= quota[k])
+    assert len(lack) == len(extra)
+    fate = {slot: (k, j) for slot, k, j in drawn} | {slot: to for (_, _, slot), to in zip(extra, lack, strict=True)}
+    want = {(slot // shard, slot, k, brute_permuted(j % n_blocks[k], n_blocks[k], spark_hash((k,), j // n_blocks[k]))) for slot, (k, j) in fate.items()}
+    assert {tuple(r) for r in dealt.collect()} == want
+    words = sorted(w for _, _, k, b in want for w in [sum(x for x, _ in stream[k][b])])
+    got = mixing.taken(d, block=block).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == sum(mixing.taken(d.repartition(2), block=block).toPandas().taken)
+    assert sum(words) == sum(r.taken for r in got) if shard == mixing.SHARD else True
+    mixed = mixing.mixed_documents(d, block=block)
+    assert mixed.columns == d.columns
+    by = {}
+    for r in mixed.collect():
+        by[r.doc_id] = by.get(r.doc_id, 0) + len(r.text.split())
+        assert r.u[0] == "u" and r.row_id[6:] == r.u[1:] and set(r.text.split()) <= set((rows[int(r.u[1:])][1] or "").split())
+    for r in got:
+        by[r.doc_id] = by.get(r.doc_id, 0) - r.taken
+    assert not any(by.values())
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("p")).collect()
