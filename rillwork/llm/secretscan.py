@@ -6,8 +6,10 @@ parts meet if at most SCOPE characters lie between them. A weak identifier count
 both are. Base `access` spans serve as identifiers and `assign` and `hex` spans as secrets. The join is two running extremes over the
 parts in order (the furthest end so far, the nearest start still to come), so it is linear, however many parts lie close together.
 
+Each part that counts comes with its partners, as links: of the complementary parts within the scope, the one before that ends last, else the one after that starts first.
+
 Positions count code points from 0, ends are exclusive. Null texts count as empty: no spans, empty strings of spans. Rows that repeat an id are scanned each on its own.
-Texts are read whole; spans are numbered in blocks, so that very many in one text cost no more each. An empty table gives an empty table.
+Texts are read whole; spans are numbered in blocks, so that very many in one text cost no more each. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def joined(parts: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links (span>partner+partner, joined by commas)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, STAND_IN).alias("text"))
     good = {"assign": lambda p: F.char_length(F.regexp_extract(p, ASSIGN, 2)) >= 8, "secret": lambda p: p.rlike("[0-9]") & p.rlike("[A-Z]") & p.rlike("[a-z]")}
     cols = [spans(F.col("text"), k, p, t, r, good.get(k)).alias(k) for r, (k, p, t) in enumerate(BASE)]
@@ -75,13 +77,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     before = row.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     after = row.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
 
+    def shown(part: Column) -> Column:
+        return F.concat_ws(":", part["kind"], part["start"].cast("string"), part["stop"].cast("string"))
+
     def near(flag: Column) -> Column:
-        so_far = F.col("start") - F.max(F.when(flag, F.col("stop"))).over(before) <= scope
-        to_come = F.min(F.when(flag, F.col("start"))).over(after) - F.col("stop") <= scope
-        return F.coalesce(so_far, F.lit(False)) | F.coalesce(to_come, F.lit(False))
+        """The nearest part with that flag, or null if none is within the scope."""
+        back = F.max(F.when(flag, F.struct("stop", "start", "kind"))).over(before)
+        ahead = F.min(F.when(flag, F.struct("start", "stop", "kind"))).over(after)
+        return F.when(F.col("start") - back["stop"] <= scope, shown(back)).when(ahead["start"] - F.col("stop") <= scope, shown(ahead))
 
     linked = parts.withColumns({"near_id": near(is_id), "near_secret": near(is_secret), "near_end": near(is_end)})
-    keep = (F.col("rank") < 3) | F.when(F.col("kind") == "ident", F.col("near_secret")).when(F.col("kind") == "secret", F.col("near_id") | F.col("near_end")).when(F.col("kind") == "endpoint", F.col("near_id") & F.col("near_secret"))
-    kept = F.array_sort(F.collect_list(F.when(keep, F.struct("start", "rank", "stop", "kind"))))
+    met = {k: F.col(k).isNotNull() for k in ("near_id", "near_secret", "near_end")}
+    keep = (F.col("rank") < 3) | F.when(F.col("kind") == "ident", met["near_secret"]).when(F.col("kind") == "secret", met["near_id"] | met["near_end"]).when(F.col("kind") == "endpoint", met["near_id"] & met["near_secret"])
+    partners = F.when(is_id, F.concat_ws("+", "near_secret")).when(is_secret, F.concat_ws("+", "near_id", "near_end")).otherwise(F.concat_ws("+", "near_id", "near_secret"))
+    kept = F.array_sort(F.collect_list(F.when(keep, F.struct("start", "rank", "stop", "kind", partners.alias("partners")))))
     out = linked.groupBy("row_id", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256").agg(kept.alias("all"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined(F.col("all")).alias("spans"))
+    links = F.transform(F.filter("all", lambda s: s["partners"] != ""), lambda s: F.concat(shown(s), F.lit(">"), s["partners"]))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined(F.col("all")).alias("spans"), F.array_join(links, ",").alias("links"))

@@ -64,11 +64,18 @@ def _secrets() -> str:
         steps.append(f"m{r} AS (SELECT rid, stop - length(piece) AS start, {r} AS rank, stop, '{kind}' AS kind FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS stop FROM p{r}) WHERE i % 2 = 0 AND {extra.get(kind, 'true')})")
     steps.append("parts AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY start, rank, stop, kind) AS place FROM (" + " UNION ALL ".join(f"SELECT * FROM m{r}" for r in range(len(kinds))) + "))")
     flags = {"id": "kind IN ('access', 'ident')", "sec": "kind IN ('assign', 'hex', 'secret')", "fin": "kind = 'endpoint'"}
-    cols = ", ".join(f"coalesce(start - max(CASE WHEN {f} THEN stop END) OVER b <= {secretscan.SCOPE}, false) OR coalesce(min(CASE WHEN {f} THEN start END) OVER a - stop <= {secretscan.SCOPE}, false) AS near_{n}" for n, f in flags.items())
-    steps.append(f"linked AS (SELECT *, {cols} FROM parts WINDOW b AS (PARTITION BY rid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY rid ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))")
-    steps.append("kept AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM linked WHERE rank < 3 OR (kind = 'ident' AND near_sec) OR (kind = 'secret' AND (near_id OR near_fin)) OR (kind = 'endpoint' AND near_id AND near_sec))")
-    steps.append("g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY place) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY place) AS spans FROM kept GROUP BY rid)")
-    return ",\n".join(steps) + "\nSELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"
+    scope = secretscan.SCOPE
+    cols = ", ".join(f"max(CASE WHEN {f} THEN {{'stop': stop, 'start': start, 'kind': kind}} END) OVER b AS b_{n}, min(CASE WHEN {f} THEN {{'start': start, 'stop': stop, 'kind': kind}} END) OVER a AS a_{n}" for n, f in flags.items())
+    steps.append(f"seen AS (SELECT *, {cols} FROM parts WINDOW b AS (PARTITION BY rid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY rid ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))")
+    shown = lambda x: f"{x}.kind || ':' || {x}.start || ':' || {x}.stop"
+    near = ", ".join(f"CASE WHEN start - b_{n}.stop <= {scope} THEN {shown('b_' + n)} WHEN a_{n}.start - stop <= {scope} THEN {shown('a_' + n)} END AS near_{n}" for n in flags)
+    steps.append(f"linked AS (SELECT *, {near} FROM seen)")
+    steps.append(f"""kept AS (SELECT *, kind || ':' || start || ':' || stop AS span,
+CASE WHEN {flags['id']} THEN coalesce(near_sec, '') WHEN {flags['sec']} THEN concat_ws('+', near_id, near_fin) ELSE concat_ws('+', near_id, near_sec) END AS partners FROM linked
+WHERE rank < 3 OR (kind = 'ident' AND near_sec IS NOT NULL) OR (kind = 'secret' AND (near_id IS NOT NULL OR near_fin IS NOT NULL)) OR (kind = 'endpoint' AND near_id IS NOT NULL AND near_sec IS NOT NULL))""")
+    steps.append("""g AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+string_agg(span, ',' ORDER BY place) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY place) AS spans, string_agg(span || '>' || partners, ',' ORDER BY place) FILTER (WHERE partners <> '') AS links FROM kept GROUP BY rid)""")
+    return ",\n".join(steps) + "\nSELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links FROM d LEFT JOIN g USING (rid)"
 
 
 ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets()}
