@@ -3,9 +3,9 @@
 Each letter has a fixed random vector of +1 and -1; an n-gram is the product of its letters' vectors, each permuted (rotated) by its place; a document is the
 sum of its n-grams, a language the sum of its documents' (each scaled to one). A document gets the language of the highest cosine.
 
-Letters are lower-cased; those beyond Latin share CODES - 1 vectors by their code point. A word's edges count as a letter. Prototypes learn from at most
-`most` labelled rows (the first by a hash of their id), one of the parameters. Texts are read whole. Null texts and texts without a letter are `und` with score
-0. Null labels are left out; with none at all, everything is `und`. An empty table gives an empty table.
+Letters are lower-cased; those beyond a-z share CODES - 27 vectors by a mix of their code point and its block, so that scripts overlap by chance only. A word's edges count as a letter. Prototypes learn from at most
+`most` labelled rows of at most `longest` bytes each (the first by a hash of their id), two of the parameters. Texts are read whole. Null texts and texts without a letter are `und` with score
+0. Null labels are left out; with none at all, everything is `und`. Of equal cosines the first language by name wins. Repeated rows are predicted each on their own. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .held import first_by_hash, held_out
 
-DIM, CODES, N, MOST_LABELLED = 512, 64, 3, 12_000
+DIM, CODES, N, MOST_LABELLED, LONGEST = 512, 96, 3, 12_000, 1 << 15
 
 
 @lru_cache(1)
@@ -38,7 +38,7 @@ def letter_codes() -> np.ndarray:
         c = chr(p)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[p] = low - 96 if 97 <= low <= 122 else 27 + low % (CODES - 27)
+            out[p] = low - 96 if 97 <= low <= 122 else 27 + (low + 31 * (low >> 7)) % (CODES - 27)
     return out
 
 
@@ -132,15 +132,15 @@ def fit(texts: list[str], langs: list[str]) -> Prototypes:
         used = a + np.flatnonzero(sums[:, a : a + 8192].any(0))
         if len(used):
             vectors += sums[:, used] @ bound(used)
-    # what all languages have in common tells none from another
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return Prototypes(names, vectors.astype(np.float32))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_LABELLED) -> Prototypes:
-    usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_LABELLED, longest: int = LONGEST) -> Prototypes:
+    usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= longest))
     few = first_by_hash(usable.select("doc_id"), "doc_id", most)
-    rows = usable.join(F.broadcast(few.distinct()), "doc_id", "left_semi").orderBy("doc_id").collect()
+    rows = usable.join(F.broadcast(few.distinct()), "doc_id", "left_semi").orderBy("doc_id", "lang", F.xxhash64("text")).limit(most).collect()  # ids may repeat
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
@@ -159,6 +159,7 @@ def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col
                 lang.append(m.names[k] if k >= 0 else "und")
                 score.append(round(min(1.0, max(0.0, float(c[k]))), 6) if k >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        tv.give_back()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return d.mapInArrow(apply, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")

@@ -5,7 +5,7 @@ A known sentence is one piece, or several in a row: it may be wrapped over lines
 Sentences that a licence is known by get their identifiers, the longest that fits first; the sequence of identifiers of a text is matched against licence rules in order, longest first: a
 rule is a run of identifiers without another known sentence between. A run that matched is used up, so a full licence isn't also its notice.
 
-Null texts count as empty and have no licence. Rows are independent: there is no shuffle. Texts are read whole. An empty table gives an empty table.
+Null texts count as empty and have no licence. Rows are independent, repeated ones too: there is no shuffle. Texts are read whole. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations

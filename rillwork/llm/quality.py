@@ -5,7 +5,7 @@ per cost, each only over the rows that no earlier rule rejected. The verdict is
 the measured order changes the time taken, never the result.
 
 Null texts count as empty: no words, so the minimum length rejects them. Rows are independent: repeated rows get equal results,
-an empty table gives an empty table, and texts of any length are read whole.
+an empty table gives an empty table, texts of any length are read whole, and extra columns are not read (keep_good carries them along).
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-#: Words of a window that is looked for twice.
-WINDOW = 8
+#: Words of a window that is looked for twice, and bytes of a text that costs are measured on.
+WINDOW, LONGEST_SAMPLED = 8, 1 << 16
 
 
 class Texts:
@@ -189,8 +189,8 @@ def measured_order(sample: list[str], rules: tuple[Rule, ...] = RULES) -> tuple[
 
 
 def order_for(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> tuple[Rule, ...]:
-    """Measures on at most sample_rows rows of a thin sample; it reads only as many partitions as these take."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).sample(0.05, seed=7).limit(sample_rows).collect()
+    """Measures on at most sample_rows rows of a thin sample of texts of at most LONGEST_SAMPLED bytes; it reads only as many partitions as these take."""
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.octet_length("t") <= LONGEST_SAMPLED).sample(0.05, seed=7).limit(sample_rows).collect()
     return measured_order([r.t for r in rows], rules)
 
 
@@ -219,6 +219,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if cols:
                 arrays = {k: np.concatenate(v) for k, v in cols.items()}
                 yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(arrays[k], pa.bool_() if k in ("kept", "base_failed") else pa.int64()) for k in fields], ["doc_id", *fields])
+        tv.give_back()
 
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"] if stats else ["kept"]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -235,8 +236,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     names = [r.name for r in order]
 
     @F.arrow_udf("boolean")
-    def passes(texts: pa.Array) -> pa.Array:
-        got = [cascade(Texts(buf, off), [RULES_BY_NAME[n] for n in names]) for _, buf, off in tv.text_chunks(texts)]
-        return pa.array(np.concatenate(got) if got else np.zeros(0, bool), pa.bool_())
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            got = [cascade(Texts(buf, off), [RULES_BY_NAME[n] for n in names]) for _, buf, off in tv.text_chunks(texts)]
+            yield pa.array(np.concatenate(got) if got else np.zeros(0, bool), pa.bool_())
+        tv.give_back()
 
     return docs.where(passes(F.col(text_col)))

@@ -3,9 +3,9 @@
 A sentence's probability is logistic in its words and their first BEGINNING bytes (hashed into BUCKETS weights); a document's is the noisy-or 1 - prod(1 - p) of its sentences'. The weights are
 fitted to document labels alone, by gradient steps on the noisy-or likelihood; the sentences' own scores then locate the offending ones.
 
-The fit uses at most `most` labelled rows (the first by a hash of their id), one of the parameters. Scoring reads every text whole. Null, empty and wordless
+The fit uses at most `most` labelled rows of at most `longest` bytes of text each (the first by a hash of their id), two of the parameters. Scoring reads every text whole. Null, empty and wordless
 texts have no sentence and score 0. Labels of a repeated id count once each; null labels are left out. With no usable label, or labels of one kind only, the
-score is that of the prior. An empty table gives an empty table.
+score is that of the prior. Equal texts get equal scores; repeated rows are scored each on their own. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .held import first_by_hash, held_out
 
-BUCKETS, BEGINNING, LEAST_DOCS, MOST_LABELLED, THRESHOLD = 1 << 18, 5, 4, 6_000, 0.3
+BUCKETS, BEGINNING, LEAST_DOCS, MOST_LABELLED, LONGEST, THRESHOLD = 1 << 18, 5, 4, 6_000, 1 << 15, 0.3
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A, 0x3B]] = True
 
@@ -111,10 +111,11 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 120, sparsity: float
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> NoisyOr:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED, longest: int = LONGEST) -> NoisyOr:
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     few = first_by_hash(usable, "doc_id", most)  # at most `most` rows of an id and a digit
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").orderBy("doc_id", "y").collect()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    rows = texts.join(F.broadcast(few), "doc_id").orderBy("doc_id", "y", F.xxhash64("text")).limit(most).collect()  # ids may repeat
     return fit([r.text for r in rows], np.array([r.y for r in rows], np.int64))
 
 
@@ -127,17 +128,26 @@ def _score(model: NoisyOr, texts: pa.Array) -> Iterator[tuple]:
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted."""
+    """One row per input row: doc_id, held_out, score, predicted, n_offending and offending: the sentences whose own probability is the threshold or more, as start:end in code points (end exclusive), joined by commas."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.concatenate([np.zeros(0), *(x[-1] for x in _score(shared.value, b.column(2)))])
-            s = np.round(np.clip(s, 0, 1), 9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            scores, where = [np.zeros(0)], [[] for _ in range(b.num_rows)]
+            for at, buf, off, p, row, a, z, s in _score(shared.value, b.column(2)):
+                scores.append(s)
+                bad = np.flatnonzero(p >= threshold)
+                if len(bad):
+                    points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+                    begin = points[off[row[bad]]]
+                    for r, i, j in zip(row[bad].tolist(), (points[a[bad]] - begin).tolist(), (points[z[bad]] - begin).tolist(), strict=True):
+                        where[at + r].append(f"{i}:{j}")
+            s = np.round(np.clip(np.concatenate(scores), 0, 1), 9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([len(w) for w in where], pa.int64()), pa.array([",".join(w) for w in where], pa.string())], ["doc_id", "held_out", "score", "predicted", "n_offending", "offending"])
+        tv.give_back()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return d.mapInArrow(apply, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return d.mapInArrow(apply, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_offending long, offending string")
 
 
 def offending(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ A word (a run without ASCII white space) is read byte by byte, with a leading sp
 longest match of its string, pieces popped greedily, leaves the rest; the number of pieces popped on that way is precomputed. So each byte costs
 constant amortised time, whatever the word. Vocabularies hold all single bytes, so every word splits.
 
-Null and blank texts have no words and no tokens. Rows are independent; texts and words are read whole, however long; an empty table gives an empty table.
+Null and blank texts have no words and no tokens. Rows are independent; texts and words are read whole, however long; an empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -122,6 +122,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_words.append(np.bincount(row, minlength=len(off) - 1))
                 n_tokens.append(np.bincount(row, each[at], minlength=len(off) - 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_tokens), pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        known.clear()
+        tv.give_back()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(apply, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")

@@ -35,6 +35,27 @@ def brute_quality(s):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", s)), dup, len(cover), n < 20 or 100 * len(cover) > 30 * n
 
 
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_and_words_are_compared_in_full(spark, monkeypatch):
+    """Words that a polynomial hash confuses, and a hash that confuses everything."""
+    a, b = thue_morse(1024)
+    texts = [f"{a}\n{b}\n{a}", " ".join([a] * 7 + [b] + [b] * 7 + [a]), "x y\nx y\ny x " * 4, f"{a} {b}"]
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(quality.tv, "run_hashes", lambda buf, s, e: np.zeros(len(s), np.uint64))
+            monkeypatch.setattr(quality.tv, "mix", lambda h: h * np.uint64(0))
+        t = quality.Texts(*next((x, o) for _, x, o in quality.tv.text_chunks(quality.pa.array(texts))))
+        for k, s in enumerate(texts):
+            assert (t.n_words[k], t.lines[1][k], t.n_repeat_words[k]) == (brute_quality(s)[0], *brute_quality(s)[3:5])
+        assert t.n_echoes[3] == 0 and t.n_echoes[1] == 13
+
+
 def test_quality_base_and_order(spark):
     got = {r.doc_id: r for r in quality.quality_rules(edged(spark)).collect()}
     for r in edged(spark).collect():
@@ -77,12 +98,16 @@ def test_secret_spans_against_python(spark):
         assert set(filter(None, text.split(","))) <= set(by[r.doc_id].spans.split(","))
     assert by[2].spans.startswith("ident:0:9,") and "endpoint:" in by[2].spans and by[2].spans.count("ident") == 1
     assert secretscan.scan(d.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "user: bob secret=longenough1 " + "x" * 300 + " token=abcdefgh9", "x", 1)], "doc_id long, text string, spans string, row_id int")
+    assert secretscan.scan(clash).collect()[0].links == "ident:0:9>assign:10:28,assign:10:28>ident:0:9"
 
 
 def test_license_rules(spark):
     rows = [(1, None), (2, "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. Released under the MIT License."), (3, "The licence of a driver."), (4, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2].licenses == "Apache-2.0,MIT" and got[2].sentence_ids == "1 3 10" and got[2].n_matches == 2
+    again = spark.createDataFrame([(1, "", "x")] + [(2, "Released under the MIT License", "y")] * 2, "doc_id long, text string, licenses string")
+    assert sorted((r.doc_id, r.licenses) for r in licenses.scan(again).collect()) == [(1, ""), (2, "MIT"), (2, "MIT")]
     assert got[1].licenses == got[3].licenses == got[4].licenses == "" and got[4].n_sentences == 1
 
 
@@ -178,6 +203,26 @@ def test_toxicity_learns_words_from_documents(spark):
     assert all(got[i].held_out for i in held) and np.mean([got[i].predicted == rows[i][2] for i in held]) > 0.97
     assert got[-1].score == got[-2].score == got[-3].score == 0 and got[-4].predicted == 1
     assert [r.sentence for r in toxicity.offending(edge, m).collect()] == ["you villain"]
+    clash = spark.createDataFrame([(5, "é漢. you villain! fine. a scoundrel it is", "x", 3)] * 2 + [(6, "nice words " * 40_000 + ". villain", "x", 3)], "doc_id long, text string, held_out string, score int")
+    located = {r.doc_id: r for r in toxicity.score(clash, m).collect()}
+    assert located[5].n_offending == 2 and located[5].offending == "4:15,23:40" and located[6].n_offending == 1 and toxicity.score(clash, m).count() == 3
+
+
+def test_noisy_or_against_a_loop():
+    import pyarrow as pa
+
+    g = np.random.default_rng(1)
+    model = toxicity.NoisyOr(g.normal(0, 1, toxicity.BUCKETS), -1.0)
+    texts = ["One two. three four five! six", "", "seven eight; nine\nten ten ten", "a. b. c. d"]
+    got = np.concatenate([x[-1] for x in toxicity._score(model, pa.array(texts))])
+    for text, s in zip(texts, got, strict=True):
+        left = 1.0
+        for sentence in re.split(r"[.!?;\n]", text):
+            buf = np.frombuffer(sentence.encode(), np.uint8)
+            words = toxicity.sentence_words(buf, np.array([0, len(buf)]))[0] if len(buf) else []
+            if len(words):
+                left *= 1 - 1 / (1 + np.exp(-(sum(model.weights[w] for w in set(words.tolist())) - 1.0)))
+        assert abs(1 - left - s) < 1e-9
     assert toxicity.fit([], np.zeros(0, int)).bias < 0
 
 
@@ -189,6 +234,33 @@ def test_languages(spark):
     assert (j.lang_pred == j.lang)[j.held_out].mean() > 0.97 and j.score.between(0, 1).all()
     assert set(got[got.doc_id < 0].lang_pred) == {"und"}
     assert set(langid.predict(d, langid.fit([], [])).toPandas().lang_pred) == {"und"}
+    long = spark.createDataFrame([(1, "the words of this text are english " * 20_000, "x", 1)] * 2, "doc_id long, text string, lang_pred string, score int")
+    assert [r.lang_pred for r in langid.predict(long, m).collect()] == ["en", "en"]
+
+
+def test_language_cosines_against_a_loop():
+    import pyarrow as pa
+
+    texts = ["the cat and the dog", "der Hund und die Katze", "и кошка и собака", "ο σκύλος και η γάτα", "the dog", "und die", "собака", "η γάτα"]
+    model = langid.fit(texts[:4], ["en", "de", "ru", "el"])
+    v = langid.letters()
+
+    def vector(grams):
+        out = np.zeros(langid.DIM)
+        for g, n in grams.items():
+            a, b, c = g // langid.CODES**2, g // langid.CODES % langid.CODES, g % langid.CODES
+            out += n * np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+        return out
+
+    bags = [dict(zip(g.tolist(), n.tolist(), strict=True)) for g, n in langid.profiles(pa.array(texts))]
+    unit = lambda x: x / np.linalg.norm(x)
+    proto = {k: unit(vector(b)) for k, b in zip(["en", "de", "ru", "el"], bags[:4], strict=True)}
+    score = model.scorer()
+    for (g, n), bag, want in zip(langid.profiles(pa.array(texts[4:])), bags[4:], ["en", "de", "ru", "el"], strict=True):
+        got = dict(zip(model.names, score(g, n), strict=True))
+        assert all(abs(got[k] - unit(vector(bag)) @ proto[k]) < 1e-4 for k in proto) and max(got, key=got.get) == want
+    same = langid.fit(["abc", "abc"], ["b", "a"])
+    assert same.names[int(same.scorer()(*next(langid.profiles(pa.array(["abc"])))).argmax())] == "a"
 
 
 def test_language_grams_against_a_loop(spark):
@@ -201,7 +273,7 @@ def test_language_grams_against_a_loop(spark):
         for ch in s:
             if ch.isalpha():
                 low = ord(ch.lower()[0])
-                codes.append(low - 96 if 97 <= low <= 122 else 27 + low % (langid.CODES - 27))
+                codes.append(low - 96 if 97 <= low <= 122 else 27 + (low + 31 * (low >> 7)) % (langid.CODES - 27))
             elif codes[-1]:
                 codes.append(0)
         codes.append(0)
