@@ -150,6 +150,16 @@ def ring_area_m2(points: Column) -> Column:
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
+def repaired_ring(points: Column) -> Column:
+    """G-27: a ring without null, repeated and closing points; null if fewer than three are left or they have no area."""
+    real = F.filter(points, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    apart = F.filter(real, lambda p, i: (i == 0) | (p != F.try_element_at(real, i)))
+    n = F.size(apart)
+    closed = (n > 1) & (F.try_element_at(apart, F.lit(1)) == F.try_element_at(apart, n))
+    ring = F.when(closed, F.slice(apart, F.lit(1), n - 1)).otherwise(apart)
+    return F.when((F.size(ring) >= 3) & (ring_area_m2(ring) > 0), ring)
+
+
 def line_length(points: Column) -> Column:
     """M-19."""
     steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(points), F.lit(2))), lambda i: F.hypot(F.try_element_at(points, i)["x"] - F.try_element_at(points, i - 1)["x"], F.try_element_at(points, i)["y"] - F.try_element_at(points, i - 1)["y"]))

@@ -106,8 +106,9 @@ def _mapped(f) -> Callable[[Column], Column]:  # noqa: ANN001
 
 
 def folded(name: Column) -> Column:
-    """F-01 for any script."""
-    return _mapped(fold)(name)
+    """F-01 for any script: plain Latin letters are folded in the JVM, only the other names go to Python."""
+    plain = name.isNull() | ~name.rlike(r"[^\x00-\x7F]")
+    return F.when(plain, folded_latin(name)).otherwise(_mapped(lambda x: None if x is None else fold(x))(F.when(~plain, name)))
 
 
 def without_marks(name: Column) -> Column:
@@ -150,6 +151,12 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(text, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
+def titled(name: Column) -> Column:
+    """F-09: without marks, each word's first letter large; only names with marks go to Python."""
+    plain = name.isNull() | ~name.rlike(r"[^\x00-\x7F]")
+    return F.initcap(F.trim(F.when(plain, name).otherwise(without_marks(F.when(~plain, name)))))
+
+
 def display_hierarchy(parts: Column) -> Column:
     """F-08: title-cased parts, without blanks and repeats of the one before, joined by commas."""
     clean = F.filter(F.transform(parts, lambda p: F.initcap(F.trim(p))), lambda p: p.isNotNull() & (p != ""))

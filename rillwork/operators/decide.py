@@ -23,6 +23,20 @@ def weights_for(names: tuple[str, ...], override: dict[str, float] | None = None
     return {n: w / sum(part.values()) for n, w in part.items()}
 
 
+def weights_from(requests: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """X-35, U-02: requests(id, weights: JSON object of criterion to weight, or null) -> id, weights map made to sum to one, problem: not an object of numbers, an unknown criterion, a negative one, all zero. Null
+    takes the priorities; criteria in use that aren't named count 0."""
+    got = F.from_json("weights", "map<string,double>")
+    unknown = F.array_sort(F.filter(F.map_keys("w"), lambda k: ~k.isin(*names)))
+    sums = F.aggregate(F.map_values("w"), F.lit(0.0), lambda s, v: s + v)
+    default = F.create_map(*[F.lit(x) for kv in weights_for(names).items() for x in kv])
+    bad = F.col("weights").isNotNull() & (F.col("w").isNull() | (F.size("w") == 0) | F.exists(F.map_values("w"), lambda v: v.isNull()))
+    d = requests.withColumn("w", got)
+    why = F.when(bad, "not numbers by criterion").when(F.size(unknown) > 0, F.concat(F.lit("unknown: "), F.array_join(unknown, ", "))).when(F.exists(F.map_values("w"), lambda v: v < 0), "negative").when(sums <= 0, "all zero")
+    made = F.map_from_entries(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n, F.coalesce(F.try_element_at("w", n), F.lit(0.0)) / sums)))
+    return d.withColumn("problem", F.when(F.col("weights").isNotNull(), why)).select("id", F.when(F.col("weights").isNull(), default).when(F.col("problem").isNull(), made).alias("weights"), "problem")
+
+
 def ahp(matrices: DataFrame, rounds: int = 60) -> DataFrame:
     """D-06, X-14: matrices(id, m array<array<double>>) -> weights (principal eigenvector, by power iteration), row_mean, lambda_max, ci, cr, consistent (cr below the limit)."""
     n = F.size("m")
@@ -169,5 +183,5 @@ def job_progress(steps: DataFrame) -> DataFrame:
         F.bool_or((F.col("state") == "failed") & ~F.col("required")).alias("some"),
     )
     state = F.when(F.col("bad"), "failed").when(~F.col("ended"), "running").when(F.col("some"), "partial").otherwise("done")
-    pct = F.when(state.isin("done", "partial"), 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(99), F.rint("earned").cast("int"))))
+    pct = F.when(state.isin("done", "partial"), 100).otherwise(F.greatest(F.lit(0), F.least(F.lit(99), F.rint(F.round("earned", 6)).cast("int"))))
     return g.select("job_id", pct.alias("pct"), state.alias("state"))

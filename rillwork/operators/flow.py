@@ -17,11 +17,13 @@ KEY = ["grid_id", "row", "col"]
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Uses the cluster's folder; sets one of its own only where none is set, as in tests."""
+    """Uses the cluster's folder spark.checkpoint.dir. Only a local session may go without: it gets one beside its warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:"), "checkpoints")
-        sc.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:"), "checkpoints"))
 
 
 def _doubled(flow: DataFrame, start: dict[str, Column], pull: dict[str, Column], push: dict[str, Column]) -> DataFrame:
@@ -59,7 +61,7 @@ def catchments(flow: DataFrame, sites: DataFrame, cell_m: float = 1.0) -> DataFr
     """G-09, G-10: sites(site_id, grid_id, row, col) -> site_id, grid_id, row, col, dist for every cell that drains through the site's cell, dist along the flow.
 
     Sites that lie upstream of others get catchments of their own, so a cell may be in several: outlets are cut loose, and nested catchments are then put together along the
-    chain of outlets, which is as short as sites are few.
+    chain of outlets, whose length doubles each round.
     """
     outlets = sites.select("grid_id", "row", "col").distinct().withColumn("__site", F.lit(True))
     cut = flow.join(outlets, KEY, "left")
@@ -70,12 +72,16 @@ def catchments(flow: DataFrame, sites: DataFrame, cell_m: float = 1.0) -> DataFr
     below = cut.where("__site").select("grid_id", F.col("row").alias("end_row"), F.col("col").alias("end_col"), F.col("down_row"), F.col("down_col"), step.alias("step"))
     hop = below.join(own.select("grid_id", F.col("row").alias("down_row"), F.col("col").alias("down_col"), F.col("end_row").alias("to_row"), F.col("end_col").alias("to_col"), F.col("dist").alias("more")), ["grid_id", "down_row", "down_col"])
     hop = hop.select("grid_id", "end_row", "end_col", "to_row", "to_col", (F.col("step") + F.col("more")).alias("add")).checkpoint()
-    reached, level = own, own
-    while True:
-        level = level.join(hop, ["grid_id", "end_row", "end_col"]).select("grid_id", F.col("to_row").alias("end_row"), F.col("to_col").alias("end_col"), "row", "col", (F.col("dist") + F.col("add")).alias("dist")).checkpoint()
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
+    # all outlets below an outlet: chains of up to 2, 4, 8, ... hops, and then every cell once by its own outlet
+    chains, jump = hop, hop
+    ends = lambda d, n: d.select("grid_id", F.col("end_row").alias("to_row"), F.col("end_col").alias("to_col"), F.col("to_row").alias("far_row"), F.col("to_col").alias("far_col"), F.col("add").alias(n))
+    joined = lambda a, b: a.join(ends(b, "more"), ["grid_id", "to_row", "to_col"]).select("grid_id", "end_row", "end_col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("add") + F.col("more")).alias("add"))
+    while not jump.isEmpty():
+        further = joined(jump, chains).checkpoint()
+        jump = joined(jump, jump).checkpoint()
+        chains = chains.unionByName(further)
+    below = own.join(chains, ["grid_id", "end_row", "end_col"]).select("grid_id", F.col("to_row").alias("end_row"), F.col("to_col").alias("end_col"), "row", "col", (F.col("dist") + F.col("add")).alias("dist"))
+    reached = own.select("grid_id", "end_row", "end_col", "row", "col", "dist").unionByName(below)
     at = sites.select("site_id", "grid_id", F.col("row").alias("end_row"), F.col("col").alias("end_col"))
     return reached.join(at, ["grid_id", "end_row", "end_col"]).select("site_id", *KEY, "dist")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from rillwork.operators.terrain import D8
 
 EPSILON, FLAT_GRADIENT, BREACH_SHARE, MAX_BREACH_M, MAX_BREACH_CELLS, CARVE = 1e-6, 0.001, 0.15, 2.0, 40, 1e-3
 STEPS = tuple((dr, dc) for _, dr, dc, _ in D8)
+#: Cells of triangles' boxes that are worked on at once.
+CELLS_AT_ONCE = 1 << 18
 DISTANCE = tuple(math.sqrt(2) if dr and dc else 1.0 for dr, dc in STEPS)
 
 
@@ -49,23 +51,31 @@ def outlets(z: np.ndarray) -> np.ndarray:
 
 def fill(z: np.ndarray, eps: float = EPSILON) -> np.ndarray:
     """G-01: flooding inward from outlets, lowest first; a cell rises to eps above the neighbour that reaches it. The least W with W = max(z, lowest neighbour's W + eps), W = z at outlets."""
-    out = np.where(np.isfinite(z), z, np.nan).astype(float)
-    done = ~np.isfinite(z)
     n, m = z.shape
-    start = outlets(z)
-    heap = [(float(out[r, c]), int(r * m + c)) for r, c in zip(*np.nonzero(start), strict=True)]
-    done |= start
+    wide = m + 2
+    # flat lists with a rim that is done: plain numbers are faster than array cells here
+    level = np.full((n + 2, wide), np.nan)
+    level[1:-1, 1:-1] = np.where(np.isfinite(z), z, np.nan)
+    start = np.flatnonzero(np.pad(outlets(z), 1))
+    done = ~np.isfinite(level).ravel()
+    done[start] = True
+    out, seen = level.ravel().tolist(), bytearray(done.tobytes())
+    around = [dr * wide + dc for dr, dc in STEPS]
+    heap = [(out[at], at) for at in start.tolist()]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        level, at = heapq.heappop(heap)
-        r, c = divmod(at, m)
-        for dr, dc in STEPS:
-            i, j = r + dr, c + dc
-            if 0 <= i < n and 0 <= j < m and not done[i, j]:
-                done[i, j] = True
-                out[i, j] = max(out[i, j], level + eps)
-                heapq.heappush(heap, (float(out[i, j]), i * m + j))
-    return out
+        least, at = pop(heap)
+        least += eps
+        for o in around:
+            q = at + o
+            if not seen[q]:
+                seen[q] = 1
+                v = out[q]
+                if v < least:
+                    v = out[q] = least
+                push(heap, (v, q))
+    return np.array(out).reshape(n + 2, wide)[1:-1, 1:-1]
 
 
 def label(mask: np.ndarray, steps: tuple = STEPS) -> np.ndarray:
@@ -85,6 +95,14 @@ def label(mask: np.ndarray, steps: tuple = STEPS) -> np.ndarray:
     return numbered.reshape(mask.shape) + (0 if not mask.all() else 1) if mask.any() else np.zeros(mask.shape, int)
 
 
+def by_label(labels: np.ndarray) -> list[np.ndarray]:
+    """Flat indices, ascending, of the cells of each label 1, 2, ...: one sort for all labels."""
+    flat = labels.ravel()
+    on = np.flatnonzero(flat > 0)
+    on = on[np.argsort(flat[on], kind="stable")]
+    return np.split(on, np.searchsorted(flat[on], np.arange(2, int(flat.max(initial=0)) + 1))) if len(on) else []
+
+
 def flatness(z: np.ndarray, cell: float) -> float:
     """A-15."""
     ok = np.isfinite(z)
@@ -95,8 +113,8 @@ def flatness(z: np.ndarray, cell: float) -> float:
     return float((steep[ok] < FLAT_GRADIENT).mean()) if ok.any() else 0.0
 
 
-def breach_path(z: np.ndarray, region: np.ndarray, pit: tuple[int, int], max_cost: float, max_cells: int) -> list[tuple[int, int]] | None:
-    """G-04: the cheapest way out of a depression: the cost is the sum of heights above the pit; it ends at a lower cell outside, or where nodata or the edge is next."""
+def breach_path(z: np.ndarray, region: np.ndarray, pit: tuple[int, int], max_cost: float, max_cells: int, number: int = 1) -> list[tuple[int, int]] | None:
+    """G-04: the cheapest way out of a depression, the cells that have that number in region: the cost is the sum of heights above the pit; it ends at a lower cell outside, or where nodata or the edge is next."""
     n, m = z.shape
     base = z[pit]
     best = {pit: 0.0}
@@ -109,7 +127,7 @@ def breach_path(z: np.ndarray, region: np.ndarray, pit: tuple[int, int], max_cos
         r, c = at
         around = [(r + dr, c + dc) for dr, dc in STEPS]
         off = any(not (0 <= i < n and 0 <= j < m) or not math.isfinite(z[i, j]) for i, j in around)
-        if at != pit and ((not region[at] and z[at] < base) or off):
+        if at != pit and ((region[at] != number and z[at] < base) or off):
             path = []
             while at is not None:
                 path.append(at)
@@ -133,11 +151,9 @@ def breach_then_fill(z: np.ndarray, max_depth: float = MAX_BREACH_M, max_cells:
     deep = np.nan_to_num(fill(z) - z) > 0
     regions = label(deep)
     carved, failed = 0, 0
-    for k in range(1, regions.max() + 1):
-        own = regions == k
-        cells = np.argwhere(own)
-        pit = tuple(int(x) for x in cells[np.argmin(z[own])])
-        path = breach_path(z, own, pit, max_depth, max_cells)
+    for k, own in enumerate(by_label(regions), 1):
+        pit = divmod(int(own[np.argmin(z.ravel()[own])]), z.shape[1])
+        path = breach_path(z, regions, pit, max_depth, max_cells, k)
         if path is None:
             failed += 1
             continue
@@ -186,28 +202,30 @@ def pointers(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def topological(down: np.ndarray) -> list[int]:
-    """Cells from heads to mouths."""
+def waves(down: np.ndarray) -> Iterator[np.ndarray]:
+    """Cells from heads to mouths, in waves: each cell comes after all that drain into it."""
     to = down.ravel()
     waits = np.bincount(to[to >= 0], minlength=to.size)
-    queue = deque(np.flatnonzero(waits == 0).tolist())
-    order = []
-    while queue:
-        at = queue.popleft()
-        order.append(at)
-        if to[at] >= 0:
-            waits[to[at]] -= 1
-            if not waits[to[at]]:
-                queue.append(int(to[at]))
-    return order
+    wave = np.flatnonzero(waits == 0)
+    while len(wave):
+        yield wave
+        below = to[wave]
+        below = below[below >= 0]
+        np.subtract.at(waits, below, 1)
+        wave = np.unique(below[waits[below] == 0])
+
+
+def topological(down: np.ndarray) -> list[int]:
+    """Cells from heads to mouths."""
+    return np.concatenate([np.zeros(0, np.int64), *waves(down)]).tolist()
 
 
 def accumulation(code: np.ndarray) -> np.ndarray:
     """G-07, every cell counting itself."""
     to, acc = pointers(code).ravel(), np.ones(code.size, np.int64)
-    for at in topological(to):
-        if to[at] >= 0:
-            acc[to[at]] += acc[at]
+    for wave in waves(to):
+        wave = wave[to[wave] >= 0]
+        np.add.at(acc, to[wave], acc[wave])
     return acc.reshape(code.shape)
 
 
@@ -436,21 +454,27 @@ def delaunay(points: np.ndarray) -> np.ndarray:
 def interpolate(points: np.ndarray, z: np.ndarray, shape: tuple[int, int], cell: float) -> np.ndarray:
     """G-23: heights at cell centres (x = (col + .5) cell, y = (row + .5) cell) by plane within each triangle; NaN outside the hull."""
     out = np.full(shape, np.nan)
-    for a, b, c in delaunay(points):
-        (x0, y0), (x1, y1), (x2, y2) = points[a], points[b], points[c]
-        area = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
-        if abs(area) < 1e-12:
-            continue
-        c0, c1 = max(0, math.ceil(min(x0, x1, x2) / cell - 0.5 - 1e-9)), min(shape[1] - 1, math.floor(max(x0, x1, x2) / cell - 0.5 + 1e-9))
-        r0, r1 = max(0, math.ceil(min(y0, y1, y2) / cell - 0.5 - 1e-9)), min(shape[0] - 1, math.floor(max(y0, y1, y2) / cell - 0.5 + 1e-9))
-        if c0 > c1 or r0 > r1:
-            continue
-        x, y = (np.arange(c0, c1 + 1) + 0.5) * cell, (np.arange(r0, r1 + 1)[:, None] + 0.5) * cell
-        u = ((x - x0) * (y2 - y0) - (x2 - x0) * (y - y0)) / area
-        w = ((x1 - x0) * (y - y0) - (x - x0) * (y1 - y0)) / area
+    tri = delaunay(points)
+    if not len(tri):
+        return out
+    x, y, h = points[tri, 0], points[tri, 1], z[tri]
+    area = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])
+    first = lambda v: np.maximum(0, np.ceil(v.min(1) / cell - 0.5 - 1e-9)).astype(np.int64)
+    last = lambda v, most: np.minimum(most - 1, np.floor(v.max(1) / cell - 0.5 + 1e-9)).astype(np.int64)
+    r0, r1, c0, c1 = first(y), last(y, shape[0]), first(x), last(x, shape[1])
+    wide, n = c1 - c0 + 1, (np.maximum(0, r1 - r0 + 1) * np.maximum(0, c1 - c0 + 1)) * (np.abs(area) >= 1e-12)
+    # the cells of all triangles' boxes, some at a time
+    ends = np.cumsum(n)
+    cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + CELLS_AT_ONCE, CELLS_AT_ONCE), "right")
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        t = np.repeat(np.arange(s, e), n[s:e])
+        k = np.arange(len(t)) - np.repeat(ends[s:e] - n[s:e] - (ends[s - 1] if s else 0), n[s:e])
+        r, c = r0[t] + k // np.maximum(wide[t], 1), c0[t] + k % np.maximum(wide[t], 1)
+        dx, dy = (c + 0.5) * cell - x[t, 0], (r + 0.5) * cell - y[t, 0]
+        u = (dx * (y[t, 2] - y[t, 0]) - (x[t, 2] - x[t, 0]) * dy) / area[t]
+        w = ((x[t, 1] - x[t, 0]) * dy - dx * (y[t, 1] - y[t, 0])) / area[t]
         ok = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9)
-        part = out[r0 : r1 + 1, c0 : c1 + 1]
-        part[ok] = (z[a] + u * (z[b] - z[a]) + w * (z[c] - z[a]))[ok]
+        out[r[ok], c[ok]] = (h[t, 0] + u * (h[t, 1] - h[t, 0]) + w * (h[t, 2] - h[t, 0]))[ok]
     return out
 
 

@@ -28,8 +28,8 @@ def burned(features: DataFrame, cell_m: float, buffers: dict[str, float], bucket
     n = F.size("x")
     ends = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(F.element_at("x", i).alias("x0"), F.element_at("y", i).alias("y0"), F.element_at("x", i % n + 1).alias("x1"), F.element_at("y", i % n + 1).alias("y1"), (i == n).alias("last")))
     seg = f.where("size(x) > 0").select("grid_id", "kind", "reach", "closed", F.explode(ends).alias("s")).select("grid_id", "kind", "reach", "closed", "s.*").where("closed or not last")
-    lo = lambda a, b: F.greatest(F.lit(0), F.floor((F.least(a, b) - F.col("reach")) / cell_m).cast("int"))
-    hi = lambda a, b: F.floor((F.greatest(a, b) + F.col("reach")) / cell_m).cast("int")
+    lo = lambda a, b: F.greatest(F.lit(0), F.ceil((F.least(a, b) - F.col("reach")) / cell_m - 1e-9).cast("int") - 1)
+    hi = lambda a, b: F.floor((F.greatest(a, b) + F.col("reach")) / cell_m + 1e-9).cast("int")
     near = seg.withColumns({"c0": lo("x0", "x1"), "c1": hi("x0", "x1"), "r0": lo("y0", "y1"), "r1": hi("y0", "y1")}).where("c1 >= c0 and r1 >= r0")
     cells = near.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     hit = _square_to_segment(cell_m) <= F.col("reach") + 1e-9
@@ -71,6 +71,12 @@ def vetoes(cells: DataFrame, features: DataFrame, cell_m: float, max_upstream_ha
     return d.withColumn("reasons", all_).withColumn("excluded", F.size("reasons") > 0).drop("why")
 
 
+def outside_veto(cells: DataFrame, cell_m: float) -> DataFrame:
+    """S-02: cells(excluded, ring: the drawn area in metres from the grid's corner, y downwards) with inside, by the cell's centre, and excluded also outside of it."""
+    inside = registers.inside((F.col("col") + 0.5) * cell_m, (F.col("row") + 0.5) * cell_m, F.col("ring"))
+    return cells.withColumn("inside", inside).withColumn("excluded", F.col("excluded") | ~inside).drop("ring")
+
+
 def removed_by(cells: DataFrame) -> DataFrame:
     """A-18: grid_id, reason, cells; a cell counts under each of its reasons."""
     return cells.select("grid_id", F.explode("reasons").alias("reason")).groupBy("grid_id", "reason").agg(F.count(F.lit(1)).alias("cells"))

@@ -1,13 +1,16 @@
-"""Pond design, monthly water balance and their reports, as Column expressions: each row is a site."""
+"""Pond design, monthly water balance and their reports, as Column expressions and one Arrow kernel: each row is a site."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions import hydro
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+NEWTON = 16
 
 
 def interpolate(x: Column, points: Column) -> Column:
@@ -77,55 +80,72 @@ def design(sites: DataFrame, side_slope: float = hydro.SIDE_SLOPE, depths: tuple
 def water_balance(sites: DataFrame) -> DataFrame:
     """D-10, A-32: sites(runoff_mm (12), et0_mm (12), catchment_m2, bottom_length, bottom_width, depth, side_slope, capacity_m3, soil) -> sites with `balance`.
 
-    A fold over three years of months from an empty pond; the last year is reported. Losses follow the surface at the month's start and never exceed what is there.
+    Three years of months from an empty pond, as 36 array steps over all sites of a batch; the last year is reported. Losses follow the surface at the month's start and never exceed what is there. Sites without
+    twelve months, depth or capacity have no balance.
     """
-    bl, bw, z, depth = (F.col(c).cast("double") for c in ("bottom_length", "bottom_width", "side_slope", "depth"))
-    seep_rate = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hydro.SEEPAGE_MM_PER_DAY.items() for x in kv]), F.upper("soil")), F.lit(hydro.DEFAULT_SEEPAGE))
-    days = F.array(*[F.lit(x) for x in hydro.DAYS_IN_MONTH])
-    capacity = F.col("capacity_m3").cast("double")
-    month = "struct<month:int,inflow:double,evaporation:double,seepage:double,spill:double,storage:double,depth:double,area:double>"
-
-    def step(s: Column, i: Column) -> Column:
-        m = i % 12
-        inflow = F.element_at("runoff_mm", m + 1) / 1000 * F.col("catchment_m2")
-        # depth and area at the month's end were worked out by the month before
-        evap0 = F.element_at("et0_mm", m + 1) * hydro.OPEN_WATER / 1000 * s["area"]
-        seep0 = seep_rate * F.element_at(days, m + 1) / 1000 * s["area"]
-        full = s["storage"] + inflow
-        held = F.least(full, capacity)
-        wanted = evap0 + seep0
-        lost = F.least(held, wanted)
-        share = F.when(wanted > 0, lost / wanted).otherwise(0.0)
-        return F.struct(m.alias("month"), inflow.alias("inflow"), (evap0 * share).alias("evaporation"), (seep0 * share).alias("seepage"), F.greatest(F.lit(0.0), full - capacity).alias("spill"), F.greatest(F.lit(0.0), held - lost).alias("storage"), s["out"].alias("out"))
-
-    def with_level(t: Column) -> Column:
-        d = hydro.frustum_depth(bl, bw, z, depth, t["storage"])
-        area = F.when(t["storage"] > 0, hydro.frustum_area(bl, bw, z, depth, d)).otherwise(0.0)
-        row = F.struct(t["month"].alias("month"), t["inflow"].alias("inflow"), t["evaporation"].alias("evaporation"), t["seepage"].alias("seepage"), t["spill"].alias("spill"), t["storage"].alias("storage"), d.alias("depth"), area.alias("area"))
-        return F.struct(t["storage"].alias("storage"), area.alias("area"), F.concat(t["out"], F.array(row)).alias("out"))
-
-    # a one-element transform names the step's result, so that it is worked out once
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    start = F.struct(F.lit(0.0).alias("storage"), F.lit(0.0).alias("area"), F.array().cast(f"array<{month}>").alias("out"))
-    months = F.aggregate(F.sequence(F.lit(0), F.lit(12 * hydro.SPIN_UP_YEARS - 1)), start, lambda s, i: once(step(s, i), with_level), lambda s: F.slice(s["out"], 12 * (hydro.SPIN_UP_YEARS - 1) + 1, 12))
-    d = sites.withColumn("__m", F.when((depth > 0) & (capacity > 0) & (F.size("runoff_mm") == 12) & (F.size("et0_mm") == 12), months))
-    usable = hydro.USABLE_FRACTION * capacity
-    total = lambda f: F.aggregate(F.col("__m"), F.lit(0.0), lambda s, m: s + m[f])
-    wet = F.size(F.filter("__m", lambda m: m["storage"] > usable))
-    peak = F.array_max(F.transform("__m", lambda m: F.struct(m["storage"], (-m["month"]).alias("k"))))
-    after = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.element_at("__m", (-peak["k"] + k) % 12 + 1))
-    dry = F.try_element_at(F.filter(after, lambda m: m["storage"] <= usable), F.lit(1))["month"]
-    balance = F.struct(
-        F.col("__m").alias("months"),
-        wet.alias("months_with_water"),
-        (100.0 * wet / 12).alias("reliability_pct"),
-        peak["storage"].alias("peak_m3"),
-        total("spill").alias("spill_m3"),
-        total("evaporation").alias("evaporation_m3"),
-        total("seepage").alias("seepage_m3"),
-        F.element_at(F.array(*[F.lit(m) for m in MONTHS]), dry + 1).alias("dry_month"),
-    )
-    return d.withColumn("balance", F.when(F.col("__m").isNotNull(), balance)).drop("__m")
+    numbers = ("catchment_m2", "bottom_length", "bottom_width", "side_slope", "depth", "capacity_m3")
+    seepage = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hydro.SEEPAGE_MM_PER_DAY.items() for x in kv]), F.upper("soil")), F.lit(hydro.DEFAULT_SEEPAGE))
+    ok = (F.col("depth") > 0) & (F.col("capacity_m3") > 0)
+    for c in ("runoff_mm", "et0_mm"):
+        ok = ok & (F.size(c) == 12) & F.forall(c, lambda x: x.isNotNull())
+    for c in numbers[:4]:
+        ok = ok & F.col(c).isNotNull()
+    months = lambda c: F.when(ok, F.col(c).cast("array<double>")).otherwise(F.array_repeat(F.lit(0.0), 12))
+    balance = _balances()(months("runoff_mm"), months("et0_mm"), *[F.coalesce(F.when(ok, F.col(c)).cast("double"), F.lit(1.0)) for c in numbers], seepage)
+    return sites.withColumn("balance", F.when(ok, balance))
+
+
+def _balances():  # noqa: ANN202
+    """water_balance's kernel as a Column function; made when used, as that needs a session."""
+    month = (("month", pa.int32()), *[(n, pa.float64()) for n in ("inflow", "evaporation", "seepage", "spill", "storage", "depth", "area")])
+
+    def kernel(runoff: pa.Array, et0: pa.Array, catchment: pa.Array, bl: pa.Array, bw: pa.Array, z: pa.Array, depth: pa.Array, capacity: pa.Array, seepage: pa.Array) -> pa.Array:
+        rain, evap = (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, 12) for x in (runoff, et0))
+        catchment, bl, bw, z, depth, capacity, seepage = (x.to_numpy(zero_copy_only=False) for x in (catchment, bl, bw, z, depth, capacity, seepage))
+        n = len(rain)
+        surface = lambda d: (bl + 2 * z * d) * (bw + 2 * z * d)
+        volume = lambda d: d / 3 * (surface(d) + bl * bw + np.sqrt(surface(d) * bl * bw))
+        whole, storage, area, rows = volume(depth), np.zeros(n), np.zeros(n), []
+        for i in range(12 * hydro.SPIN_UP_YEARS):
+            m = i % 12
+            inflow = rain[:, m] / 1000 * catchment
+            out, leak = evap[:, m] * hydro.OPEN_WATER / 1000 * area, seepage * hydro.DAYS_IN_MONTH[m] / 1000 * area
+            full, wanted = storage + inflow, out + leak
+            held = np.minimum(full, capacity)
+            lost = np.minimum(held, wanted)
+            share = np.divide(lost, wanted, out=np.zeros(n), where=wanted > 0)
+            storage = np.maximum(0.0, held - lost)
+            # Newton's steps down from the full depth, as volume is convex in depth
+            d = depth.copy()
+            for _ in range(NEWTON):
+                d = np.clip(d - (volume(d) - storage) / surface(d), 0.0, depth)
+            d = np.where(storage <= 0, 0.0, np.where(storage >= whole, depth, d))
+            area = np.where(storage > 0, surface(d), 0.0)
+            rows.append((np.full(n, m, np.int32), inflow, out * share, leak * share, np.maximum(0.0, full - capacity), storage, d, area))
+        year = rows[-12:]
+        cube = {name: np.stack([r[k] for r in year], 1) for k, (name, _) in enumerate(month)}
+        wet = cube["storage"] > hydro.USABLE_FRACTION * capacity[:, None]
+        peak = cube["storage"].argmax(1)
+        after = (peak[:, None] + 1 + np.arange(12)) % 12
+        dry = ~np.take_along_axis(wet, after, 1)
+        first = after[np.arange(n), dry.argmax(1)]
+        total = lambda name: pa.array(cube[name].sum(1))
+        parts = pa.StructArray.from_arrays([pa.array(cube[name].ravel(), kind) for name, kind in month], [name for name, _ in month])
+        count = wet.sum(1)
+        columns = {
+            "months": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 12, pa.int32()), parts),
+            "months_with_water": pa.array(count, pa.int32()),
+            "reliability_pct": pa.array(100.0 * count / 12),
+            "peak_m3": pa.array(cube["storage"].max(1)),
+            "spill_m3": total("spill"),
+            "evaporation_m3": total("evaporation"),
+            "seepage_m3": total("seepage"),
+            "dry_month": pa.array(np.array([*MONTHS, None], object)[np.where(dry.any(1), first, 12)], pa.string()),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    each = "month int, inflow double, evaporation double, seepage double, spill double, storage double, depth double, area double"
+    return F.arrow_udf(kernel, f"months array<struct<{each.replace(' ', ':').replace(',:', ', ')}>>, months_with_water int, reliability_pct double, peak_m3 double, spill_m3 double, evaporation_m3 double, seepage_m3 double, dry_month string")
 
 
 def expected_water(live: Column, dependable: Column) -> Column:

@@ -29,7 +29,7 @@ def link_places(places: DataFrame, areas: DataFrame) -> DataFrame:
     Exact before folded: district and sub, state and sub, sub alone. An ambiguous key never matches. Result: place_id, area_id (null if none), by (1 to 6).
     """
     clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    both = {"x": clean, "f": lambda c: names.folded_latin(c)}
+    both = {"x": clean, "f": names.folded}
     levels = [(k, up) for up in ("district", "state", None) for k in "xf"]
     p = places.select("place_id", *[f(F.col(c)).alias(f"{c}_{k}") for k, f in both.items() for c in ("state", "district", "sub")])
     a = areas.select("area_id", *[f(F.col(c)).alias(f"{c}_{k}") for k, f in both.items() for c in ("state", "district", "sub")])
@@ -50,17 +50,24 @@ def unmatched_top(links: DataFrame, places: DataFrame, n: int = 10) -> DataFrame
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
-    """J-06: left(l_id, l_name), right(r_id, r_name), folded -> l_id, r_id, sim. An inverted index of trigrams: pairs come from shared trigrams only, counted, never from a cross join.
+    """J-06: left(l_id, l_name), right(r_id, r_name), folded -> l_id, r_id, sim.
 
-    Trigrams are joined per distinct name, so that equal names don't multiply.
+    Prefix filtering: with each name's trigrams in order of rarity, two names of similarity `least` or more share one of the first n - ceil(least n) + 1 of either, and their sizes are within that ratio. So the
+    commonest trigrams are never joined on, and no pair is lost; candidates are compared in full. Names are joined once each, so that equal names don't multiply.
     """
-    ln = left.select(F.col("l_name").alias("name")).distinct().select("name", names.trigrams(F.col("name")).alias("t"))
-    rn = right.select(F.col("r_name").alias("name")).distinct().select("name", names.trigrams(F.col("name")).alias("t"))
-    a = ln.select(F.col("name").alias("l_name"), F.size("t").alias("ls"), F.explode("t").alias("g"))
-    b = rn.select(F.col("name").alias("r_name"), F.size("t").alias("rs"), F.explode("t").alias("g"))
-    n = a.join(b, "g").groupBy("l_name", "r_name", "ls", "rs").agg(F.count(F.lit(1)).alias("n"))
-    sim = n.withColumn("sim", F.col("n") / (F.col("ls") + F.col("rs") - F.col("n"))).where(F.col("sim") >= least)
-    return left.join(sim.select("l_name", "r_name", "sim"), "l_name").join(right, "r_name").select("l_id", "r_id", "sim")
+    grams = lambda d, c: d.select(F.col(c).alias("name")).distinct().select("name", names.trigrams(F.col("name")).alias("t")).where("size(t) > 0")
+    ln, rn = grams(left, "l_name"), grams(right, "r_name")
+    often = ln.unionByName(rn).select(F.explode("t").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(d: DataFrame, side: str) -> DataFrame:
+        ranked = d.select("name", F.explode("t").alias("g")).join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("t"))
+        n = F.size("t")
+        return ranked.select(F.col("name").alias(side + "_name"), F.transform("t", lambda x: x["g"]).alias(side + "t"), F.explode(F.slice("t", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))).alias("p")).select(side + "_name", side + "t", F.col("p.g").alias("g"))
+
+    near = (F.size("lt") * least <= F.size("rt") + 1e-9) & (F.size("rt") * least <= F.size("lt") + 1e-9)
+    met = prefix(ln, "l").join(prefix(rn, "r"), "g").where(near).dropDuplicates(["l_name", "r_name"])
+    sim = met.select("l_name", "r_name", names.similarity(F.col("lt"), F.col("rt")).alias("sim")).where(F.col("sim") >= least)
+    return left.join(sim, "l_name").join(right, "r_name").select("l_id", "r_id", "sim")
 
 
 def search(register: DataFrame, query: str, state: str | None = None, district: str | None = None, limit: int = DEFAULT_HITS) -> DataFrame:
@@ -131,6 +138,21 @@ def panchayat_lists(links: DataFrame) -> DataFrame:
     return links.groupBy("village_id").agg(F.array_sort(F.collect_list(F.struct("name", "code"))).alias("panchayats"))
 
 
+def village_rows(villages: DataFrame, areas: DataFrame, links: DataFrame) -> DataFrame:
+    """J-03, J-04, X-25: villages(village_id, name, area_id, lon, lat), areas(area_id, level, lon, lat), links(village_id, name, code) -> villages with a place: their own, else their area's centre, and which
+    (located: village, the area's level or none), and their panchayats in order."""
+    a = areas.select("area_id", "level", F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
+    d = villages.join(a, "area_id", "left").join(panchayat_lists(links), "village_id", "left")
+    located = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), "village").when(F.col("__lon").isNotNull(), F.col("level")).otherwise("none")
+    return d.select("village_id", "name", F.coalesce("lon", "__lon").alias("lon"), F.coalesce("lat", "__lat").alias("lat"), located.alias("located"), F.coalesce("panchayats", F.array().cast("array<struct<name:string,code:string>>")).alias("panchayats"))
+
+
+def orphans_by_level(areas: DataFrame, top: str = "state") -> DataFrame:
+    """A-23: level, orphans: areas below the top level whose parent isn't there."""
+    have = areas.select(F.col("area_id").alias("parent_id")).distinct()
+    return areas.where(F.col("level") != top).join(have, "parent_id", "left_anti").groupBy("level").agg(F.count(F.lit(1)).alias("orphans"))
+
+
 def link_stats(links: DataFrame) -> DataFrame:
     """A-22, W-02: links, villages, villages' links where a village has several."""
     n = F.count(F.lit(1)).over(Window.partitionBy("village_id"))
@@ -148,9 +170,22 @@ def resolve_filter(values: DataFrame, value: str) -> str:
     return hit[0][0] if hit else value
 
 
+def resolved(values: DataFrame, typed: DataFrame) -> DataFrame:
+    """J-17 for many filters: values(v), distinct spellings; typed(id, typed) -> id, value: the register's first spelling of the same folded name, or what was typed."""
+    first = values.select(names.folded(F.col("v")).alias("f"), "v").where("f <> ''").groupBy("f").agg(F.min("v").alias("v"))
+    return typed.withColumn("f", names.folded(F.col("typed"))).join(first, "f", "left").select("id", F.coalesce("v", "typed").alias("value"))
+
+
 def search_note(hits: DataFrame, unfiltered: DataFrame | None = None) -> DataFrame:
     """D-20: one row: why a search may be wrong: nothing found (or only outside the filters), or no strong match."""
     best = hits.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("match") == "trigram", F.col("sim")).otherwise(1.0)).alias("best"))
     other = (unfiltered if unfiltered is not None else hits.limit(0)).agg(F.count(F.lit(1)).alias("outside"))
     note = F.when((F.col("n") == 0) & (F.col("outside") > 0), "found only outside the filters").when(F.col("n") == 0, "nothing found").when(F.col("best") < STRONG, "no strong match")
     return best.crossJoin(F.broadcast(other)).select("n", "outside", note.alias("note"))  # one row each
+
+
+def datum_operations(operations: DataFrame) -> DataFrame:
+    """K-05, X-10: operations(source, operation, tier, ballpark, accuracy_m; tier 1 is for the area of interest) -> source, operation: of the first tier that has one the most accurate, unknown accuracy last, then by name;
+    ballpark ones never. A source without any has null: it is refused."""
+    best = operations.where(~F.col("ballpark")).groupBy("source").agg(F.min(F.struct("tier", F.col("accuracy_m").isNull().alias("unknown"), "accuracy_m", "operation")).alias("m"))
+    return operations.select("source").distinct().join(best.select("source", F.col("m.operation").alias("operation")), "source", "left")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.operators import decide, flow, kernels, terrain
+from rillwork.operators import decide, flow, kernels, land, terrain
 
 MAX_SLOPE, MIN_UPSTREAM_HA, THRESHOLD, SEPARATION, SATURATION, MIN_DEPTH, MIN_REGION_M2, EDGE = 8.0, 1.0, 0.55, 300.0, 3.0, 0.3, 100.0, 3
 # Land-cover classes and how far they may be used for ponds.
@@ -34,7 +34,7 @@ def masks(cells: DataFrame, cell_m: float, max_slope: float = MAX_SLOPE, upstrea
     if "excluded" in cells.columns:
         ok = ok & ~F.coalesce("excluded", F.lit(False))
     built = F.coalesce(ok, F.lit(False))
-    return cells.join(F.broadcast(sizes), "grid_id").withColumn("buildable", built).withColumn("feasible", built & (F.col("acc") >= least_cells(upstream_ha, cell_m))).drop("__r", "__c")
+    return cells.join(sizes, "grid_id").withColumn("buildable", built).withColumn("feasible", built & (F.col("acc") >= least_cells(upstream_ha, cell_m))).drop("__r", "__c")
 
 
 def scored(cells: DataFrame, override: dict[str, float] | None = None) -> DataFrame:
@@ -55,30 +55,27 @@ def regions(cells: DataFrame, cell_m: float, threshold: float = THRESHOLD, min_d
     high scores along channels (both at the cell of most flow). Means go over the region's allowed cells."""
 
     def find(z: np.ndarray, x: dict[str, np.ndarray]) -> list[dict]:
-        feasible, build = x["feasible"] > 0, x["buildable"] > 0
-        out = []
+        feasible, out = x["feasible"] > 0, []
+        flat = {k: v.ravel() for k, v in x.items()}
+        place = lambda at: divmod(int(at), z.shape[1])
+
+        def add(kind: str, own: np.ndarray, allowed: np.ndarray, site: int) -> None:
+            """own, allowed: flat indices of cells."""
+            top = own[flat["acc"][own].argmax()]
+            mean = lambda v: float(np.nanmean(v)) if np.isfinite(v).any() else None
+            (row, col), (outlet_row, outlet_col) = place(site), place(top)
+            means = {k: mean(flat[k][allowed]) for k in ("slope_pct", "concavity", "availability")}
+            out.append({"kind": kind, "cells": len(own), "row": row, "col": col, "outlet_row": outlet_row, "outlet_col": outlet_col, "depth_m": float(np.nanmax(np.append(flat["fill_depth"][own], 0))), "acc": int(flat["acc"][top])} | means)
 
-        def add(kind: str, own: np.ndarray, allowed: np.ndarray, site: tuple[int, int]) -> None:
-            top = np.unravel_index(int(np.where(own, x["acc"], -1).argmax()), z.shape)
-            mean = lambda a: float(np.nanmean(a[allowed])) if np.isfinite(a[allowed]).any() else None
-            has = np.isfinite(x["availability"][allowed]).any()
-            out.append({"kind": kind, "cells": int(own.sum()), "row": int(site[0]), "col": int(site[1]), "outlet_row": int(top[0]), "outlet_col": int(top[1]), "depth_m": float(np.nanmax(np.where(own, x["fill_depth"], 0))), "acc": int(x["acc"][top]), "slope_pct": mean(x["slope_pct"]), "concavity": mean(x["concavity"]), "availability": mean(x["availability"]) if has else None})
-
-        deep = kernels.label(np.nan_to_num(x["fill_depth"]) >= min_depth)
         least = max(4, int(MIN_REGION_M2 / cell_m**2))
-        for k in range(1, int(deep.max()) + 1):
-            own = deep == k
-            if own.sum() < least:
-                continue
-            allowed = own & feasible if (own & feasible).any() else own & build
-            if allowed.any():
-                site = np.unravel_index(int(np.where(allowed, x["fill_depth"], -1).argmax()), z.shape)
-                add("natural_depression", own, allowed, site)
-        group = kernels.clusters(feasible & (x["score"] >= threshold))
-        for k in range(int(group.max()) + 1):
-            own = group == k
-            site = np.unravel_index(int(np.where(own, x["acc"], -1).argmax()), z.shape)
-            add("channel_position", own, own, site)
+        for own in kernels.by_label(kernels.label(np.nan_to_num(x["fill_depth"]) >= min_depth)):
+            if len(own) >= least:
+                allowed = own[flat["feasible"][own] > 0]
+                allowed = allowed if len(allowed) else own[flat["buildable"][own] > 0]
+                if len(allowed):
+                    add("natural_depression", own, allowed, allowed[np.nan_to_num(flat["fill_depth"][allowed], nan=-1).argmax()])
+        for own in kernels.by_label(kernels.clusters(feasible & (x["score"] >= threshold)) + 1):
+            add("channel_position", own, own, own[flat["acc"][own].argmax()])
         return out
 
     d = cells.withColumns({c: F.col(c).cast("double") for c in ("feasible", "buildable", "acc", "fill_depth", "slope_pct", "concavity", "score")})
@@ -87,23 +84,29 @@ def regions(cells: DataFrame, cell_m: float, threshold: float = THRESHOLD, min_d
     return kernels.rows_on_grids(d, find, schema, extra=("feasible", "buildable", "acc", "fill_depth", "slope_pct", "concavity", "availability", "score"))
 
 
-def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, **options: float) -> DataFrame:
-    """D-05: cells(grid_id, row, col, z, cover?) -> the best sites of each grid: grid_id, rank, kind, row, col, outlet, score (0..100) and the region's figures.
-
-    Routing is on the filled surface, slope and concavity on the ground. The filled surface and its pointers are one kernel a grid.
-    """
-    flow.shared_checkpoints(cells.sparkSession)
+def routed(cells: DataFrame, cell_m: float) -> DataFrame:
+    """grid_id, row, col, filled, fdir, acc: the filled surface and its pointers, one kernel a grid."""
 
     def route(z: np.ndarray, _: dict) -> dict[str, np.ndarray]:
         filled = kernels.fill(z)
         code = kernels.direction(filled, cell_m)
         return {"filled": filled, "fdir": code.astype(np.int32), "acc": kernels.accumulation(code)}
 
-    routed = kernels.on_grids(cells, route, "filled double, fdir int, acc long")
+    return kernels.on_grids(cells, route, "filled double, fdir int, acc long")
+
+
+def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, features: DataFrame | None = None, **options: float) -> DataFrame:
+    """D-05: cells(grid_id, row, col, z, cover?) -> the best sites of each grid: grid_id, rank, kind, row, col, outlet, score (0..100) and the region's figures. Cells that are excluded, or that features veto, have none.
+
+    Routing is on the filled surface, slope and concavity on the ground.
+    """
+    flow.shared_checkpoints(cells.sparkSession)
     ground = terrain.concavity(terrain.slope(cells, cell_m))
-    d = ground.join(routed, ["grid_id", "row", "col"]).withColumn("fill_depth", F.col("filled") - F.col("z"))
+    d = ground.join(routed(cells, cell_m), ["grid_id", "row", "col"]).withColumn("fill_depth", F.col("filled") - F.col("z"))
     if "cover" in cells.columns:
         d = d.withColumn("availability", availability(F.col("cover")))
+    if features is not None:
+        d = land.vetoes(d, features, cell_m)
     s = scored(masks(d, cell_m, options.get("max_slope", MAX_SLOPE), options.get("upstream_ha", MIN_UPSTREAM_HA))).checkpoint()
     r = regions(s, cell_m, options.get("threshold", THRESHOLD), options.get("min_depth", MIN_DEPTH))
     r = decide.score_candidates(r.withColumn("site_id", F.col("row").cast("long") * 1_000_000 + F.col("col")).checkpoint())

@@ -144,3 +144,19 @@ def agreement(fine: DataFrame, coarse: DataFrame, stride: int = 10) -> DataFrame
     a = fine.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0))
     d = a.join(coarse.select("grid_id", "row", "col", F.col("z").alias("z2")), ["grid_id", "row", "col"]).withColumn("d", F.col("z2") - F.col("z")).where("d is not null")
     return d.groupBy("grid_id").agg(F.avg("d").alias("bias"), F.stddev_pop("d").alias("spread"), F.avg(F.abs("d")).alias("mae"), F.corr("z", "z2").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def deepest(cells: DataFrame, by: list[str]) -> DataFrame:
+    """X-13: cells(z, row, col, by) -> by, row, col, z of the lowest cell of each region, the first in row order of equals."""
+    return cells.where("z is not null").groupBy(*by).agg(F.min(F.struct("z", "row", "col")).alias("m")).select(*by, "m.row", "m.col", "m.z")
+
+
+#: X-29, what a product is written as: type, nodata, how it is resampled.
+BANDS = {"dem": ("float32", -9999.0, "bilinear"), "slope": ("float32", -9999.0, "bilinear"), "hillshade": ("uint8", 255.0, "bilinear"), "flow_accumulation": ("float32", -9999.0, "nearest"), "flow_direction": ("uint8", 255.0, "nearest")}
+
+
+def band_values(cells: DataFrame, product: str, value: str = "z") -> DataFrame:
+    """X-29: cells with `band`: the product's value as it is written, nodata for null."""
+    kind, nodata, _ = BANDS[product]
+    made = F.coalesce(F.col(value).cast("double"), F.lit(nodata))
+    return cells.withColumn("band", F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(made))) if kind == "uint8" else made.cast("float").cast("double"))

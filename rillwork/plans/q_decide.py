@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import classify, geo, hydro, names
-from rillwork.operators import decide, kernels, land, pond, siting, terrain
+from rillwork.operators import decide, kernels, pond, siting
 from rillwork.plans.views import CELLS, cells, table
 
 Q: dict = {}
@@ -81,14 +81,37 @@ def _d14(spark: SparkSession, d: str) -> DataFrame:
     return x.select("site_id", F.round(F.coalesce("w.m3", F.lit(-1.0)), 3).alias("m3"), F.coalesce("w.limited_by", F.lit("none")).alias("limited_by"))
 
 
-@query("d10_water_balance")
+_SEEP = "CASE p_partkey % 5 WHEN 0 THEN 25.0 WHEN 1 THEN 12.0 WHEN 2 THEN 6.0 WHEN 3 THEN 2.0 ELSE 6.0 END::DOUBLE"
+_SURFACE, _HELD = "((bl + 3 * {d}) * (bl + 3 * {d}))", "({d} / 3 * ((bl + 3 * {d}) * (bl + 3 * {d}) + bl * bl + (bl + 3 * {d}) * bl))"
+_NEWTON = f"list_reduce([depth] || range(1, 17)::DOUBLE[], lambda d, k: greatest(0.0, least(depth, d - ({_HELD.format(d='d')} - storage) / {_SURFACE.format(d='d')})))"
+
+
+@query(
+    "d10_water_balance",
+    f"""WITH RECURSIVE p AS (SELECT p_partkey AS site_id, p_partkey, 10.0::DOUBLE + p_size AS bl, 3.0::DOUBLE + p_partkey % 3 * 0.5 AS depth, p_retailprice * 500 AS catchment, {_SEEP} AS seep FROM part),
+q AS (SELECT *, {_HELD.format(d='depth')} AS cap FROM p),
+b(site_id, p_partkey, bl, depth, catchment, seep, cap, i, inflow, evaporation, seepage, spill, storage, area) AS (SELECT *, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM q
+ UNION ALL SELECT site_id, p_partkey, bl, depth, catchment, seep, cap, i + 1, inflow, oe * lost / greatest(wanted, 1e-300), os * lost / greatest(wanted, 1e-300), greatest(0.0, was + inflow - cap), storage,
+  CASE WHEN storage <= 0 THEN 0.0 ELSE (SELECT {_SURFACE.format(d='dd')} FROM (SELECT CASE WHEN storage >= cap THEN depth ELSE {_NEWTON} END AS dd)) END
+ FROM (SELECT *, greatest(0.0, held - lost) AS storage FROM (SELECT *, least(held, wanted) AS lost FROM (SELECT *, least(was + inflow, cap) AS held, oe + os AS wanted FROM (
+  SELECT site_id, p_partkey, bl, depth, catchment, seep, cap, i, storage AS was, CASE WHEN i % 12 BETWEEN 5 AND 9 THEN p_partkey * (i % 12 + 3) % 97 ELSE 0 END / 1000.0::DOUBLE * catchment AS inflow,
+   (100 + (p_partkey + i % 12 * 7) % 60) * 1.05 / 1000 * area AS oe, seep * {[float(x) for x in hydro.DAYS_IN_MONTH]}[i % 12 + 1] / 1000 * area AS os FROM b WHERE i < 36)))))
+, l AS (SELECT *, (i - 1) % 12 AS m FROM b WHERE i > 24), k AS (SELECT site_id, arg_max(m, storage * 1e6 - m / 1e6) AS top FROM l GROUP BY 1)
+SELECT site_id, count(*) FILTER (WHERE storage > 0.1 * cap)::INT AS months_with_water, round(max(storage), 3) AS peak_m3, round(sum(spill), 3) AS spill_m3, round(sum(evaporation), 3) AS evaporation_m3, round(sum(seepage), 3) AS seepage_m3,
+ round(sum(inflow), 3) AS inflow_m3, {list(pond.MONTHS)}[arg_min(m, (m - top + 11) % 12) FILTER (WHERE storage <= 0.1 * cap) + 1] AS dry_month FROM l JOIN k USING (site_id) GROUP BY site_id""",
+)
 def _d10(spark: SparkSession, d: str) -> DataFrame:
-    runoff = F.array(*[F.lit(float(x)) for x in (0, 0, 0, 0, 2, 30, 90, 80, 40, 10, 0, 0)])
-    et0 = F.array(*[F.lit(float(x)) for x in (110, 120, 170, 190, 210, 170, 120, 110, 115, 120, 105, 100)])
-    s = table(spark, d, "part").select(F.col("p_partkey").alias("site_id"), runoff.alias("runoff_mm"), et0.alias("et0_mm"), (F.col("p_retailprice") * 500).alias("catchment_m2"), (10.0 + F.col("p_size")).alias("bottom_length"), (10.0 + F.col("p_size")).alias("bottom_width"), F.lit(4.0).alias("depth"), F.lit(1.5).alias("side_slope"), F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("soil"))
+    k, months = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(11))
+    runoff = F.transform(months, lambda m: F.when(m.between(5, 9), (k * (m + 3) % 97).cast("double")).otherwise(0.0))
+    et0 = F.transform(months, lambda m: (100 + (k + m * 7) % 60).cast("double"))
+    soil = F.element_at(F.array(F.lit("A"), F.lit("b"), F.lit("C"), F.lit("D"), F.lit(None)), (k % 5 + 1).cast("int"))
+    side = 10.0 + F.col("p_size")
+    s = table(spark, d, "part").select(k.alias("site_id"), runoff.alias("runoff_mm"), et0.alias("et0_mm"), (F.col("p_retailprice") * 500).alias("catchment_m2"), side.alias("bottom_length"), side.alias("bottom_width"), (3.0 + k % 3 * 0.5).alias("depth"), F.lit(1.5).alias("side_slope"), soil.alias("soil"))
     bl, bw, z, h = F.col("bottom_length"), F.col("bottom_width"), F.col("side_slope"), F.col("depth")
     b = pond.water_balance(s.withColumn("capacity_m3", hydro.frustum_volume(bl, bw, z, h, h)))
-    return b.select("site_id", "balance.months_with_water", F.round("balance.peak_m3", 3).alias("peak_m3"), F.round("balance.spill_m3", 3).alias("spill_m3"), F.round("balance.evaporation_m3", 3).alias("evaporation_m3"), "balance.dry_month")
+    r3 = lambda c, n: F.round(c, 3).alias(n)
+    inflow = F.aggregate("balance.months", F.lit(0.0), lambda t, m: t + m["inflow"])
+    return b.select("site_id", "balance.months_with_water", *[r3(f"balance.{n}", n) for n in ("peak_m3", "spill_m3", "evaporation_m3", "seepage_m3")], r3(inflow, "inflow_m3"), "balance.dry_month")
 
 
 METRICS_SQL = "[{'m': 'suitability_score', 'up': true, 'v': c_acctbal}, {'m': 'estimated_cost_inr', 'up': false, 'v': (c_custkey * 7919 % 1000 + 1)::DOUBLE}, {'m': 'months_with_water', 'up': true, 'v': (5 + c_custkey % 2 * 0.001)::DOUBLE}]"
@@ -120,25 +143,47 @@ def _d03(spark: SparkSession, d: str) -> DataFrame:
     return decide.score_candidates(r).select("id", *r4("score"))
 
 
-@query("k02_spaced_best")
+@query(
+    "k02_spaced_best",
+    """WITH e AS (SELECT label::BIGINT AS grid_id, vec_id AS site_id, embedding[1]::DOUBLE * 1000 AS x, embedding[2]::DOUBLE * 1000 AS y, embedding[3]::DOUBLE AS score FROM embeddings),
+l AS (SELECT grid_id, list([{'score': score, 'site_id': site_id, 'x': x, 'y': y}] ORDER BY score DESC, site_id) AS l FROM e GROUP BY 1),
+b AS (SELECT grid_id, list_reduce(l, lambda kept, s: CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda k: sqrt(pow(k.x - s[1].x, 2) + pow(k.y - s[1].y, 2)) < 100)) = 0 THEN list_concat(kept, s) ELSE kept END) AS b FROM l),
+u AS (SELECT grid_id, unnest(b) AS s, generate_subscripts(b, 1) AS rank FROM b) SELECT grid_id, s.site_id AS site_id, rank, round(s.score, 6) AS score FROM u""",
+)
 def _k02(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("site_id"), F.col("label").cast("long").alias("grid_id"), (F.col("embedding")[0].cast("double") * 1000).alias("x"), (F.col("embedding")[1].cast("double") * 1000).alias("y"), F.col("embedding")[2].cast("double").alias("score"))
     return decide.spaced_best(e, 100.0, 5).select("grid_id", "site_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("d06_ahp_weights")
+_SCALE = "list_concat(list_transform(range(9, 1, -1), lambda k: 1.0::DOUBLE / k), list_transform(range(1, 10), lambda k: k::DOUBLE))"
+_SAATY = f"list_sort(list_transform({_SCALE}, lambda v: {{{{'d': abs(ln(v) - ln({{0}})), 'v': v}}}}))[1].v"
+
+
+@query(
+    "d06_ahp_weights",
+    f"""WITH w AS (SELECT s_suppkey AS id, list_transform(range(1, 6), lambda i: (1 + s_suppkey * i % 7)::DOUBLE) AS w FROM supplier),
+m AS (SELECT id, list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: CASE WHEN i = j THEN 1.0 WHEN i < j THEN {_SAATY.format('(w[i] / w[j])')} ELSE 1 / {_SAATY.format('(w[j] / w[i])')} END)) AS m FROM w),
+v AS (SELECT id, m, list_reduce(list_concat([[0.2, 0.2, 0.2, 0.2, 0.2]::DOUBLE[]], list_transform(range(0, 60), lambda k: [0.0]::DOUBLE[])), lambda x, _: list_transform(list_transform(m, lambda r: list_inner_product(r, x)), lambda y: y / list_sum(list_transform(m, lambda r: list_inner_product(r, x))))) AS x FROM m),
+c AS (SELECT id, x, (list_sum(list_transform(range(1, 6), lambda i: list_inner_product(m[i], x) / x[i])) / 5 - 5) / 4 / 1.12 AS cr FROM v)
+SELECT id, list_transform(x, lambda y: round(y, 6)) AS weights, round(cr, 6) AS cr, cr < 0.1 AS consistent FROM c""",
+)
 def _d06(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (1 + F.col("s_suppkey") * i % 7).cast("double")).alias("w"))
     got = decide.ahp(w.select("id", decide.matrix_of(F.col("w")).alias("m")))
     return got.select("id", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), F.round("cr", 6).alias("cr"), "consistent")
 
 
-@query("st02_job_progress", """WITH s AS (SELECT user_id AS job_id, event_type AS step, CASE max(event_id) % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' ELSE 'skipped' END AS state, event_type < 'd' AS required FROM events GROUP BY ALL)
-SELECT job_id, CASE WHEN bool_or(state = 'failed' AND required) THEN 'failed' WHEN bool_or(state = 'failed') THEN 'partial' ELSE 'done' END AS state FROM s GROUP BY 1""")
+@query(
+    "st02_job_progress",
+    """WITH s AS (SELECT user_id AS job_id, event_type AS step, CASE max(event_id) % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'running' END AS state, event_type < 'd' AS required, CASE WHEN event_type < 'd' THEN 0.3 ELSE 0.1 END AS weight FROM events GROUP BY ALL),
+g AS (SELECT job_id, 100 * sum(CASE WHEN state <> 'running' THEN weight ELSE 0 END)::DOUBLE AS earned, CASE WHEN bool_or(state = 'failed' AND required) THEN 'failed' WHEN bool_or(state = 'running') THEN 'running' WHEN bool_or(state = 'failed') THEN 'partial' ELSE 'done' END AS state FROM s GROUP BY 1)
+SELECT job_id, state, CASE WHEN state IN ('done', 'partial') THEN 100 ELSE greatest(0, least(99, round_even(round(earned, 6), 0))) END::INT AS pct FROM g""",
+)
 def _st02(spark: SparkSession, d: str) -> DataFrame:
-    k = F.max("event_id") % 3
-    s = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("step")).agg(F.when(k == 0, "done").when(k == 1, "failed").otherwise("skipped").alias("state"))
-    return decide.job_progress(s.withColumns({"required": F.col("step") < "d", "weight": F.lit(0.2)})).select("job_id", "state")
+    k = F.max("event_id") % 4
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("step")).agg(F.when(k == 0, "done").when(k == 1, "failed").when(k == 2, "skipped").otherwise("running").alias("state"))
+    required = F.col("step") < "d"
+    return decide.job_progress(s.withColumns({"required": required, "weight": F.when(required, 0.3).otherwise(0.1)}))
 
 
 @query("j13_curve_number", f"WITH {CELLS} SELECT cover, CASE cover WHEN 10 THEN 55 WHEN 20 THEN 56 WHEN 30 THEN 69 WHEN 40 THEN 78 WHEN 50 THEN 85 WHEN 60 THEN 86 WHEN 80 THEN 100 WHEN 90 THEN 88 WHEN 95 THEN 100 WHEN 100 THEN 79 END::DOUBLE AS cn, count(*) AS n FROM cells GROUP BY ALL")
@@ -216,20 +261,6 @@ def _f10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), names.rupees(F.col("o_orderkey") * 7919).alias("shown"))
 
 
-def _conditioned(spark: SparkSession, d: str) -> DataFrame:
-    def route(z, _):  # noqa: ANN001, ANN202
-        filled = kernels.fill(z)
-        code = kernels.direction(filled, CELL)
-        return {"filled": filled, "fdir": code.astype("int32"), "acc": kernels.accumulation(code)}
-
-    return kernels.on_grids(cells(spark, d), route, "filled double, fdir int, acc long")
-
-
-@query("g01_fill_depressions")
-def _g01(spark: SparkSession, d: str) -> DataFrame:
-    return _conditioned(spark, d)
-
-
 @query("g03_breach_then_fill")
 def _g03(spark: SparkSession, d: str) -> DataFrame:
     return kernels.on_grids(cells(spark, d), lambda z, _: {"surface": kernels.breach_then_fill(z)[0]}, "surface double")
@@ -240,21 +271,6 @@ def _g14(spark: SparkSession, d: str) -> DataFrame:
     return siting.streams(cells(spark, d), CELL, 0.1)
 
 
-@query("g17_clusters")
-def _g17(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.on_grids(cells(spark, d), lambda z, _: {"cluster": kernels.clusters(z > 51.0).astype("int32")}, "cluster int")
-
-
-@query("g18_stage_storage")
-def _g18(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.rows_on_grids(cells(spark, d), lambda z, _: kernels.stage_curve(z, z.shape[0] // 2, 32, CELL), "depth_m double, level_m double, area_m2 double, volume_m3 double, unbounded boolean")
-
-
-@query("g20_open_close")
-def _g20(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.on_grids(cells(spark, d), lambda z, _: {"clean": kernels.opened_closed(z > 49.5)}, "clean boolean")
-
-
 @query("g23_tin_surface")
 def _g23(spark: SparkSession, d: str) -> DataFrame:
     def surface(z, _):  # noqa: ANN001, ANN202
@@ -290,10 +306,3 @@ def _g26(spark: SparkSession, d: str) -> DataFrame:
 @query("d05_pond_sites")
 def _d05(spark: SparkSession, d: str) -> DataFrame:
     return siting.sites(cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05), CELL, separation=60.0, upstream_ha=0.05, threshold=0.3, min_depth=0.05, max_slope=15.0)
-
-
-@query("d11_available_land")
-def _d11(spark: SparkSession, d: str) -> DataFrame:
-    c = terrain.slope(cells(spark, d).withColumn("z", F.col("z") * 0.05), CELL).withColumn("acc", F.lit(1))
-    wet = c.where("cover = 80").select("grid_id", "row", "col")
-    return land.parcels(land.available(c, wet, 8.0), CELL, 200.0)

@@ -161,12 +161,12 @@ def _w09(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "snk09_cache_merge",
-    f"WITH {RAIN}, a AS (SELECT observed_on, mm AS v FROM rain WHERE series = 0 AND day(observed_on) < 20), b AS (SELECT observed_on, CASE WHEN mm > 0 THEN mm END AS v FROM rain WHERE series = 1 AND day(observed_on) > 10) SELECT CAST(coalesce(a.observed_on, b.observed_on) AS VARCHAR) AS observed_on, coalesce(b.v, a.v) AS v FROM a FULL JOIN b USING (observed_on)",
+    f"WITH {RAIN}, a AS (SELECT observed_on, mm AS v FROM rain WHERE series = 0), b AS (SELECT observed_on, CASE WHEN mm > 0 THEN mm END AS v FROM rain WHERE series = 1) SELECT CAST(coalesce(a.observed_on, b.observed_on) AS VARCHAR) AS observed_on, coalesce(b.v, a.v) AS v FROM a FULL JOIN b USING (observed_on)",
 )
 def _snk09(spark: SparkSession, d: str) -> DataFrame:
     r = rain_daily(spark, d)
-    old = r.where("series = 0 and day(observed_on) < 20").select("observed_on", F.col("mm").alias("v"))
-    new = r.where("series = 1 and day(observed_on) > 10").select("observed_on", F.when(F.col("mm") > 0, F.col("mm")).alias("v"))
+    old = r.where("series = 0").select("observed_on", F.col("mm").alias("v"))
+    new = r.where("series = 1").select("observed_on", F.when(F.col("mm") > 0, F.col("mm")).alias("v"))
     return rainfall.merge_cache(old, new, ["observed_on"], ["v"]).select(day(), "v")
 
 
@@ -188,14 +188,14 @@ def _d21(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m09_hargreaves_et0",
-    f"""WITH {RAIN}, d AS (SELECT observed_on, radians(21.25) AS phi, 2 * pi() * dayofyear(observed_on) / 365.0 AS t FROM rain WHERE series = 0),
+    f"""WITH {RAIN}, d AS (SELECT series, observed_on, radians(21.25 + series) AS phi, 2 * pi() * dayofyear(observed_on) / 365.0 AS t FROM rain),
 s AS (SELECT *, 1 + 0.033 * cos(t) AS near, 0.409 * sin(t - 1.39) AS decl FROM d), w AS (SELECT *, acos(greatest(-1, least(1, -tan(phi) * tan(decl)))) AS ws FROM s),
-r AS (SELECT observed_on, 24 * 60 / pi() * 0.0820 * near * (ws * sin(phi) * sin(decl) + cos(phi) * cos(decl) * sin(ws)) AS ra FROM w)
-SELECT CAST(observed_on AS VARCHAR) AS observed_on, round(ra, 6) AS ra, round(0.0023 * 0.408 * ra * (28 + 17.8) * sqrt(12.0), 6) AS et0 FROM r""",
+r AS (SELECT series, observed_on, 24 * 60 / pi() * 0.0820 * near * (ws * sin(phi) * sin(decl) + cos(phi) * cos(decl) * sin(ws)) AS ra FROM w)
+SELECT series, CAST(observed_on AS VARCHAR) AS observed_on, round(ra, 6) AS ra, round(0.0023 * 0.408 * ra * (28 + 17.8) * sqrt(12.0), 6) AS et0 FROM r""",
 )
 def _m09(spark: SparkSession, d: str) -> DataFrame:
-    r = rain_daily(spark, d).where("series = 0").withColumn("ra", hydro.extraterrestrial_radiation(F.lit(21.25), F.dayofyear("observed_on")))
-    return r.select(day(), F.round("ra", 6).alias("ra"), F.round(hydro.hargreaves_et0(F.col("ra"), F.lit(28.0), F.lit(34.0), F.lit(22.0)), 6).alias("et0"))
+    r = rain_daily(spark, d).withColumn("ra", hydro.extraterrestrial_radiation(21.25 + F.col("series"), F.dayofyear("observed_on")))
+    return r.select("series", day(), F.round("ra", 6).alias("ra"), F.round(hydro.hargreaves_et0(F.col("ra"), F.lit(28.0), F.lit(34.0), F.lit(22.0)), 6).alias("et0"))
 
 
 @query(

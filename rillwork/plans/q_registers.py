@@ -57,7 +57,7 @@ TRI = "CASE WHEN f = '' THEN []::VARCHAR[] ELSE list_distinct(list_transform(ran
 
 @query("j06_fuzzy_join", f"WITH {WORDS}, n AS (SELECT w, {fold_sql('w')} AS f FROM words), t AS (SELECT w, {TRI} AS t FROM n) SELECT a.w AS l_id, b.w AS r_id, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS sim FROM t a JOIN t b ON len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.3")
 def _j06(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("f", names.folded_latin(F.col("w")))
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().withColumn("f", names.folded(F.col("w")))
     got = registers.fuzzy_pairs(w.select(F.col("w").alias("l_id"), F.col("f").alias("l_name")), w.select(F.col("w").alias("r_id"), F.col("f").alias("r_name")))
     return got.select("l_id", "r_id", F.round("sim", 6).alias("sim"))
 
@@ -65,7 +65,7 @@ def _j06(spark: SparkSession, d: str) -> DataFrame:
 @query("f06_name_similarity", f"WITH n AS (SELECT n_name, r_name, {fold_sql('n_name')} AS f, {fold_sql('r_name')} AS g FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT n_name, {TRI} AS a, {TRI.replace('f =', 'g =').replace('(f)', '(g)').replace('|| f ||', '|| g ||')} AS b FROM n) SELECT n_name, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS sim FROM t")
 def _f06(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    a, b = (names.trigrams(names.folded_latin(F.col(c))) for c in ("n_name", "r_name"))
+    a, b = (names.trigrams(names.folded(F.col(c))) for c in ("n_name", "r_name"))
     return n.select("n_name", F.round(names.similarity(a, b), 6).alias("sim"))
 
 
@@ -123,7 +123,7 @@ SELECT id, name, CASE WHEN lower(trim(name)) = 'house-hol' THEN 'exact' WHEN ex
 def _k01(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sub = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("s"), F.col("c_custkey") % 7))
-    reg = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), names.folded_latin(F.col("c_mktsegment")).alias("folded"), F.col("r_name").alias("state"), F.col("n_name").alias("district"), sub.alias("subdistrict"))
+    reg = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), names.folded(F.col("c_mktsegment")).alias("folded"), F.col("r_name").alias("state"), F.col("n_name").alias("district"), sub.alias("subdistrict"))
     return registers.search(reg, "House-hol", limit=50).select("id", "name", "match", F.round("sim", 6).alias("sim"))
 
 
@@ -154,9 +154,9 @@ def _a21(spark: SparkSession, d: str) -> DataFrame:
     return got.select("village_id", F.array_join(F.transform("panchayats", lambda p: F.concat_ws(":", p["name"], p["code"].cast("string"))), ",").alias("panchayats"))
 
 
-@query("a22_link_stats", "SELECT count(*) AS links, count(DISTINCT l_partkey) AS villages, count(*) FILTER (WHERE n > 1) AS shared FROM (SELECT l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 45))")
+@query("a22_link_stats", "SELECT count(*) AS links, count(DISTINCT l_partkey) AS villages, count(*) FILTER (WHERE n > 1) AS shared FROM (SELECT l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))")
 def _a22(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("village_id"), "l_suppkey").distinct()
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("village_id"), "l_suppkey").distinct()
     return registers.link_stats(li)
 
 
@@ -179,10 +179,54 @@ def _a25(spark: SparkSession, d: str) -> DataFrame:
     return registers.first_per_key(li, ["l_suppkey"], "seq").select(F.col("l_suppkey").alias("code"), F.col("l_partkey").alias("village"))
 
 
-@query("a23_orphans_by_level", "SELECT n_name AS level, count(*) AS orphans FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') ON o_custkey = c_custkey WHERE o_custkey IS NULL GROUP BY 1")
+@query(
+    "a23_orphans_by_level",
+    """WITH a AS (SELECT 'r' || r_regionkey AS area_id, NULL AS parent_id, 'state' AS level FROM region UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN 'r99' ELSE 'r' || n_regionkey END, 'district' FROM nation
+UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'n' || (c_nationkey + 90) ELSE 'n' || c_nationkey END, 'subdistrict' FROM customer) SELECT level, count(*) AS orphans FROM a WHERE level <> 'state' AND parent_id NOT IN (SELECT area_id FROM a) GROUP BY 1""",
+)
 def _a23(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority like '1%'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
-    return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("level")).agg(F.count(F.lit(1)).alias("orphans"))
+    at = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    r = table(spark, d, "region").select(at("r", F.col("r_regionkey")).alias("area_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("state").alias("level"))
+    n = table(spark, d, "nation").select(at("n", F.col("n_nationkey")).alias("area_id"), F.when(F.col("n_nationkey") % 6 == 0, "r99").otherwise(at("r", F.col("n_regionkey"))).alias("parent_id"), F.lit("district").alias("level"))
+    c = table(spark, d, "customer").select(at("c", F.col("c_custkey")).alias("area_id"), at("n", F.col("c_nationkey") + F.when(F.col("c_custkey") % 5 == 0, 90).otherwise(0)).alias("parent_id"), F.lit("subdistrict").alias("level"))
+    return registers.orphans_by_level(r.unionByName(n).unionByName(c))
+
+
+@query(
+    "j03_located_villages",
+    """WITH l AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey ORDER BY l_suppkey::VARCHAR) AS p FROM lineitem GROUP BY 1)
+SELECT p_partkey AS village_id, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0 WHEN p_partkey % 7 < 5 THEN 70.0 + p_partkey % 25 ELSE -1 END AS lon, CASE WHEN p_partkey % 3 = 0 THEN 'village' WHEN p_partkey % 7 >= 5 THEN 'none' WHEN p_partkey % 25 % 2 = 0 THEN 'district' ELSE 'subdistrict' END AS located,
+ coalesce(len(p), 0) AS panchayats, coalesce(p[1], -1) AS first FROM part LEFT JOIN l ON k = p_partkey""",
+)
+def _j03(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    v = table(spark, d, "part").select(k.alias("village_id"), F.col("p_name").alias("name"), F.when(k % 7 < 5, k % 25).alias("area_id"), F.when(k % 3 == 0, F.col("p_size") * 1.0).alias("lon"), F.when(k % 3 == 0, 20.0).alias("lat"))
+    n = F.col("n_nationkey")
+    areas = table(spark, d, "nation").select(n.cast("int").alias("area_id"), F.when(n % 2 == 0, "district").otherwise("subdistrict").alias("level"), (70.0 + n).alias("lon"), F.lit(15.0).alias("lat"))
+    s = F.col("l_suppkey").cast("string")
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("village_id"), s.alias("name"), s.alias("code")).distinct()
+    r = registers.village_rows(v, areas, links)
+    return r.select("village_id", F.coalesce("lon", F.lit(-1.0)).alias("lon"), "located", F.size("panchayats").alias("panchayats"), F.coalesce(F.try_element_at("panchayats", F.lit(1))["code"].cast("long"), F.lit(-1)).alias("first"))
+
+
+@query("j09_hierarchy_by_place", "SELECT c_custkey AS area_id, c_nationkey AS parent_id FROM customer")
+def _j09(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries as GeoJSON geometries: each a square with a hole, and a second square where the points are."""
+    from rillwork.sources import services
+
+    n = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("[[[["), n, F.lit(",0],["), n, F.lit(".9,0],["), n, F.lit(".9,1],["), n, F.lit(",1],["), n, F.lit(",0]],[["), n, F.lit(".2,0.2],["), n, F.lit(".4,0.2],["), n, F.lit(".4,0.4],["), n, F.lit(".2,0.2]]],[[["), n, F.lit(",5],["), n, F.lit(".9,5],["), n, F.lit(".9,6],["), n, F.lit(",5]]]]"))
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), text.alias("coordinates"))
+    parents = table(spark, d, "nation").select(F.col("n_nationkey").alias("area_id"), services.joined_rings(services.rings(geometry)).alias("ring"), F.lit(1.0).alias("size"))
+    kids = table(spark, d, "customer").select(F.col("c_custkey").alias("area_id"), (F.col("c_nationkey") + 0.61 + F.col("c_custkey") % 10 / 50.0).alias("x"), F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(5.1 + F.col("c_custkey") % 5 / 10.0).alias("y"))
+    return registers.link_hierarchy(kids, parents, 0.5)
+
+
+@query("j17_filter_spelling", "SELECT n_nationkey AS id, n_name AS spelled FROM nation")
+def _j17(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    typed = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit(" "), F.lower("n_name"), F.lit(".")).alias("typed"))
+    return registers.resolved(n.select(F.col("n_name").alias("v")), typed).select("id", F.col("value").alias("spelled"))
 
 
 @query("f08_display_hierarchy", "SELECT c_custkey AS id, 'Area, ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS shown FROM customer")

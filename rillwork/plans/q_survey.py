@@ -31,32 +31,33 @@ def _s05(spark: SparkSession, d: str) -> DataFrame:
     return survey.mosaic(a.unionByName(b)).select("grid_id", "row", "col", F.round(F.coalesce("z", F.lit(-1.0)), 6).alias("z"))
 
 
-@query("src07_bilinear", f"WITH {CELLS}, s AS (SELECT row, col, z FROM cells WHERE grid_id = 0), t AS (SELECT grid_id, row, col, row * 0.5 + 0.25 AS sr, col * 0.5 + 0.25 AS sc FROM cells), f AS (SELECT t.*, a, b, s.z, (CASE WHEN a = 1 THEN sr - floor(sr) ELSE 1 - (sr - floor(sr)) END) * (CASE WHEN b = 1 THEN sc - floor(sc) ELSE 1 - (sc - floor(sc)) END) AS w FROM t CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b) LEFT JOIN s ON s.row = floor(sr)::INT + a AND s.col = floor(sc)::INT + b) SELECT grid_id, row, col, round(coalesce(CASE WHEN bool_and(z IS NOT NULL) THEN sum(w * z) END, -1), 6) AS z FROM f WHERE w > 0 GROUP BY ALL")
+@query("src07_bilinear", f"WITH {CELLS}, s AS (SELECT grid_id * 64 + row AS row, col, z FROM cells), t AS (SELECT grid_id, row, col, (grid_id * 64 + row) * 0.5 + 0.25 AS sr, col * 0.5 + 0.25 AS sc FROM cells), f AS (SELECT t.*, a, b, s.z, (CASE WHEN a = 1 THEN sr - floor(sr) ELSE 1 - (sr - floor(sr)) END) * (CASE WHEN b = 1 THEN sc - floor(sc) ELSE 1 - (sc - floor(sc)) END) AS w FROM t CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b) LEFT JOIN s ON s.row = floor(sr)::INT + a AND s.col = floor(sc)::INT + b) SELECT grid_id, row, col, round(coalesce(CASE WHEN bool_and(z IS NOT NULL) THEN sum(w * z) END, -1), 6) AS z FROM f WHERE w > 0 GROUP BY ALL")
 def _src07(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    t = c.select("grid_id", "row", "col", (F.col("row") * 0.5 + 0.25).alias("sr"), (F.col("col") * 0.5 + 0.25).alias("sc"))
-    return survey.bilinear(t, c.where("grid_id = 0")).select("grid_id", "row", "col", F.round(F.coalesce("z", F.lit(-1.0)), 6).alias("z"))
+    t = c.select("grid_id", "row", "col", ((F.col("grid_id") * 64 + F.col("row")) * 0.5 + 0.25).alias("sr"), (F.col("col") * 0.5 + 0.25).alias("sc"))
+    return survey.bilinear(t, c.withColumn("row", F.col("grid_id") * 64 + F.col("row"))).select("grid_id", "row", "col", F.round(F.coalesce("z", F.lit(-1.0)), 6).alias("z"))
 
 
-@query("src11_nearest_cover", f"WITH {CELLS}, s AS (SELECT row, col, cover FROM cells WHERE grid_id = 0) SELECT t.grid_id, t.row, t.col, coalesce(s.cover, -1) AS code FROM cells t LEFT JOIN s ON s.row = floor(t.row * 0.3 + 0.5)::INT AND s.col = floor(t.col * 0.3 + 0.5)::INT")
+@query("src11_nearest_cover", f"WITH {CELLS}, s AS (SELECT grid_id * 64 + row AS row, col, cover FROM cells) SELECT t.grid_id, t.row, t.col, coalesce(s.cover, -1) AS code FROM cells t LEFT JOIN s ON s.row = floor((t.grid_id * 64 + t.row) * 0.3 + 0.5)::INT AND s.col = floor(t.col * 0.3 + 0.5)::INT")
 def _src11(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    t = c.select("grid_id", "row", "col", (F.col("row") * 0.3).alias("sr"), (F.col("col") * 0.3).alias("sc"))
-    return survey.nearest(t, c.where("grid_id = 0").withColumnRenamed("cover", "code")).select("grid_id", "row", "col", F.coalesce("code", F.lit(-1)).alias("code"))
+    t = c.select("grid_id", "row", "col", ((F.col("grid_id") * 64 + F.col("row")) * 0.3).alias("sr"), (F.col("col") * 0.3).alias("sc"))
+    return survey.nearest(t, c.withColumn("row", F.col("grid_id") * 64 + F.col("row")).withColumnRenamed("cover", "code")).select("grid_id", "row", "col", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
-@query("src10_sample", f"WITH {CELLS}, p AS (SELECT n_nationkey AS point_id, 0 AS grid_id, 500003.0 + n_nationkey * 14 AS x, 2499997.0 - n_nationkey * 13 AS y FROM nation) SELECT point_id, round(coalesce(c.z, -1), 6) AS z FROM p LEFT JOIN cells c ON c.grid_id = 0 AND c.row = floor((p.y - 2500000) / -5)::INT AND c.col = floor((p.x - 500000) / 5)::INT AND x < 500320")
+@query("src10_sample", f"WITH {CELLS}, p AS (SELECT vec_id AS point_id, vec_id // 64 AS grid_id, 500003.0 + vec_id * 14 % 400 AS x, 2499997.0 - vec_id * 13 % 330 AS y FROM embeddings) SELECT point_id, round(coalesce(c.z, -1), 6) AS z FROM p LEFT JOIN cells c ON c.grid_id = p.grid_id AND c.row = floor((p.y - 2500000) / -5)::INT AND c.col = floor((p.x - 500000) / 5)::INT AND x < 500320")
 def _src10(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
     g = c.groupBy("grid_id").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")).withColumn("transform", F.array(*[F.lit(x) for x in (5.0, 0.0, 500000.0, 0.0, -5.0, 2500000.0)]))
-    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("point_id"), F.lit(0).cast("long").alias("grid_id"), (500003.0 + F.col("n_nationkey") * 14).alias("x"), (2499997.0 - F.col("n_nationkey") * 13).alias("y"))
+    v = F.col("vec_id")
+    p = table(spark, d, "embeddings").select(v.alias("point_id"), (v / 64).cast("long").alias("grid_id"), (500003.0 + v * 14 % 400).alias("x"), (2499997.0 - v * 13 % 330).alias("y"))
     return survey.sampled(p, g, c).select("point_id", F.round(F.coalesce("z", F.lit(-1.0)), 6).alias("z"))
 
 
-@query("j18_zonal_cover", f"WITH {CELLS}, m AS (SELECT grid_id * 10 + row // 10 AS site_id, cover FROM cells WHERE col % 2 = 0), n AS (SELECT site_id, cover, count(*) AS n FROM m GROUP BY ALL) SELECT site_id, cover, round(n / sum(n) OVER (PARTITION BY site_id), 6) AS fraction FROM n")
+@query("j18_zonal_cover", f"WITH {CELLS}, m AS (SELECT grid_id * 10 + row // 10 AS site_id, cover FROM cells), n AS (SELECT site_id, cover, count(*) AS n FROM m GROUP BY ALL) SELECT site_id, cover, round(n / sum(n) OVER (PARTITION BY site_id), 6) AS fraction FROM n")
 def _j18(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    m = c.where("col % 2 = 0").select((F.col("grid_id") * 10 + F.floor(F.col("row") / 10)).alias("site_id"), "grid_id", "row", "col")
+    m = c.select((F.col("grid_id") * 10 + F.floor(F.col("row") / 10)).alias("site_id"), "grid_id", "row", "col")
     return survey.zonal_fractions(m, c).select("site_id", "cover", F.round("fraction", 6).alias("fraction"))
 
 

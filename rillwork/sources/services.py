@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import classify, hydro, names
 
-MODELS, MAX_MISSING, SENTINEL, OSM_TTL_DAYS, SOIL_TTL_DAYS = ("era5_land", "default"), 0.10, -998.0, 14, 180
+MODELS, MAX_MISSING, SENTINEL, OSM_TTL_DAYS, SOIL_TTL_DAYS, MOST_NAME = ("era5_land", "default"), 0.10, -998.0, 14, 180, 200
 OSM = "elements array<struct<type:string,id:long,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,members:array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>>>"
 
 
@@ -62,6 +62,18 @@ def fresh(cache: DataFrame, now: Column, ttl_days: int, key: str = "key") -> Dat
     return newest.where(F.col("fetched_at") >= now - F.expr(f"interval {ttl_days} days"))
 
 
+def window_rows(features: DataFrame, version: int) -> DataFrame:
+    """X-09: features(window, kind, osm_id, tags, ...) -> window, version, body: all features of a window as JSON, in order of id, for a cache."""
+    item = F.struct(*[c for c in features.columns if c != "window"])
+    return features.groupBy("window").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("osm_id").alias("at"), item.alias("feature"))))).alias("body")).withColumn("version", F.lit(version))
+
+
+def read_windows(cache: DataFrame, kind: str, version: int, now: Column, ttl_days: int = OSM_TTL_DAYS) -> DataFrame:
+    """X-09: cache(window, version, body, fetched_at) -> the features of windows of this version that aren't too old; kind is a feature's schema."""
+    good = fresh(cache.where(F.col("version") == version), now, ttl_days, "window")
+    return good.select("window", F.explode(F.from_json("body", f"array<struct<at:long,feature:struct<{kind}>>>")).alias("x")).select("window", "x.feature.*")
+
+
 def preferred(fetched: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """X-06: fetched rows, else cached ones."""
     return fetched.unionByName(cached.join(fetched.select(key).distinct(), key, "left_anti"))
@@ -69,8 +81,12 @@ def preferred(fetched: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
 def places(spark: SparkSession, path: str, state: str | None = None, district: str | None = None) -> DataFrame:
     """SRC-18: a register of tab-separated names: shrid2, state_name, district_name, subdistrict_name, town_name, village_name, place; names that fold to nothing are left out."""
-    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
-    t = {c: names.unquoted(F.col(c)) for c in raw.columns}
+    return place_rows(spark.read.option("sep", "\t").option("header", True).csv(path), state, district)
+
+
+def place_rows(raw: DataFrame, state: str | None = None, district: str | None = None) -> DataFrame:
+    """SRC-18 of rows as read; X-31: names are cut at MOST_NAME characters."""
+    t = {c: F.substring(names.unquoted(F.col(c)), 1, MOST_NAME) for c in raw.columns}
     name = F.coalesce(F.nullif(t["village_name"], F.lit("")), F.nullif(t["town_name"], F.lit("")))
     d = raw.select(t["shrid2"].alias("shrid"), t["state_name"].alias("state"), t["district_name"].alias("district"), t["subdistrict_name"].alias("sub"), name.alias("name"))
     d = d.withColumn("folded", names.folded(F.col("name"))).where("folded <> ''").withColumn("code", names.census_code(F.col("shrid")))
@@ -82,23 +98,51 @@ def places(spark: SparkSession, path: str, state: str | None = None, district: s
 
 def panchayat_links(spark: SparkSession, path: str, village: str, code: str, name: str) -> DataFrame:
     """SRC-19: tab-separated links; codes 0 and blank panchayats are left out. The columns' names are parameters."""
-    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return panchayat_rows(spark.read.option("sep", "\t").option("header", True).csv(path), village, code, name)
+
+
+def panchayat_rows(raw: DataFrame, village: str, code: str, name: str) -> DataFrame:
+    """SRC-19 of rows as read."""
     d = raw.select(*[names.unquoted(F.col(c)).alias(a) for c, a in ((village, "village_code"), (code, "code"), (name, "name"))])
     return d.where("village_code is not null and village_code not in ('', '0') and code is not null and code not in ('', '0') and name is not null and name <> ''")
 
 
+def rings(geometry: Column) -> Column:
+    """S-04, SRC-20: array<struct<x, y>> ring of each outer and inner boundary of a Polygon or MultiPolygon given as struct(type, coordinates as text); other kinds have none."""
+    one, many = F.from_json(geometry["coordinates"], "array<array<array<double>>>"), F.from_json(geometry["coordinates"], "array<array<array<array<double>>>>")
+    parts = F.when(geometry["type"] == "Polygon", one).when(geometry["type"] == "MultiPolygon", F.flatten(many)).otherwise(F.array().cast("array<array<array<double>>>"))
+    return F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+
+
+def joined_rings(parts: Column) -> Column:
+    """One ring that goes along all of them and back to each one's start: the even-odd rule over it is that over all, so holes and several outer boundaries count as they should."""
+    closed = F.transform(parts, lambda r: F.concat(r, F.slice(r, 1, 1)))
+    starts = F.transform(F.reverse(parts), lambda r: F.element_at(r, 1))
+    return F.concat(F.flatten(closed), starts)
+
+
 def boundaries(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """SRC-20: GeoJSON features (shapeName, shapeID, shapeType) -> area_id, name, geometry as text; only those whose label still names the level."""
-    kind = "features array<struct<properties:struct<shapeName:string,shapeID:string,shapeType:string,boundaryCanonical:string>,geometry:string>>"
+    """SRC-20, J-09: GeoJSON features (shapeName, shapeID, shapeType) -> area_id, name, ring (all boundaries joined), size (box area, to choose the smallest around a point); only those whose label still names the level.
+    Files of one feature a line are split among tasks; one document of many features is a task."""
+    kind = "features array<struct<properties:struct<shapeName:string,shapeID:string,shapeType:string,boundaryCanonical:string>,geometry:struct<type:string,coordinates:string>>>"
     f = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    d = f.select(F.col("f.properties.shapeID").alias("area_id"), F.col("f.properties.shapeName").alias("name"), F.col("f.geometry").alias("geometry"), F.coalesce("f.properties.boundaryCanonical", F.lit("")).alias("label"))
-    return d.where(classify.same_level(level, F.col("label"))).drop("label")
+    d = f.select(F.col("f.properties.shapeID").alias("area_id"), F.col("f.properties.shapeName").alias("name"), joined_rings(rings(F.col("f.geometry"))).alias("ring"), F.coalesce("f.properties.boundaryCanonical", F.lit("")).alias("label"))
+    d = d.where(classify.same_level(level, F.col("label")) & (F.size("ring") > 0)).drop("label")
+    v = lambda c: F.transform("ring", lambda p: p[c])
+    return d.withColumn("size", (F.array_max(v("x")) - F.array_min(v("x"))) * (F.array_max(v("y")) - F.array_min(v("y"))))
+
+
+def parcel_features(features: DataFrame) -> DataFrame:
+    """SRC-21, P-17: features(parcel_id, f: struct(properties map, geometry struct(type, coordinates as text))) -> parcel_id, own_id (the file's id property, if any), ring (all boundaries, holes too, joined), attributes,
+    owner, public, skipped (no polygon: counted by the caller, not lost without a word)."""
+    p = F.col("f.properties")
+    owner = F.try_element_at(p, classify.owner_field(p))
+    ring = joined_rings(rings(F.col("f.geometry")))
+    own = F.coalesce(F.try_element_at(p, F.lit("id")), F.try_element_at(p, F.lit("ID")), F.try_element_at(p, F.lit("parcel_id")))
+    return features.select("parcel_id", own.alias("own_id"), ring.alias("ring"), p.alias("attributes"), F.trim(owner).alias("owner"), classify.is_public(owner).alias("public"), (F.size(F.coalesce(ring, F.array().cast("array<struct<x:double,y:double>>"))) == 0).alias("skipped"))
 
 
 def parcels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-21, P-17: GeoJSON parcels -> parcel_id (place in the file), ring of the first polygon, attributes, owner, public. WGS84 only (X-10)."""
-    kind = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    f = spark.read.schema(kind).option("multiLine", True).json(path).select(F.posexplode("features").alias("parcel_id", "f")).where("f.geometry.type = 'Polygon'")
-    ring = F.transform(F.element_at("f.geometry.coordinates", 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    owner = F.try_element_at(F.col("f.properties"), classify.owner_field(F.col("f.properties")))
-    return f.select("parcel_id", ring.alias("ring"), F.col("f.properties").alias("attributes"), F.trim(owner).alias("owner"), classify.is_public(owner).alias("public"))
+    """SRC-21: GeoJSON parcels as parcel_features, parcel_id being the place in the file. WGS84 only (X-10)."""
+    kind = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    return parcel_features(spark.read.schema(kind).option("multiLine", True).json(path).select(F.posexplode("features").alias("parcel_id", "f")))

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import geo
@@ -65,8 +65,9 @@ def pictures(cells: DataFrame, value: str, low: float, high: float) -> DataFrame
     return cells.select("grid_id", "row", "col", value).groupBy("grid_id").applyInPandas(run, "grid_id long, png binary")
 
 
-def retained(catalogue: DataFrame, most: int, order: str = "used_at") -> DataFrame:
-    """K-09, ST-07: the newest rows of a catalogue, at most that many: its own limit."""
-    return catalogue.orderBy(F.desc(order)).limit(most)
-
-
+def retained(catalogue: DataFrame, most: int, order: str = "used_at", by: str | None = None, now: Column | None = None, hours: int | None = None) -> DataFrame:
+    """K-09, ST-07: the newest rows of each store (by; one store without it), at most that many, and none older than some hours before now."""
+    d = catalogue if hours is None or now is None else catalogue.where(F.col(order) >= now - F.expr(f"interval {hours} hours"))
+    if by is None:
+        return d.orderBy(F.desc(order)).limit(most)
+    return d.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__k") <= most).drop("__k")

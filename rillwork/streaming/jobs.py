@@ -53,7 +53,17 @@ def job_states_stream(events: DataFrame) -> DataFrame:
 
 
 def first_requests(requests: DataFrame, minutes: int = 60) -> DataFrame:
-    """ST-05: requests(key, ts): repeats of a key within the time are dropped; works on streams and in batch (there, within the whole table)."""
+    """ST-05: requests(key, ts): a request repeats an earlier one of its key if less than the time has passed since the last that counted; repeats are dropped. On a stream by watermark; in batch by a fold over a
+    key's times, which are few."""
     if requests.isStreaming:
         return requests.withWatermark("ts", f"{minutes} minutes").dropDuplicatesWithinWatermark(["key"])
-    return requests.dropDuplicates(["key"])
+    rest = [c for c in requests.columns if c not in ("key", "ts")]
+    g = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", *rest))).alias("all"))
+    kind = g.schema["all"].dataType.simpleString()
+
+    def step(kept, x):  # noqa: ANN001, ANN202
+        last = F.try_element_at(kept, F.lit(-1))["ts"]
+        return F.when(last.isNull() | (x["ts"] >= last + F.expr(f"interval {minutes} minutes")), F.concat(kept, F.array(x))).otherwise(kept)
+
+    counted = g.select("key", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("x"))
+    return counted.select(*[F.col("key") if c == "key" else F.col(f"x.{c}") for c in requests.columns])
