@@ -111,7 +111,7 @@ def analyse(cells: DataFrame, cell_m: float, daily: DataFrame, et0_mm: list[floa
     """cells(grid_id, row, col, z, cover) -> one row a site: its rank, place and score, its catchment, curve number, water, pond, balance, confidence, comparison and a sentence. features (see land.burned) veto cells."""
     group = F.coalesce(F.lit(soil), F.lit(survey.ASSUMED_SOIL))
     best = siting.sites(cells, cell_m, features=features, **options)
-    sites = best.withColumn("site_id", F.col("grid_id") * 1000 + F.col("rank")).checkpoint()
+    sites = best.withColumn("site_id", F.xxhash64("grid_id", "rank")).checkpoint()
     members, metrics = site_catchments(cells, sites, cell_m)
     metrics = metrics.checkpoint()
     water = site_water(members, cells, metrics, daily, group)

@@ -209,13 +209,13 @@ def _src06(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.replace("map_id", F.lit(".kmz"), F.lit("")).alias("map_id"), F.coalesce("strategy", F.lit("none")).alias("strategy"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"), F.coalesce("problem", F.lit("")).alias("problem"))
 
 
-@query("src18_place_register", "SELECT c_custkey::VARCHAR AS code, 'st' || c_nationkey % 3 AS state, CASE WHEN c_custkey % 4 = 0 THEN 'Town ' || c_custkey ELSE 'Vil ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'town' || c_custkey ELSE 'vil' || c_custkey END AS folded FROM customer WHERE c_custkey % 9 > 0 AND c_nationkey % 3 = 1")
+@query("src18_place_register", "SELECT c_custkey::VARCHAR AS code, 'st' || c_nationkey % 3 AS state, CASE WHEN c_custkey % 4 = 0 THEN 'Nagar ' || c_custkey ELSE 'Vil ' || c_custkey END AS name, CASE WHEN c_custkey % 4 = 0 THEN 'nagar' || c_custkey ELSE 'vil' || c_custkey END AS folded FROM customer WHERE c_custkey % 9 > 0 AND c_nationkey % 3 = 1")
 def _src18(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     quoted = lambda *x: F.concat(F.lit(' "'), *x, F.lit('"'))
     raw = table(spark, d, "customer").select(
         F.concat_ws("-", F.lit("11"), F.lit("27"), k.cast("string")).alias("shrid2"), quoted(F.lit("st"), (F.col("c_nationkey") % 3).cast("string")).alias("state_name"), quoted(F.lit("d")).alias("district_name"), F.lit("s").alias("subdistrict_name"),
-        F.when(k % 9 == 0, '"--"').when(k % 4 == 0, quoted(F.lit("Town "), k.cast("string"))).alias("town_name"), F.when((k % 4 != 0) & (k % 9 != 0), quoted(F.lit("Vil "), k.cast("string"))).otherwise('""').alias("village_name"),
+        F.when(k % 9 == 0, '"--"').when(k % 4 == 0, quoted(F.lit("Nagar "), k.cast("string"))).alias("town_name"), F.when((k % 4 != 0) & (k % 9 != 0), quoted(F.lit("Vil "), k.cast("string"))).otherwise('""').alias("village_name"),
     )
     return services.place_rows(raw, state="ST 1").select("code", "state", "name", "folded")
 
@@ -275,7 +275,8 @@ def _w06(spark: SparkSession, d: str) -> DataFrame:
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     a, b = (k % 9 + 1) * 3, k % 4 * 3
     lines = table(spark, d, "supplier").select(k.alias("line_id"), F.array(at(F.lit(0), F.lit(0)), at(a, F.lit(0)), at(a, F.lit(0)), at(a + b, F.lit(0))).alias("points"))
-    return survey.resampled(lines, 2.5).select("line_id", F.size("points").alias("points"), F.round(geo.line_length(F.col("points")), 6).alias("length"))
+    got = survey.resampled(lines, 2.5).withColumn("length", F.round(geo.line_length(F.col("points")), 6))
+    return got.select("line_id", "length", F.size("points").alias("n")).withColumnRenamed("n", "points")
 
 
 @query("x09_windows_again", "SELECT user_id AS win, count(*) AS features, sum(event_id)::BIGINT AS ids, count(DISTINCT event_type) AS kinds FROM events WHERE user_id % 3 > 0 GROUP BY 1")

@@ -65,7 +65,7 @@ def fresh(cache: DataFrame, now: Column, ttl_days: int, key: str = "key") -> Dat
 def window_rows(features: DataFrame, version: int) -> DataFrame:
     """X-09: features(window, kind, osm_id, tags, ...) -> window, version, body: all features of a window as JSON, in order of id, for a cache."""
     item = F.struct(*[c for c in features.columns if c != "window"])
-    return features.groupBy("window").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("osm_id").alias("at"), item.alias("feature"))))).alias("body")).withColumn("version", F.lit(version))
+    return features.groupBy("window").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("osm_id").alias("at"), item.alias("feature"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))).alias("body")).withColumn("version", F.lit(version))
 
 
 def read_windows(cache: DataFrame, kind: str, version: int, now: Column, ttl_days: int = OSM_TTL_DAYS) -> DataFrame:
