@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rillwork.llm import exactdup, mixing, neardup
+from rillwork.llm import bpe, exactdup, mixing, neardup
 
 from ..conftest import SF
 
@@ -19,7 +20,7 @@ def norm(s):
 
 @pytest.mark.parametrize("share", [1 / 200, 0.001])
 def test_exact_groups(spark, share):
-    rows = [(5, None), (3, ""), (9, "a  b"), (7, "a\tb"), (7, "a\nb"), (11, "ab")] + [(100 + k, "hot text") for k in range(300)]
+    rows = [(5, None), (3, ""), (9, "a  b"), (7, "a\tb"), (7, "a\nb"), (11, "ab"), (20, "long text " * 200_000), (19, "long  text " * 200_000), (21, "long text " * 200_000 + ".")] + [(100 + k, "hot text") for k in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("norm", F.lit(1)).unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit(1).alias("norm")))
     got = exactdup.exact_duplicates(d, hot_share=share).toPandas()
     src = d.toPandas()
@@ -289,5 +290,13 @@ def test_pipeline_by_stages(spark):
     texts = {r.doc_id: r.text for r in d.collect()}
     assert all(not brute_quality(texts[i])[-1] for i in ids[1])
     assert len({norm(texts[i]) for i in ids[1]}) == len(ids[2])
+    # near copies by brute force over the pairs that share a key, and the tokens by the library
+    after = spark.createDataFrame([r for r in d.collect() if r.doc_id in ids[2]], d.schema)
+    want, _ = brute_classes(spark, after, in_keys=True)
+    assert ids[3] == {i for i, c in want.items() if i == c}
     last = corpus_pipeline.run(spark, SF).collect()
     assert len(last) == docs.count() and all(r.n_tokens > 0 for r in last)
+    whole = Tokenizer.from_file(bpe.default_path())
+    whole.no_truncation(), whole.no_padding()
+    count = lambda rows, f: sorted((r.doc_id, f(r)) for r in rows)
+    assert count(last, lambda r: r.n_tokens) == count(docs.collect(), lambda r: len(whole.encode(r.text, add_special_tokens=False).ids))
