@@ -43,11 +43,19 @@ STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the tables of the stages before are removed once the next one is written."""
     neardup.shared_checkpoints(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -271,38 +271,6 @@ def _g14(spark: SparkSession, d: str) -> DataFrame:
     return siting.streams(cells(spark, d), CELL, 0.1)
 
 
-@query("g23_tin_surface")
-def _g23(spark: SparkSession, d: str) -> DataFrame:
-    def surface(z, _):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        r, c = np.indices(z.shape)
-        use = (r % 4 == 0) & (c % 4 == 0)
-        pts = np.stack(((c[use] + 0.5) * CELL, (r[use] + 0.5) * CELL), 1)
-        return {"tin": kernels.gaussian(kernels.interpolate(pts, z[use], z.shape, CELL))}
-
-    return kernels.on_grids(cells(spark, d), surface, "tin double")
-
-
-@query("g25_contours")
-def _g25(spark: SparkSession, d: str) -> DataFrame:
-    def lines(z, _):  # noqa: ANN001, ANN202
-        out = []
-        for level in (49.0, 50.0, 51.0):
-            for line in kernels.contour_lines(kernels.gaussian(z, 2.0), level):
-                if len(line) >= 4:
-                    s = kernels.simplified(line, 0.35)
-                    out.append({"level": level, "rows": [p[0] for p in s], "cols": [p[1] for p in s]})
-        return out
-
-    return kernels.rows_on_grids(cells(spark, d), lines, "level double, rows array<double>, cols array<double>")
-
-
-@query("g26_outlines")
-def _g26(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.rows_on_grids(cells(spark, d), lambda z, _: [{"rows": [p[0] for p in r], "cols": [p[1] for p in r]} for r in kernels.outlines(z > 51.5)], "rows array<int>, cols array<int>")
-
-
 @query("d05_pond_sites")
 def _d05(spark: SparkSession, d: str) -> DataFrame:
     return siting.sites(cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05), CELL, separation=60.0, upstream_ha=0.05, threshold=0.3, min_depth=0.05, max_slope=15.0)

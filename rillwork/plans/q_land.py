@@ -242,3 +242,54 @@ def _x29(spark: SparkSession, d: str) -> DataFrame:
 SELECT grid_id, unnest(list_transform(range(ceil(lo / step)::BIGINT, floor(hi / step)::BIGINT + 1), lambda k: round(k * step, 6)))::DOUBLE AS level FROM s""")
 def _x20(spark: SparkSession, d: str) -> DataFrame:
     return analysis.display_contours(cells(spark, d)).select("grid_id", F.round("level", 6).alias("level")).distinct()
+
+
+@query(
+    "g23_tin_surface",
+    f"WITH {CELLS}, h AS (SELECT grid_id, max(row) // 4 * 4 AS last FROM cells GROUP BY 1) SELECT grid_id, row, col, round(CASE WHEN row <= last AND col <= 60 THEN grid_id + 0.5 * col + 0.25 * row ELSE -1 END, 6) AS tin FROM cells JOIN h USING (grid_id)",
+)
+def _g23(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth row and column of a plane: the triangles give the plane back within the hull, whatever way they lie."""
+
+    def surface(z, _):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        r, c = np.indices(z.shape)
+        use = (r % 4 == 0) & (c % 4 == 0)
+        pts = np.stack(((c[use] + 0.5) * CELL, (r[use] + 0.5) * CELL), 1)
+        return {"tin": kernels.interpolate(pts, z[use], z.shape, CELL)}
+
+    plane = cells(spark, d).withColumn("z", F.col("grid_id") + 0.5 * F.col("col") + 0.25 * F.col("row"))
+    got = kernels.on_grids(plane, surface, "tin double")
+    return got.select("grid_id", "row", "col", F.round(F.coalesce(F.nanvl("tin", F.lit(None).cast("double")), F.lit(-1.0)), 6).alias("tin"))
+
+
+@query(
+    "g25_contours",
+    f"""WITH {CELLS}, l AS (SELECT unnest([49.003, 50.003, 51.003]) AS level), n AS (SELECT a.grid_id, level FROM cells a JOIN cells b ON b.grid_id = a.grid_id AND b.row = a.row AND b.col = a.col + 1 CROSS JOIN l WHERE (a.z > level) <> (b.z > level)
+UNION ALL SELECT a.grid_id, level FROM cells a JOIN cells b ON b.grid_id = a.grid_id AND b.row = a.row + 1 AND b.col = a.col CROSS JOIN l WHERE (a.z > level) <> (b.z > level)) SELECT grid_id, level::DOUBLE AS level, count(*) AS vertices FROM n GROUP BY ALL""",
+)
+def _g25(spark: SparkSession, d: str) -> DataFrame:
+    """Lines cross each pair of neighbouring cells that lie on either side of the level, once."""
+
+    def lines(z, _):  # noqa: ANN001, ANN202
+        return [{"level": v, "rows": [p[0] for p in line], "cols": [p[1] for p in line]} for v in (49.003, 50.003, 51.003) for line in kernels.contour_lines(z, v)]
+
+    got = kernels.rows_on_grids(cells(spark, d), lines, "level double, rows array<double>, cols array<double>")
+    return got.select("grid_id", "level", F.explode(F.arrays_zip("rows", "cols")).alias("p")).distinct().groupBy("grid_id", "level").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@query(
+    "g26_outlines",
+    f"""WITH {CELLS}, m AS (SELECT grid_id, row, col FROM cells WHERE z > 51.5), o AS (SELECT unnest([0, 1, 0, -1]) AS dr, unnest([1, 0, -1, 0]) AS dc),
+rim AS (SELECT m.grid_id, count(*) AS edges FROM m CROSS JOIN o LEFT JOIN m x ON x.grid_id = m.grid_id AND x.row = m.row + dr AND x.col = m.col + dc WHERE x.row IS NULL GROUP BY 1), n AS (SELECT grid_id, count(*) AS cells FROM m GROUP BY 1) SELECT grid_id, cells, edges FROM n JOIN rim USING (grid_id)""",
+)
+def _g26(spark: SparkSession, d: str) -> DataFrame:
+    """S-04: the rings around a mask, holes among them, hold its cells and are as long as its rim."""
+    got = kernels.rows_on_grids(cells(spark, d), lambda z, _: [{"rows": [p[0] for p in r], "cols": [p[1] for p in r]} for r in kernels.outlines(z > 51.5)], "rows array<int>, cols array<int>")
+    at = F.sequence(F.lit(1), F.size("rows"))
+    here, there = lambda c, i: F.element_at(c, i), lambda c, i: F.element_at(c, i % F.size("rows") + 1)
+    twice = F.aggregate(at, F.lit(0), lambda s, i: s + here("cols", i) * there("rows", i) - there("cols", i) * here("rows", i))
+    rim = F.aggregate(at, F.lit(0), lambda s, i: s + F.abs(there("rows", i) - here("rows", i)) + F.abs(there("cols", i) - here("cols", i)))
+    g = got.select("grid_id", twice.alias("twice"), rim.alias("rim")).groupBy("grid_id").agg(F.abs(F.sum("twice") / 2).cast("long").alias("cells"), F.sum("rim").alias("edges"))
+    return g

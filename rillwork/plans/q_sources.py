@@ -31,7 +31,12 @@ def _src03(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", F.size("c").alias("points"), F.round(F.aggregate("c", F.lit(0.0), lambda s, p: s + p["lon"]), 5).alias("lon_sum"))
 
 
-@query("src05_kml_maps")
+@query(
+    "src05_kml_maps",
+    """WITH l AS (SELECT n_regionkey::VARCHAR AS map_id, n_nationkey * 5 + 100.0::DOUBLE AS e FROM nation), s AS (SELECT map_id, e - lag(e) OVER (PARTITION BY map_id ORDER BY e) AS d FROM l),
+m AS (SELECT map_id, d, row_number() OVER (PARTITION BY map_id ORDER BY count(*) DESC, d) AS k FROM s WHERE d > 0 GROUP BY map_id, d), g AS (SELECT map_id, list(e ORDER BY e) AS levels, count(*) AS lines, 3 * count(*) AS points FROM l GROUP BY 1)
+SELECT map_id, levels, lines, points, d AS interval_m FROM g LEFT JOIN m USING (map_id) WHERE k = 1 OR k IS NULL""",
+)
 def _src05(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.lit("<Placemark><name>"), (F.col("n_nationkey") * 5 + 100).cast("string"), F.lit(" m</name><LineString><coordinates>77,21 77.1,21.1 77.2,21</coordinates></LineString></Placemark>"))
     maps = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("map_id")).agg(F.concat(F.lit("<kml><Document>"), F.concat_ws("", F.sort_array(F.collect_list(line))), F.lit("</Document></kml>")).cast("binary").alias("content"))
