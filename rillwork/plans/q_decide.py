@@ -266,11 +266,17 @@ def _g03(spark: SparkSession, d: str) -> DataFrame:
     return kernels.on_grids(cells(spark, d), lambda z, _: {"surface": kernels.breach_then_fill(z)[0]}, "surface double")
 
 
-@query("g14_stream_reaches")
-def _g14(spark: SparkSession, d: str) -> DataFrame:
-    return siting.streams(cells(spark, d), CELL, 0.1)
-
-
 @query("d05_pond_sites")
 def _d05(spark: SparkSession, d: str) -> DataFrame:
     return siting.sites(cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05), CELL, separation=60.0, upstream_ha=0.05, threshold=0.3, min_depth=0.05, max_slope=15.0)
+
+
+@query(
+    "x14_row_mean_weights",
+    "WITH w AS (SELECT s_suppkey AS id, list_transform(range(1, 5), lambda i: (1 + s_suppkey * i % 9)::DOUBLE) AS w FROM supplier), m AS (SELECT id, list_transform(range(1, 5), lambda i: pow(list_product(list_transform(range(1, 5), lambda j: w[i] / w[j])), 0.25)) AS g FROM w) SELECT id, list_transform(g, lambda x: round(x / list_sum(g), 6)) AS row_mean, round(0.0, 6) AS ci FROM m",
+)
+def _x14(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices of exact ratios: the row means are the weights, and they are consistent."""
+    w = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (1 + F.col("s_suppkey") * i % 9).cast("double")).alias("w"))
+    got = decide.ahp(w.select("id", F.transform("w", lambda a: F.transform("w", lambda b: a / b)).alias("m")))
+    return got.select("id", F.transform("row_mean", lambda x: F.round(x, 6)).alias("row_mean"), F.abs(F.round("ci", 6)).alias("ci"))

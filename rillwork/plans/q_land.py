@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.functions import geo
 from rillwork.operators import analysis, kernels, land, survey, terrain
 from rillwork.plans.q_rain import r6
+from rillwork.plans.q_terrain import _OFF, ACC, NEAR, WALK
 from rillwork.plans.views import CELLS, cells, table
 
 Q: dict = {}
@@ -293,3 +294,77 @@ def _g26(spark: SparkSession, d: str) -> DataFrame:
     rim = F.aggregate(at, F.lit(0), lambda s, i: s + F.abs(there("rows", i) - here("rows", i)) + F.abs(there("cols", i) - here("cols", i)))
     g = got.select("grid_id", twice.alias("twice"), rim.alias("rim")).groupBy("grid_id").agg(F.abs(F.sum("twice") / 2).cast("long").alias("cells"), F.sum("rim").alias("edges"))
     return g
+
+
+STREAMS = f"""{WALK}, {ACC}, st AS (SELECT d.grid_id, d.row, d.col, d.down_row, d.down_col FROM dirs d JOIN acc USING (grid_id, row, col) WHERE acc >= 5),
+up AS (SELECT p.grid_id, p.row, p.col, c.row AS r, c.col AS c FROM st p JOIN st c ON c.grid_id = p.grid_id AND c.down_row = p.row AND c.down_col = p.col),
+ords AS (SELECT 0 AS k, grid_id, row, col, 1 AS ord FROM st UNION ALL SELECT k + 1, grid_id, row, col, CASE WHEN len(l) = 0 THEN 1 WHEN len(l) > 1 AND l[1] = l[2] THEN l[1] + 1 ELSE l[1] END FROM (
+ SELECT o.k, o.grid_id, o.row, o.col, list_reverse_sort(coalesce(list(x.ord) FILTER (WHERE x.ord IS NOT NULL), [])) AS l FROM ords o LEFT JOIN up u ON u.grid_id = o.grid_id AND u.row = o.row AND u.col = o.col LEFT JOIN ords x ON x.grid_id = u.grid_id AND x.row = u.r AND x.col = u.c WHERE o.k < 40 GROUP BY o.k, o.grid_id, o.row, o.col)),
+strahler AS (SELECT grid_id, row, col, max(ord) FILTER (WHERE k = 40) AS ord FROM ords GROUP BY ALL)"""
+
+
+def _channels(z):  # noqa: ANN001, ANN202
+    code = kernels.direction(z, CELL)
+    return kernels.accumulation(code) >= 5, code
+
+
+@query("g13_strahler_orders", f"WITH RECURSIVE {STREAMS} SELECT c.grid_id, c.row, c.col, coalesce(ord, 0)::INT AS ord FROM cells c LEFT JOIN strahler USING (grid_id, row, col)")
+def _g13(spark: SparkSession, d: str) -> DataFrame:
+    return kernels.on_grids(cells(spark, d), lambda z, _: {"ord": kernels.strahler(*_channels(z)).astype("int32")}, "ord int")
+
+
+@query(
+    "g14_stream_reaches",
+    f"""WITH RECURSIVE {STREAMS}, links AS (SELECT st.grid_id, s.ord, CASE WHEN st.row <> st.down_row AND st.col <> st.down_col THEN 5.0 * sqrt(2) ELSE 5.0 END AS l FROM st JOIN strahler s USING (grid_id, row, col) JOIN st q ON q.grid_id = st.grid_id AND q.row = st.down_row AND q.col = st.down_col)
+SELECT grid_id, ord::INT AS "order", round(sum(l), 4) AS length_m FROM links GROUP BY ALL""",
+)
+def _g14(spark: SparkSession, d: str) -> DataFrame:
+    """Reaches take each step from one channel cell to the next once, under the order of the upper one."""
+    got = kernels.rows_on_grids(cells(spark, d), lambda z, _: [{"order": r["order"], "length_m": r["length_m"]} for r in kernels.reaches(*_channels(z), CELL)], "order int, length_m double")
+    return got.groupBy("grid_id", "order").agg(F.round(F.sum("length_m"), 4).alias("length_m"))
+
+
+@query(
+    "g24_smoothed",
+    f"""WITH {CELLS}, h AS (SELECT grid_id, max(row) + 1 AS n FROM cells GROUP BY 1), g AS (SELECT unnest(range(-3, 4)) AS i), w AS (SELECT i, exp(-0.5 * (i / 0.75) ** 2) AS w FROM g),
+p AS (SELECT c.grid_id, c.row, c.col, a.w * b.w AS w, CASE WHEN c.row + a.i < 0 THEN -(c.row + a.i) - 1 WHEN c.row + a.i >= n THEN 2 * n - 1 - c.row - a.i ELSE c.row + a.i END AS r, CASE WHEN c.col + b.i < 0 THEN -(c.col + b.i) - 1 WHEN c.col + b.i >= 64 THEN 127 - c.col - b.i ELSE c.col + b.i END AS q
+ FROM cells c JOIN h USING (grid_id) CROSS JOIN w a CROSS JOIN w b WHERE c.cover <> 80)
+SELECT p.grid_id, p.row, p.col, round(sum(w * x.z) / sum(w), 6) AS z FROM p JOIN cells x ON x.grid_id = p.grid_id AND x.row = p.r AND x.col = p.q WHERE x.cover <> 80 GROUP BY ALL""",
+)
+def _g24(spark: SparkSession, d: str) -> DataFrame:
+    c = cells(spark, d).withColumn("z", F.when(F.col("cover") != 80, F.col("z")))
+    got = kernels.on_grids(c, lambda z, _: {"s": kernels.gaussian(z)}, "s double")
+    return got.where("s is not null and not isnan(s)").select("grid_id", "row", "col", F.round("s", 6).alias("z"))
+
+
+_FLAT = f"""{NEAR}, s AS (SELECT grid_id, greatest({', '.join(f'coalesce(abs(z - n_{k}) * f / {CELL * (2**0.5 if r and c else 1.0)!r}, 0)' for k, (r, c) in _OFF.items())}) AS g FROM (SELECT *, CASE WHEN grid_id % 2 = 0 THEN 1.0 ELSE 0.001 END AS f FROM near))"""
+
+
+@query("g02_conditioning_choice", f"WITH {_FLAT} SELECT grid_id, CASE WHEN avg((g < 0.001)::INT) > 0.15 THEN 'breach' ELSE 'fill' END AS method, 0 AS sinks FROM s GROUP BY 1")
+def _g02(spark: SparkSession, d: str) -> DataFrame:
+    """Odd grids are nearly flat. Whatever is chosen, no inner cell is left without a lower neighbour."""
+
+    def choose(z, _):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        surface, method = kernels.condition(z, CELL)
+        inner = np.isfinite(surface) & ~kernels.outlets(surface)
+        return [{"method": method, "sinks": int((inner & (kernels.direction(surface, CELL) == 0)).sum())}]
+
+    c = cells(spark, d).withColumn("z", F.when(F.col("grid_id") % 2 == 0, F.col("z")).otherwise(F.col("z") * 0.001))
+    return kernels.rows_on_grids(c, choose, "method string, sinks int")
+
+
+@query("x11_layer_extents", "WITH f AS (SELECT s_nationkey AS layer_id, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) SELECT layer_id, min(id % 17 * 1.0) AS west, min(id % 13 * 1.0) AS south, max(id % 17 + 1.5) AS east, max(id % 13 + 2.0) AS north FROM f WHERE k <= 3 GROUP BY 1")
+def _x11(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    at = lambda a, b: F.struct((k % 17 + a).cast("double").alias("x"), (k % 13 + b).cast("double").alias("y"))
+    f = table(spark, d, "supplier").select(F.col("s_nationkey").alias("layer_id"), k.alias("feature_id"), F.array(at(0, 0), at(1.5, 0), at(0, 2.0)).alias("ring"))
+    return survey.layer_extent(f, 3)
+
+
+@query("x22_line_report", "SELECT s_nationkey AS grid_id, count(*) AS lines, count(*) FILTER (WHERE s_suppkey % 10 = 0) AS index_lines, sum(s_suppkey % 30 + 2)::BIGINT AS vertices, round(100.0 * (1 - sum(s_suppkey % 30 + 2) / sum(s_suppkey % 30 * 3.0 + 9)), 6) AS reduction_pct FROM supplier GROUP BY 1")
+def _x22(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    lines = survey.index_lines(table(spark, d, "supplier").select(F.col("s_nationkey").alias("grid_id"), (k * 0.5).alias("level"), F.lit(0.5).alias("interval"), (k % 30 + 2).alias("vertices"), (k % 30 * 3 + 9).alias("vertices_before")), 10)
+    return survey.line_report(lines).select("grid_id", "lines", "index_lines", "vertices", *r6("reduction_pct"))
