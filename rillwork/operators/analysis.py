@@ -147,3 +147,18 @@ def analyse_maps(lines: DataFrame, with_cover, daily: DataFrame, et0_mm: list[fl
         got = analyse(of_size, size, daily, et0_mm, **options)
         out = got if out is None else out.unionByName(got)
     return out.join(frames.select("grid_id", "map_id"), "grid_id")
+
+
+def reports(rows: DataFrame) -> DataFrame:
+    """D-15..D-17, SNK-06: analyse's rows -> grid_id, report: a JSON text with the headline (the best site), the sites in order with their catchment, water, pond (or why there is none) and words, and how many have water all year."""
+    water = F.struct(F.col("expected_m3").alias("m3"), F.col("limited_by").alias("limited_by"))
+    site = F.struct(
+        "rank", "kind", F.round("score", 1).alias("score"), F.struct("row", "col").alias("cell"),
+        F.struct(F.round(F.col("catchment_m2") / 10_000, 2).alias("ha"), F.round("relief_m", 2).alias("relief_m"), "confidence").alias("catchment"),
+        F.struct(F.round("annual_m3", 1).alias("annual_m3"), F.round("dependable_m3", 1).alias("dependable_m3"), F.round("cn2", 1).alias("curve_number")).alias("runoff"),
+        F.when(F.col("unavailable").isNull(), F.struct(F.round("depth_m", 2).alias("depth_m"), F.round("gross_m3", 1).alias("gross_m3"), F.round("cost", 0).alias("cost"), "binding", "months_with_water")).alias("pond"),
+        "unavailable", "explanation",
+    )
+    head = survey.site_summary(F.col("rank"), F.round("score", 1), F.col("col").cast("double"), F.col("row").cast("double"), F.col("catchment_m2") / 10_000, water)
+    g = rows.groupBy("grid_id").agg(F.min_by(head, "rank").alias("headline"), F.array_sort(F.collect_list(site)).alias("sites"), F.count_if(F.col("months_with_water") == 12).alias("all_year"))
+    return g.select("grid_id", F.to_json(F.struct("headline", "sites", "all_year")).alias("report"))

@@ -134,6 +134,12 @@ def cached_range(cache: DataFrame, cells: DataFrame, start: Column, stop: Column
     return rows.join(n.select("series"), "series", "left_semi")
 
 
+def cached_stats(cache: DataFrame, cells: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """X-05: cells(series) with hit and annual statistics from the cache; a cell that isn't covered, or without a complete year, is a miss."""
+    got = annual_statistics(cached_range(cache, cells, start, stop))
+    return cells.join(got, "series", "left").withColumn("hit", F.col("years").isNotNull())
+
+
 def dated_values(daily: DataFrame, names: dict[str, tuple[float, float | None]]) -> DataFrame:
     """SRC-14: per column (sentinel, replacement): values at or below the sentinel become the replacement, and are counted in <name>_filled."""
     out = daily

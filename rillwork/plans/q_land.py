@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import geo
-from rillwork.operators import analysis, kernels, land, survey, terrain
+from rillwork.operators import analysis, flow, kernels, land, survey, terrain
 from rillwork.plans.q_rain import r6
 from rillwork.plans.q_terrain import _OFF, ACC, NEAR, WALK
 from rillwork.plans.views import CELLS, cells, table
+from rillwork.sources import sinks
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -368,3 +369,14 @@ def _x22(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     lines = survey.index_lines(table(spark, d, "supplier").select(F.col("s_nationkey").alias("grid_id"), (k * 0.5).alias("level"), F.lit(0.5).alias("interval"), (k % 30 + 2).alias("vertices"), (k % 30 * 3 + 9).alias("vertices_before")), 10)
     return survey.line_report(lines).select("grid_id", "lines", "index_lines", "vertices", *r6("reduction_pct"))
+
+
+@query("snk02_layers", "SELECT vec_id // 64 AS grid_id, count(*) * 64 AS cells, true AS same FROM embeddings GROUP BY 1")
+def _snk02(spark: SparkSession, d: str) -> DataFrame:
+    """A layer under the hash of its parameters, in the shared folder; written again with other rows it stays as it was."""
+    flow.shared_checkpoints(spark)
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/layers"
+    c = cells(spark, d).select("grid_id", "row", "col", "z")
+    first = sinks.write_layer(c, root, "dem", CELL, d)
+    again = sinks.write_layer(c.limit(0), root, "dem", CELL, d)
+    return spark.read.parquet(first).groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.count(F.lit(1)).alias("cells")).withColumn("same", F.lit(first == again))

@@ -236,3 +236,16 @@ def _a31(spark: SparkSession, d: str) -> DataFrame:
     n = F.count("value").over(Window.partitionBy("event_type"))
     p95 = e.where("value is not null").withColumns({"k": rank, "n": n}).where(F.col("k") == F.ceil(F.col("n") * 0.95)).select("event_type", F.round("value", 6).alias("p95"))
     return e.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.count(F.lit(1)).alias("n")).join(p95, "event_type")
+
+
+@query(
+    "x05_cached_statistics",
+    f"WITH {RAIN}, c AS (SELECT series, observed_on, mm FROM rain UNION ALL SELECT 2, observed_on, mm FROM rain WHERE series = 1 AND day(observed_on) > 3), s AS (SELECT unnest([0, 1, 2, 3]) AS series), "
+    "r AS (SELECT * FROM c WHERE observed_on BETWEEN DATE '1995-06-01' AND DATE '1999-12-31'), ok AS (SELECT series FROM r GROUP BY 1 HAVING count(*) / (date_diff('day', DATE '1995-06-01', DATE '1999-12-31') + 1) >= 0.95), y AS (SELECT series, year(observed_on) AS y, sum(mm) AS t FROM r JOIN ok USING (series) GROUP BY ALL HAVING count(*) >= 360), "
+    "g AS (SELECT series, count(*) AS years, avg(t) AS m FROM y GROUP BY 1) SELECT series, years IS NOT NULL AS hit, coalesce(years, 0) AS years, round(coalesce(m, -1), 6) AS mean_annual FROM s LEFT JOIN g USING (series)",
+)
+def _x05(spark: SparkSession, d: str) -> DataFrame:
+    r = rain_daily(spark, d)
+    cache = r.unionByName(r.where("series = 1 and day(observed_on) > 3").withColumn("series", F.lit(2)))
+    got = rainfall.cached_stats(cache, spark.createDataFrame([(k,) for k in range(4)], "series int"), F.lit("1995-06-01").cast("date"), F.lit("1999-12-31").cast("date"))
+    return got.select("series", "hit", F.coalesce("years", F.lit(0).cast("long")).alias("years"), F.round(F.coalesce("mean_annual", F.lit(-1.0)), 6).alias("mean_annual"))

@@ -27,7 +27,8 @@ def test_contours_give_the_valley_back_and_its_hollow_gets_the_pond(spark):
     off = np.abs(z - want[rr, cc])
     assert np.isfinite(z).mean() > 0.8 and np.nanmedian(off) < 0.3
     daily = spark.sql("SELECT explode(sequence(date'1995-01-01', date'2000-12-31')) AS observed_on").withColumn("mm", F.when((F.month("observed_on").between(6, 9)) & (F.dayofmonth("observed_on") % 3 == 0), 90.0).otherwise(0.0))
-    out = analysis.analyse_maps(lines, lambda x: x.withColumn("cover", F.lit(30)), daily, ET0, **LOOSE).orderBy("rank").toPandas()
+    made = analysis.analyse_maps(lines, lambda x: x.withColumn("cover", F.lit(30)), daily, ET0, **LOOSE).checkpoint()
+    out = made.orderBy("rank").toPandas()
     best = out.iloc[0]
     # the hollow is at the valley's middle row and six tenths of its length
     hollow = out[out.kind == "natural_depression"].iloc[0]
@@ -35,6 +36,10 @@ def test_contours_give_the_valley_back_and_its_hollow_gets_the_pond(spark):
     assert abs(hollow.row * k - 32) < 8 and abs(hollow.col * k - 38) < 10 and hollow.score > 30
     assert best.gross_m3 > 0 and best.annual_m3 > best.dependable_m3 * 0.99 > 0 and 0 < best.months_with_water <= 12
     assert best.expected_m3 == min(best.live_m3, best.dependable_m3) and best.explanation.startswith("Rank 1, score ")
+    import json
+
+    report = json.loads(analysis.reports(made).collect()[0].report)
+    assert report["headline"]["site_rank"] == 1 and [x["rank"] for x in report["sites"]] == list(range(1, len(out) + 1)) and report["sites"][0]["pond"]["gross_m3"] > 0
     # a river through the hollow vetoes it
     c = cells.withColumn("cover", F.lit(30))
     river = spark.createDataFrame([(frame.grid_id, "major", [0.0, 320.0], [160.0, 160.0], False)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean")
