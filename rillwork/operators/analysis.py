@@ -34,6 +34,7 @@ def display_contours(cells: DataFrame, most: int = 40) -> DataFrame:
     def lines(z: np.ndarray, x: dict[str, np.ndarray]) -> list[dict]:
         step = float(np.nanmax(x["step"]))
         levels = np.arange(np.ceil(np.nanmin(z) / step), np.floor(np.nanmax(z) / step) + 1) * step
+        levels = levels[(levels > np.nanmin(z) + 1e-9) & (levels < np.nanmax(z) - 1e-9)]  # the ends have no line
         return [{"level": float(v), "rows": [p[0] for p in line], "cols": [p[1] for p in line]} for v in levels for line in kernels.contour_lines(z, float(v))]
 
     return kernels.rows_on_grids(cells.join(span, "grid_id"), lines, "level double, rows array<double>, cols array<double>", extra=("step",))

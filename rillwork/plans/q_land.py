@@ -240,8 +240,8 @@ def _x29(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("grid_id").agg(F.round(F.sum("dem"), 3).alias("dem"), F.sum("band").cast("long").alias("shade"))
 
 
-@query("x20_display_contours", f"""WITH {CELLS}, b AS (SELECT grid_id, max(z) - min(z) AS relief, min(z) AS lo, max(z) AS hi FROM cells GROUP BY 1), s AS (SELECT *, coalesce(list_filter({[float(x) for x in geo.DISPLAY_INTERVALS]}::DOUBLE[], lambda x: relief / x <= 40)[1], {float(geo.DISPLAY_INTERVALS[-1])}) AS step FROM b)
-SELECT grid_id, unnest(list_transform(range(ceil(lo / step)::BIGINT, floor(hi / step)::BIGINT + 1), lambda k: round(k * step, 6)))::DOUBLE AS level FROM s""")
+@query("x20_display_contours", f"""WITH {CELLS}, b AS (SELECT grid_id, max(z) - min(z) AS relief, min(z) AS lo, max(z) AS hi FROM cells GROUP BY 1), s AS (SELECT *, coalesce(list_filter({[float(x) for x in geo.DISPLAY_INTERVALS]}::DOUBLE[], lambda x: relief / x <= 40)[1], {float(geo.DISPLAY_INTERVALS[-1])}) AS step FROM b),
+v AS (SELECT grid_id, unnest(list_transform(range(ceil(lo / step)::BIGINT, floor(hi / step)::BIGINT + 1), lambda k: round(k * step, 6)))::DOUBLE AS level, lo, hi FROM s) SELECT grid_id, level FROM v WHERE level < hi - 1e-9 AND level > lo + 1e-9""")
 def _x20(spark: SparkSession, d: str) -> DataFrame:
     return analysis.display_contours(cells(spark, d)).select("grid_id", F.round("level", 6).alias("level")).distinct()
 

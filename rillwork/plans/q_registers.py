@@ -65,8 +65,8 @@ def _j06(spark: SparkSession, d: str) -> DataFrame:
 @query("f06_name_similarity", f"WITH n AS (SELECT n_name, r_name, {fold_sql('n_name')} AS f, {fold_sql('r_name')} AS g FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT n_name, {TRI} AS a, {TRI.replace('f =', 'g =').replace('(f)', '(g)').replace('|| f ||', '|| g ||')} AS b FROM n) SELECT n_name, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS sim FROM t")
 def _f06(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    a, b = (names.trigrams(names.folded(F.col(c))) for c in ("n_name", "r_name"))
-    return n.select("n_name", F.round(names.similarity(a, b), 6).alias("sim"))
+    n = n.withColumns({"f": names.folded(F.col("n_name")), "g": names.folded(F.col("r_name"))})
+    return n.select("n_name", F.round(names.similarity(names.trigrams(F.col("f")), names.trigrams(F.col("g"))), 6).alias("sim"))
 
 
 AREAS = "areas AS (SELECT row_number() OVER (ORDER BY r_name, n_name, seg)::BIGINT AS area_id, r_name AS state, n_name AS district, seg AS sub FROM (SELECT DISTINCT r_name, n_name, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 = 0))"
