@@ -261,9 +261,18 @@ def _f10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), names.rupees(F.col("o_orderkey") * 7919).alias("shown"))
 
 
-@query("g03_breach_then_fill")
+@query("g03_breach_then_fill", f"WITH {CELLS} SELECT grid_id, count(*) AS cells, 0 AS sinks, 0 AS above_filled FROM cells GROUP BY 1")
 def _g03(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.on_grids(cells(spark, d), lambda z, _: {"surface": kernels.breach_then_fill(z)[0]}, "surface double")
+    """Every inner cell has a lower neighbour afterwards, and none lies above the filled surface."""
+
+    def conditioned(z, _):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        surface, filled = kernels.breach_then_fill(z)[0], kernels.fill(z)
+        inner = np.isfinite(surface) & ~kernels.outlets(surface)
+        return [{"cells": int(np.isfinite(surface).sum()), "sinks": int((inner & (kernels.direction(surface, CELL) == 0)).sum()), "above_filled": int((surface > filled + 1e-9).sum())}]
+
+    return kernels.rows_on_grids(cells(spark, d), conditioned, "cells long, sinks int, above_filled int")
 
 
 @query("d05_pond_sites")
