@@ -89,8 +89,8 @@ def give_back() -> None:
         trim(0)
 
 
-def text_chunks(texts: pa.Array | pa.ChunkedArray):
-    """(first row, bytes, offsets) for slices of about CHUNK_BYTES; a longer text is a slice of its own."""
+def text_chunks(texts: pa.Array | pa.ChunkedArray, size: int | None = None):
+    """(first row, bytes, offsets) for slices of about size bytes, CHUNK_BYTES if not given; a longer text is a slice of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -102,7 +102,7 @@ def text_chunks(texts: pa.Array | pa.ChunkedArray):
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + (size or CHUNK_BYTES), "right")) - 1
         end = min(n, max(row + 1, end))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
