@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdup, langid, licenses, mixing, neardup, quality, secretscan, sql, tokenfile, toxicity, wordpiece
+from . import audit, bpe, convfix, exactdup, langid, licenses, mixing, neardup, quality, secretscan, sql, tokenfile, toxicity, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convfix.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_documents(spark, sf_dir))
 
@@ -66,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_bpe, op2_quality, op3_near_dedup, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_licenses, op8_language, op9_secrets, op10_mixing, op13_token_files, pipeline)
+    ops = (op1_bpe, op2_quality, op3_near_dedup, op4_exact_dedup, op5_token_counts, op6_toxicity, op7_licenses, op8_language, op9_secrets, op10_mixing, op11_conversation_repair, op12_filter_audit, op13_token_files, pipeline)
     return {f.__name__: f for f in ops}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secretscan
+from . import audit, licenses, quality, secretscan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,4 +78,22 @@ string_agg(span, ',' ORDER BY place) FILTER (WHERE rank < 3) AS base, string_agg
     return ",\n".join(steps) + "\nSELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links FROM d LEFT JOIN g USING (rid)"
 
 
-ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets()}
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(ws) < {audit.MIN_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < {audit.DISTINCT_PCT} * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {audit.UPPER_PCT} * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN again THEN 'E' ELSE '' END AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(x)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, contains(mask, f) AS fails, mask = f AS alone, translate(mask, earlier, '') <> mask AS gone FROM m, s),
+g AS (SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS toxic_lost FROM r GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g"""
+
+
+ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets(), "op12_filter_audit": AUDIT}
