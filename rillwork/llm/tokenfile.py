@@ -35,19 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from . import textvec as tv
 from .bpe import threads
 from .neardup import shared_checkpoints
 
 END = 0
-SHARD_IDS, MIN_COUNT, LEAST_GAIN, PER_ROUND, STEP = 1 << 20, 8, 0.001, 4096, 1024
+SHARD_IDS, MIN_COUNT, LEAST_GAIN, PER_ROUND, STEP = 1 << 20, 8, 0.02, 8192, 1024
 #: Rules of a shard are at most what keeps its symbols within 16 bits, or this number where the vocabulary alone needs more.
 MOST_RULES = 1 << 14
 _BUCKETS = 20
 #: Bytes of text whose chunks are found at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, 0x09, 0x0A, 0x0D]] = 0
 _KIND[65:91] = _KIND[97:123] = 1
@@ -79,6 +78,8 @@ class ByteEncoder:
         self.inner, self.known = Tokenizer.from_file(path), {}
         self.inner.no_truncation(), self.inner.no_padding()
         self.size = self.inner.get_vocab_size()
+        #: Bytes that a token stands for: each character of its name is one.
+        self.bytes = np.array([len(self.inner.id_to_token(i)) for i in range(self.size)], np.int64)
         #: What a special token begins with; its text is not cut into chunks.
         self.marks = [t.content[:2].encode() for t in self.inner.get_added_tokens_decoder().values()]
         threads(False)
@@ -108,6 +109,19 @@ class ByteEncoder:
                 at += n[k]
         return np.concatenate(parts), n
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Remembers the ids of chunks. Those of one space and a character that isn't white are encoded as one text, as it falls into them again; tokens' sizes tell whose they are."""
+        known, one = self.known, [w for w in new if w[0] == 32 and len(w) > 1 and w[1] > 32]
+        ids = np.array(self.inner.encode_batch_fast([b"".join(one).decode()], add_special_tokens=False)[0].ids, "<u4") if one else np.zeros(0, "<u4")
+        at = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.fromiter(map(len, one), np.int64, len(one))), "left") + 1
+        data, begin = ids.tobytes(), 0
+        for w, stop in zip(one, (4 * at).tolist(), strict=True):
+            known[w] = data[begin:stop]
+            begin = stop
+        rest = [w for w in new if not (w[0] == 32 and len(w) > 1 and w[1] > 32)]
+        for w, e in zip(rest, self.inner.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
     def _plain(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts have known characters only, and no special token's start."""
         lead = buf >= 0xC0
@@ -154,9 +168,7 @@ class ByteEncoder:
         known = self.known
         if len(known) > self.REMEMBERED:
             known.clear()
-        new = [w for w in names if w not in known]
-        for w, e in zip(new, self.inner.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn([w for w in names if w not in known])
         each = [known[w] for w in names]
         pool = np.frombuffer(b"".join(each), "<u4")
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -187,14 +199,16 @@ def grammar(ids: np.ndarray, base: int, most_rules: int = MOST_RULES, min_count:
         often = often[np.lexsort((shown[often], -count[often]))][: min(per_round, most_rules - n_rules)]
         if not len(often):
             break
-        # rank 1 is the least frequent of the chosen pairs, 0 is none; of pairs that overlap the highest rank is taken, and the left one of equal ones
+        # rank 1 is the least frequent of the chosen pairs, 0 is none; of pairs that overlap the highest rank is taken, and every other one in a run of one symbol
         rank = np.zeros(1 << _BUCKETS, np.int32)
         rank[often] = np.arange(len(often), 0, -1)
         r = np.where(own, rank[bucket], 0)
         at = np.flatnonzero(r)
         here = r[at]
         before, after = np.where(at > 0, r[at - 1], 0), np.concatenate((r, [0]))[at + 1]
-        take = (here > before) & (here >= after)
+        run = np.flatnonzero(here != before)
+        place = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
+        take = (place % 2 == 0) & ((here >= before) | (place > 0)) & (here >= after)
         at, here = at[take], here[take]
         used = np.bincount(here, minlength=len(often) + 1)
         good = used >= min_count // 2
@@ -239,8 +253,11 @@ class Shard:
 
     def __init__(self, base: int, rules: bytes, lengths: bytes, symbols: bytes, marks: bytes, width: int):
         self.base, self.rules = base, np.frombuffer(rules, "<u4").reshape(-1, 2)
-        self.lengths, self.marks = np.frombuffer(lengths, "<u4"), np.frombuffer(marks, "<u4")
+        self.lengths, self.marks = np.frombuffer(lengths, "<u4").astype(np.int64), np.frombuffer(marks, "<u4").astype(np.int64)
         self.symbols = np.frombuffer(symbols, f"<u{width}")
+        #: What each rule expands to, one after another.
+        self.pool = expand(np.arange(base, base + len(self.rules)), self.rules, base)
+        self.stops = np.cumsum(self.lengths)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if a >= b:
@@ -251,7 +268,17 @@ class Shard:
         stop = int(self.marks[k // STEP]) + np.cumsum(np.where(some >= self.base, self.lengths[np.maximum(some - self.base, 0)] if len(self.lengths) else 1, 1))
         x, y = int(np.searchsorted(stop, a, "right")), int(np.searchsorted(stop, b, "left"))
         first = int(stop[x - 1]) if x else int(self.marks[k // STEP])
-        return expand(some[x : y + 1], self.rules, self.base)[a - first : b - first]
+        some = some[x : y + 1]
+        rule = np.maximum(some - self.base, 0)
+        n = np.where(some >= self.base, self.lengths[rule], 1) if len(self.lengths) else np.ones(len(some), np.int64)
+        upto = np.cumsum(n)
+        out = np.repeat(some.astype(np.uint32), n)
+        inner = np.flatnonzero(some >= self.base)
+        if len(inner):
+            at = np.repeat((self.stops - self.lengths)[rule[inner]] - (upto - n)[inner], n[inner])
+            place = np.flatnonzero(np.repeat(some >= self.base, n))
+            out[place] = self.pool[at + place]
+        return out[a - first : b - first]
 
 
 _DOC = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()), ("start", pa.int32()), ("n", pa.int32())])
@@ -377,19 +404,24 @@ def crc_joined(a: int, b: int, b_bytes: int) -> int:
     return a ^ b
 
 
-def _crc_of_pieces(pieces: list) -> int:
-    crc = 0
-    for p in pieces:
-        crc = crc_joined(crc, p["crc"], 4 * p["n"])
-    return crc
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+
+def _digest_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        crcs = []
+        for pieces in b.column(3).to_pylist():
+            crc = pieces[0]["crc"]
+            for p in pieces[1:]:
+                crc = crc_joined(crc, p["crc"], 4 * p["n"])
+            crcs.append(crc)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64())], schema=_DIGEST)
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from its files. Pieces of one document, at most one for SHARD_IDS of its ids, are put together by their checksums."""
-    d = read(spark, folder, ids=False)
-    one = d.filter("piece = 0 AND last").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    many = d.filter("NOT (piece = 0 AND last)").groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"))
-    return one.unionByName(many.select("doc_id", "start", "n_tokens", F.udf(_crc_of_pieces, LongType())("p").alias("ids_crc32")))
+    each = read(spark, folder, ids=False).groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"))
+    return each.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(_digest_of_pieces, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:
