@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.plans import q_analysis, q_decide, q_functions, q_land, q_rain, q_registers, q_sources, q_survey, q_terrain
+from rillwork.plans import q_analysis, q_decide, q_functions, q_land, q_rain, q_raster, q_registers, q_sources, q_survey, q_terrain
 
-MODULES = (q_rain, q_terrain, q_registers, q_decide, q_functions, q_land, q_sources, q_survey, q_analysis)
+MODULES = (q_rain, q_terrain, q_registers, q_decide, q_functions, q_land, q_sources, q_survey, q_raster, q_analysis)
 
 
 def queries() -> dict:
