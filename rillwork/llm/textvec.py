@@ -64,10 +64,10 @@ def same_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray
     return np.logical_and.reduceat(x == blocks(buf, b, lengths)[0], first)
 
 
-def classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def classes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str = "stable") -> np.ndarray:
     """A number for each run, the same for two runs just if they have the same bytes: neighbours in the order of hashes are compared in full."""
     h = run_hashes(buf, starts, ends)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h, kind=kind)
     new = np.concatenate((np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1]))
     at = np.flatnonzero(~new)
     one, two = order[at - 1], order[at]
