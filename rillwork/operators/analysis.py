@@ -87,11 +87,12 @@ def gridded(lines: DataFrame, spacing_cells: float = 1.0, smooth: float = 0.75)
     return cells.withColumn("z", F.nanvl("z", F.lit(None).cast("double"))), frames
 
 
-def site_catchments(cells: DataFrame, sites: DataFrame, cell_m: float) -> tuple[DataFrame, DataFrame]:
-    """(members(site_id, grid_id, row, col, dist), metrics by site_id) of the sites' outlets over each grid's filled surface."""
-    routed = siting.routed(cells, cell_m)
+def site_catchments(cells: DataFrame, sites: DataFrame, cell_m: float, flow_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members(site_id, grid_id, row, col, dist), metrics by site_id) of the sites' outlets over each grid's filled surface (flow_of, as of routed with trees, if it is there already)."""
+    if flow_of is None:
+        flow_of = siting.routed(cells, cell_m, tree=True).checkpoint()
     at = sites.select("site_id", "grid_id", F.col("outlet_row").alias("row"), F.col("outlet_col").alias("col"))
-    members = flow.catchments(terrain.with_pointer(routed), at, cell_m).checkpoint()
+    members = flow.upstream(flow_of, at, cell_m).checkpoint()
     edge = members.join(terrain.outlets(cells).where("outlet").select(*survey.KEY), survey.KEY, "left_semi").select("site_id").distinct().withColumn("touches_edge", F.lit(True))
     metrics = flow.catchment_metrics(members, terrain.slope(cells, cell_m), cell_m).join(edge, "site_id", "left")
     return members, metrics.withColumn("touches_edge", F.coalesce("touches_edge", F.lit(False)))
@@ -111,9 +112,11 @@ def site_water(members: DataFrame, cells: DataFrame, metrics: DataFrame, daily:
 def analyse(cells: DataFrame, cell_m: float, daily: DataFrame, et0_mm: list[float], soil: str | None = None, features: DataFrame | None = None, **options: float) -> DataFrame:
     """cells(grid_id, row, col, z, cover) -> one row a site: its rank, place and score, its catchment, curve number, water, pond, balance, confidence, comparison and a sentence. features (see land.burned) veto cells."""
     group = F.coalesce(F.lit(soil), F.lit(survey.ASSUMED_SOIL))
-    best = siting.sites(cells, cell_m, features=features, **options)
+    flow.shared_checkpoints(cells.sparkSession)
+    flow_of = siting.routed(cells, cell_m, tree=True).checkpoint()
+    best = siting.sites(cells, cell_m, features=features, flow_of=flow_of, **options)
     sites = best.withColumn("site_id", F.xxhash64("grid_id", "rank")).checkpoint()
-    members, metrics = site_catchments(cells, sites, cell_m)
+    members, metrics = site_catchments(cells, sites, cell_m, flow_of)
     metrics = metrics.checkpoint()
     water = site_water(members, cells, metrics, daily, group)
     s = sites.join(metrics.select("site_id", "area_m2", "relief_m", "tc_min", "touches_edge").withColumnRenamed("area_m2", "catchment_m2"), "site_id").join(water, "site_id", "left")

@@ -1,6 +1,6 @@
-"""Flow over pointer grids by pointer doubling: a chain of n cells takes log2(n) rounds of joins, for all grids and outlets at once.
+"""Flow over pointer grids, for all grids and outlets at once: accumulation, ends and catchments by tiles (see tiled), components by pointer jumping.
 
-flow: grid_id, row, col, fdir, down_row, down_col (null at ends), as terrain.flow_direction gives. Rounds are cut by checkpoints in spark.checkpoint.dir.
+flow: grid_id, row, col, down_row, down_col (null at ends), as terrain.flow_direction gives. Steps are cut by checkpoints in spark.checkpoint.dir.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import hydro
+from rillwork.operators import tiled
 from rillwork.operators.terrain import D8
 
 KEY = ["grid_id", "row", "col"]
+#: Numbers that one row makes at once.
+_STRETCH = 4096
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -26,64 +29,36 @@ def shared_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:"), "checkpoints"))
 
 
-def _doubled(flow: DataFrame, start: dict[str, Column], pull: dict[str, Column], push: dict[str, Column]) -> DataFrame:
-    """Rounds over (grid_id, row, col, p_row, p_col, ...): push is aggregated to where the pointer leads, pull is taken from there, and the pointer jumps."""
-    shared_checkpoints(flow.sparkSession)
-    s = flow.select(*KEY, F.col("down_row").alias("p_row"), F.col("down_col").alias("p_col"), *[v.alias(k) for k, v in start.items()])
-    # a pointer off the grid is an end
-    s = s.join(s.select("grid_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.lit(True).alias("__on")), ["grid_id", "p_row", "p_col"], "left")
-    s = s.select(*KEY, F.when(F.col("__on"), F.col("p_row")).alias("p_row"), F.when(F.col("__on"), F.col("p_col")).alias("p_col"), *start).checkpoint()
-    while not s.where("p_row is not null").isEmpty():
-        nxt = s.select("grid_id", F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.col("p_row").alias("q_row"), F.col("p_col").alias("q_col"), *[F.col(k).alias("q_" + k) for k in start])
-        j = s.join(nxt, ["grid_id", "p_row", "p_col"], "left")
-        if push:
-            sums = s.where("p_row is not null").groupBy("grid_id", F.col("p_row").alias("row"), F.col("p_col").alias("col")).agg(*[v.alias("__in_" + k) for k, v in push.items()])
-            j = j.join(sums, KEY, "left")
-        s = j.select(*KEY, F.col("q_row").alias("p_row"), F.col("q_col").alias("p_col"), *[(pull[k] if k in pull else F.col(k) + F.coalesce("__in_" + k, F.lit(0)) if k in push else F.col(k)).alias(k) for k in start]).checkpoint()
-    return s.drop("p_row", "p_col")
-
-
 def accumulation(flow: DataFrame) -> DataFrame:
     """G-07: acc: cells that drain through each cell, itself included."""
-    return _doubled(flow, {"acc": F.lit(1).cast("long")}, {}, {"acc": F.sum("acc")})
+    return tiled.accumulation(flow)
+
+
+def _steps(straight: Column, diagonal: Column, cell_m: float) -> Column:
+    return straight * F.lit(cell_m) + diagonal * F.lit(cell_m * 2**0.5)
 
 
 def terminal(flow: DataFrame, cell_m: float = 1.0) -> DataFrame:
     """The end that each cell drains to (end_row, end_col) and the distance to it along the flow (diagonal steps count root 2)."""
-    dist = F.when(F.col("down_row").isNull(), 0.0).when((F.col("down_row") != F.col("row")) & (F.col("down_col") != F.col("col")), cell_m * 2**0.5).otherwise(cell_m)
-    has = F.col("q_dist").isNotNull()
-    start = {"end_row": F.coalesce("down_row", "row"), "end_col": F.coalesce("down_col", "col"), "dist": dist}
-    pull = {"end_row": F.when(has, F.col("q_end_row")).otherwise(F.col("end_row")), "end_col": F.when(has, F.col("q_end_col")).otherwise(F.col("end_col")), "dist": F.col("dist") + F.coalesce("q_dist", F.lit(0.0))}
-    return _doubled(flow, start, pull, {})
+    end = [F.shiftright("root", 32).cast("int").alias("end_row"), F.col("root").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end_col")]
+    return tiled.trees(flow).select(*KEY, *end, _steps(F.col("straight"), F.col("diagonal"), cell_m).alias("dist"))
 
 
-def catchments(flow: DataFrame, sites: DataFrame, cell_m: float = 1.0) -> DataFrame:
-    """G-09, G-10: sites(site_id, grid_id, row, col) -> site_id, grid_id, row, col, dist for every cell that drains through the site's cell, dist along the flow.
+def upstream(trees: DataFrame, sites: DataFrame, cell_m: float = 1.0) -> DataFrame:
+    """G-09, G-10: trees as tiled.trees or tiled.routed give them, sites(site_id, grid_id, row, col) -> site_id, grid_id, row, col, dist for every cell that drains through the site's cell, dist along the flow.
 
-    Sites that lie upstream of others get catchments of their own, so a cell may be in several: outlets are cut loose, and nested catchments are then put together along the
-    chain of outlets, whose length doubles each round.
+    The cells upstream of a site are the numbers from its own place on, so each site meets just its own cells, however catchments are nested; a site's numbers are made in stretches.
     """
-    outlets = sites.select("grid_id", "row", "col").distinct().withColumn("__site", F.lit(True))
-    cut = flow.join(outlets, KEY, "left")
-    loose = cut.select(*KEY, *[F.when(F.col("__site"), None).otherwise(F.col(c)).alias(c) for c in ("down_row", "down_col")])
-    own = terminal(loose, cell_m).join(outlets.select("grid_id", F.col("row").alias("end_row"), F.col("col").alias("end_col")), ["grid_id", "end_row", "end_col"]).checkpoint()
-    # from an outlet on, through the cell below it, to the next outlet
-    step = F.when(F.col("__site") & F.col("down_row").isNotNull(), F.when((F.col("down_row") != F.col("row")) & (F.col("down_col") != F.col("col")), cell_m * 2**0.5).otherwise(cell_m))
-    below = cut.where("__site").select("grid_id", F.col("row").alias("end_row"), F.col("col").alias("end_col"), F.col("down_row"), F.col("down_col"), step.alias("step"))
-    hop = below.join(own.select("grid_id", F.col("row").alias("down_row"), F.col("col").alias("down_col"), F.col("end_row").alias("to_row"), F.col("end_col").alias("to_col"), F.col("dist").alias("more")), ["grid_id", "down_row", "down_col"])
-    hop = hop.select("grid_id", "end_row", "end_col", "to_row", "to_col", (F.col("step") + F.col("more")).alias("add")).checkpoint()
-    # all outlets below an outlet: chains of up to 2, 4, 8, ... hops, and then every cell once by its own outlet
-    chains, jump = hop, hop
-    ends = lambda d, n: d.select("grid_id", F.col("end_row").alias("to_row"), F.col("end_col").alias("to_col"), F.col("to_row").alias("far_row"), F.col("to_col").alias("far_col"), F.col("add").alias(n))
-    joined = lambda a, b: a.join(ends(b, "more"), ["grid_id", "to_row", "to_col"]).select("grid_id", "end_row", "end_col", F.col("far_row").alias("to_row"), F.col("far_col").alias("to_col"), (F.col("add") + F.col("more")).alias("add"))
-    while not jump.isEmpty():
-        further = joined(jump, chains).checkpoint()
-        jump = joined(jump, jump).checkpoint()
-        chains = chains.unionByName(further)
-    below = own.join(chains, ["grid_id", "end_row", "end_col"]).select("grid_id", F.col("to_row").alias("end_row"), F.col("to_col").alias("end_col"), "row", "col", (F.col("dist") + F.col("add")).alias("dist"))
-    reached = own.select("grid_id", "end_row", "end_col", "row", "col", "dist").unionByName(below)
-    at = sites.select("site_id", "grid_id", F.col("row").alias("end_row"), F.col("col").alias("end_col"))
-    return reached.join(at, ["grid_id", "end_row", "end_col"]).select("site_id", *KEY, "dist")
+    at = sites.select("site_id", *KEY).join(trees.select(*KEY, "root", F.col("place").alias("first"), F.col("acc").alias("n"), F.col("straight").alias("s0"), F.col("diagonal").alias("d0")), KEY).drop("row", "col")
+    stretch = at.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_STRETCH).cast("long"))))
+    mine = stretch.withColumn("place", F.explode(F.sequence(F.col("first") + F.col("a"), F.col("first") + F.least(F.col("a") + _STRETCH, F.col("n")) - 1))).drop("a", "first", "n")
+    j = mine.join(trees.select(*KEY, "root", "place", "straight", "diagonal"), ["grid_id", "root", "place"])
+    return j.select("site_id", *KEY, _steps(F.col("straight") - F.col("s0"), F.col("diagonal") - F.col("d0"), cell_m).alias("dist"))
+
+
+def catchments(flow: DataFrame, sites: DataFrame, cell_m: float = 1.0) -> DataFrame:
+    """G-09, G-10: see upstream; flow has the pointers."""
+    return upstream(tiled.trees(flow).checkpoint(), sites, cell_m)
 
 
 def perimeter(members: DataFrame, cell_m: float) -> DataFrame:

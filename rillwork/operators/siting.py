@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.operators import decide, flow, kernels, land, terrain
+from rillwork.operators import decide, flow, kernels, land, terrain, tiled
 
 MAX_SLOPE, MIN_UPSTREAM_HA, THRESHOLD, SEPARATION, SATURATION, MIN_DEPTH, MIN_REGION_M2, EDGE = 8.0, 1.0, 0.55, 300.0, 3.0, 0.3, 100.0, 3
 # Land-cover classes and how far they may be used for ponds.
@@ -84,25 +84,19 @@ def regions(cells: DataFrame, cell_m: float, threshold: float = THRESHOLD, min_d
     return kernels.rows_on_grids(d, find, schema, extra=("feasible", "buildable", "acc", "fill_depth", "slope_pct", "concavity", "availability", "score"))
 
 
-def routed(cells: DataFrame, cell_m: float) -> DataFrame:
-    """grid_id, row, col, filled, fdir, acc: the filled surface and its pointers, one kernel a grid."""
+def routed(cells: DataFrame, cell_m: float, tree: bool = False) -> DataFrame:
+    """grid_id, row, col, filled, fdir, acc: the filled surface and its flow, by tiles; with places in the trees of ends if asked for."""
+    return tiled.routed(cells, cell_m, tree=tree)
 
-    def route(z: np.ndarray, _: dict) -> dict[str, np.ndarray]:
-        filled = kernels.fill(z)
-        code = kernels.direction(filled, cell_m)
-        return {"filled": filled, "fdir": code.astype(np.int32), "acc": kernels.accumulation(code)}
 
-    return kernels.on_grids(cells, route, "filled double, fdir int, acc long")
-
-
-def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, features: DataFrame | None = None, **options: float) -> DataFrame:
+def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, features: DataFrame | None = None, flow_of: DataFrame | None = None, **options: float) -> DataFrame:
     """D-05: cells(grid_id, row, col, z, cover?) -> the best sites of each grid: grid_id, rank, kind, row, col, outlet, score (0..100) and the region's figures. Cells that are excluded, or that features veto, have none.
 
-    Routing is on the filled surface, slope and concavity on the ground.
+    Routing is on the filled surface (flow_of, as of routed, if it is there already), slope and concavity on the ground.
     """
     flow.shared_checkpoints(cells.sparkSession)
     ground = terrain.concavity(terrain.slope(cells, cell_m))
-    d = ground.join(routed(cells, cell_m), ["grid_id", "row", "col"]).withColumn("fill_depth", F.col("filled") - F.col("z"))
+    d = ground.join((routed(cells, cell_m) if flow_of is None else flow_of).select("grid_id", "row", "col", "filled", "fdir", "acc"), ["grid_id", "row", "col"]).withColumn("fill_depth", F.col("filled") - F.col("z"))
     if "cover" in cells.columns:
         d = d.withColumn("availability", availability(F.col("cover")))
     if features is not None:

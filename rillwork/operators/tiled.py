@@ -77,7 +77,10 @@ def _packed(cells: DataFrame, value: Column, side: int, rim: bool, gap: float) -
         a[r[keep] + edge, c[keep] + edge] = pdf["v"].to_numpy()[keep]
         return pd.DataFrame({"grid_id": [grid], "tr": [tr], "tc": [tc], "h": [h], "w": [w], "data": [a.tobytes()]})
 
-    return d.groupBy(*TILE).applyInPandas(pack, "grid_id long, tr int, tc int, h int, w int, data binary")
+    packed = d.groupBy(*TILE).applyInPandas(pack, "grid_id long, tr int, tc int, h int, w int, data binary")
+    # a tile is a second of work, but few bytes: without a number of partitions Spark would put many in one
+    spark = cells.sparkSession
+    return packed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *TILE)
 
 
 def _each(tiles: DataFrame, work: Callable[[dict], dict[str, np.ndarray] | None], schema: pa.Schema) -> DataFrame:
@@ -307,21 +310,25 @@ def _told(side: int, eps: float) -> Callable[[dict], dict[str, np.ndarray]]:
 
 
 _FLOODED = _schema(row=pa.int32(), col=pa.int32(), filled=pa.float64(), fdir=pa.int32())
+_POINTED = pa.schema([("grid_id", pa.int64()), ("tr", pa.int32()), ("tc", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary()), ("filled", pa.binary())])
 
 
-def _final(side: int, eps: float, cell_m: float) -> Callable[[dict], dict[str, np.ndarray]]:
-    def work(row: dict) -> dict[str, np.ndarray]:
-        g, w = _raised(row, side, eps)
-        code = kernels.direction(w, cell_m)[1:-1, 1:-1]
-        r, c = np.indices(code.shape)
-        there = ~np.isneginf(g.z[1:-1, 1:-1])
-        return {"row": (r + g.r0 + 1)[there].astype(np.int32), "col": (c + g.c0 + 1)[there].astype(np.int32), "filled": w[1:-1, 1:-1][there], "fdir": code[there].astype(np.int32)}
+def _pointed(tiles: DataFrame, side: int, eps: float, cell_m: float) -> DataFrame:
+    """Tiles with their flow directions as data, -1 for a cell that is not there, and their flooded surface."""
 
-    return work
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                g, w = _raised(row, side, eps)
+                code = np.where(np.isneginf(g.z), -1.0, kernels.direction(w, cell_m))[1:-1, 1:-1]
+                made = row | {"data": code.tobytes(), "filled": w[1:-1, 1:-1].tobytes()}
+                yield pa.RecordBatch.from_pylist([{f.name: made[f.name] for f in _POINTED}], schema=_POINTED)
 
+    return tiles.mapInArrow(apply, "grid_id long, tr int, tc int, h int, w int, data binary, filled binary")
 
-def filled(cells: DataFrame, cell_m: float = 1.0, side: int = SIDE, eps: float = kernels.EPSILON) -> DataFrame:
-    """G-01, G-05: cells(grid_id, row, col, z) -> grid_id, row, col, filled, fdir: the flooded surface (null for nodata) and its flow directions. Cells must be unique by grid, row and col."""
+
+def _flooded(cells: DataFrame, cell_m: float, side: int, eps: float) -> DataFrame:
     from rillwork.operators.flow import shared_checkpoints
 
     shared_checkpoints(cells.sparkSession)
@@ -342,7 +349,19 @@ def filled(cells: DataFrame, cell_m: float = 1.0, side: int = SIDE, eps: float =
             break
         heard = changed.select("grid_id", F.explode(near).alias("n")).select("grid_id", "n.tr", "n.tc").distinct()
         active = tiles.join(heard, TILE, "left_semi")
-    return _each(tiles.join(around(known), TILE, "left"), _final(side, eps, cell_m), _FLOODED)
+    return _pointed(tiles.join(around(known), TILE, "left"), side, eps, cell_m)
+
+
+def filled(cells: DataFrame, cell_m: float = 1.0, side: int = SIDE, eps: float = kernels.EPSILON) -> DataFrame:
+    """G-01, G-05: cells(grid_id, row, col, z) -> grid_id, row, col, filled, fdir: the flooded surface (null for nodata) and its flow directions. Cells must be unique by grid, row and col."""
+
+    def work(row: dict) -> dict[str, np.ndarray]:
+        code = np.frombuffer(row["data"], float).reshape(row["h"], row["w"])
+        r, c = np.nonzero(code >= 0)
+        w = np.frombuffer(row["filled"], float).reshape(code.shape)
+        return {"row": (r + row["tr"] * side).astype(np.int32), "col": (c + row["tc"] * side).astype(np.int32), "filled": w[r, c], "fdir": code[r, c].astype(np.int32)}
+
+    return _each(_flooded(cells, cell_m, side, eps), work, _FLOODED)
 
 
 # --- drainage
@@ -511,10 +530,6 @@ def numbered_exits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "id": x.id, "root": root, "place": sums[0], "straight": sums[1], "diagonal": sums[2]})
 
 
-_ACC = _schema(row=pa.int32(), col=pa.int32(), acc=pa.int64())
-_TREE = _schema(row=pa.int32(), col=pa.int32(), acc=pa.int64(), root=pa.int64(), place=pa.int64(), straight=pa.int64(), diagonal=pa.int64())
-
-
 def _cells(d: _Drains, **columns: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(d.there)
     r, c = np.divmod(at, d.w)
@@ -530,39 +545,55 @@ def _pointer_tiles(flow: DataFrame, side: int) -> DataFrame:
     return _packed(flow, code, side, False, -1.0).checkpoint()
 
 
-def accumulation(flow: DataFrame, side: int = SIDE) -> DataFrame:
-    """G-07: flow(grid_id, row, col, down_row, down_col) -> grid_id, row, col, acc: cells that drain through each, itself included."""
-    tiles = _pointer_tiles(flow, side)
+def _with_entering(tiles: DataFrame, side: int) -> DataFrame:
     more = _each(tiles, _links(side), _LINK).groupBy("grid_id").applyInPandas(entering, "grid_id long, id long, n long")
-
-    def work(row: dict) -> dict[str, np.ndarray]:
-        d = _Drains(row, side)
-        return _cells(d, acc=d.down(d.there + _entered(d, row)))
-
-    return _each(tiles.join(_by_tile(more, _own_tile(side), "n"), TILE, "left"), work, _ACC)
+    return tiles.join(_by_tile(more, _own_tile(side), "n"), TILE, "left")
 
 
-def trees(flow: DataFrame, side: int = SIDE) -> DataFrame:
-    """G-07, G-09, G-10: grid_id, row, col, acc, root (row << 32 | col of the end of the flow), place (the cells upstream of a cell have its root and places from its own on, acc of them), and straight and diagonal steps to the end."""
-    tiles = _pointer_tiles(flow, side)
-    more = _each(tiles, _links(side), _LINK).groupBy("grid_id").applyInPandas(entering, "grid_id long, id long, n long")
-    tiles = tiles.join(_by_tile(more, _own_tile(side), "n"), TILE, "left").checkpoint()
+def _with_exits(tiles: DataFrame, side: int) -> DataFrame:
     exits = _each(tiles, _walks(side), _WALK).groupBy("grid_id").applyInPandas(numbered_exits, "grid_id long, id long, root long, place long, straight long, diagonal long")
     at = _by_tile(exits, _own_tile(side), "root", "place", "straight", "diagonal")
-    at = at.select(*TILE, *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "place", "straight", "diagonal")])
+    return tiles.join(at.select(*TILE, *[F.col(c).alias(f"x_{c}") for c in ("id", "root", "place", "straight", "diagonal")]), TILE, "left")
+
+
+def _gathered(side: int, surface: bool, tree: bool) -> tuple[Callable[[dict], dict[str, np.ndarray]], pa.Schema]:
+    """A tile's cells with acc, with filled and fdir if there is a surface, and with their place in the tree of their end if asked for."""
+    schema = _schema(row=pa.int32(), col=pa.int32(), **({"filled": pa.float64(), "fdir": pa.int32()} if surface else {}), acc=pa.int64(), **(dict.fromkeys(("root", "place", "straight", "diagonal"), pa.int64()) if tree else {}))
 
     def work(row: dict) -> dict[str, np.ndarray]:
         d = _Drains(row, side)
         more = _entered(d, row)
         acc = d.down(d.there + more)
-        end, place, straight, diagonal = d.up(acc, more)
-        root = d.ids(np.arange(len(acc)))
-        base = {c: np.zeros(len(acc), np.int64) for c in ("place", "straight", "diagonal")}
-        if row["x_id"]:
-            k = d.places(row["x_id"])
-            root[k] = row["x_root"]
-            for c, v in base.items():
-                v[k] = row[f"x_{c}"]
-        return _cells(d, acc=acc, root=root[end], place=place + base["place"][end], straight=straight + base["straight"][end], diagonal=diagonal + base["diagonal"][end])
-
-    return _each(tiles.join(at, TILE, "left"), work, _TREE)
+        out = {"acc": acc}
+        if surface:
+            out |= {"filled": np.frombuffer(row["filled"], float), "fdir": np.frombuffer(row["data"], float).astype(np.int32)}
+        if tree:
+            end, place, straight, diagonal = d.up(acc, more)
+            root = d.ids(np.arange(len(acc)))
+            base = {c: np.zeros(len(acc), np.int64) for c in ("place", "straight", "diagonal")}
+            if row["x_id"]:
+                k = d.places(row["x_id"])
+                root[k] = row["x_root"]
+                for c, v in base.items():
+                    v[k] = row[f"x_{c}"]
+            out |= {"root": root[end], "place": place + base["place"][end], "straight": straight + base["straight"][end], "diagonal": diagonal + base["diagonal"][end]}
+        return _cells(d, **out)
+
+    return work, schema
+
+
+def accumulation(flow: DataFrame, side: int = SIDE) -> DataFrame:
+    """G-07: flow(grid_id, row, col, down_row, down_col) -> grid_id, row, col, acc: cells that drain through each, itself included."""
+    return _each(_with_entering(_pointer_tiles(flow, side), side), *_gathered(side, False, False))
+
+
+def trees(flow: DataFrame, side: int = SIDE) -> DataFrame:
+    """G-07, G-09, G-10: grid_id, row, col, acc, root (row << 32 | col of the end of the flow), place (the cells upstream of a cell have its root and places from its own on, acc of them), and straight and diagonal steps to the end."""
+    return _each(_with_exits(_with_entering(_pointer_tiles(flow, side), side).checkpoint(), side), *_gathered(side, False, True))
+
+
+def routed(cells: DataFrame, cell_m: float = 1.0, side: int = SIDE, tree: bool = False, eps: float = kernels.EPSILON) -> DataFrame:
+    """G-01, G-05, G-07: cells(grid_id, row, col, z) -> filled, fdir and acc of each, and its place in the tree of its end (see trees) if asked for; the tiles are dealt once."""
+    tiles = _flooded(cells, cell_m, side, eps).checkpoint()
+    tiles = _with_entering(tiles, side)
+    return _each(_with_exits(tiles.checkpoint(), side) if tree else tiles, *_gathered(side, True, tree))
