@@ -292,3 +292,49 @@ def _x09(spark: SparkSession, d: str) -> DataFrame:
     cache = services.window_rows(e, 3).withColumn("version", F.when(F.col("window") % 3 == 0, 2).otherwise(3)).withColumn("fetched_at", F.lit("2024-06-01").cast("timestamp"))
     f = services.read_windows(cache, "kind:string,osm_id:long,tags:map<string,string>", 3, now)
     return f.groupBy(F.col("window").alias("win")).agg(F.count(F.lit(1)).alias("features"), F.sum("osm_id").alias("ids"), F.count_distinct("kind").alias("kinds"))
+
+
+_A, _F, _EA, _EF = 6378137.0, 1 / 298.257223563, 6377299.151, 1 / 300.8017255
+_SHIFT = {"dx": 295.0, "dy": 736.0, "dz": 257.0, "rx": 0.5, "ry": -0.25, "rz": 1.0, "ppm": 2.0}
+_SEC = 4.84813681109536e-06
+
+
+@query(
+    "x10_datum_shift",
+    f"""WITH p AS (SELECT c_custkey AS id, radians(70 + c_custkey % 200 / 10.0) AS lam, radians(8 + (c_nationkey * 7 + c_custkey) % 280 / 10.0) AS phi FROM customer),
+n AS (SELECT *, {_EA} / sqrt(1 - {_EF * (2 - _EF)} * sin(phi) * sin(phi)) AS n FROM p),
+g AS (SELECT id, n * cos(phi) * cos(lam) AS x, n * cos(phi) * sin(lam) AS y, n * (1 - {_EF * (2 - _EF)}) * sin(phi) AS z FROM n),
+h AS (SELECT id, 295 + (1 + 2e-6) * (x - {1.0 * _SEC} * y + {-0.25 * _SEC} * z) AS x, 736 + (1 + 2e-6) * ({1.0 * _SEC} * x + y - {0.5 * _SEC} * z) AS y, 257 + (1 + 2e-6) * ({0.25 * _SEC} * x + {0.5 * _SEC} * y + z) AS z FROM g),
+t AS (SELECT *, sqrt(x * x + y * y) AS p, atan2(z * {_A}, sqrt(x * x + y * y) * {_A * (1 - _F)}) AS u FROM h)
+SELECT id, round(degrees(atan2(y, x)), 7) AS lon, round(degrees(atan2(z + {_F * (2 - _F) / (1 - _F) ** 2 * _A * (1 - _F)} * sin(u) ^ 3, p - {_F * (2 - _F) * _A} * cos(u) ^ 3)), 7) AS lat FROM t""",
+)
+def _x10(spark: SparkSession, d: str) -> DataFrame:
+    from rillwork.functions import datum
+
+    c = table(spark, d, "customer")
+    lon, lat = 70 + F.col("c_custkey") % 200 / 10.0, 8 + (F.col("c_nationkey") * 7 + F.col("c_custkey")) % 280 / 10.0
+    shift = F.struct(*[F.lit(v).alias(k) for k, v in _SHIFT.items()])
+    p = c.select(F.col("c_custkey").alias("id"), datum.to_wgs84(lon, lat, F.lit(_EA), F.lit(_EF), shift).alias("p"))
+    return p.select("id", F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+@query("src21_shapefile_parcels", "SELECT 'P' || s_suppkey AS own_id, CASE s_suppkey % 4 WHEN 0 THEN 6 WHEN 3 THEN 0 ELSE 12 END AS points, s_suppkey % 4 = 3 AS skipped, s_suppkey % 2 = 0 AS public, s_suppkey % 4 IN (0, 2) AS edge, s_suppkey % 4 IN (0, 1) AS middle FROM supplier")
+def _shapefile(spark: SparkSession, d: str) -> DataFrame:
+    """A zipped layer for each nation and block of 1000 suppliers, written by tasks and read back: one square, two, one with a hole, none."""
+    from rillwork.operators.registers import inside
+    from rillwork.sources import shapefile
+
+    def archive(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        square = lambda x, y, w: [(x, y), (x, y + w), (x + w, y + w), (x + w, y), (x, y)]
+        kinds = ([square(0, 0, 4)], [square(1, 1, 2), square(8, 8, 1)], [square(0, 0, 4), square(1, 1, 2)[::-1]], [])
+        keys = pdf["s_suppkey"].tolist()
+        about = [{"id": f"P{k}", "Owner": "Govt land" if k % 2 == 0 else "A. Shinde"} for k in keys]
+        data = shapefile.archive_of([kinds[k % 4] for k in keys], about, 'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],UNIT["Degree",0.0174532925199433]]')
+        return pd.DataFrame({"source": [f"{pdf['s_nationkey'].iloc[0]}"], "content": [data]})
+
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.floor(F.col("s_suppkey") / 1000).alias("block"))
+    p = shapefile.parcel_features(shapefile.from_archives(s.groupBy("s_nationkey", "block").applyInPandas(archive, "source string, content binary")))
+    at = lambda x, y: F.coalesce(inside(F.lit(x), F.lit(y), F.col("ring")), F.lit(False))
+    return p.select("own_id", F.size("ring").alias("points"), "skipped", "public", at(0.5, 0.4).alias("edge"), at(2.1, 2.0).alias("middle"))
