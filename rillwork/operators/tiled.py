@@ -1,7 +1,7 @@
 """Flooding and drainage of grids of any size, tile by tile.
 
 A grid is cut into square tiles; no task holds more than one tile and its rim. What crosses tiles is told by small tables of their border cells: a graph of passes for flooding, a forest of exits for drainage. Such a
-table has some four rows for each row of a tile (1 in 128 of the cells at SIDE 512), and is solved by one task for each grid.
+table has some four rows for each row of a tile (1 in 256 of the cells at SIDE 1024), and is solved by one task for each grid.
 
 Flooding (G-01): W = max(z, lowest neighbour's W + eps) with W = z at outlets has one solution.
 1. Each tile floods from its outlets and border cells without eps; a cell belongs to the border cell that reached it. Of the passes between neighbouring basins a minimum spanning forest goes into the grid's graph,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import kernels
 from rillwork.operators.terrain import D8
 
-SIDE = 512
+SIDE = 1024
 TILE = ["grid_id", "tr", "tc"]
 SEA = -1
 _MOVES = {(dr, dc): code for _, dr, dc, code in D8}
@@ -137,33 +137,36 @@ class _Ground:
         i = np.asarray(ids, np.int64)
         return ((i >> 32) - self.r0) * (self.w + 2) + ((i & (1 << 32) - 1) - self.c0)
 
-    def flooded(self, starts: list[tuple[float, int]], done: np.ndarray, eps: float, label: list[int] | None = None) -> list[float]:
-        """Levels of the tile's cells, flat, from starts (level, place) inward; label spreads from starts if given."""
-        out, seen = self.z.ravel().tolist(), bytearray((done | ~self.core).astype(np.uint8).ravel().tobytes())
-        for v, at in starts:
+    def flooded(self, starts: list[tuple[float, int]], eps: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(levels of the tile's cells, infinite where nothing comes; labels, which spread from starts if given) from starts (level, place) inward, places being flat ones with the rim."""
+        # one more rim that is done, so that a neighbour's place is a sum
+        wide = self.w + 4
+        pad = lambda x, v: np.pad(x.reshape(self.z.shape), 1, constant_values=v).ravel()
+        moved = lambda k: (k // (self.w + 2) + 1) * wide + k % (self.w + 2) + 1
+        out, seen = pad(np.where(self.core, self.z, np.inf), np.inf).tolist(), bytearray(pad(~self.core, True).astype(np.uint8).tobytes())
+        marks = None if label is None else pad(label, 0).tolist()
+        heap = [(v, moved(at)) for v, at in starts]
+        for v, at in heap:
             out[at], seen[at] = v, 1
-        around = [dr * (self.w + 2) + dc for dr, dc in kernels.STEPS]
-        heap = list(starts)
+        around = [dr * wide + dc for dr, dc in kernels.STEPS]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             least, at = pop(heap)
-            r, c = divmod(at, self.w + 2)
             least += eps
-            inner = 0 < r <= self.h and 0 < c <= self.w
             for o in around:
                 q = at + o
-                if not inner and not (0 <= q < len(out) and abs(q % (self.w + 2) - c) <= 1):
-                    continue
                 if not seen[q]:
                     seen[q] = 1
-                    if out[q] < least:
-                        out[q] = least
-                    if label is not None:
-                        label[q] = label[at]
-                    push(heap, (out[q], q))
-        self.reached = np.frombuffer(bytes(seen), np.uint8).reshape(self.z.shape) > 0
-        return out
+                    v = out[q]
+                    if v < least:
+                        v = out[q] = least
+                    if marks is not None:
+                        marks[q] = marks[at]
+                    push(heap, (v, q))
+        crop = lambda x: np.array(x).reshape(self.h + 4, wide)[1:-1, 1:-1]
+        reached = crop(np.frombuffer(bytes(seen), np.uint8)) > 0
+        return np.where(self.core & reached, crop(out), np.inf), None if marks is None else crop(marks)
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
@@ -189,56 +192,66 @@ def _basins(g: _Ground) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     border, outlet = np.flatnonzero(g.border), np.flatnonzero(g.outlet & ~g.border)
     flat, label = g.z.ravel(), np.zeros(g.z.size, np.int64)
     label[border] = np.arange(1, len(border) + 1)
-    spread = label.tolist()
-    starts = [(float(flat[k]), int(k)) for k in np.concatenate((border, outlet)).tolist()]
-    level = np.array(g.flooded(starts, np.zeros(g.z.shape, bool), 0.0, spread)).reshape(g.z.shape)
-    return level, np.array(spread).reshape(g.z.shape), border
+    level, label = g.flooded([(float(flat[k]), k) for k in np.concatenate((border, outlet)).tolist()], 0.0, label)
+    return level, label, border
 
 
-_PASS = _schema(a=pa.int64(), b=pa.int64(), cost=pa.float64())
+_PASSES = pa.schema([("grid_id", pa.int64()), ("tr", pa.int32()), ("tc", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("cost", pa.list_(pa.float64())), ("level", pa.binary()), ("label", pa.binary())])
 
 
-def _passes(side: int) -> Callable[[dict], dict[str, np.ndarray]]:
-    def work(row: dict) -> dict[str, np.ndarray]:
-        g = _Ground(row, side)
-        level, label, border = _basins(g)
-        ends, costs, n = [], [], g.w + 2
-        a_all, b_all = [np.zeros(len(border), np.int64)], [np.arange(1, len(border) + 1)]
-        sea = g.outlet.ravel()[border]
-        c_all = [np.where(sea, g.z.ravel()[border], np.inf)]  # border cells that are outlets
-        for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
-            near, ok = kernels.shifted(label, dr, dc, 0), g.core & kernels.shifted(g.core, dr, dc, False)
-            differ = ok & (near != label)
-            a_all.append(label[differ])
-            b_all.append(near[differ])
-            c_all.append(np.maximum(level, kernels.shifted(level, dr, dc))[differ])
-        a, b, cost = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(c_all)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((cost, b, a))
-        order = order[np.isfinite(cost[order])]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        a, b, cost = a[order][new], b[order][new], cost[order][new]
-        keep = spanning_forest(a, b, cost, len(border) + 1)
-        ids = np.concatenate(([SEA], g.ids(border)))
-        ends.append((ids[a[keep]], ids[b[keep]]))
-        costs.append(cost[keep])
-        # steps to border cells of other tiles, told by the lower number
-        flat = g.z.ravel()
-        for dr, dc in kernels.STEPS:
-            q = border + dr * n + dc
-            there = np.isfinite(flat[q]) & ~g.core.ravel()[q]
-            x, y = g.ids(border[there]), g.ids(q[there])
-            first = x < y
-            ends.append((x[first], y[first]))
-            costs.append(np.maximum(flat[border[there]], flat[q[there]])[first])
-        return {"a": np.concatenate([e[0] for e in ends]), "b": np.concatenate([e[1] for e in ends]), "cost": np.concatenate(costs)}
+def _passes(tiles: DataFrame, side: int) -> DataFrame:
+    """grid_id, tr, tc, the tile's passes (a, b, cost), and its cells' levels and labels. Tiles without border cells have nothing to tell and no row."""
 
-    return work
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                g = _Ground(row, side)
+                if g.border.any():
+                    level, label, border = _basins(g)
+                    ends_a, ends_b, cost = _tile_passes(g, level, label, border)
+                    cols = [[row["grid_id"]], [row["tr"]], [row["tc"]], [ends_a], [ends_b], [cost], [level.tobytes()], [label.astype(np.int32).tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PASSES, strict=True)], schema=_PASSES)
+
+    return tiles.mapInArrow(apply, "grid_id long, tr int, tc int, a array<long>, b array<long>, cost array<double>, level binary, label binary")
+
+
+def _tile_passes(g: _Ground, level: np.ndarray, label: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = g.w + 2
+    sea = g.outlet.ravel()[border]
+    # border cells that are outlets, and neighbours of unlike basins
+    a_all, b_all, c_all = [np.zeros(len(border), np.int64)], [np.arange(1, len(border) + 1)], [np.where(sea, g.z.ravel()[border], np.inf)]
+    for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        near, ok = kernels.shifted(label, dr, dc, 0), g.core & kernels.shifted(g.core, dr, dc, False)
+        differ = ok & (near != label)
+        a_all.append(label[differ])
+        b_all.append(near[differ])
+        c_all.append(np.maximum(level, kernels.shifted(level, dr, dc))[differ])
+    a, b, cost = np.concatenate(a_all), np.concatenate(b_all), np.concatenate(c_all)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((cost, b, a))
+    order = order[np.isfinite(cost[order])]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    a, b, cost = a[order][new], b[order][new], cost[order][new]
+    keep = spanning_forest(a, b, cost, len(border) + 1)
+    ids = np.concatenate(([SEA], g.ids(border)))
+    from_, to, costs = [ids[a[keep]]], [ids[b[keep]]], [cost[keep]]
+    # steps to border cells of other tiles, told by the lower number
+    flat, core = g.z.ravel(), g.core.ravel()
+    for dr, dc in kernels.STEPS:
+        q = border + dr * n + dc
+        there = np.isfinite(flat[q]) & ~core[q]
+        x, y = g.ids(border[there]), g.ids(q[there])
+        first = x < y
+        from_.append(x[first])
+        to.append(y[first])
+        costs.append(np.maximum(flat[border[there]], flat[q[there]])[first])
+    return np.concatenate(from_), np.concatenate(to), np.concatenate(costs)
 
 
 def minimax(pdf: pd.DataFrame) -> pd.DataFrame:
-    """passes(grid_id, a, b, cost) of one grid -> id, level: the least height over which a node is joined to the sea."""
+    """passes(grid_id, a, b, cost) of one grid -> id, spill: the least height over which a node is joined to the sea."""
     ids, ends = np.unique(np.concatenate((pdf["a"].to_numpy(), pdf["b"].to_numpy(), [SEA])), return_inverse=True)
     n = len(pdf)
     x, y, cost = np.concatenate((ends[:n], ends[n : 2 * n])), np.concatenate((ends[n : 2 * n], ends[:n])), np.tile(pdf["cost"].to_numpy(), 2)
@@ -259,7 +272,7 @@ def minimax(pdf: pd.DataFrame) -> pd.DataFrame:
                 level[t] = c
                 heapq.heappush(heap, (c, t))
     keep = np.arange(len(ids)) != sea
-    return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0] if n else 0, "id": ids[keep], "level": np.array(level)[keep]})
+    return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0] if n else 0, "id": ids[keep], "spill": np.array(level)[keep]})
 
 
 _TOLD = _schema(id=pa.int64(), v=pa.float64())
@@ -270,12 +283,13 @@ def _first_guess(side: int) -> Callable[[dict], dict[str, np.ndarray]]:
 
     def work(row: dict) -> dict[str, np.ndarray]:
         g = _Ground(row, side)
-        level, label, border = _basins(g)
+        border = np.flatnonzero(g.border)
+        level, label = np.frombuffer(row["level"], float).reshape(g.z.shape), np.frombuffer(row["label"], np.int32).reshape(g.z.shape)
         spill = np.full(len(border) + 1, -np.inf)
         if row["id"]:
             number = np.zeros(g.z.size, np.int64)
             number[border] = np.arange(1, len(border) + 1)
-            spill[number[g.places(row["id"])]] = row["level"]
+            spill[number[g.places(row["id"])]] = row["spill"]
         level = np.where(g.core, np.maximum(level, spill[label]), np.nan)
         lower = np.zeros(g.z.shape, bool)
         for dr, dc in kernels.STEPS:
@@ -286,43 +300,51 @@ def _first_guess(side: int) -> Callable[[dict], dict[str, np.ndarray]]:
     return work
 
 
-def _raised(row: dict, side: int, eps: float) -> tuple[_Ground, np.ndarray]:
-    """The tile's cells with eps, from its outlets and what is known of the rim; infinite where neither reaches. The rim has what is known."""
-    g = _Ground(row, side)
+def _rim(g: _Ground, row: dict) -> np.ndarray:
     rim = np.full(g.z.size, np.nan)
-    starts = [(float(g.z.ravel()[k]), int(k)) for k in np.flatnonzero(g.outlet).tolist()]
     if row["id"]:
-        at = g.places(row["id"])
-        rim[at] = row["v"]
-        starts += [(v, int(k)) for k, v in zip(at.tolist(), row["v"], strict=True) if v < np.inf]
-    w = np.array(g.flooded(starts, np.zeros(g.z.shape, bool), eps)).reshape(g.z.shape)
-    w = np.where(g.core, np.where(g.reached, w, np.inf), rim.reshape(g.z.shape))
-    return g, w
+        rim[g.places(row["id"])] = row["v"]
+    return rim.reshape(g.z.shape)
 
 
-def _told(side: int, eps: float) -> Callable[[dict], dict[str, np.ndarray]]:
-    def work(row: dict) -> dict[str, np.ndarray]:
-        g, w = _raised(row, side, eps)
-        border = np.flatnonzero(g.border)
-        return {"id": g.ids(border), "v": w.ravel()[border]}
+_STATE = pa.schema([("grid_id", pa.int64()), ("tr", pa.int32()), ("tc", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary()), ("filled", pa.binary()), ("told_id", pa.list_(pa.int64())), ("told_v", pa.list_(pa.float64()))])
 
-    return work
+
+def _raised(tiles: DataFrame, side: int, eps: float) -> DataFrame:
+    """Tiles with their cells flooded with eps from their outlets and what is known of the rim, infinite where neither reaches; and what they tell of their border cells."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                g = _Ground(row, side)
+                starts = [(float(g.z.ravel()[at]), at) for at in np.flatnonzero(g.outlet).tolist()]
+                if row["id"]:
+                    starts += [(v, at) for at, v in zip(g.places(row["id"]).tolist(), row["v"], strict=True) if v < np.inf]
+                level, _ = g.flooded(starts, eps)
+                border = np.flatnonzero(g.border)
+                made = row | {"filled": np.where(g.core, level, np.nan)[1:-1, 1:-1].tobytes(), "told_id": g.ids(border), "told_v": level.ravel()[border]}
+                yield pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in _STATE], schema=_STATE)
+
+    return tiles.mapInArrow(apply, "grid_id long, tr int, tc int, h int, w int, data binary, filled binary, told_id array<long>, told_v array<double>")
 
 
 _FLOODED = _schema(row=pa.int32(), col=pa.int32(), filled=pa.float64(), fdir=pa.int32())
 _POINTED = pa.schema([("grid_id", pa.int64()), ("tr", pa.int32()), ("tc", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary()), ("filled", pa.binary())])
 
 
-def _pointed(tiles: DataFrame, side: int, eps: float, cell_m: float) -> DataFrame:
+def _pointed(tiles: DataFrame, side: int, cell_m: float) -> DataFrame:
     """Tiles with their flow directions as data, -1 for a cell that is not there, and their flooded surface."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                g, w = _raised(row, side, eps)
+                g = _Ground(row, side)
+                w = _rim(g, row)
+                w[1:-1, 1:-1] = np.frombuffer(row["filled"], float).reshape(g.h, g.w)
                 code = np.where(np.isneginf(g.z), -1.0, kernels.direction(w, cell_m))[1:-1, 1:-1]
-                made = row | {"data": code.tobytes(), "filled": w[1:-1, 1:-1].tobytes()}
+                made = row | {"data": code.tobytes()}
                 yield pa.RecordBatch.from_pylist([{f.name: made[f.name] for f in _POINTED}], schema=_POINTED)
 
     return tiles.mapInArrow(apply, "grid_id long, tr int, tc int, h int, w int, data binary, filled binary")
@@ -334,22 +356,26 @@ def _flooded(cells: DataFrame, cell_m: float, side: int, eps: float) -> DataFram
     shared_checkpoints(cells.sparkSession)
     # a gap is a cell that is not there; it is nodata to its neighbours, and gives no row
     tiles = _packed(cells, F.col("z"), side, True, float("-inf")).checkpoint()
-    passes = _each(tiles, _passes(side), _PASS)
-    levels = passes.groupBy("grid_id").applyInPandas(minimax, "grid_id long, id long, level double")
-    known = _each(tiles.join(_by_tile(levels, _own_tile(side), "level"), TILE, "left"), _first_guess(side), _TOLD).checkpoint()
+    passes = _passes(tiles, side).checkpoint()
+    each = passes.select("grid_id", F.explode(F.arrays_zip("a", "b", "cost")).alias("p")).select("grid_id", "p.a", "p.b", "p.cost")
+    levels = each.groupBy("grid_id").applyInPandas(minimax, "grid_id long, id long, spill double")
+    bordered = tiles.join(passes.select(*TILE, "level", "label"), TILE).join(_by_tile(levels, _own_tile(side), "spill"), TILE, "left")
+    known = _each(bordered, _first_guess(side), _TOLD).checkpoint()
     near = _tiles_near(_row(F.col("id")), _col(F.col("id")), side, False)
     around = lambda told: _by_tile(told.withColumn("n", F.explode(near)), F.col("n"), "v")
-    active = tiles
+    state, active = None, tiles
     while True:
-        told = _each(active.join(around(known), TILE, "left"), _told(side, eps), _TOLD)
-        both = known.join(told.select("grid_id", "id", F.col("v").alias("new")), ["grid_id", "id"], "left")
+        new = _raised(active.join(around(known), TILE, "left"), side, eps).checkpoint()
+        state = new if state is None else state.join(new.select(*TILE), TILE, "left_anti").unionByName(new)
+        told = new.select("grid_id", F.explode(F.arrays_zip("told_id", "told_v")).alias("p")).select("grid_id", F.col("p.told_id").alias("id"), F.col("p.told_v").alias("new"))
+        both = known.join(told, ["grid_id", "id"], "left")
         both = both.select("grid_id", "id", F.coalesce("new", "v").alias("v"), (F.coalesce("new", "v") != F.col("v")).alias("changed")).checkpoint()
         known, changed = both.drop("changed"), both.where("changed")
         if changed.isEmpty():
             break
         heard = changed.select("grid_id", F.explode(near).alias("n")).select("grid_id", "n.tr", "n.tc").distinct()
         active = tiles.join(heard, TILE, "left_semi")
-    return _pointed(tiles.join(around(known), TILE, "left"), side, eps, cell_m)
+    return _pointed(state.drop("told_id", "told_v").join(around(known), TILE, "left"), side, cell_m)
 
 
 def filled(cells: DataFrame, cell_m: float = 1.0, side: int = SIDE, eps: float = kernels.EPSILON) -> DataFrame:
