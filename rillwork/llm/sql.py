@@ -96,4 +96,41 @@ g AS (SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (W
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g"""
 
 
-ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets(), "op12_filter_audit": AUDIT}
+def _conversations() -> str:
+    """The damage (with a CRC-32 by bytes), then the cheapest edits row by row, with a least (cost, audit) for each state that the output can end in, then the rows that an audit makes."""
+    table = ["t0 AS (SELECT i, i::BIGINT AS c FROM range(256) r(i))"]
+    table += [f"t{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM t{k})" for k in range(8)]
+    add = lambda s, cost, letter: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    kept = lambda s, x: f"CASE WHEN x = '{x}' THEN {add(s, 'm', 'K')} ELSE {far} END"
+    moved = lambda s: f"CASE WHEN x <> 'd' THEN {add(s, '3 + m', 'R')} ELSE {far} END"
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    far = "{'c': 1000000000000::BIGINT, 'a': ''}"
+    steps = {"s0": [add("s0", 4, "D")], "ss": [add("ss", 4, "D"), kept("s0", "s")], "su": [add("su", 4, "D"), *[f(s) for s in ("s0", "ss", "sa") for f in (lambda s: kept(s, "u"), moved)]], "sa": [add("sa", 4, "D"), kept("su", "a"), moved("su")]}
+    stepped = ", ".join(f"{least(*v)} AS {k}" for k, v in steps.items())
+    inserted = f"s0, ss, {least('su', add('s0', 3, 'I'), add('ss', 3, 'I'), add('sa', 3, 'I'))} AS su, sa"
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+{", ".join(table)},
+crc AS (SELECT DISTINCT key, 1 AS pos, 4294967295::BIGINT AS c FROM k UNION ALL SELECT key, pos + 1, xor(crc.c >> 8, t8.c) FROM crc JOIN t8 ON t8.i = (xor(crc.c, ascii(substr(key, pos, 1))::BIGINT) & 255) WHERE pos <= length(key)),
+h AS (SELECT key, xor(c, 4294967295) % 20 AS h FROM crc WHERE pos = length(key) + 1),
+d AS (SELECT coalesce(conv_id::VARCHAR, '') AS cid, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS t, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k JOIN h USING (key)),
+o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, t) AS pos, row_number() OVER (PARTITION BY cid, role, t ORDER BY turn NULLS FIRST) > 1 AS again FROM d),
+f AS (SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY pos) AS before, NOT regexp_matches(t, '[^ 	-
+]') AS blank, NOT regexp_matches(t, '[.!?][ 	-
+]*$') AS cut FROM o),
+r AS (SELECT *, CASE WHEN blank OR again THEN 'd' WHEN i IN ('u', 'a', 's') THEN i ELSE 'x' END AS x, CASE WHEN cut THEN 3 ELSE 0 END AS m FROM f),
+w AS (SELECT DISTINCT cid, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': ''}} AS s0, {far} AS ss, {{'c': 3::BIGINT, 'a': 'I'}} AS su, {{'c': 6::BIGINT, 'a': 'II'}} AS sa FROM r
+  UNION ALL SELECT cid, pos, s0, ss, su, {least('sa', add('su', 3, 'I'))} AS sa FROM (SELECT cid, pos, {inserted} FROM (SELECT w.cid, r.pos, {stepped} FROM w JOIN r ON r.cid = w.cid AND r.pos = w.pos + 1))),
+best AS (SELECT cid, {least('s0', 'sa')} AS s FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY pos DESC) AS last FROM w) WHERE last = 1),
+walk AS (SELECT cid, s.a AS audit, 1 AS spot, 1::BIGINT AS pos, '' AS tail, NULL::VARCHAR AS line FROM best
+  UNION ALL SELECT walk.cid, audit, spot + 1, walk.pos + CASE WHEN substr(audit, spot, 1) = 'I' THEN 0 ELSE 1 END, CASE substr(audit, spot, 1) WHEN 'D' THEN tail WHEN 'K' THEN r.i ELSE CASE WHEN tail = 'u' THEN 'a' ELSE 'u' END END,
+    CASE substr(audit, spot, 1) WHEN 'D' THEN NULL WHEN 'K' THEN r.role || ':' || r.t ELSE CASE WHEN tail = 'u' THEN 'assistant:' ELSE 'user:' END || CASE substr(audit, spot, 1) WHEN 'R' THEN r.t ELSE '' END END
+  FROM walk LEFT JOIN r ON r.cid = walk.cid AND r.pos = walk.pos WHERE spot <= length(audit)),
+made AS (SELECT cid, string_agg(line, chr(10) ORDER BY spot) AS lines FROM walk GROUP BY cid),
+n AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY cid)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s.c, 0)::BIGINT AS cost,
+  coalesce(s.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.cid = coalesce(c.conv_id::VARCHAR, '') LEFT JOIN best ON best.cid = n.cid LEFT JOIN made ON made.cid = n.cid"""
+
+
+ORACLES = {"op2_quality": QUALITY, "op4_exact_dedup": EXACT, "op7_licenses": _licenses(), "op9_secrets": _secrets(), "op11_conversation_repair": _conversations(), "op12_filter_audit": AUDIT}

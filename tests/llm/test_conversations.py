@@ -3,12 +3,13 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rillwork.llm import convfix, queries
+from rillwork.llm import convfix, queries, sql
 
 from ..conftest import SF
 
@@ -148,6 +149,20 @@ def test_query_equals_brute_force(spark):
     assert {r.conv_id: tuple(r)[1:] for r in got.collect()} == brute(rows)
 
 
+def test_sql_equals_brute_force():
+    """The SQL on the given table, and on nulls, odd roles, gaps and dropped rows."""
+    rows = [(None, 1, "user", "A."), (None, None, None, None), (7, None, "assistant", "x!"), (7, 5, "", "no role."), (7, -5, "tool", "t.")] + [(k, t, "user" if t % 3 else "system", "" if k % 3 else f"q{t % 2}?") for k in range(100, 140) for t in range(k % 4 + 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    for source in (None, f"{SF}/conversations.parquet"):
+        if source:
+            con.execute(f"CREATE OR REPLACE TABLE conversations AS SELECT conv_id, turn, role, text FROM read_parquet('{source}')")
+            rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+        got = con.execute(sql.ORACLES["op11_conversation_repair"]).fetchall()
+        assert {r[0]: r[1:] for r in got} == brute(rows) and len(got) == len(brute(rows))
+
+
 def test_nulls_ties_gaps_and_odd_roles(spark):
     rows = [(None, None, None, None), (None, 1, "user", "A."), (None, 1, "user", "A."), (None, 1, "assistant", None), (7, None, "assistant", "x!"), (7, None, "user", "y?"), (7, 5, "", "no role."), (7, -5, "tool", "t.")]
     rows += [(8, t, r, f"{r} {t}.") for t in (0, 4, 9) for r in ("system", "user", "assistant", "User")] + [(9, 3, "user", "long. " * 50_000), (9, 4, "assistant", "é日." * 1000)]
