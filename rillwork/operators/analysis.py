@@ -22,6 +22,7 @@ class Options:
     upstream_ha: float = siting.MIN_UPSTREAM_HA
     threshold: float = siting.THRESHOLD
     min_depth: float = siting.MIN_DEPTH
+    snap_m: float = 150.0
 
     def as_dict(self) -> dict[str, float]:
         return asdict(self)
@@ -87,6 +88,14 @@ def gridded(lines: DataFrame, spacing_cells: float = 1.0, smooth: float = 0.75)
     return cells.withColumn("z", F.nanvl("z", F.lit(None).cast("double"))), frames
 
 
+def pour_points(sites: DataFrame, flow_of: DataFrame, cell_m: float, snap_m: float) -> DataFrame:
+    """G-08, K-10: sites whose outlet_row and outlet_col are the cell of most flow within snap_m, with snapped_m, how far that is."""
+    at = sites.select("site_id", "grid_id", F.col("outlet_row").alias("row"), F.col("outlet_col").alias("col"))
+    to = flow.snapped(at, flow_of, max(0, round(snap_m / cell_m))).select("site_id", F.col("row").alias("to_row"), F.col("col").alias("to_col"))
+    moved = F.hypot((F.col("to_row") - F.col("outlet_row")).cast("double"), (F.col("to_col") - F.col("outlet_col")).cast("double")) * cell_m
+    return sites.join(to, "site_id").withColumn("snapped_m", moved).withColumns({"outlet_row": F.col("to_row"), "outlet_col": F.col("to_col")}).drop("to_row", "to_col")
+
+
 def site_catchments(cells: DataFrame, sites: DataFrame, cell_m: float, flow_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members(site_id, grid_id, row, col, dist), metrics by site_id) of the sites' outlets over each grid's filled surface (flow_of, as of routed with trees, if it is there already)."""
     if flow_of is None:
@@ -109,18 +118,20 @@ def site_water(members: DataFrame, cells: DataFrame, metrics: DataFrame, daily:
     return mm.join(area, "series").select(F.col("series").alias("site_id"), "cn2", (F.col("annual_mean_mm") / 1000 * F.col("area_m2")).alias("annual_m3"), (F.col("dependable_75_mm") / 1000 * F.col("area_m2")).alias("dependable_m3"), "monthly_mm")
 
 
-def analyse(cells: DataFrame, cell_m: float, daily: DataFrame, et0_mm: list[float], soil: str | None = None, features: DataFrame | None = None, **options: float) -> DataFrame:
-    """cells(grid_id, row, col, z, cover) -> one row a site: its rank, place and score, its catchment, curve number, water, pond, balance, confidence, comparison and a sentence. features (see land.burned) veto cells."""
+def analyse(cells: DataFrame, cell_m: float, daily: DataFrame, et0_mm: list[float], soil: str | None = None, features: DataFrame | None = None, snap_m: float = Options.snap_m, **options: float) -> DataFrame:
+    """cells(grid_id, row, col, z, cover) -> one row a site: its rank, place and score, its snapped pour point and catchment, curve number, water, a pond on the buildable land around it and what the ground itself
+    would hold, balance, confidence, comparison and a sentence with what speaks for it. features (see land.burned) veto cells."""
     group = F.coalesce(F.lit(soil), F.lit(survey.ASSUMED_SOIL))
     flow.shared_checkpoints(cells.sparkSession)
     flow_of = siting.routed(cells, cell_m, tree=True).checkpoint()
-    best = siting.sites(cells, cell_m, features=features, flow_of=flow_of, **options)
-    sites = best.withColumn("site_id", F.xxhash64("grid_id", "rank")).checkpoint()
+    survey_of = siting.surveyed(cells, cell_m, features, flow_of, **options)
+    best = siting.sites(cells, cell_m, survey_of=survey_of, **options).withColumn("site_id", F.xxhash64("grid_id", "rank")).checkpoint()
+    sites = pour_points(best, flow_of, cell_m, snap_m).join(siting.storage(survey_of, best, cell_m), ["grid_id", "rank"]).checkpoint()
     members, metrics = site_catchments(cells, sites, cell_m, flow_of)
     metrics = metrics.checkpoint()
     water = site_water(members, cells, metrics, daily, group)
     s = sites.join(metrics.select("site_id", "area_m2", "relief_m", "tc_min", "touches_edge").withColumnRenamed("area_m2", "catchment_m2"), "site_id").join(water, "site_id", "left")
-    s = s.withColumns({"area_m2": F.col("cells") * cell_m**2, "runoff_m3": F.col("dependable_m3"), "water_table_m": F.lit(None).cast("double"), "budget": F.lit(None).cast("double"), "curve": F.lit(None).cast("array<struct<x:double,y:double>>")})
+    s = s.withColumns({"area_m2": F.col("usable_m2"), "runoff_m3": F.col("annual_m3"), "water_table_m": F.lit(None).cast("double"), "budget": F.lit(None).cast("double")})
     s = pond.design(s)
     s = s.withColumns({
         "runoff_mm": F.col("monthly_mm"), "et0_mm": F.array(*[F.lit(float(x)) for x in et0_mm]), "soil": group, "bottom_length": F.col("pond.bottom_m"), "bottom_width": F.col("pond.bottom_m"),
@@ -129,10 +140,10 @@ def analyse(cells: DataFrame, cell_m: float, daily: DataFrame, et0_mm: list[floa
     s = pond.water_balance(s).withColumn("expected", pond.expected_water(F.col("pond.live_m3"), F.col("dependable_m3")))
     margin = F.col("score") - F.lead("score").over(Window.partitionBy("grid_id").orderBy("rank"))
     s = s.withColumn("margin", F.when(F.col("rank") == 1, margin))
-    words = decide.explanation(F.col("rank"), F.col("kind"), F.col("score"), F.array().cast("array<string>"), F.col("margin"), F.col("expected.limited_by"))
+    words = decide.explanation(F.col("rank"), F.col("kind"), F.col("score"), decide.top_criteria(F.col("criteria")), F.col("margin"), F.col("expected.limited_by"))
     reason = survey.unavailable_reason(F.col("pond.gross_m3").isNotNull(), F.col("monthly_mm").isNotNull(), F.lit(len(et0_mm) == 12))
     return s.select(
-        "grid_id", "rank", "kind", "row", "col", "outlet_row", "outlet_col", "score", "catchment_m2", "relief_m", "tc_min", "cn2", "annual_m3", "dependable_m3",
+        "grid_id", "rank", "kind", "row", "col", "outlet_row", "outlet_col", "snapped_m", "score", "catchment_m2", "usable_m2", F.col("pond.terrain_m3").alias("terrain_m3"), "relief_m", "tc_min", "cn2", "annual_m3", "dependable_m3",
         F.col("pond.depth_m").alias("depth_m"), F.col("pond.gross_m3").alias("gross_m3"), F.col("pond.live_m3").alias("live_m3"), F.col("pond.cost").alias("cost"), F.col("pond.binding").alias("binding"),
         F.col("balance.months_with_water").alias("months_with_water"), F.col("balance.spill_m3").alias("spill_m3"), F.col("expected.m3").alias("expected_m3"), F.col("expected.limited_by").alias("limited_by"),
         pond.capture_pct(F.col("pond.gross_m3"), F.col("annual_m3")).alias("capture_pct"), decide.confidence(F.col("touches_edge"), F.col("relief_m")).alias("confidence"), reason.alias("unavailable"), words.alias("explanation"),

@@ -79,7 +79,7 @@ def weighted_score(layers: dict[str, Column], feasible: Column, override: dict[s
 
 
 def score_candidates(regions: DataFrame, by: str = "grid_id", override: dict[str, float] | None = None) -> DataFrame:
-    """D-03: regions(acc, slope_pct, depth_m, concavity, availability) of one run scored against each other, 0..100; availability counts as it is, and only where it is given."""
+    """D-03, D-18: regions(acc, slope_pct, depth_m, concavity, availability) of one run scored against each other, 0..100, with criteria array<struct<criterion, contribution>> that add up to it; availability counts as it is, and only where it is given."""
     from rillwork.operators import terrain
 
     made = regions.withColumns({"__a": F.log1p(F.col("acc").cast("double")), "__s": F.col("slope_pct").cast("double"), "__d": F.least(F.col("depth_m").cast("double"), F.lit(3.0)), "__c": F.col("concavity").cast("double")})
@@ -91,7 +91,11 @@ def score_candidates(regions: DataFrame, by: str = "grid_id", override: dict[str
     plain = weighted_score(layers, F.lit(True), override)
     full = weighted_score(layers | {"land_availability": F.col("availability").cast("double")}, F.lit(True), override) if "availability" in regions.columns else plain
     score = F.when(F.col("availability").isNotNull(), full).otherwise(plain) if "availability" in regions.columns else plain
-    return j.withColumn("score", 100 * score).drop(*["__a", "__s", "__d", "__c"], *["b" + c for c in ("__a", "__s", "__d", "__c")])
+    parts = lambda layers: F.array(*[F.struct(F.lit(k).alias("criterion"), (100 * w * layers[k]).alias("contribution")) for k, w in weights_for(tuple(layers), override).items()])
+    criteria = parts(layers)
+    if "availability" in regions.columns:
+        criteria = F.when(F.col("availability").isNotNull(), parts(layers | {"land_availability": F.col("availability").cast("double")})).otherwise(criteria)
+    return j.withColumns({"score": 100 * score, "criteria": criteria}).drop(*["__a", "__s", "__d", "__c"], *["b" + c for c in ("__a", "__s", "__d", "__c")])
 
 
 def spaced_best(sites: DataFrame, separation: float, most: int = 5, by: str = "grid_id") -> DataFrame:

@@ -89,11 +89,8 @@ def routed(cells: DataFrame, cell_m: float, tree: bool = False) -> DataFrame:
     return tiled.routed(cells, cell_m, tree=tree)
 
 
-def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, features: DataFrame | None = None, flow_of: DataFrame | None = None, **options: float) -> DataFrame:
-    """D-05: cells(grid_id, row, col, z, cover?) -> the best sites of each grid: grid_id, rank, kind, row, col, outlet, score (0..100) and the region's figures. Cells that are excluded, or that features veto, have none.
-
-    Routing is on the filled surface (flow_of, as of routed, if it is there already), slope and concavity on the ground.
-    """
+def surveyed(cells: DataFrame, cell_m: float, features: DataFrame | None = None, flow_of: DataFrame | None = None, max_slope: float = MAX_SLOPE, upstream_ha: float = MIN_UPSTREAM_HA, **_: float) -> DataFrame:
+    """P-10, P-11, D-02: cells(grid_id, row, col, z, cover?) with slope, flow, masks and score; checkpointed. Routing is on the filled surface (flow_of, as of routed, if it is there already), slope and concavity on the ground."""
     flow.shared_checkpoints(cells.sparkSession)
     ground = terrain.concavity(terrain.slope(cells, cell_m))
     d = ground.join((routed(cells, cell_m) if flow_of is None else flow_of).select("grid_id", "row", "col", "filled", "fdir", "acc"), ["grid_id", "row", "col"]).withColumn("fill_depth", F.col("filled") - F.col("z"))
@@ -101,12 +98,39 @@ def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SE
         d = d.withColumn("availability", availability(F.col("cover")))
     if features is not None:
         d = land.vetoes(d, features, cell_m)
-    s = scored(masks(d, cell_m, options.get("max_slope", MAX_SLOPE), options.get("upstream_ha", MIN_UPSTREAM_HA))).checkpoint()
+    return scored(masks(d, cell_m, max_slope, upstream_ha)).checkpoint()
+
+
+def sites(cells: DataFrame, cell_m: float, most: int = 5, separation: float = SEPARATION, features: DataFrame | None = None, flow_of: DataFrame | None = None, survey_of: DataFrame | None = None, **options: float) -> DataFrame:
+    """D-05: cells(grid_id, row, col, z, cover?) -> the best sites of each grid: grid_id, rank, kind, row, col, outlet, score (0..100), the region's figures and its criteria. Cells that are excluded, or that features veto, have none.
+
+    survey_of: the cells as surveyed gives them, if they are there already.
+    """
+    s = surveyed(cells, cell_m, features, flow_of, **options) if survey_of is None else survey_of
     r = regions(s, cell_m, options.get("threshold", THRESHOLD), options.get("min_depth", MIN_DEPTH))
     r = decide.score_candidates(r.withColumn("site_id", F.col("row").cast("long") * 1_000_000 + F.col("col")).checkpoint())
     best = decide.spaced_best(r.select("grid_id", "site_id", (F.col("col") * cell_m).alias("x"), (F.col("row") * cell_m).alias("y"), "score"), separation, most)
-    one = r.groupBy("grid_id", "site_id").agg(F.max(F.struct("score", "kind", "row", "col", "outlet_row", "outlet_col", "cells", "depth_m", "acc", "slope_pct")).alias("r"))
-    return best.join(one, ["grid_id", "site_id"]).select("grid_id", "rank", "score", *[f"r.{c}" for c in ("kind", "row", "col", "outlet_row", "outlet_col", "cells", "depth_m", "acc", "slope_pct")])
+    names = ("kind", "row", "col", "outlet_row", "outlet_col", "cells", "depth_m", "acc", "slope_pct")
+    one = r.groupBy("grid_id", "site_id").agg(F.max(F.struct("score", *names, "criteria")).alias("r"))
+    return best.join(one, ["grid_id", "site_id"]).select("grid_id", "rank", "score", *[f"r.{c}" for c in (*names, "criteria")])
+
+
+def storage(survey_of: DataFrame, sites: DataFrame, cell_m: float) -> DataFrame:
+    """G-18, G-19: grid_id, rank, usable_m2 (buildable land around the site, at most 2 ha), capped, and curve array<struct<x: depth, y: volume>> of the ground there, up to where the water would spread too far. One kernel a grid."""
+
+    def around(z: np.ndarray, x: dict[str, np.ndarray]) -> list[dict]:
+        out, buildable = [], x["buildable"] > 0
+        for r, c in np.argwhere(np.isfinite(x["rank"])).tolist():
+            usable, capped = kernels.footprint(buildable, r, c, cell_m)
+            curve = kernels.stage_curve(z, r, c, cell_m) if np.isfinite(z[r, c]) else []
+            kept = [p for p in curve if not p["unbounded"]]
+            out.append({"rank": int(x["rank"][r, c]), "usable_m2": usable, "capped": capped, "depths": [p["depth_m"] for p in kept], "volumes": [p["volume_m3"] for p in kept]})
+        return out
+
+    at = sites.select("grid_id", "row", "col", F.col("rank").cast("double").alias("rank"))
+    marked = survey_of.select("grid_id", "row", "col", "z", F.col("buildable").cast("double").alias("buildable")).join(at, ["grid_id", "row", "col"], "left")
+    got = kernels.rows_on_grids(marked, around, "rank int, usable_m2 double, capped boolean, depths array<double>, volumes array<double>", extra=("buildable", "rank"))
+    return got.withColumn("curve", F.when(F.size("depths") > 1, F.transform(F.arrays_zip("depths", "volumes"), lambda p: F.struct(p["depths"].alias("x"), p["volumes"].alias("y"))))).drop("depths", "volumes")
 
 
 def streams(cells: DataFrame, cell_m: float, threshold_ha: float = 1.0) -> DataFrame:

@@ -61,21 +61,22 @@ def contour_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def yearly_rain(spark: SparkSession, d: str) -> DataFrame:
-    return rain_daily(spark, d).where("series = 1").select("observed_on", F.col("mm"))
+    """The mean of both series."""
+    return rain_daily(spark, d).groupBy("observed_on").agg(F.avg("mm").alias("mm"))
 
 
 @query("e01_contour_analysis")
 def _e01(spark: SparkSession, d: str) -> DataFrame:
     lines = kml.contour_lines(kml.parsed(contour_maps(spark, d)))
     out = analysis.analyse_maps(lines, lambda c: c.withColumn("cover", F.when(F.col("col") % 16 == 0, 40).otherwise(30)), yearly_rain(spark, d), ET0, **LOOSE)
-    return out.select("map_id", "rank", "kind", "row", "col", F.round("score", 3).alias("score"), F.round("catchment_m2", 1).alias("catchment_m2"), F.round("gross_m3", 2).alias("gross_m3"), "months_with_water", "limited_by", "confidence", "explanation")
+    return out.select("map_id", "rank", "kind", "row", "col", F.round("score", 3).alias("score"), F.round("catchment_m2", 1).alias("catchment_m2"), F.round("gross_m3", 2).alias("gross_m3"), F.round("terrain_m3", 2).alias("terrain_m3"), F.round("usable_m2", 1).alias("usable_m2"), F.round("snapped_m", 1).alias("snapped_m"), "months_with_water", "limited_by", "confidence", "explanation")
 
 
 @query("e02_area_analysis")
 def _e02(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05)
     out = analysis.analyse(c, CELL, yearly_rain(spark, d), ET0, "B", _features(c), **LOOSE)
-    return out.select("grid_id", "rank", "kind", "row", "col", F.round("score", 3).alias("score"), F.round("catchment_m2", 1).alias("catchment_m2"), F.round("gross_m3", 2).alias("gross_m3"), "months_with_water", "limited_by", "confidence", "explanation")
+    return out.select("grid_id", "rank", "kind", "row", "col", F.round("score", 3).alias("score"), F.round("catchment_m2", 1).alias("catchment_m2"), F.round("gross_m3", 2).alias("gross_m3"), F.round("terrain_m3", 2).alias("terrain_m3"), F.round("usable_m2", 1).alias("usable_m2"), F.round("snapped_m", 1).alias("snapped_m"), "months_with_water", "limited_by", "confidence", "explanation")
 
 
 @query("g23_contour_surface")

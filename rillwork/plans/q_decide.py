@@ -277,7 +277,7 @@ def _g03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d05_pond_sites")
 def _d05(spark: SparkSession, d: str) -> DataFrame:
-    return siting.sites(cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05), CELL, separation=60.0, upstream_ha=0.05, threshold=0.3, min_depth=0.05, max_slope=15.0)
+    return siting.sites(cells(spark, d).withColumn("z", F.col("z") * 0.1 - F.col("row") * 0.05), CELL, separation=60.0, upstream_ha=0.05, threshold=0.3, min_depth=0.05, max_slope=15.0).drop("criteria")
 
 
 @query(

@@ -36,6 +36,9 @@ def test_contours_give_the_valley_back_and_its_hollow_gets_the_pond(spark):
     assert abs(hollow.row * k - 32) < 8 and abs(hollow.col * k - 38) < 10 and hollow.score > 30
     assert best.gross_m3 > 0 and best.annual_m3 > best.dependable_m3 * 0.99 > 0 and 0 < best.months_with_water <= 12
     assert best.expected_m3 == min(best.live_m3, best.dependable_m3) and best.explanation.startswith("Rank 1, score ")
+    # the pour point is where most flows within the radius, the pond fits the buildable land, the hollow holds water by itself, and two criteria speak for a site
+    assert (out.snapped_m <= 151).all() and (out.catchment_m2 > 0).all() and (out.usable_m2 <= 20_000).all()
+    assert (out.gross_m3 <= out.usable_m2 * out.depth_m + 1).all() and hollow.terrain_m3 > 0 and "chiefly for" in best.explanation
     import json
 
     report = json.loads(analysis.reports(made).collect()[0].report)
