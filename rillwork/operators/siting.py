@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.operators import decide, flow, kernels, land, terrain, tiled
+from rillwork.operators import streams as network
 
 MAX_SLOPE, MIN_UPSTREAM_HA, THRESHOLD, SEPARATION, SATURATION, MIN_DEPTH, MIN_REGION_M2, EDGE = 8.0, 1.0, 0.55, 300.0, 3.0, 0.3, 100.0, 3
 # Land-cover classes and how far they may be used for ponds.
@@ -133,13 +134,6 @@ def storage(survey_of: DataFrame, sites: DataFrame, cell_m: float) -> DataFrame:
     return got.withColumn("curve", F.when(F.size("depths") > 1, F.transform(F.arrays_zip("depths", "volumes"), lambda p: F.struct(p["depths"].alias("x"), p["volumes"].alias("y"))))).drop("depths", "volumes")
 
 
-def streams(cells: DataFrame, cell_m: float, threshold_ha: float = 1.0) -> DataFrame:
-    """G-15: grid_id, reach, order, rows and cols of its cells, length_m of the channels of each grid's filled surface."""
-    least = least_cells(threshold_ha, cell_m)
-
-    def trace(z: np.ndarray, _: dict) -> list[dict]:
-        code = kernels.direction(kernels.fill(z), cell_m)
-        got = kernels.reaches(kernels.accumulation(code) >= least, code, cell_m)
-        return [{"reach": k, "order": r["order"], "rows": [a for a, _ in r["cells"]], "cols": [b for _, b in r["cells"]], "length_m": r["length_m"]} for k, r in enumerate(got)]
-
-    return kernels.rows_on_grids(cells, trace, "reach int, order int, rows array<int>, cols array<int>, length_m double")
+def streams(cells: DataFrame, cell_m: float, threshold_ha: float = 1.0, within: DataFrame | None = None) -> DataFrame:
+    """G-15: the reaches (see streams.reaches) of each grid's filled surface, or of the cells of a catchment."""
+    return network.reaches(routed(cells, cell_m), least_cells(threshold_ha, cell_m), cell_m, within)

@@ -35,6 +35,13 @@ SEA = -1
 _MOVES = {(dr, dc): code for _, dr, dc, code in D8}
 
 
+def shared(cells: DataFrame) -> None:
+    """The cluster's folder for checkpoints."""
+    from rillwork.operators.flow import shared_checkpoints
+
+    shared_checkpoints(cells.sparkSession)
+
+
 def _id(row: Column, col: Column) -> Column:
     return F.shiftleft(row.cast("long"), 32).bitwiseOR(col.cast("long"))
 
@@ -351,9 +358,7 @@ def _pointed(tiles: DataFrame, side: int, cell_m: float) -> DataFrame:
 
 
 def _flooded(cells: DataFrame, cell_m: float, side: int, eps: float) -> DataFrame:
-    from rillwork.operators.flow import shared_checkpoints
-
-    shared_checkpoints(cells.sparkSession)
+    shared(cells)
     # a gap is a cell that is not there; it is nodata to its neighbours, and gives no row
     tiles = _packed(cells, F.col("z"), side, True, float("-inf")).checkpoint()
     passes = _passes(tiles, side).checkpoint()
@@ -563,9 +568,7 @@ def _cells(d: _Drains, **columns: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _pointer_tiles(flow: DataFrame, side: int) -> DataFrame:
-    from rillwork.operators.flow import shared_checkpoints
-
-    shared_checkpoints(flow.sparkSession)
+    shared(flow)
     move = F.create_map(*[x for (dr, dc), code in _MOVES.items() for x in (F.lit(3 * dr + dc), F.lit(code))])
     code = F.coalesce(F.try_element_at(move, (3 * (F.col("down_row") - F.col("row")) + F.col("down_col") - F.col("col")).cast("int")), F.lit(0))
     return _packed(flow, code, side, False, -1.0).checkpoint()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions import geo
-from rillwork.operators import analysis, flow, kernels, land, survey, terrain
+from rillwork.operators import analysis, flow, kernels, land, streams, survey, terrain
 from rillwork.plans.q_rain import r6
 from rillwork.plans.q_terrain import _OFF, ACC, NEAR, WALK
 from rillwork.plans.views import CELLS, cells, table
@@ -304,14 +304,16 @@ ords AS (SELECT 0 AS k, grid_id, row, col, 1 AS ord FROM st UNION ALL SELECT k +
 strahler AS (SELECT grid_id, row, col, max(ord) FILTER (WHERE k = 40) AS ord FROM ords GROUP BY ALL)"""
 
 
-def _channels(z):  # noqa: ANN001, ANN202
-    code = kernels.direction(z, CELL)
-    return kernels.accumulation(code) >= 5, code
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with their flow, unfilled as in the twin."""
+    f = terrain.flow_direction(cells(spark, d), CELL)
+    return f.select("grid_id", "row", "col", "fdir").join(flow.accumulation(f), ["grid_id", "row", "col"])
 
 
 @query("g13_strahler_orders", f"WITH RECURSIVE {STREAMS} SELECT c.grid_id, c.row, c.col, coalesce(ord, 0)::INT AS ord FROM cells c LEFT JOIN strahler USING (grid_id, row, col)")
 def _g13(spark: SparkSession, d: str) -> DataFrame:
-    return kernels.on_grids(cells(spark, d), lambda z, _: {"ord": kernels.strahler(*_channels(z)).astype("int32")}, "ord int")
+    got = streams.orders(_channels(spark, d), 5)
+    return cells(spark, d).select("grid_id", "row", "col").join(got, ["grid_id", "row", "col"], "left").select("grid_id", "row", "col", F.coalesce("order", F.lit(0)).alias("ord"))
 
 
 @query(
@@ -321,7 +323,7 @@ SELECT grid_id, ord::INT AS "order", round(sum(l), 4) AS length_m FROM links GRO
 )
 def _g14(spark: SparkSession, d: str) -> DataFrame:
     """Reaches take each step from one channel cell to the next once, under the order of the upper one."""
-    got = kernels.rows_on_grids(cells(spark, d), lambda z, _: [{"order": r["order"], "length_m": r["length_m"]} for r in kernels.reaches(*_channels(z), CELL)], "order int, length_m double")
+    got = streams.reaches(_channels(spark, d), 5, CELL)
     return got.groupBy("grid_id", "order").agg(F.round(F.sum("length_m"), 4).alias("length_m"))
 
 

@@ -71,7 +71,7 @@ def _bilinear(spark: SparkSession, d: str) -> DataFrame:
 def _cover(spark: SparkSession, d: str) -> DataFrame:
     path, _, c = written(spark, d, "land_cover", "cover", band=("uint8", 0.0, "nearest"))
     at = c.join(grids(c), "grid_id").select("grid_id", "row", "col", (F.col("transform")[2] + (F.col("col") + 0.25) / _STEP).alias("x"), (F.col("transform")[5] - (F.col("row") + 0.75) / _STEP).alias("y"))
-    got = raster.nearest(at, raster.files(spark, path), raster.read(spark, path), ["grid_id", "row", "col"]).withColumn("cover", F.col("value").cast("int"))
+    got = raster.nearest(at, raster.files(spark, path), raster.read(spark, path), ["grid_id", "row", "col"]).withColumn("cover", F.col("value").cast("int")).checkpoint()
     share = got.groupBy("grid_id", "cover").agg(F.count("cover").alias("n")).join(got.groupBy("grid_id").agg(F.count("cover").alias("all")), "grid_id").select("grid_id", "cover", F.round(F.col("n") / F.col("all"), 6).alias("fraction"))
     return got.join(share, ["grid_id", "cover"]).select("grid_id", "row", "col", "cover", "fraction")
 

@@ -32,7 +32,7 @@ from rillwork.functions import geo
 from rillwork.operators import terrain
 from rillwork.sources import tiff
 
-CELLS, FILE_SIDE, TILE_SIDE, MOST_CELLS, NAME = 1 << 22, 4096, 512, 20_000_000, "raster"
+CELLS, FILE_SIDE, TILE_SIDE, MOST_CELLS, NAME = 1 << 20, 4096, 512, 20_000_000, "raster"
 _CELL = pa.schema([("file", pa.string()), ("level", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("value", pa.float64())])
 _CELL_DDL = "file string, level int, row int, col int, x double, y double, value double"
 _FILE_DDL = "file string, n_rows int, n_cols int, transform array<double>, epsg int, nodata double, type string, tile_rows int, tile_cols int, overviews int, west double, south double, east double, north double"
@@ -107,6 +107,17 @@ class TilePart(ds.InputPartition):
         self.path, self.level, self.transform, self.nodata, self.image = path, level, transform, nodata, image
 
 
+@dataclass
+class TileParts(ds.InputPartition):
+    """Parts of small files that one task reads after each other."""
+
+    parts: list[TilePart]
+
+    def __init__(self, parts: list[TilePart]):
+        super().__init__(None)
+        self.parts = parts
+
+
 @dataclass
 class NamePart(ds.InputPartition):
     paths: list[str] = field(default_factory=list)
@@ -157,7 +168,16 @@ class CellReader(ds.DataSourceReader):
     def partitions(self) -> list[ds.InputPartition]:
         paths = [p for p in _files(self.path) if self.names is None or _stem(p) in self.names]
         with ThreadPoolExecutor(16) as pool:
-            return [p for parts in pool.map(self._parts, paths) for p in parts] or [NamePart([])]
+            each = [p for parts in pool.map(self._parts, paths) for p in parts]
+        out, held = [[]], 0
+        for p in each:
+            size = len(p.image.places) * p.image.tile_width * p.image.tile_height
+            if out[-1] and held + size > self.cells:
+                out.append([])
+                held = 0
+            out[-1].append(p)
+            held += size
+        return [TileParts(x) for x in out]
 
     def _level(self, h: tiff.Header) -> int:
         if self.cell is None:
@@ -182,10 +202,12 @@ class CellReader(ds.DataSourceReader):
         x0, y0, x1, y1 = _bounds(t, (r + 0.5, min(r + image.tile_height, image.height) - 0.5), (c + 0.5, min(c + image.tile_width, image.width) - 0.5))
         return x0 <= self.box[2] and x1 >= self.box[0] and y0 <= self.box[3] and y1 >= self.box[1]
 
-    def read(self, partition: TilePart | NamePart) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, NamePart):
-            return  # there is nothing to read
-        p, image, t = partition, partition.image, partition.transform
+    def read(self, partition: TileParts) -> Iterator[pa.RecordBatch]:
+        for p in partition.parts:
+            yield from self._read(p)
+
+    def _read(self, p: TilePart) -> Iterator[pa.RecordBatch]:
+        image, t = p.image, p.transform
         system, at = _opened(p.path)
         name = _stem(p.path)
         with system.open_input_file(at) as f:

@@ -197,7 +197,9 @@ def test_a_box_opens_only_its_tiles(spark, tmp_path):
     reader = raster.CellReader({"path": path})
     filters = [ds.GreaterThanOrEqual(("x",), 17.0), ds.LessThan(("x",), 30.0), ds.GreaterThan(("y",), -15.6), ds.LessThanOrEqual(("y",), -3.0)]
     assert reader.pushFilters(filters) == filters
-    assert [list(p.image.places) for p in reader.partitions()] == [[1]]
+    assert [[list(p.image.places) for p in x.parts] for x in reader.partitions()] == [[[1]]]
+    # tiles of many files go together, and those of a large one are divided
+    assert [len(x.parts) for x in raster.CellReader({"path": path, "cells": 4 * 256}).partitions()] == [1] * 4
     # the other tiles may even be broken
     file = tmp_path / "r" / "1.tif"
     h = tiff.read_header(read_at(file.read_bytes()))

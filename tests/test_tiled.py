@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.operators import flow, kernels, terrain, tiled
+from rillwork.operators import kernels, streams, terrain, tiled
 
 DDL = "grid_id long, row int, col int, z double"
 
@@ -125,3 +125,39 @@ def test_empty_tables(spark):
 def test_forest_keeps_the_cheapest_joins():
     a, b, cost = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3]), np.array([5.0, 1.0, 2.0, 9.0])
     assert sorted(tiled.spanning_forest(a, b, cost, 4).tolist()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("side", [4, 512])
+def test_reaches_by_tiles(spark, pointed, side):
+    """Orders and reaches of all grids against the walk over one grid, whole and within a catchment."""
+    acc = tiled.accumulation(pointed, 8)
+    cells = pointed.select("grid_id", "row", "col", "fdir").join(acc, ["grid_id", "row", "col"]).checkpoint()
+    codes = {k: np.zeros(z.shape, np.uint8) for k, z in GRIDS.items()}
+    for r in pointed.collect():
+        codes[r.grid_id][r.row, r.col] = r.fdir
+    masks = {}
+    for k, code in codes.items():
+        a = kernels.accumulation(code)
+        masks[k] = kernels.catchment(code, *np.unravel_index(a.argmax(), a.shape))
+    inside = spark.createDataFrame([(k, int(r), int(c)) for k, m in masks.items() for r, c in np.argwhere(m)], "grid_id long, row int, col int")
+    for within in (None, inside):
+        got = {}
+        for r in streams.reaches(cells, 3, 5.0, within, side=side).collect():
+            got.setdefault(r.grid_id, []).append((r.order, list(zip(r.rows, r.cols, strict=True)), round(r.length_m, 6)))
+            assert r.reach == r.rows[0] << 32 | r.cols[0] and r.problem is None
+        orders = {(r.grid_id, r.row, r.col): r.order for r in streams.orders(cells, 3, within, side=side).collect()}
+        for k, code in codes.items():
+            on = kernels.accumulation(code) >= 3
+            on = on & masks[k] if within is not None else on
+            assert sorted(got.get(k, [])) == sorted((r["order"], r["cells"], round(r["length_m"], 6)) for r in kernels.reaches(on, code, 5.0))
+            want = kernels.strahler(on, code)
+            assert {at: int(want[at]) for at in zip(*np.nonzero(want), strict=True)} == {(r, c): o for (g, r, c), o in orders.items() if g == k}
+
+
+def test_networks_beyond_the_limit_are_refused(spark, pointed):
+    acc = tiled.accumulation(pointed, 8)
+    cells = pointed.select("grid_id", "row", "col", "fdir").join(acc, ["grid_id", "row", "col"])
+    got = streams.reaches(cells, 1, 5.0, most=400).collect()
+    large = {k for k, z in GRIDS.items() if z.size > 400}
+    assert {r.grid_id for r in got if r.problem} == large and all(r.reach is None for r in got if r.problem)
+    assert {r.grid_id for r in got if not r.problem} <= set(GRIDS) - large
