@@ -41,12 +41,12 @@ from .bpe import threads
 from .neardup import shared_checkpoints
 
 END = 0
-SHARD_IDS, MIN_COUNT, LEAST_GAIN, PER_ROUND, STEP = 1 << 20, 8, 0.05, 8192, 1024
+SHARD_IDS, MIN_COUNT, LEAST_GAIN, PER_ROUND, STEP = 1 << 20, 8, 0.1, 16384, 1024
 #: Rules of a shard are at most what keeps its symbols within 16 bits, or this number where the vocabulary alone needs more.
 MOST_RULES = 1 << 14
 _BUCKETS = 18
 #: Bytes of text whose chunks are found at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 3 << 21
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[0x20, 0x09, 0x0A, 0x0D]] = 0
 _KIND[65:91] = _KIND[97:123] = 1
@@ -171,7 +171,7 @@ class ByteEncoder:
         # letters that follow others with an apostrophe belong to them
         touch = np.flatnonzero(start & (kind == 1) & (was == 2) & ~edge[:n])
         if len(touch):
-            upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(buf == 39)))
+            upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(buf == 39, dtype=np.int32)))
             begun = np.flatnonzero((kind == 2) & ((was != 2) | edge[:n]))
             first = begun[np.searchsorted(begun, touch, "left") - 1]
             start[touch[upto[touch] > upto[first]]] = False
@@ -374,14 +374,17 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
 
 def read(spark: SparkSession, folder: str, lo: int | None = None, hi: int | None = None, ids: bool = True) -> DataFrame:
-    """doc_id, row (part, number), piece, last, start (ids of the corpus before the piece), n, and ids (array<int>) or crc (of the piece, unsigned) of the documents, or of those with ids from lo to hi; other shards are not opened."""
+    """doc_id, row (part, number), piece, last, start (ids of the corpus before the piece), n, and ids (array<int>) of the documents, or of those with ids from lo to hi; other shards are not opened.
+
+    Without ids: crc, the unsigned checksum of a document of one piece, or else raw, the piece's ids as bytes.
+    """
     d = spark.read.parquet(f"{folder}/shards")
     if lo is not None:
         d = d.filter(F.col("last_id") >= lo)
     if hi is not None:
         d = d.filter(F.col("first_id") <= hi)
     d = d.join(spark.read.parquet(f"{folder}/manifest").select("part", "first"), "part").select((F.col("first") + F.col("before")).alias("before"), "part", "docs", "base", "width", "rules", "lengths", "symbols", "marks")
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int32())) if ids else ("crc", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()), ("start", pa.int64()), ("n", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [("crc", pa.int64()), ("raw", pa.binary())])])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,53 +400,23 @@ def read(spark: SparkSession, folder: str, lo: int | None = None, hi: int | None
                 cut = [got[w["start"] - x : w["start"] - x + w["n"]] for w in wanted]
                 cols = [pa.array([w[c] for w in wanted], schema.field(c).type) for c in ("doc_id", "row", "piece", "last", "n")]
                 start = pa.array([r["before"] + w["start"] for w in wanted], pa.int64())
-                out = pa.array([c.astype(np.int32) for c in cut], schema.field("ids").type) if ids else pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64())
-                yield pa.RecordBatch.from_arrays([cols[0], pa.array([r["part"]] * len(wanted), pa.int32()), cols[1], cols[2], cols[3], start, cols[4], out], schema=schema)
-
-    ddl = "doc_id long, part int, row long, piece int, last boolean, start long, n long, " + ("ids array<int>" if ids else "crc long")
+                if ids:
+                    out = [pa.array([c.astype(np.int32) for c in cut], schema.field("ids").type)]
+                else:
+                    one = [w["last"] and not w["piece"] for w in wanted]
+                    raw = [c.astype("<u4").tobytes() for c in cut]
+                    out = [pa.array([zlib.crc32(x) if o else None for x, o in zip(raw, one, strict=True)], pa.int64()), pa.array([None if o else x for x, o in zip(raw, one, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([cols[0], pa.array([r["part"]] * len(wanted), pa.int32()), cols[1], cols[2], cols[3], start, cols[4], *out], schema=schema)
+
+    ddl = "doc_id long, part int, row long, piece int, last boolean, start long, n long, " + ("ids array<int>" if ids else "crc long, raw binary")
     return d.mapInArrow(apply, ddl)
 
 
-def crc_joined(a: int, b: int, b_bytes: int) -> int:
-    """crc32 of two strings put together from theirs and the second one's length: a is moved past b_bytes zero bytes by squared steps over GF(2)."""
-
-    def times(m: list[int], v: int) -> int:
-        out, k = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[k]
-            v >>= 1
-            k += 1
-        return out
-
-    step = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    bits = 8 * b_bytes
-    while bits:
-        if bits & 1:
-            a = times(step, a)
-        step = [times(step, v) for v in step]
-        bits >>= 1
-    return a ^ b
-
-
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-
-def _digest_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crcs = []
-        for pieces in b.column(3).to_pylist():
-            crc = pieces[0]["crc"]
-            for p in pieces[1:]:
-                crc = crc_joined(crc, p["crc"], 4 * p["n"])
-            crcs.append(crc)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crcs, pa.int64())], schema=_DIGEST)
-
-
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from its files. Pieces of one document, at most one for SHARD_IDS of its ids, are put together by their checksums."""
-    each = read(spark, folder, ids=False).groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"))
-    return each.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(_digest_of_pieces, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of each document, from its files. Only a document of more than SHARD_IDS ids has several pieces, whose bytes meet as its text did."""
+    d = read(spark, folder, ids=False).groupBy("part", "row").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.max("crc").alias("crc"), F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("piece", "raw"))).alias("pieces"))
+    whole = F.aggregate(F.array_sort("pieces"), F.lit(b""), lambda a, p: F.concat(a, p["raw"]))
+    return d.select("doc_id", "start", "n_tokens", F.coalesce("crc", F.crc32(whole)).alias("ids_crc32"))
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -91,11 +91,6 @@ def test_frequent_pairs_become_rules():
     assert shard.ids(12_345, 23_456).tolist() == ids[12_345:23_456].tolist()
 
 
-def test_joined_checksums():
-    a, b = b"some bytes", bytes(range(256)) * 3
-    assert tokenfile.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t\r'ast-1é.×µ日\x01", max_size=30), min_size=1, max_size=8))
 def test_chunks_give_the_library_s_ids(texts):
