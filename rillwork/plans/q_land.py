@@ -373,12 +373,12 @@ def _x22(spark: SparkSession, d: str) -> DataFrame:
     return survey.line_report(lines).select("grid_id", "lines", "index_lines", "vertices", *r6("reduction_pct"))
 
 
-@query("snk02_layers", "SELECT vec_id // 64 AS grid_id, count(*) * 64 AS cells, true AS same FROM embeddings GROUP BY 1")
+@query("snk02_layers", f"WITH {CELLS} SELECT grid_id, count(*) AS cells, round(min(z), 6) AS low, round(min(z) + 1, 6) AS low_of_changed, 2 AS folders FROM cells GROUP BY 1")
 def _snk02(spark: SparkSession, d: str) -> DataFrame:
-    """A layer under the hash of its parameters, in the shared folder; written again with other rows it stays as it was."""
+    """A layer under the hash of its parameters and rows, in the shared folder: written again from other partitions it is the same folder, with other heights another one."""
     flow.shared_checkpoints(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/layers"
     c = cells(spark, d).select("grid_id", "row", "col", "z")
-    first = sinks.write_layer(c, root, "dem", CELL, d)
-    again = sinks.write_layer(c.limit(0), root, "dem", CELL, d)
-    return spark.read.parquet(first).groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.count(F.lit(1)).alias("cells")).withColumn("same", F.lit(first == again))
+    paths = [sinks.write_layer(x, root, "dem", CELL) for x in (c, c.repartition(3), c.withColumn("z", F.col("z") + 1))]
+    low = lambda p, n: spark.read.parquet(p).groupBy(F.col("grid_id").cast("long").alias("grid_id")).agg(F.count(F.lit(1)).alias("cells"), F.round(F.min("z"), 6).alias(n))
+    return low(paths[1], "low").join(low(paths[2], "low_of_changed").drop("cells"), "grid_id").withColumn("folders", F.lit(len(set(paths))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,25 @@ def _j06(spark: SparkSession, d: str) -> DataFrame:
     return got.select("l_id", "r_id", F.round("sim", 6).alias("sim"))
 
 
+@query(
+    "k01_name_index",
+    f"""WITH {WORDS}, reg AS (SELECT w FROM words UNION SELECT n_name FROM nation UNION SELECT c_mktsegment FROM customer), n AS (SELECT w, {fold_sql('w')} AS f FROM reg), t AS (SELECT w, {TRI} AS t FROM n),
+q AS (SELECT DISTINCT c_mktsegment AS s FROM customer UNION SELECT r_name FROM region), h AS (SELECT a.w AS s, b.w AS id, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS sim FROM t a JOIN q ON q.s = a.w JOIN t b ON true)
+SELECT c_custkey AS query_id, id, round(sim, 6) AS sim FROM customer JOIN h ON h.s = c_mktsegment WHERE sim >= 0.3""",
+)
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's segment searched at once in an index of two segments: the words of parts' names, and nations and segments."""
+    from rillwork.operators import flow, name_index
+
+    flow.shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/names-{uuid.uuid4().hex}"
+    folded = lambda x: x.select(F.col("w").alias("id"), names.folded(F.col("w")).alias("folded"))
+    c = table(spark, d, "customer")
+    name_index.append(folded(table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()), path)
+    name_index.append(folded(table(spark, d, "nation").select(F.col("n_name").alias("w")).union(c.select("c_mktsegment")).distinct()), path)
+    return name_index.search(spark, path, c.select(F.col("c_custkey").alias("query_id"), names.folded(F.col("c_mktsegment")).alias("folded"))).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
 @query("f06_name_similarity", f"WITH n AS (SELECT n_name, r_name, {fold_sql('n_name')} AS f, {fold_sql('r_name')} AS g FROM nation JOIN region ON n_regionkey = r_regionkey), t AS (SELECT n_name, {TRI} AS a, {TRI.replace('f =', 'g =').replace('(f)', '(g)').replace('|| f ||', '|| g ||')} AS b FROM n) SELECT n_name, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS sim FROM t")
 def _f06(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import geo
@@ -34,12 +34,27 @@ def collections(features: DataFrame) -> DataFrame:
     return features.groupBy("job_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(parts, ","), F.lit("]}")).alias("collection"))
 
 
+def content_key(layer: DataFrame) -> str:
+    """A digest of a layer's rows, whatever their order and partitions: their number, and sums of two hashes of each."""
+    cols = sorted(layer.columns)
+    # modulo a prime below 2^61, so that sums of many rows fit a decimal; nulls and column names count too
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})), F.lit((1 << 61) - 1)).cast("decimal(38,0)"))
+    r = layer.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(2).alias("b")).first()
+    return f"{r.n}-{r.a}-{r.b}"
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_layer(layer: DataFrame, root: str, *parts: object) -> str:
-    """SNK-02: Parquet under a hash of the parameters, by grid; an earlier layer of the same parameters stays as it is."""
+    """SNK-02: Parquet by grid, under a hash of the parameters and of the layer's rows: the same layer is written once, a changed one goes elsewhere. A folder that a failed job left is written anew."""
     import hashlib
 
-    path = f"{root}/{hashlib.sha256('|'.join(map(str, parts)).encode()).hexdigest()}"
-    layer.write.mode("ignore").partitionBy("grid_id").parquet(path)
+    path = f"{root}/{hashlib.sha256('|'.join([*map(str, parts), content_key(layer)]).encode()).hexdigest()}"
+    if not _finished(layer.sparkSession, path):
+        layer.write.mode("overwrite").partitionBy("grid_id").parquet(path)
     return path
 
 
@@ -51,15 +66,23 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", m, n, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def pictures(cells: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """SNK-05: grid_id, png of a layer from white to dark blue; nodata is clear."""
+def pixels(data: bytes) -> np.ndarray:
+    """rows by columns by four bytes of a picture that png made."""
+    m, n = struct.unpack(">II", data[16:24])
+    size = struct.unpack(">I", data[33:37])[0]
+    return np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(n, 1 + 4 * m)[:, 1:].reshape(n, m, 4)
+
+
+def pictures(cells: DataFrame, value: str, low: float, high: float, grey: bool = False) -> DataFrame:
+    """SNK-05: grid_id, png of a layer from white to dark blue, or from black to white as for hillshade; nodata is clear."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.full((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), np.nan)
         a[pdf["row"], pdf["col"]] = pdf[value].to_numpy(float, na_value=np.nan)
         t = np.clip((a - low) / (high - low), 0, 1)
         t0 = np.nan_to_num(t)
-        out = np.stack([255 * (1 - t0), 255 * (1 - 0.8 * t0), 255 - 100 * t0, np.where(np.isfinite(t), 255, 0)], 2)
+        ramp = [np.rint(255 * t0)] * 3 if grey else [255 * (1 - t0), 255 * (1 - 0.8 * t0), 255 - 100 * t0]
+        out = np.stack([*ramp, np.where(np.isfinite(t), 255, 0)], 2)
         return pd.DataFrame({"grid_id": [pdf["grid_id"].iloc[0]], "png": [png(out)]})
 
     return cells.select("grid_id", "row", "col", value).groupBy("grid_id").applyInPandas(run, "grid_id long, png binary")
