@@ -73,7 +73,8 @@ def test_quality_base_and_order(spark):
 
 def test_sql_twins(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, text in sql.ORACLES.items():
         got = queries.queries()[name](spark, SF).toPandas()
         want = con.execute(text).df()[list(got.columns)]
