@@ -112,9 +112,10 @@ def parcels(cells: DataFrame, cell_m: float, min_area: float = MIN_AREA_M2) -> D
 
 def tenure(sites: DataFrame, layer: DataFrame, bucket: float = 0.01) -> DataFrame:
     """J-12: sites(site_id, x, y), layer(parcel_id, ring, owner; parcel_id in the layer's order) -> site_id, parcel_id, tenure by the first parcel around a site."""
-    first = layer.select(F.col("parcel_id").alias("area_id"), "ring", F.col("parcel_id").alias("size"))
-    got = registers.containing(sites.select(F.col("site_id").alias("point_id"), "x", "y"), first, bucket)
-    owners = layer.select(F.col("parcel_id").alias("area_id"), classify.is_public(F.col("owner")).alias("public"))
+    # later parcels of the same ring are never an answer, and their owners don't matter
+    once = layer.groupBy("ring").agg(F.min_by(F.struct("parcel_id", "owner"), "parcel_id").alias("m")).select("ring", F.col("m.parcel_id").alias("area_id"), F.col("m.owner").alias("owner"))
+    got = registers.containing(sites.select(F.col("site_id").alias("point_id"), "x", "y"), once.select("area_id", "ring", F.col("area_id").alias("size")), bucket)
+    owners = once.select("area_id", classify.is_public(F.col("owner")).alias("public"))
     j = got.join(owners, "area_id", "left")
     return j.select(F.col("point_id").alias("site_id"), F.col("area_id").alias("parcel_id"), F.when(F.col("area_id").isNull(), "unknown").when(F.col("public"), "allottable").otherwise("privately held").alias("tenure"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.functions import names
+from rillwork.functions import geo, names
 
 MIN_SIMILARITY, PREFIX_CHARS, DEFAULT_HITS, MOST_HITS, STRONG = 0.3, 3, 10, 50, 0.9
 
@@ -93,29 +93,44 @@ def search(register: DataFrame, query: str, state: str | None = None, district:
 def containing(points: DataFrame, areas: DataFrame, bucket: float = 1.0) -> DataFrame:
     """J-07, K-06, J-12: points(point_id, x, y), areas(area_id, ring array<struct<x,y>>, size) -> the smallest area around each point, null if none.
 
-    Both sides meet in square buckets (an area in each that its box touches), then the ring decides by crossing edges. Points on an edge may fall on either side.
+    Of areas with the same ring only the smallest can be the answer, so the others are left out first: a point meets each different ring once, however many copies a layer holds.
+    Both sides meet in square buckets (an area in each that its box touches), then the box and the ring decide, the ring by crossing edges. Points on an edge may fall on either side.
     """
     b = F.lit(float(bucket))
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = areas.withColumns({"x0": F.floor(F.array_min(xs) / b), "x1": F.floor(F.array_max(xs) / b), "y0": F.floor(F.array_min(ys) / b), "y1": F.floor(F.array_max(ys) / b)})
-    boxed = boxed.withColumn("bx", F.explode(F.sequence("x0", "x1"))).withColumn("by", F.explode(F.sequence("y0", "y1"))).select("area_id", "ring", "size", "bx", "by")
+    once = areas.groupBy("ring").agg(F.min(F.struct("size", "area_id")).alias("m")).select("ring", "m.*")
+    boxed = once.withColumns({"west": F.array_min(xs), "east": F.array_max(xs), "south": F.array_min(ys), "north": F.array_max(ys)})
+    boxed = boxed.withColumn("bx", F.explode(F.sequence(F.floor(F.col("west") / b), F.floor(F.col("east") / b)))).withColumn("by", F.explode(F.sequence(F.floor(F.col("south") / b), F.floor(F.col("north") / b))))
     p = points.select("point_id", "x", "y", F.floor(F.col("x") / b).alias("bx"), F.floor(F.col("y") / b).alias("by"))
-    hits = p.join(boxed, ["bx", "by"]).where(inside(F.col("x"), F.col("y"), F.col("ring")))
+    in_box = F.col("x").between(F.col("west"), F.col("east")) & F.col("y").between(F.col("south"), F.col("north"))
+    hits = p.join(boxed, ["bx", "by"]).where(in_box & inside(F.col("x"), F.col("y"), F.col("ring")))
     best = hits.groupBy("point_id").agg(F.min(F.struct("size", "area_id")).alias("m")).select("point_id", F.col("m.area_id").alias("area_id"))
     return points.select("point_id").join(best, "point_id", "left")
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
     """Even-odd rule; the ring closes by itself."""
-    before = F.concat(F.slice(ring, -1, 1), ring)  # place i + 1 holds the point before point i
+    return odd_before(crossings(y, ring), x)
 
-    def crosses(p: Column, i: Column) -> Column:
-        q = F.element_at(before, i + 1)
-        at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
-        return (((p["y"] > y) != (q["y"] > y)) & (x < at)).cast("int")
 
-    crossings = F.transform(ring, crosses)
-    return F.aggregate(crossings, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 2 == 1
+def crossings(y: Column, ring: Column) -> Column:
+    """array<double>: where the ring's edges cross the line at y; edges with a missing end cross nothing."""
+
+    def of(both: Column) -> Column:
+        def crosses(p: Column, i: Column) -> Column:
+            q = F.element_at(both["before"], i + 1)
+            at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
+            return F.when((p["y"] > y) != (q["y"] > y), at)
+
+        return F.filter(F.transform(both["ring"], crosses), lambda at: at.isNotNull())
+
+    # each is worked out once, not once an edge; place i + 1 of before holds the point before point i
+    return geo.let(ring, lambda r: geo.let(F.struct(r.alias("ring"), F.concat(F.slice(r, -1, 1), r).alias("before")), of))
+
+
+def odd_before(crossings: Column, x: Column) -> Column:
+    """An odd number of crossings lies beyond x, so x is inside; null without a ring."""
+    return F.array_size(F.filter(crossings, lambda at: x < at)) % 2 == 1
 
 
 def with_parents(areas: DataFrame, levels: tuple[str, ...] = ("district", "state")) -> DataFrame:

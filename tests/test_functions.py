@@ -1,12 +1,14 @@
 import datetime as dt
 import io
+import math
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from rillwork.functions import classify, geo, hydro, names
-from rillwork.operators import decide, flow, land, pond, rainfall, registers, runoff, terrain
+from rillwork.operators import decide, flow, land, pond, rainfall, registers, runoff, survey, terrain
 from rillwork.sources import kml, services, sinks
 from rillwork.streaming import jobs
 
@@ -126,6 +128,20 @@ def test_point_in_area_takes_the_smallest(spark):
     assert {r.site_id: r.tenure for r in land.tenure(pts.withColumnRenamed("point_id", "site_id"), layer, 1.0).collect()} == {1: "allottable", 2: "allottable", 3: "unknown"}
 
 
+def test_a_point_meets_each_different_ring_once(spark):
+    """A layer of copies is as much work as one without (j12_site_tenure)."""
+    sq = lambda s: [(0.0, 0.0), (s, 0.0), (s, s), (0.0, s)]
+    rows = [(k, sq(2.0), 4.0) for k in range(400, 100, -1)] + [(k, sq(4.0), 3.0 if k == 7 else 16.0) for k in range(1, 90)] + [(900, None, 1.0)]
+    areas = spark.createDataFrame(rows, "area_id long, ring array<struct<x:double,y:double>>, size double")
+    pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 1.0), (3, 5.0, 1.0), (4, None, 1.0)], "point_id long, x double, y double")
+    got = registers.containing(pts, areas)
+    assert {r.point_id: r.area_id for r in got.collect()} == {1: 7, 2: 7, 3: None, 4: None}
+    assert re.search(r"Aggregate \[ring#", got._jdf.queryExecution().analyzed().toString())
+    layer = areas.select(F.col("area_id").alias("parcel_id"), "ring", F.when(F.col("area_id").isin(1, 101), "GOVT").otherwise("R. Patil").alias("owner"))
+    tenure = land.tenure(pts.withColumnRenamed("point_id", "site_id"), layer.where("parcel_id > 50"), 0.5)
+    assert {r.site_id: (r.parcel_id, r.tenure) for r in tenure.collect()} == {1: (51, "privately held"), 2: (51, "privately held"), 3: (None, "unknown"), 4: (None, "unknown")}
+
+
 def test_burned_line_touches_its_cells(spark):
     f = spark.createDataFrame([(0, "road", [2.5, 12.5], [2.5, 2.5], False), (0, "building", [20.0, 30.0, 30.0, 20.0], [20.0, 20.0, 30.0, 30.0], True)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean")
     got = {(r.row, r.col, r.kind) for r in land.burned(f, 5.0, {"road": 0.0, "building": 0.0}).collect()}
