@@ -142,6 +142,16 @@ def test_a_point_meets_each_different_ring_once(spark):
     assert {r.site_id: (r.parcel_id, r.tenure) for r in tenure.collect()} == {1: (51, "privately held"), 2: (51, "privately held"), 3: (None, "unknown"), 4: (None, "unknown")}
 
 
+def test_regional_tiles_are_those_near_the_ring(spark):
+    """The ring is worked out once, and only tiles of its own box are looked at (x03_regional_tiles)."""
+    tiles = survey.regional_tiles((0.0, 0.0, 9.0, 9.0), F.col("my_ring"))
+    assert str(tiles).count("my_ring") == 1
+    rings = [(1, [(1.0, 1.0), (1.5, 1.0), (1.5, 1.5)]), (2, [(-9.0, 4.2), (30.0, 4.2), (30.0, 4.8), (-9.0, 4.8)]), (3, [(20.0, 20.0), (21.0, 20.0), (21.0, 21.0)]), (4, []), (5, None)]
+    d = spark.createDataFrame(rings, "id long, my_ring array<struct<x:double,y:double>>")
+    got = {r.id: {(t.lat, t.lon) for t in r.t} for r in d.select("id", tiles.alias("t")).collect()}
+    assert got == {1: {(0, 0), (0, 1), (1, 0), (1, 1)}, 2: {(4, c) for c in range(10)}, 3: set(), 4: set(), 5: set()}
+
+
 def test_burned_line_touches_its_cells(spark):
     f = spark.createDataFrame([(0, "road", [2.5, 12.5], [2.5, 2.5], False), (0, "building", [20.0, 30.0, 30.0, 20.0], [20.0, 20.0, 30.0, 30.0], True)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean")
     got = {(r.row, r.col, r.kind) for r in land.burned(f, 5.0, {"road": 0.0, "building": 0.0}).collect()}
