@@ -145,25 +145,36 @@ def box_error(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column
 
 def ring_area_m2(points: Column) -> Column:
     """M-18: shoelace area of array<struct<x, y>> in a projected system; the ring closes by itself."""
-    before = F.concat(F.slice(points, -1, 1), points)
-    parts = F.transform(points, lambda p, i: F.element_at(before, i + 1)["x"] * p["y"] - p["x"] * F.element_at(before, i + 1)["y"])
-    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    def area(both: Column) -> Column:
+        parts = F.transform(both["ring"], lambda p, i: F.element_at(both["before"], i + 1)["x"] * p["y"] - p["x"] * F.element_at(both["before"], i + 1)["y"])
+        return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)) / 2
+
+    return let(points, lambda r: let(F.struct(r.alias("ring"), F.concat(F.slice(r, -1, 1), r).alias("before")), area))
 
 
 def repaired_ring(points: Column) -> Column:
     """G-27: a ring without null, repeated and closing points; null if fewer than three are left or they have no area."""
+
+    def opened(apart: Column) -> Column:
+        n = F.size(apart)
+        closed = (n > 1) & (F.try_element_at(apart, F.lit(1)) == F.try_element_at(apart, n))
+        return F.when(closed, F.slice(apart, F.lit(1), n - 1)).otherwise(apart)
+
+    # each step is worked out once: as plain expressions they would be copied into each other, and again for each point
     real = F.filter(points, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    apart = F.filter(real, lambda p, i: (i == 0) | (p != F.try_element_at(real, i)))
-    n = F.size(apart)
-    closed = (n > 1) & (F.try_element_at(apart, F.lit(1)) == F.try_element_at(apart, n))
-    ring = F.when(closed, F.slice(apart, F.lit(1), n - 1)).otherwise(apart)
-    return F.when((F.size(ring) >= 3) & (ring_area_m2(ring) > 0), ring)
+    apart = let(real, lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.try_element_at(r, i))))
+    return let(let(apart, opened), lambda r: F.when((F.size(r) >= 3) & (ring_area_m2(r) > 0), r))
 
 
 def line_length(points: Column) -> Column:
     """M-19."""
-    steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(points), F.lit(2))), lambda i: F.hypot(F.try_element_at(points, i)["x"] - F.try_element_at(points, i - 1)["x"], F.try_element_at(points, i)["y"] - F.try_element_at(points, i - 1)["y"]))
-    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+    def along(r: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(r), F.lit(2))), lambda i: F.hypot(F.try_element_at(r, i)["x"] - F.try_element_at(r, i - 1)["x"], F.try_element_at(r, i)["y"] - F.try_element_at(r, i - 1)["y"]))
+        return F.aggregate(steps, F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+
+    return let(points, along)
 
 
 def cell_size(area_m2: Column, length_m: Column) -> Column:

@@ -262,7 +262,8 @@ def _g27(spark: SparkSession, d: str) -> DataFrame:
     point = lambda p: F.lit(None).cast("struct<x:double,y:double>") if p is None else F.struct(F.lit(float(p[0])).alias("x"), F.lit(float(p[1])).alias("y"))
     k = F.col("s_suppkey") % 4
     ring = geo.repaired_ring(F.when(k == 0, F.array(*map(point, shapes[0]))).when(k == 1, F.array(*map(point, shapes[1]))).when(k == 2, F.array(*map(point, shapes[2]))).otherwise(F.array(*map(point, shapes[3]))))
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.coalesce(F.size(ring), F.lit(0)).alias("points"), F.coalesce(geo.ring_area_m2(ring), F.lit(0.0)).alias("area"))
+    of = geo.let(ring, lambda r: F.struct(F.coalesce(F.size(r), F.lit(0)).alias("points"), F.coalesce(geo.ring_area_m2(r), F.lit(0.0)).alias("area")))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), of.alias("of")).select("id", "of.*")
 
 
 @query("snk05_pictures", "SELECT DISTINCT vec_id // 64 AS grid_id, true AS is_png, 64 AS width FROM embeddings")

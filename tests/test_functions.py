@@ -152,6 +152,17 @@ def test_regional_tiles_are_those_near_the_ring(spark):
     assert got == {1: {(0, 0), (0, 1), (1, 0), (1, 1)}, 2: {(4, c) for c in range(10)}, 3: set(), 4: set(), 5: set()}
 
 
+def test_a_long_ring_is_repaired_in_one_pass(spark):
+    """Steps are not copied into each other (g27_repaired_rings)."""
+    assert str(geo.repaired_ring(F.col("my_ring"))).count("my_ring") == 1 and str(geo.ring_area_m2(F.col("my_ring"))).count("my_ring") == 1
+    n = 3000
+    circle = [(100 * math.cos(2 * math.pi * k / n), 100 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    ring = [p for c in circle for p in (c, c, None)] + [circle[0]]
+    d = spark.createDataFrame([(ring,), (None,), ([],), ([(1.0, 1.0)],)], "my_ring array<struct<x:double,y:double>>")
+    got = d.select(geo.repaired_ring(F.col("my_ring")).alias("r")).select("r", geo.ring_area_m2(F.col("r")).alias("a")).collect()
+    assert [tuple(p) for p in got[0].r] == circle and got[0].a == pytest.approx(n / 2 * 1e4 * math.sin(2 * math.pi / n)) and [g.r for g in got[1:]] == [None] * 3
+
+
 def test_burned_line_touches_its_cells(spark):
     f = spark.createDataFrame([(0, "road", [2.5, 12.5], [2.5, 2.5], False), (0, "building", [20.0, 30.0, 30.0, 20.0], [20.0, 20.0, 30.0, 30.0], True)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean")
     got = {(r.row, r.col, r.kind) for r in land.burned(f, 5.0, {"road": 0.0, "building": 0.0}).collect()}
