@@ -15,13 +15,16 @@ LAND_BUFFERS = {"building": 50.0, "road": 20.0, "track": 5.0, "water": 100.0, "l
 SITE_BUFFERS = {"standing": 0.0, "major": 50.0, "building": 50.0, "road": 20.0}
 COVER_WATER, COVER_WATER_BUFFER, MAX_UPSTREAM_HA = (80, 90, 95), 20.0, 2000.0
 MAX_SLOPE, MIN_AREA_M2, KERNEL = 5.0, 400.0, 5
+#: Cells that one task makes at burning, on average.
+MOST_BURNED = 1 << 18
 
 
-def burned(features: DataFrame, cell_m: float, buffers: dict[str, float], bucket: int = 64) -> DataFrame:
+def burned(features: DataFrame, cell_m: float, buffers: dict[str, float]) -> DataFrame:
     """J-19: features(grid_id, kind, x array<double>, y array<double>, closed; in metres from the grid's corner, y downwards) -> grid_id, row, col, kind of cells that the shape, widened by its kind's
     buffer, touches. A feature is cut into its segments first, so a long line is many short rows; the inside of closed shapes is added from their box.
 
-    A cell is touched if its square is within the buffer of the shape; tangent squares count.
+    A cell is touched if its square is within the buffer of the shape; tangent squares count. A few shapes can touch very many cells, so rows of cells are dealt over as many tasks as there are cells to look at
+    before they are made; all shapes meet the row in the same task, which drops repeats.
     """
     reach = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in buffers.items() for x in kv]), F.col("kind")), F.lit(0.0))
     f = features.withColumn("reach", reach)
@@ -31,13 +34,16 @@ def burned(features: DataFrame, cell_m: float, buffers: dict[str, float], bucket
     lo = lambda a, b: F.greatest(F.lit(0), F.ceil((F.least(a, b) - F.col("reach")) / cell_m - 1e-9).cast("int") - 1)
     hi = lambda a, b: F.floor((F.greatest(a, b) + F.col("reach")) / cell_m + 1e-9).cast("int")
     near = seg.withColumns({"c0": lo("x0", "x1"), "c1": hi("x0", "x1"), "r0": lo("y0", "y1"), "r1": hi("y0", "y1")}).where("c1 >= c0 and r1 >= r0")
-    cells = near.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    hit = _square_to_segment(cell_m) <= F.col("reach") + 1e-9
-    lines = cells.where(hit).select("grid_id", "row", "col", "kind")
+    lines = near.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("beyond", F.lit(None).cast("array<double>"))
     solid = f.where("closed and size(x) > 2").withColumn("ring", F.arrays_zip("x", "y"))
     box = solid.withColumns({"c0": F.greatest(F.lit(0), F.floor(F.array_min("x") / cell_m).cast("int")), "c1": F.floor(F.array_max("x") / cell_m).cast("int"), "r0": F.greatest(F.lit(0), F.floor(F.array_min("y") / cell_m).cast("int")), "r1": F.floor(F.array_max("y") / cell_m).cast("int")}).where("c1 >= c0 and r1 >= r0")
-    inner = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).where(registers.inside((F.col("col") + 0.5) * cell_m, (F.col("row") + 0.5) * cell_m, F.col("ring")))
-    return lines.unionByName(inner.select("grid_id", "row", "col", "kind")).distinct()
+    inner = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("beyond", registers.crossings((F.col("row") + 0.5) * cell_m, F.col("ring")))
+    size = lambda d: d.select(((F.col("c1") - F.col("c0") + 1).cast("long") * (F.col("r1") - F.col("r0") + 1)).alias("n"))
+    n = size(near).unionByName(size(box)).agg(F.sum("n")).first()[0] or 0
+    rows = lines.select("grid_id", "kind", "reach", "row", "c0", "c1", "beyond", "x0", "y0", "x1", "y1").unionByName(inner.select("grid_id", "kind", "reach", "row", "c0", "c1", "beyond"), allowMissingColumns=True)
+    cells = rows.repartition(1 + n // MOST_BURNED, "grid_id", "row").withColumn("col", F.explode(F.sequence("c0", "c1")))
+    hit = F.when(F.col("beyond").isNull(), _square_to_segment(cell_m) <= F.col("reach") + 1e-9).otherwise(registers.odd_before(F.col("beyond"), (F.col("col") + 0.5) * cell_m))
+    return cells.where(hit).select("grid_id", "row", "col", "kind").distinct()
 
 
 def _square_to_segment(cell_m: float) -> Column:
