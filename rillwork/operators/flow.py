@@ -105,11 +105,22 @@ def components(mask: DataFrame, neighbours: int = 8) -> DataFrame:
 
 
 def dilated(mask: DataFrame, radius: float) -> DataFrame:
-    """G-21, G-22: cells within the radius (in cells; 2 ** 0.5 gives the eight neighbours) of a member."""
+    """G-21, G-22: cells within the radius (in cells; 2 ** 0.5 gives the eight neighbours) of a member.
+
+    Cells go as the bits of numbers, 64 of a row in each: those are moved and put together, so no task holds the cells of the widened mask one by one.
+    """
     k = int(radius)
     disc = [(r, c) for r in range(-k, k + 1) for c in range(-k, k + 1) if r * r + c * c <= radius * radius + 1e-9]
-    moved = mask.select("grid_id", "row", "col", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in disc])).alias("d"))
-    return moved.select("grid_id", (F.col("row") + F.col("d.r")).alias("row"), (F.col("col") + F.col("d.c")).alias("col")).distinct()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("col").bitwiseAND(F.lit(63)).cast("int"))
+    words = mask.groupBy("grid_id", "row", F.floor(F.col("col") / 64).alias("block")).agg(F.bit_or(bit).alias("bits"))
+    # a step of c columns leaves c % 64 bits in the block after
+    steps = [(r, c // 64 + n, c % 64, n) for r, c in disc for n in ((0, 1) if c % 64 else (0,))]
+    moved = words.withColumn("d", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(b).alias("b"), F.lit(e).alias("e"), F.lit(n).alias("n")) for r, b, e, n in steps])))
+    left, right = F.call_function("shiftleft", F.col("bits"), F.col("d.e")), F.call_function("shiftrightunsigned", F.col("bits"), 64 - F.col("d.e"))
+    moved = moved.select("grid_id", (F.col("row") + F.col("d.r")).alias("row"), (F.col("block") + F.col("d.b")).alias("block"), F.when(F.col("d.n") == 0, left).otherwise(right).alias("bits")).where("bits <> 0")
+    grown = moved.groupBy("grid_id", "row", "block").agg(F.bit_or("bits").alias("bits")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    on = F.call_function("shiftrightunsigned", F.col("bits"), F.col("at")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return grown.where(on).select("grid_id", "row", (F.col("block") * 64 + F.col("at")).cast(mask.schema["col"].dataType).alias("col"))
 
 
 def stream_report(reaches: DataFrame, area_m2: float) -> DataFrame:

@@ -163,6 +163,26 @@ def test_a_long_ring_is_repaired_in_one_pass(spark):
     assert [tuple(p) for p in got[0].r] == circle and got[0].a == pytest.approx(n / 2 * 1e4 * math.sin(2 * math.pi / n)) and [g.r for g in got[1:]] == [None] * 3
 
 
+def test_few_shapes_are_burned_by_many_tasks(spark):
+    """Cells are dealt before they are made, however few rows they come from (j19_burned_features)."""
+    f = spark.createDataFrame([(0, "building", [0.0, 4000.0, 4000.0, 0.0], [0.0, 0.0, 4000.0, 4000.0], True), (0, "road", [0.0, 5000.0], [7.5, 7.5], False)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean").coalesce(1)
+    got = land.burned(f, 5.0, {"road": 0.0, "building": 0.0}).withColumn("task", F.spark_partition_id()).groupBy("kind", "task").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got if r.kind == "building") == 801 * 801 and sum(r.n for r in got if r.kind == "road") == 1001
+    assert len({r.task for r in got}) >= 3 and max(r.n for r in got) < 400_000
+
+
+@pytest.mark.parametrize("radius", [0.0, 1.0, 2**0.5, 4.0, 6.5])
+def test_dilation_goes_by_bits(spark, radius):
+    """No cell of the widened mask is a key of a hash table (d12_siting_vetoes)."""
+    members = [(1, 0, 0), (1, 5, 63), (1, 5, 64), (1, 9, 130), (2, 3, -2)]
+    grown = flow.dilated(spark.createDataFrame(members, "grid_id long, row int, col int"), radius)
+    got = [tuple(r) for r in grown.collect()]
+    k = int(radius)
+    want = {(g, r + a, c + b) for g, r, c in members for a in range(-k, k + 1) for b in range(-k, k + 1) if a * a + b * b <= radius * radius + 1e-9}
+    assert len(got) == len(want) and set(got) == want and [f.dataType.simpleString() for f in grown.schema] == ["bigint", "int", "int"]
+    assert not re.search(r"(Aggregate|Deduplicate|Distinct) ?\[?grid_id#\d+L?, row#\d+, col#|^Distinct|Deduplicate", grown._jdf.queryExecution().analyzed().toString())
+
+
 def test_burned_line_touches_its_cells(spark):
     f = spark.createDataFrame([(0, "road", [2.5, 12.5], [2.5, 2.5], False), (0, "building", [20.0, 30.0, 30.0, 20.0], [20.0, 20.0, 30.0, 30.0], True)], "grid_id long, kind string, x array<double>, y array<double>, closed boolean")
     got = {(r.row, r.col, r.kind) for r in land.burned(f, 5.0, {"road": 0.0, "building": 0.0}).collect()}
