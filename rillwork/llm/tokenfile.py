@@ -45,6 +45,8 @@ SHARD_IDS, MIN_COUNT, LEAST_GAIN, PER_ROUND, STEP = 1 << 20, 8, 0.1, 16384, 1024
 #: Rules of a shard are at most what keeps its symbols within 16 bits, or this number where the vocabulary alone needs more.
 MOST_RULES = 1 << 14
 _BUCKETS = 18
+#: Buckets (a power of 2) in which equal runs of bytes meet.
+_RUN_BUCKETS = 20
 #: Bytes of text whose chunks are found at once.
 SLICE_BYTES = 3 << 21
 _KIND = np.full(256, 2, np.uint8)
@@ -61,7 +63,8 @@ def default_path() -> str:
 
 
 def _alike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each run of bytes other than 0; runs of one number are equal. Up to 16 bytes are two numbers that say all; longer runs are compared in full."""
+    """A number for each run of bytes other than 0, from 0 without gaps; runs of one number are equal. Up to 16 bytes are two numbers that say all: most runs meet an equal one in their bucket of a hash, those of a bucket
+    that shows another run are sorted. Longer runs are compared in full."""
     length, out = ends - starts, np.empty(len(starts), np.int64)
     at = np.flatnonzero(length <= 16)
     wide = np.ndarray((len(buf) + 9,), "<u8", np.concatenate((buf, np.zeros(16, np.uint8))), strides=(1,))
@@ -69,14 +72,30 @@ def _alike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = length[at]
     a &= _MASKS[np.minimum(n, 8)]
     b &= _MASKS[np.maximum(n - 8, 0)]
-    order = np.argsort(tv.mix(a + tv.mix(b)))
-    a, b = a[order], b[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    out[at[order]] = np.cumsum(new) - 1
+    key = tv.mix(a + tv.mix(b))
+    bucket = (key >> np.uint64(32) >> np.uint64(32 - _RUN_BUCKETS)).astype(np.int32)
+    table = np.empty(1 << _RUN_BUCKETS, np.int32)
+    table[bucket] = np.arange(len(at), dtype=np.int32)
+    shown = table[bucket]
+    own = (a[shown] == a) & (b[shown] == b)
+    number = np.zeros(len(at), np.int32)
+    number[shown[own]] = 1
+    found = int(number.sum())
+    number = np.cumsum(number, dtype=np.int32) - 1
+    got = number[shown].astype(np.int64)
+    left = np.flatnonzero(~own)
+    if len(left):
+        order = left[np.argsort(key[left])]
+        x, y = a[order], b[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        got[order] = found - 1 + np.cumsum(new)
+        found += int(new.sum())
     rest = np.flatnonzero(length > 16)
-    if len(rest):
-        out[rest] = tv.classes(buf, starts[rest], ends[rest]) + int(new.sum())
+    if not len(rest):
+        return got
+    out[at] = got
+    out[rest] = tv.classes(buf, starts[rest], ends[rest]) + found
     return out
 
 

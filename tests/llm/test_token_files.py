@@ -97,3 +97,13 @@ def test_chunks_give_the_library_s_ids(texts):
     enc = tokenfile.encoder(tokenfile.default_path())
     got = [x.tolist() for ids, n in enc.encode(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
     assert got == [enc.inner.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 20])
+def test_runs_that_share_a_bucket_are_told_apart(monkeypatch, bits):
+    monkeypatch.setattr(tokenfile, "_RUN_BUCKETS", bits)
+    words = [b"a", b"b", b"ab", b"a", b"0123456789abcdef", b"0123456789abcdeg", b"0123456789abcdef", b"longer than sixteen bytes", b"ab", b"longer than sixteen bytes", b"longer than sixteen bytez", b"b"]
+    for some in (words, [w for w in words if len(w) <= 16], words[7:8]):
+        stops = np.cumsum([len(w) for w in some])
+        got = tokenfile._alike(np.frombuffer(b"".join(some), np.uint8), stops - [len(w) for w in some], stops)
+        assert sorted(set(got.tolist())) == list(range(len(set(some)))) and len(set(zip(some, got.tolist(), strict=True))) == len(set(some))
