@@ -33,6 +33,8 @@ from rillwork.operators import terrain
 from rillwork.sources import tiff
 
 CELLS, FILE_SIDE, TILE_SIDE, MOST_CELLS, NAME = 1 << 20, 4096, 512, 20_000_000, "raster"
+#: Rows that a task holds where points meet cells, on average.
+MOST_MET = 1 << 19
 _CELL = pa.schema([("file", pa.string()), ("level", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("value", pa.float64())])
 _CELL_DDL = "file string, level int, row int, col int, x double, y double, value double"
 _FILE_DDL = "file string, n_rows int, n_cols int, transform array<double>, epsg int, nodata double, type string, tile_rows int, tile_cols int, overviews int, west double, south double, east double, north double"
@@ -371,6 +373,12 @@ def _source(cells: DataFrame) -> DataFrame:
     return cells.where("value is not null").select("file", F.col("row").alias("s_row"), F.col("col").alias("s_col"), "value")
 
 
+def _tasks(points: DataFrame, tiles: DataFrame, each: int) -> int:
+    """Tasks for points, each of which asks for some cells, and the files' cells; without a number Spark would put as many rows in one as its compressed bytes allow."""
+    held = tiles.agg(F.sum(F.col("n_rows").cast("long") * F.col("n_cols"))).first()[0] or 0
+    return 1 + (each * points.count() + held) // MOST_MET
+
+
 def _first_tile(found: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Of a point's values by file the one of the file that comes first from south-west to north-east."""
     return found.where(value.isNotNull()).groupBy(*keys).agg(F.min(F.struct("south", "west", "file", value.alias("v"))).alias("m")).select(*keys, F.col("m.v").alias("value"))
@@ -378,14 +386,15 @@ def _first_tile(found: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 def bilinear(points: DataFrame, tiles: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """SRC-07: points(keys, x, y), tiles as of `files`, cells as of `read` -> keys, value: between the four cells around in each file, by those that have a value; the first file in order wins. Null where no file has any."""
+    n, place = _tasks(points, tiles, 4), ["file", "s_row", "s_col"]
     j = _places(points.select(*keys, "x", "y"), tiles)
     r0, c0 = F.floor("sr").cast("int"), F.floor("sc").cast("int")
     fr, fc = F.col("sr") - r0, F.col("sc") - c0
     four = F.array(*[F.struct((r0 + a).alias("s_row"), (c0 + b).alias("s_col"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")) for a in (0, 1) for b in (0, 1)])
     j = j.select(*keys, "file", "south", "west", F.explode(four).alias("k")).select(*keys, "file", "south", "west", "k.s_row", "k.s_col", "k.w").where("w > 0")
-    v = j.join(_source(cells), ["file", "s_row", "s_col"])
-    v = v.groupBy(*keys, "file", "south", "west").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("v"))
-    return points.select(*keys).join(_first_tile(v, keys, F.col("v")), keys, "left")
+    v = j.repartition(n, *place).join(_source(cells).repartition(n, *place), place)
+    v = v.repartition(n, *keys).groupBy(*keys, "file", "south", "west").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("v"))
+    return points.select(*keys).repartition(n, *keys).join(_first_tile(v, keys, F.col("v")), keys, "left")
 
 
 def dem_window(spark: SparkSession, folder: str, box: tuple[float, float, float, float], cell_m: float = 30.0, buffer_m: float = 500.0) -> tuple[DataFrame, DataFrame]:
@@ -427,6 +436,7 @@ def dem_window(spark: SparkSession, folder: str, box: tuple[float, float, float,
 
 def nearest(points: DataFrame, tiles: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """SRC-11: the value of the cell that a point lies in; nodata of one file leaves the point to the next."""
+    n, place = _tasks(points, tiles, 1), ["file", "s_row", "s_col"]
     j = _places(points.select(*keys, "x", "y"), tiles).withColumns({"s_row": F.floor(F.col("sr") + 0.5).cast("int"), "s_col": F.floor(F.col("sc") + 0.5).cast("int")})
-    v = j.join(_source(cells), ["file", "s_row", "s_col"])
-    return points.select(*keys).join(_first_tile(v, keys, F.col("value")), keys, "left")
+    v = j.repartition(n, *place).join(_source(cells).repartition(n, *place), place).repartition(n, *keys)
+    return points.select(*keys).repartition(n, *keys).join(_first_tile(v, keys, F.col("value")), keys, "left")

@@ -302,3 +302,14 @@ def test_window_of_degree_tiles_on_a_metric_grid(spark, tmp_path):
     assert empty.first().terrain == "no tiles"
     with pytest.raises(ValueError, match="more than"):
         raster.dem_window(spark, str(tmp_path / "r"), (77.0, 20.0, 79.0, 21.0), cell_m=1.0)
+
+
+def test_points_and_cells_meet_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raster, "MOST_MET", 16)
+    cells = spark.range(64).select(F.lit(7).cast("long").alias("grid_id"), (F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), F.col("id").cast("double").alias("z"))
+    grids = spark.sql("SELECT 7L AS grid_id, 8 AS n_rows, 8 AS n_cols, array(1D, 0D, 0D, 0D, -1D, 8D) AS transform, 4326 AS epsg")
+    raster.write(cells, grids, str(tmp_path / "t"))
+    points = spark.range(16).select("id", (F.col("id") / 2.0 + 0.25).alias("x"), F.lit(4.0).alias("y"))
+    for how, each in ((raster.bilinear, 4), (raster.nearest, 1)):
+        got = how(points, raster.files(spark, str(tmp_path / "t")), raster.read(spark, str(tmp_path / "t")), ["id"])
+        assert got.rdd.getNumPartitions() == 1 + (each * 16 + 64) // 16 and got.where("value is not null").count() == 16
