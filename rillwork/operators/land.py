@@ -70,10 +70,14 @@ def vetoes(cells: DataFrame, features: DataFrame, cell_m: float, max_upstream_ha
     """D-12: cells(cover, acc) with the reasons against a pond (array) and excluded; features have kinds standing, major, building, road."""
     hits = burned(features.where(F.col("kind").isin(*SITE_BUFFERS)), cell_m, SITE_BUFFERS)
     wet = flow.dilated(cells.where(F.col("cover").isin(*COVER_WATER)), COVER_WATER_BUFFER / cell_m).withColumn("kind", F.lit("land_cover_water"))
-    why = hits.unionByName(wet).groupBy("grid_id", "row", "col").agg(F.collect_set("kind").alias("why"))
+    # a bit a kind: sets of names would be put together by sorting all cells
+    kinds = (*SITE_BUFFERS, "land_cover_water")
+    bit = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(kinds) for x in (kind, 1 << k)]), F.col("kind"))
+    why = hits.unionByName(wet).groupBy("grid_id", "row", "col").agg(F.bit_or(bit).alias("why"))
     d = cells.join(why, ["grid_id", "row", "col"], "left")
-    more = F.array(F.when(F.col("cover") == 50, "built_up"), F.when(F.col("acc") * cell_m**2 / 10_000 > max_upstream_ha, "large_river"))
-    all_ = F.array_sort(F.concat(F.coalesce("why", F.array().cast("array<string>")), F.filter(more, lambda x: x.isNotNull())))
+    named = [F.when(F.col("why").bitwiseAND(F.lit(1 << k)) != 0, kind) for k, kind in enumerate(kinds)]
+    more = [F.when(F.col("cover") == 50, "built_up"), F.when(F.col("acc") * cell_m**2 / 10_000 > max_upstream_ha, "large_river")]
+    all_ = F.array_sort(F.filter(F.array(*named, *more), lambda x: x.isNotNull()))
     return d.withColumn("reasons", all_).withColumn("excluded", F.size("reasons") > 0).drop("why")
 
 

@@ -98,7 +98,8 @@ def surveyed(cells: DataFrame, cell_m: float, features: DataFrame | None = None,
     if "cover" in cells.columns:
         d = d.withColumn("availability", availability(F.col("cover")))
     if features is not None:
-        d = land.vetoes(d, features, cell_m)
+        # masks and scores read the cells three times; vetoes are worked out once
+        d = land.vetoes(d, features, cell_m).checkpoint()
     return scored(masks(d, cell_m, max_slope, upstream_ha)).checkpoint()
 
 

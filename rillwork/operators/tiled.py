@@ -55,11 +55,11 @@ def _col(id_: Column) -> Column:
 
 
 def _tiles_near(row: Column, col: Column, side: int, own: bool) -> Column:
-    """The tiles that a cell is in, or in the rim of."""
+    """The tiles that a cell is in, or in the rim of; rows and columns count from 0, so no tile is before the first."""
     at = lambda x: F.floor(x / side).cast("int")
     tile = lambda r, c: F.struct(at(r).alias("tr"), at(c).alias("tc"))
     inner = lambda x: F.pmod(x, F.lit(side)).between(1, side - 2)
-    all_ = F.array_distinct(F.array(*[tile(row + a, col + b) for a in (0, -1, 1) for b in (0, -1, 1)]))
+    all_ = F.filter(F.array_distinct(F.array(*[tile(row + a, col + b) for a in (0, -1, 1) for b in (0, -1, 1)])), lambda t: (t["tr"] >= 0) & (t["tc"] >= 0))
     if not own:
         return F.filter(all_, lambda t: (t["tr"] != at(row)) | (t["tc"] != at(col)))
     return F.when(inner(row) & inner(col), F.array(tile(row, col))).otherwise(all_) if side > 2 else all_
