@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import geo, hydro
-from rillwork.operators import decide, flow, kernels, pond, runoff, siting, survey, terrain
+from rillwork.operators import decide, flow, kernels, pond, rainfall, runoff, siting, survey, terrain
 
 
 @dataclass(frozen=True)
@@ -111,8 +111,11 @@ def site_water(members: DataFrame, cells: DataFrame, metrics: DataFrame, daily:
     """site_id, cn2, annual_m3, dependable_m3, monthly_mm of each catchment under the daily rain(observed_on, mm) of the area; soil is its hydrologic group."""
     fractions = survey.zonal_fractions(members, cells).select(F.col("site_id").alias("site"), "cover", "fraction", soil.alias("soil"))
     cn = runoff.composite_curve_number(fractions).select(F.col("site").alias("series"), "cn2")
-    # sites are few for an area: its rain is repeated for each
-    rain = cn.crossJoin(daily.select("observed_on", "mm"))
+    # the days before a day are the same for all sites: they are summed once, and then the rain is repeated for each site
+    wet = rainfall.antecedent(daily.select(F.lit(0).alias("series"), "observed_on", "mm")).drop("series")
+    # sites are small rows that Spark would put in one task, where each becomes a row a day; the rain has a row a day only
+    spark = cells.sparkSession
+    rain = cn.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "series").crossJoin(F.broadcast(wet))
     mm = runoff.runoff_estimate(rain, F.col("cn2"), F.lit(1.0)).join(cn, "series")
     area = metrics.select(F.col("site_id").alias("series"), "area_m2")
     return mm.join(area, "series").select(F.col("series").alias("site_id"), "cn2", (F.col("annual_mean_mm") / 1000 * F.col("area_m2")).alias("annual_m3"), (F.col("dependable_75_mm") / 1000 * F.col("area_m2")).alias("dependable_m3"), "monthly_mm")

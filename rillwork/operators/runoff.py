@@ -21,8 +21,8 @@ def composite_curve_number(fractions: DataFrame) -> DataFrame:
 
 
 def daily_runoff(daily: DataFrame, cn2: Column, growing_months: tuple[int, ...] = MONSOON, lam: float = hydro.INITIAL_ABSTRACTION) -> DataFrame:
-    """daily with antecedent, amc and runoff (mm). cn2 may be a column of daily, so many catchments go at once."""
-    d = rainfall.antecedent(daily)
+    """daily with antecedent (unless it is there already), amc and runoff (mm). cn2 may be a column of daily, so many catchments go at once."""
+    d = daily if "antecedent" in daily.columns else rainfall.antecedent(daily)
     d = d.withColumn("amc", hydro.moisture_class(F.col("antecedent"), F.month("observed_on").isin(*growing_months)))
     cn = F.when(F.col("amc") == "I", hydro.dry_cn(cn2)).when(F.col("amc") == "III", hydro.wet_cn(cn2)).otherwise(cn2)
     return d.withColumn("runoff", hydro.runoff_mm(F.col("mm"), cn, lam))

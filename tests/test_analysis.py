@@ -134,3 +134,19 @@ def test_reports_of_steps_and_requests(spark):
     r = spark.createDataFrame([("a", "2024-01-01 00:00"), ("a", "2024-01-01 00:30"), ("a", "2024-01-01 01:00"), ("b", "2024-01-01 00:10")], "key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(x.key for x in jobs.first_requests(r, 60).collect()) == ["a", "a", "b"]
     assert survey.respaced(np.array([[0.0, 0.0], [10.0, 0.0]]), 4.0).tolist() == [[0, 0], [10 / 3, 0], [20 / 3, 0], [10, 0]] and SF
+
+
+def test_only_tiles_that_can_have_cells_are_made_and_sites_rain_is_dealt(spark):
+    from rillwork.operators import analysis as a
+    from rillwork.operators import runoff, tiled
+
+    at = spark.range(1).select(F.lit(0).alias("row"), F.lit(5).alias("col"))
+    assert [(t.tr, t.tc) for t in at.select(tiled._tiles_near(F.col("row"), F.col("col"), 8, True).alias("t")).first().t] == [(0, 0)]
+    daily = spark.sql("SELECT explode(sequence(date'1995-01-01', date'1996-12-31')) AS observed_on").withColumn("mm", F.when(F.dayofmonth("observed_on") % 3 == 0, 60.0).otherwise(0.0))
+    cells = spark.range(8).select(F.lit(1).cast("long").alias("grid_id"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.when(F.col("id") < 3, 30).otherwise(40).alias("cover"))
+    members = cells.select(F.col("col").cast("long").alias("site_id"), "grid_id", "row", "col")
+    metrics = members.select("site_id", F.lit(25.0).alias("area_m2"))
+    got = a.site_water(members, cells, metrics, daily, F.lit("B"))
+    for r in got.collect():
+        alone = runoff.runoff_estimate(daily.withColumn("series", F.lit(0)), F.lit(r.cn2), F.lit(25.0)).first()
+        assert abs(alone.annual_mean_m3 - r.annual_m3) < 1e-9 and abs(alone.dependable_75_m3 - r.dependable_m3) < 1e-9 and len(r.monthly_mm) == 12
